@@ -7,11 +7,11 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import clinical_day, micros
-from noonday.operators.tracks import by_hour, previous, running
+from noonday.operators.tracks import by_hour, islands
 
 # The range of each measured field.  (low, low is allowed, high, high is allowed)
 USAGE = (0, True, 24, True)
@@ -134,28 +134,28 @@ def first_available_day(days: DataFrame, history: DataFrame) -> DataFrame:
 def fuzzy_distinct_sessions(sessions: DataFrame, minutes: int = 2) -> DataFrame:
     """Walk the sessions of a card by start, end and drop one if a kept one has both ends within ``minutes``.
 
-    Only sessions whose starts chain together within the tolerance can drop each other, and inside such a chain only
-    those whose ends chain together.  Both cuts are exact.  Exact copies are folded before anything is ordered, and
-    most clusters then hold one session, which is kept as it is.  The others are walked as sorted streams: the state
-    is the kept sessions of the last ``minutes``, at most one per ``minutes`` of end time, never the cluster.
+    Only sessions whose starts chain together within the tolerance can drop each other, so a card is cut wherever two
+    starts lie further apart.  Exact copies are folded before anything is ordered, and most clusters then hold one
+    session, which is kept as it is.  The others are walked as sorted streams: the state is the kept sessions of the
+    last ``minutes``, at most one per ``minutes`` of end time, never the cluster.
     """
     near = minutes * 60 * 1_000_000
-    plain = distinct_sessions(sessions)
-    by_start = _cluster(plain, ["card_id"], "start_ts", "end_ts", near, "__c1")
-    rows = _cluster(by_start, ["card_id", "__c1"], "end_ts", "start_ts", near, "__c2")
-    cluster = ["card_id", "__c1", "__c2"]
-    sizes = rows.groupBy(*cluster).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("start_ts").alias("start_ts"), F.min("end_ts").alias("end_ts")
-    )
-    alone = sizes.where("__n = 1").select("card_id", "start_ts", "end_ts")
+    rows = islands(
+        distinct_sessions(sessions),
+        by_hour(["card_id"], ["start_ts", "end_ts"]),
+        {"s": micros("start_ts")},
+        lambda prev, now: now["s"] - prev["s"] > near,
+        "__cluster",
+    ).drop("at")
+    cluster = Window.partitionBy("card_id", "__cluster")
+    sized = rows.withColumn("__n", F.count(F.lit(1)).over(cluster))
+    alone = sized.where("__n = 1").select("card_id", "start_ts", "end_ts")
     walked = (
-        rows.join(sizes.where("__n > 1").select(*cluster), cluster, "left_semi")
-        .select(*cluster, "start_ts", "end_ts", micros("start_ts").alias("__s"), micros("end_ts").alias("__e"))
-        .repartition(*cluster)
-        .sortWithinPartitions(*cluster, "start_ts", "end_ts")
+        sized.where("__n > 1")
+        .select("card_id", "__cluster", "start_ts", "end_ts", micros("start_ts").alias("__s"), micros("end_ts").alias("__e"))
+        .sortWithinPartitions("card_id", "__cluster", "start_ts", "end_ts")
     )
-    schema = walked.schema
-    kept = walked.mapInPandas(lambda batches: _greedy_walk(batches, near), schema)
+    kept = walked.mapInPandas(lambda batches: _greedy_walk(batches, near), walked.schema)
     return alone.unionByName(kept.select("card_id", "start_ts", "end_ts"))
 
 
@@ -164,7 +164,7 @@ def _greedy_walk(batches: Iterator[pd.DataFrame], near: int) -> Iterator[pd.Data
     cluster, recent = None, []
     for batch in batches:
         keep = []
-        keys = zip(batch["card_id"], batch["__c1"], batch["__c2"])
+        keys = zip(batch["card_id"], batch["__cluster"])
         for key, start, end in zip(keys, batch["__s"], batch["__e"]):
             if key != cluster:
                 cluster, recent = key, []
@@ -174,11 +174,3 @@ def _greedy_walk(batches: Iterator[pd.DataFrame], near: int) -> Iterator[pd.Data
                 recent.append((start, end))
             keep.append(fresh)
         yield batch[keep]
-
-
-def _cluster(df: DataFrame, keys: list[str], by: str, tie: str, near: int, name: str) -> DataFrame:
-    """Cluster id: the first value of ``by`` in a chain whose neighbours are at most ``near`` micros apart."""
-    track = by_hour(keys, [by, tie])
-    linked = previous(df, track, {"__before": by})
-    opens = F.col("__before").isNull() | (micros(by) - micros("__before") > near)
-    return running(linked, track, {name: ("last", F.when(opens, F.col(by)))}).drop("__before")

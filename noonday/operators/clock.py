@@ -53,7 +53,7 @@ def probe_channels(
     first = numbered(samples, by_day(keys, order), "pos").where(F.col("pos") <= packets)
     used = F.count_if(F.col(primary) != 0)
     probe = first.groupBy(*keys).agg(
-        (used < F.greatest(F.lit(1.0), F.count(F.lit(1)) / 100)).alias("use_alternate")
+        (used < F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 100))).alias("use_alternate")
     )
     return samples.join(probe, list(keys)).withColumn(
         "chosen", F.when(F.col("use_alternate"), F.col(alternate)).otherwise(F.col(primary))

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noonday.functions.dates import seconds_between, shift_seconds
-from noonday.operators.tracks import Track, by_day, moving_average, numbered, previous, running
+from noonday.functions.dates import micros, seconds_between, shift_seconds
+from noonday.operators.tracks import Track, by_day, islands, moving_average, previous, running
 
 # Fixed values.
 LARGE_LEAK_LPM = 30.0
@@ -38,22 +38,20 @@ def reset_islands(
     valid: Column,
     max_step_seconds: float | None = MAX_STEP_SECONDS,
 ) -> DataFrame:
-    """Valid samples with ``island`` (position of its first row) and ``pos`` (1-based position in the island).
+    """Valid samples with ``island`` (place of its first row) and ``pos`` (1-based place in the island).
 
     An invalid sample, or a step longer than ``max_step_seconds``, closes the island before it.
     """
-    track = track_of(keys, order)
-    placed = numbered(samples.withColumn("__ok", F.coalesce(valid, F.lit(False))), track, "__at")
-    with_prev = previous(placed, track, {"__prev_ok": "__ok", "__prev_ts": order[0]})
-    opens = F.coalesce(~F.col("__prev_ok"), F.lit(True))
-    if max_step_seconds is not None:
-        opens = opens | (seconds_between("__prev_ts", order[0]) > max_step_seconds)
-    marked = running(with_prev, track, {"island": ("last", F.when(opens, F.col("__at")))})
-    return (
-        marked.where("__ok")
-        .withColumn("pos", F.col("__at") - F.col("island") + 1)
-        .drop("__ok", "__prev_ok", "__prev_ts", "__at")
-    )
+
+    def opens(prev: Column, now: Column) -> Column:
+        closed = ~prev["ok"]
+        if max_step_seconds is not None:
+            closed = closed | (now["t"] - prev["t"] > int(max_step_seconds * 1_000_000))
+        return closed
+
+    ok = F.coalesce(valid, F.lit(False))
+    cut = islands(samples, track_of(keys, order), {"ok": ok, "t": micros(order[0])}, opens)
+    return cut.where(ok).withColumn("pos", F.col("at") - F.col("island") + 1).drop("at")
 
 
 def rolling_maxima(
@@ -83,28 +81,29 @@ def threshold_runs(
     max_step_seconds: float | None = None,
 ) -> DataFrame:
     """Maximal runs of samples above the threshold: start, sample count, duration and peak."""
-    track = track_of(keys, order)
     above = F.col(value) > threshold
     if valid is not None:
         above = above & valid
-    flagged = samples.withColumn("__above", F.coalesce(above, F.lit(False)))
-    with_prev = previous(flagged, track, {"__was": "__above", "__prev_ts": order[0]})
-    opens = F.col("__above") & ~F.coalesce("__was", F.lit(False))
-    if max_step_seconds is not None:
-        gap = seconds_between("__prev_ts", order[0]) > max_step_seconds
-        opens = F.col("__above") & (~F.coalesce("__was", F.lit(False)) | gap)
-    marked = running(with_prev, track, {"run_start": ("last", F.when(opens, F.struct(*order)))})
+    above = F.coalesce(above, F.lit(False))
+
+    def opens(prev: Column, now: Column) -> Column:
+        changed = prev["above"] != now["above"]
+        if max_step_seconds is not None:
+            changed = changed | (now["t"] - prev["t"] > int(max_step_seconds * 1_000_000))
+        return changed
+
+    cut = islands(samples, track_of(keys, order), {"above": above, "t": micros(order[0])}, opens, "run")
     return (
-        marked.where("__above")
-        .groupBy(*keys, "run_start")
+        cut.where(above)
+        .groupBy(*keys, "run")
         .agg(
+            F.min(order[0]).alias("start_ts"),
+            F.max(order[0]).alias("end_ts"),
             F.count(F.lit(1)).alias("n_samples"),
             (F.sum(seconds) / 60).alias("minutes"),
             F.max(value).alias("peak"),
-            F.max(order[0]).alias("end_ts"),
         )
-        .withColumn("start_ts", F.col("run_start")[order[0]])
-        .drop("run_start")
+        .drop("run")
     )
 
 
@@ -131,11 +130,13 @@ def mask_sessions(
 ) -> DataFrame:
     """Mask-on sessions: a gap splits; a long inactive tail ends the session at its last active sample."""
     ts = order[0]
-    track = track_of(keys, order)
-    with_prev = previous(samples.withColumn("__active", active), track, {"__prev_ts": ts})
-    opens = F.col("__prev_ts").isNull() | (seconds_between("__prev_ts", ts) >= gap_seconds)
-    marked = running(with_prev, track, {"start_ts": ("last", F.when(opens, F.col(ts)))})
-    grouped = marked.groupBy(*keys, "start_ts").agg(
+    gap = int(gap_seconds * 1_000_000)
+    cut = islands(
+        samples.withColumn("__active", active), track_of(keys, order), {"t": micros(ts)},
+        lambda prev, now: now["t"] - prev["t"] >= gap, "session",
+    )
+    grouped = cut.groupBy(*keys, "session").agg(
+        F.min(ts).alias("start_ts"),
         F.max(ts).alias("last_ts"),
         F.max(F.when(F.col("__active"), F.col(ts))).alias("last_active"),
         F.count(F.lit(1)).alias("n_samples"),

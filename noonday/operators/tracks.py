@@ -14,7 +14,7 @@ window sees one row per chunk (a day of 1-second samples is 86,400 rows).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -136,6 +136,60 @@ def running(
     return joined.select(*df.columns, *out)
 
 
+def islands(
+    df: DataFrame,
+    track: Track,
+    now: dict[str, Column | str],
+    opens: Callable[[Column, Column], Column],
+    name: str = "island",
+    position: str = "at",
+) -> DataFrame:
+    """Cut a track where ``opens(previous, current)`` holds; the first row always opens an island.
+
+    ``now`` names the values the test looks at; they arrive as fields of the two structs.  Adds ``position`` (1-based
+    place of the row in its track) and ``name`` (place of the row that opened its island).  One pass does both: a chunk
+    is reduced to its size, first and last values and its last inner opening.
+    """
+    packed = F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in now.items()])
+    local = (
+        df.withColumn(CHUNK, track.chunk)
+        .withColumn("__now", packed)
+        .withColumns({"__lag": F.lag("__now").over(track.rows()), "__rn": F.row_number().over(track.rows())})
+        .withColumn("__open", F.when((F.col("__rn") > 1) & opens(F.col("__lag"), F.col("__now")), F.col("__rn")))
+    )
+    chunks = local.groupBy(*track.keys, CHUNK).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.min_by("__now", "__rn").alias("__head"),
+        F.max_by("__now", "__rn").alias("__tail"),
+        F.max("__open").alias("__inner"),
+    )
+    by_chunk = track.chunks()
+    earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    placed = chunks.withColumns(
+        {"__before": F.coalesce(F.sum("__n").over(earlier), F.lit(0)), "__prev": F.lag("__tail").over(by_chunk)}
+    )
+    first = F.col("__prev").isNull() | F.coalesce(opens(F.col("__prev"), F.col("__head")), F.lit(False))
+    opened = placed.withColumn("__first", F.when(first, F.col("__before") + 1)).withColumn(
+        "__last", F.coalesce(F.col("__inner") + F.col("__before"), F.col("__first"))
+    )
+    state = opened.select(
+        *track.keys, CHUNK, "__before",
+        F.coalesce("__first", F.last("__last", ignorenulls=True).over(earlier)).alias("__start"),
+    )
+    frame = track.rows().rowsBetween(Window.unboundedPreceding, 0)
+    inner = local.withColumn("__mine", F.last("__open", ignorenulls=True).over(frame))
+    return (
+        _join_state(inner, state, track)
+        .withColumns(
+            {
+                position: (F.col("__rn") + F.col("__before")).cast("bigint"),
+                name: F.coalesce(F.col("__mine") + F.col("__before"), F.col("__start")).cast("bigint"),
+            }
+        )
+        .select(*df.columns, position, name)
+    )
+
+
 def moving_average(
     df: DataFrame,
     keys: Sequence[str],

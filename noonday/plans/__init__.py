@@ -1,4 +1,4 @@
 """Runnable queries by operator name."""
 
-from noonday.plans import q_report, q_rollup  # noqa: F401
+from noonday.plans import q_clean, q_report, q_rollup, q_series  # noqa: F401
 from noonday.plans.registry import REGISTRY  # noqa: F401

@@ -32,13 +32,14 @@ SELECT v.card_id, v.range_days, any_value(days_in_window) AS days_in_window,
   round(coalesce(avg(leak_95_day), quantile_cont(leak_day, 0.95)), 6) AS leak_95,
   round(max(leak_max), 6) AS max_leak, round(max(leak_max_30m), 6) AS max_leak_30m
 FROM vals v JOIN sized USING (card_id, range_days) GROUP BY ALL"""),
+    whole="range_days",
 )
 def report_flagship(spark, sf):
     days = report_days(spark, sf)
     metrics = report.report_metrics(days, periods.fan_out(days, (30, 7)))
     return (
         metrics.select(
-            "card_id", F.col("range_days").cast("int").alias("range_days"), "days_in_window", "days_with_data",
+            "card_id", "range_days", "days_in_window", "days_with_data",
             "days_with_usage", "avg_usage_hours", "usage_days_percent", "usage_compliant_days", "avg_ahi", "ahi_95",
             "avg_residual", "leak_mean", "leak_95", "max_leak", "max_leak_30m",
         )

@@ -358,7 +358,7 @@ def constant_or_null(spark, sf):
     CASE WHEN event_type = 'view' THEN value ELSE 0 END AS primary_channel, value / 2 AS alternate
   FROM samples),
 probe AS (
-  SELECT card_id, count(*) FILTER (primary_channel <> 0) < greatest(1, count(*) / 100.0) AS use_alternate
+  SELECT card_id, count(*) FILTER (primary_channel <> 0) < greatest(1, floor(count(*) / 100.0)) AS use_alternate
   FROM placed WHERE pos <= 6 GROUP BY ALL)
 SELECT card_id, use_alternate, round(sum(CASE WHEN use_alternate THEN alternate ELSE primary_channel END), 6) AS total,
   count(*) AS n

@@ -136,7 +136,7 @@ vals AS (
 sized AS (
   SELECT card_id, range_days,
     greatest(1, least(range_days, date_diff('day', min(effective_start), any_value(window_end)))) AS days_in_window
-  FROM vals GROUP BY ALL
+  FROM vals GROUP BY card_id, range_days
   HAVING greatest(1, least(range_days, date_diff('day', min(effective_start), any_value(window_end)))) >= range_days
          OR range_days = 7)
 """
