@@ -6,14 +6,10 @@ would have to be compiled again for every pair of file and rule.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noonday.functions import family_rules as fr
-from noonday.functions.dates import strict_date
 
 # Import windows, caps and extension sets.
 IMPORT_DAYS, OLDER_IMPORT_DAYS = 91, 181
@@ -63,15 +59,29 @@ def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(slashes(path), r"\.([^./]*)$", 1))
 
 
-def _groups(path: Column, pattern: str, order: tuple[int, int, int] = (1, 2, 3)) -> Column:
-    return strict_date(*[F.regexp_extract(path, pattern, i) for i in order])
+# The same shapes as one group of digits and separators, so a date costs one regular expression and one parse.
+_YEAR = r"(?:19\d{2}|20\d{2}|2100)"
+_RECORD_ONE = rf"(?i)(?:^|/)(?:therapy/)?record/({_YEAR}\d{{2}}/\d{{2}})(?:/|$)"
+_SEPARATED_ONE = r"(?:^|/)((?:19|20)\d{2}[/_-]\d{2}[/_-]\d{2})(?:/|$)"
+_COMPACT_ONE = r"(?:^|[^\d])((?:19|20)\d{6})(?:[^\d]|$)"
+_RECORD_LEAF_ONE = rf"(?i)(?:^|/)(?:therapy/)?record/({_YEAR}\d{{2}}/\d{{2}})$"
+_SEPARATED_LEAF_ONE = r"(?:^|/)((?:19|20)\d{2}[/_-]\d{2}[/_-]\d{2})$"
+_COMPACT_LEAF_ONE = r"(?:^|/)((?:19|20)\d{6})$"
+_ANY_ONE = r"(\d{4}-\d{2}-\d{2})"
+_ANY_US_ONE = r"(\d{2}/\d{2}/\d{4})"
+
+
+def _dated(path: Column, pattern: str, shape: str = "yyyyMMdd") -> Column:
+    """Date of the first match; NULL without a match (no parse is tried) or for a day that does not exist."""
+    digits = F.translate(F.regexp_extract(path, pattern, 1), "/_-", "")
+    return F.try_to_date(F.nullif(digits, F.lit("")), shape)
 
 
 def window_date(path: Column | str) -> Column:
     """Date a file is filtered by: record folder, else separated, else compact; impossible dates are skipped."""
     p = slashes(path)
-    return F.when(p.rlike(RECORD_PATH), _groups(p, RECORD_PATH)).otherwise(
-        F.coalesce(_groups(p, SEPARATED_PATH), _groups(p, COMPACT_PATH))
+    return F.when(p.rlike(RECORD_PATH), _dated(p, _RECORD_ONE)).otherwise(
+        F.coalesce(_dated(p, _SEPARATED_ONE), _dated(p, _COMPACT_ONE))
     )
 
 
@@ -80,16 +90,16 @@ def record_date(path: Column | str) -> Column:
     p = slashes(path)
     loose = F.translate(p, "_", "/")
     return F.coalesce(
-        _groups(p, RECORD_PATH), _groups(p, COMPACT_PATH), _groups(p, SEPARATED_PATH),
-        _groups(loose, ANY_DATE), _groups(loose, ANY_US_DATE, (3, 1, 2)),
+        _dated(p, _RECORD_ONE), _dated(p, _COMPACT_ONE), _dated(p, _SEPARATED_ONE),
+        _dated(loose, _ANY_ONE), _dated(loose, _ANY_US_ONE, "MMddyyyy"),
     )
 
 
 def leaf_date(path: Column | str) -> Column:
     """Date if the last directory is a day folder."""
     p = F.regexp_replace(slashes(path), "/+$", "")
-    return F.when(p.rlike(RECORD_LEAF), _groups(p, RECORD_LEAF)).otherwise(
-        F.coalesce(_groups(p, SEPARATED_LEAF), _groups(p, COMPACT_LEAF))
+    return F.when(p.rlike(RECORD_LEAF), _dated(p, _RECORD_LEAF_ONE)).otherwise(
+        F.coalesce(_dated(p, _SEPARATED_LEAF_ONE), _dated(p, _COMPACT_LEAF_ONE))
     )
 
 
@@ -174,10 +184,15 @@ def type_gate(base: Column, ext: Column, size: Column) -> Column:
 
 def rule_hits(files: DataFrame) -> DataFrame:
     """Distinct (card, rule) pairs; each rule counts once per card however many files match it."""
+    by_pattern: dict[str, list[int]] = {}
+    for i, _, pattern, _ in fr.scoring_rules():
+        by_pattern.setdefault(pattern, []).append(i)
     hits = F.array_compact(
-        F.array(*[F.when(F.col("path").rlike("(?i)" + p), F.lit(i)) for i, _, p, _ in fr.scoring_rules()])
+        F.array(*[
+            F.when(F.col("path").rlike("(?i)" + p), F.array(*[F.lit(i) for i in ids])) for p, ids in by_pattern.items()
+        ])
     )
-    return files.select("card_id", F.explode(hits).alias("rule_id")).distinct()
+    return files.select("card_id", F.explode(F.flatten(hits)).alias("rule_id")).distinct()
 
 
 def structure_flags(files: DataFrame) -> DataFrame:
@@ -392,7 +407,7 @@ def keeps_undated(path: Column, size: Column, family: Column) -> Column:
     for name, patterns in fr.KEEP_BY_FAMILY.items():
         hit = low.rlike(fr.any_of(patterns))
         by_family = F.when(family == name, hit) if by_family is None else by_family.when(family == name, hit)
-    always = reduce(or_, [low.rlike(p) for p in fr.KEEP_ALWAYS])
+    always = low.rlike(fr.any_of(fr.KEEP_ALWAYS))
     data = (size <= fr.KEEP_DATA_MAX_BYTES) & low.rlike(fr.KEEP_DATA_EXTENSION) & low.rlike(fr.KEEP_DATA_WORD)
     info = (size <= fr.KEEP_INFO_MAX_BYTES) & low.rlike(fr.KEEP_INFO_NAME)
     return F.coalesce(by_family, F.lit(False)) | always | data | info
