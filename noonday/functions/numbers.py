@@ -69,7 +69,8 @@ def norm_usage_hours(value: Column | str, unit: Column | str) -> Column:
 def trimmed(value: Column, decimals: int) -> Column:
     """Fixed decimals without trailing zeros, as text."""
     text = F.format_string(f"%.{decimals}f", F.round(value.cast("double"), decimals))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(value.isNotNull(), short)
 
 
 def pressure_text(value: Column | str) -> Column:

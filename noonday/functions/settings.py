@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noonday.functions.modes import (
     classify_mode, evidence_mode, explicit_mode, has_text, is_auto, is_auto_bilevel,
 )
+from noonday.functions.plan import computed_once
 from noonday.functions.numbers import (
     first_number, norm_pressure, pressure_setting_text, pressure_text, ramp_time_text, safe_number, trimmed,
 )
@@ -80,13 +81,16 @@ def compact_key(key: Column) -> Column:
 
 
 def read_alias(exact: Column | str, compact: Column | str, aliases: Sequence[str]) -> Column:
-    """First alias present, by its exact key or by its key without case, blanks, dashes and underscores."""
+    """First alias present, by its exact key or by its key without case, blanks, dashes and underscores.
+
+    The maps hold (value, number) structs.
+    """
     squeeze = str.maketrans("", "", " _-\t")
     reads = []
     for alias in aliases:
         reads.append(F.try_element_at(_c(exact), F.lit(alias)))
         reads.append(F.try_element_at(_c(compact), F.lit(alias.lower().translate(squeeze))))
-    return F.coalesce(*reads)
+    return F.coalesce(*reads)["value"]
 
 
 # Keys under which settings files name a setting, in order of preference.
@@ -152,7 +156,7 @@ def relief_text(exact: Column, lower: Column) -> Column:
         tries = []
         for k in keys:
             tries += [F.try_element_at(exact, F.lit(k)), F.try_element_at(lower, F.lit(k.lower()))]
-        return safe_number(F.coalesce(*tries))
+        return F.coalesce(*tries)["number"]
 
     def level(label: str, n: Column, unit: str = "") -> Column:
         on = F.concat(F.lit(f"{label}: On "), trimmed(n, 2), F.lit(unit))
@@ -220,7 +224,7 @@ def normalize_machine(df: DataFrame) -> DataFrame:
     range_set = has_text("pressure_min") | has_text("pressure_max")
     auto_bilevel = is_auto_bilevel("mode") | range_set
     bilevel = stated == "BiPAP"
-    first = df.withColumns(
+    first = computed_once(df).withColumns(
         {
             **_drop_when(single, BILEVEL_ONLY),
             **_drop_when(bilevel & ~auto_bilevel, ("pressure_min", "pressure_max")),
@@ -228,6 +232,7 @@ def normalize_machine(df: DataFrame) -> DataFrame:
             | is_auto("mode") | (range_set & ~(bilevel & ~auto_bilevel)),
         }
     )
+    first = computed_once(first)
     text = F.coalesce("pressure", F.lit(""))
     bilevel_text = text.rlike(r"(?i)\b(?:epap|ipap)\b")
 
@@ -272,9 +277,9 @@ def sanitize_machine(df: DataFrame, canonical: str = "canonical_mode") -> DataFr
 
 def resolve_machine(df: DataFrame) -> DataFrame:
     """Canonical mode, cleaned settings and an error text where no mode is found or the evidence contradicts it."""
-    resolved = normalize_machine(df).withColumn("canonical_mode", classify_mode("mode"))
-    labelled = resolved.withColumn("mode", F.when(explicit_mode("mode").isNull(), F.col("canonical_mode")).otherwise(F.col("mode")))
-    clean = sanitize_machine(labelled)
+    resolved = computed_once(normalize_machine(df)).withColumn("canonical_mode", classify_mode("mode"))
+    labelled = computed_once(resolved).withColumn("mode", F.when(explicit_mode("mode").isNull(), F.col("canonical_mode")).otherwise(F.col("mode")))
+    clean = computed_once(sanitize_machine(labelled))
     evidence = evidence_mode()
     return clean.withColumn(
         "mode_error",

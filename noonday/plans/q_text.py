@@ -20,6 +20,7 @@ def orders(spark, sf):
 
 
 def s(c):
+    """Number as text."""
     return c.cast("string")
 
 
@@ -109,7 +110,7 @@ def table_text():
         )
 
     tab_marker = "\u0001"
-    head = F.lit("AHI\u0001Therapy Day\u0001Usage Hours\u0001Leak\u0001Max Leak\u0001Mode\u0001Min-Pressure")
+    head = F.lit("AHI\u0001Clinical Day\u0001Usage Hours\u0001Leak\u0001Max Leak\u0001Mode\u0001Min-Pressure")
     bad = F.concat_ws(tab_marker, F.lit("1"), F.lit("n/a"), F.lit("2"), F.lit("3"), F.lit("4"), F.lit("CPAP"), F.lit("5"))
     return F.replace(F.concat_ws("\n", head, row(0), bad, F.lit(""), row(1)), F.lit(tab_marker), tab)
 
@@ -351,11 +352,11 @@ def safe_number(spark, sf):
 @query(
     "norm_pressure",
     "SELECT l_orderkey, l_linenumber AS line, round(CASE WHEN p < 0 THEN NULL WHEN p <= 80 THEN p WHEN p <= 8000 THEN p / 100 END, 6) AS pressure "
-    "FROM (SELECT *, (l_extendedprice - 5000) / 8 AS p FROM lineitem)",
+    "FROM (SELECT *, (l_extendedprice - 5000) / 10 AS p FROM lineitem)",
     whole="line",
 )
 def norm_pressure(spark, sf):
-    p = (F.col("l_extendedprice") - 5000) / 8
+    p = (F.col("l_extendedprice") - 5000) / 10
     return a.read(spark, sf, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").alias("line"), numbers.norm_pressure(p).alias("pressure")
     )

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from noonday.functions.dates import parse_datetime, parse_utc_offset
 from noonday.functions.modes import mode_from_profile
 from noonday.functions.numbers import norm_pressure, safe_number, trimmed
+from noonday.functions.plan import computed_once
 from noonday.functions.settings import is_setting_header, joined_range, ramp_rule
 from noonday.operators.cleaning import FIELD_RANGES, ranged
 from noonday.operators.rollup import none_if_zero
@@ -107,13 +108,22 @@ def key_values(files: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
 
 
 def value_maps(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key-value rows of a file as maps: by exact key, by lower-case key, by squeezed key, and in file order."""
+    """Key-value rows of a file as maps: by exact key, by lower-case key, by squeezed key, and in file order.
+
+    A value carries its number, so that no number is parsed again for every alias that might name it.
+    """
     shapes = {"exact": lambda k: k, "lower": F.lower, "compact": lambda k: F.regexp_replace(F.lower(k), r"[\s_-]+", "")}
-    listed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "key", "value"))).alias("entries"))
+    numbered = pairs.withColumn("number", safe_number("value"))
+    listed = numbered.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("place", "key", "value", "number"))).alias("entries")
+    )
 
     def by_key(shape) -> Column:
         return F.array_sort(
-            F.transform("entries", lambda e: F.struct(shape(e["key"]).alias("k"), e["place"].alias("i"), e["value"].alias("v")))
+            F.transform(
+                "entries",
+                lambda e: F.struct(shape(e["key"]).alias("k"), e["place"].alias("i"), F.struct(e["value"], e["number"]).alias("v")),
+            )
         )
 
     def as_map(column: str) -> Column:
@@ -125,22 +135,20 @@ def value_maps(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sorted_.withColumns({name: as_map(f"__{name}") for name in shapes}).drop(*[f"__{name}" for name in shapes])
 
 
-def read_key(alias: str) -> Column:
-    return F.coalesce(F.try_element_at("exact", F.lit(alias)), F.try_element_at("lower", F.lit(alias.lower())))
-
-
-def first_number_of(aliases: Sequence[str]) -> Column:
-    return F.coalesce(*[safe_number(read_key(a)) for a in aliases])
+def read_number(alias: str) -> Column:
+    """Number under a key, by its exact spelling first and without case second."""
+    hit = F.coalesce(F.try_element_at("exact", F.lit(alias)), F.try_element_at("lower", F.lit(alias.lower())))
+    return hit["number"]
 
 
 def first_match(pattern: str, value, avoid: str | None = None) -> Column:
-    """First usable value, in file order, among the keys that match a pattern."""
+    """First usable number, in file order, among the keys that match a pattern."""
 
     def fits(e: Column) -> Column:
         hit = F.lower(e["key"]).rlike(pattern)
         return hit if avoid is None else hit & ~F.lower(e["key"]).rlike(avoid)
 
-    values = F.transform(F.filter("entries", fits), lambda e: value(e["value"]))
+    values = F.transform(F.filter("entries", fits), lambda e: value(e["number"]))
     return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(1))
 
 
@@ -166,7 +174,7 @@ PRESSURE_PATTERNS = {
 def _usage_hours() -> Column:
     tries = []
     for key in USAGE_KEYS:
-        n = safe_number(read_key(key))
+        n = read_number(key)
         tries.append(n / 3600 if "sec" in key.lower() else n / 60 if "min" in key.lower() else n)
     return F.coalesce(*tries)
 
@@ -175,7 +183,7 @@ def _rate(aliases: Sequence[str], hours: Column) -> Column:
     """First number among the aliases; a counter becomes a rate when the hours are known."""
     tries = []
     for key in aliases:
-        n = safe_number(read_key(key))
+        n = read_number(key)
         tries.append(F.when(hours > 0, n / hours).otherwise(n) if key.lower().startswith("cnt") else n)
     return F.coalesce(*tries)
 
@@ -183,20 +191,20 @@ def _rate(aliases: Sequence[str], hours: Column) -> Column:
 def daily_records(maps: DataFrame) -> DataFrame:
     """Daily metrics of each file out of its key-value maps; out-of-range values become NULL."""
     hours = F.col("usage_hours")
-    oa, ca, h, ai = (safe_number(read_key(k)) for k in ("cntOAI", "cntCAI", "cntHI", "cntAI"))
+    oa, ca, h, ai = (read_number(k) for k in ("cntOAI", "cntCAI", "cntHI", "cntAI"))
     some = oa.isNotNull() | ca.isNotNull() | h.isNotNull()
     zero = F.lit(0.0)
     events = F.when(ai.isNotNull() & h.isNotNull(), ai + h).when(
         some, F.coalesce(oa, zero) + F.coalesce(ca, zero) + F.coalesce(h, zero)
     )
-    named_ahi = F.coalesce(*[safe_number(read_key(k)) for k in AHI_KEYS])
-    leak = first_match("leak", safe_number, avoid="max")
+    named_ahi = F.coalesce(*[read_number(k) for k in AHI_KEYS])
+    leak = first_match("leak", lambda v: v, avoid="max")
     leak_max = F.try_element_at(
         F.reverse(
             F.filter(
                 F.transform(
                     F.filter("entries", lambda e: F.lower(e["key"]).rlike("leak") & F.lower(e["key"]).rlike("max")),
-                    lambda e: safe_number(e["value"]),
+                    lambda e: e["number"],
                 ),
                 lambda v: v.isNotNull(),
             )
@@ -211,19 +219,23 @@ def daily_records(maps: DataFrame) -> DataFrame:
             "rera_index": _rate(RERA_KEYS, hours),
             "leak": leak,
             "leak_max": leak_max,
-            **{k: first_match(p, lambda v: norm_pressure(safe_number(v))) for k, p in PRESSURE_PATTERNS.items()},
+            **{k: first_match(p, norm_pressure) for k, p in PRESSURE_PATTERNS.items()},
         }
     )
     fields = ["usage_hours", "ahi", "residual_apneas", "central_apneas", "rera_index", "leak", "leak_max", *PRESSURE_PATTERNS]
-    return keep_signal(out.withColumns({f: ranged(f, FIELD_RANGES[f]) for f in fields}), fields)
+    return keep_signal(out, fields)
+
+
+def _leak_or_null(value: Column) -> Column:
+    return ranged(value, (0, True, 500, True))
 
 
 def counter_records(maps: DataFrame) -> DataFrame:
     """Daily metrics of counter files: seconds used and event counters; nothing is made up from missing parts."""
-    seconds = first_number_of(["secUsed"])
-    start = first_number_of(["secStart"])
+    seconds = read_number("secUsed")
+    start = read_number("secStart")
     hours = F.when(seconds.between(0, 24 * 3600), seconds / 3600)
-    count = {k: first_number_of([k]) for k in ("cntAHI", "cntOAI", "cntCAI", "cntAI", "cntHI", "cntRERA")}
+    count = {k: read_number(k) for k in ("cntAHI", "cntOAI", "cntCAI", "cntAI", "cntHI", "cntRERA")}
     events = F.coalesce(
         count["cntAI"] + count["cntHI"], count["cntAHI"], count["cntOAI"] + count["cntCAI"] + count["cntHI"]
     )
@@ -231,10 +243,10 @@ def counter_records(maps: DataFrame) -> DataFrame:
     def per_hour(n: Column) -> Column:
         return F.when(F.col("usage_hours") > 0, n / F.col("usage_hours"))
 
-    leak_ok = F.coalesce(*[F.when(n.between(0, 500), n) for n in (first_number_of([k]) for k in LEAK_KEYS)])
-    any_leak = first_match("leak", lambda v: ranged(safe_number(v), (0, True, 500, True)), avoid="95|max")
-    leak_95 = first_match("leak.*95|95.*leak", lambda v: ranged(safe_number(v), (0, True, 500, True)))
-    leak_max = first_match("leak.*max|max.*leak", lambda v: ranged(safe_number(v), (0, True, 500, True)))
+    leak_ok = F.coalesce(*[F.when(n.between(0, 500), n) for n in (read_number(k) for k in LEAK_KEYS)])
+    any_leak = first_match("leak", _leak_or_null, avoid="95|max")
+    leak_95 = first_match("leak.*95|95.*leak", _leak_or_null)
+    leak_max = first_match("leak.*max|max.*leak", _leak_or_null)
     out = maps.withColumn("usage_hours", hours).withColumns(
         {
             "session_start": F.when(start > 0, F.timestamp_seconds(F.floor(start))),
@@ -249,11 +261,17 @@ def counter_records(maps: DataFrame) -> DataFrame:
         }
     )
     fields = ["usage_hours", "ahi", "residual_apneas", "central_apneas", "rera_index", "leak", "leak_95", "leak_max"]
-    return keep_signal(out.withColumns({f: ranged(f, FIELD_RANGES[f]) for f in fields}), fields)
+    return keep_signal(out, fields, ["session_start", "session_end"])
 
 
-def keep_signal(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    return df.where(F.coalesce(*[F.col(f) for f in fields]).isNotNull())
+def keep_signal(df: DataFrame, fields: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """File keys and metrics, out-of-range ones as NULL; rows without any metric drop out."""
+    maps = ("entries", "exact", "lower", "compact")
+    keys = [c for c in df.columns if c not in (*maps, *fields, *more)]
+    once = computed_once(df.select(*keys, *more, *fields))
+    return once.withColumns({f: ranged(f, FIELD_RANGES[f]) for f in fields}).where(
+        F.coalesce(*[F.col(f) for f in fields]).isNotNull()
+    )
 
 
 def utc_offset_of(entries: str = "entries") -> Column:
@@ -309,9 +327,9 @@ def table_records(files: DataFrame, keys: Sequence[str], text: str = "text") ->
 
         return F.array_position(F.transform("header", fits), F.lit(True)).cast("int")
 
-    placed = with_header.withColumns({f"__{role}": place(*rule) for role, rule in TABLE_ROLES.items()}).where(
-        F.col("__date") > 0
-    )
+    placed = computed_once(
+        with_header.withColumns({f"__{role}": place(*rule) for role, rule in TABLE_ROLES.items()})
+    ).where(F.col("__date") > 0)
     body = placed.withColumn("line", F.explode(F.slice("lines", 2, F.size("lines")))).withColumn(
         "cells", F.split("line", F.col("delimiter"))
     )
@@ -330,12 +348,12 @@ def table_records(files: DataFrame, keys: Sequence[str], text: str = "text") ->
         zipped, lambda e: e["k"].isNotNull() & (e["k"] != "") & (F.coalesce(e["v"], F.lit("")) != "") & is_setting_header(e["k"])
     )
     return (
-        body.withColumn("date", parse_datetime(F.coalesce(cell("date"), F.lit(""))))
-        .where("date IS NOT NULL")
-        .select(
-            *keys, "date", *[v.alias(k) for k, v in numbers.items()],
-            F.transform(wanted, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))).alias("settings"),
-        )
+        computed_once(
+            body.select(
+                *keys, parse_datetime(F.coalesce(cell("date"), F.lit(""))).alias("date"), *[v.alias(k) for k, v in numbers.items()],
+                F.transform(wanted, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))).alias("settings"),
+            )
+        ).where("date IS NOT NULL")
     )
 
 
@@ -367,8 +385,7 @@ def line_records(files: DataFrame, keys: Sequence[str], text: str = "text") -> D
         return norm_pressure(n) if name in PRESSURE_PATTERNS else n
 
     return (
-        lines.where("line <> ''")
-        .withColumn("date", parse_datetime("line"))
+        computed_once(lines.where("line <> ''").withColumn("date", parse_datetime("line")))
         .where("date IS NOT NULL")
         .select(*keys, "date", *[metric(m).alias(m) for m in LINE_METRICS])
     )
@@ -489,6 +506,10 @@ def attribute(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf'(?i){name}="([^"]*)"', 1)
 
 
+def _times(codes: str, code: int) -> Column:
+    return F.size(F.filter(codes, lambda c: c == code)).cast("bigint")
+
+
 def xml_event_counts(files: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Event tags counted by code."""
     tags = F.regexp_extract_all(_c(text), F.lit(r"(?i)<RespEvent\b[^>]*/?>"), 0)
@@ -496,7 +517,7 @@ def xml_event_counts(files: DataFrame, keys: Sequence[str], text: str = "text")
     counted = files.select(*keys, codes.alias("codes"))
     return counted.select(
         *keys,
-        *[F.size(F.filter("codes", lambda c, k=code: c == k)).cast("bigint").alias(name) for code, name in XML_EVENT_CODES.items()],
+        *[_times("codes", code).alias(name) for code, name in XML_EVENT_CODES.items()],
     )
 
 
