@@ -44,3 +44,250 @@ def report_flagship(spark, sf):
             "avg_residual", "leak_mean", "leak_95", "max_leak", "max_leak_30m",
         )
     )
+
+
+METRICS = """
+m AS (
+  SELECT v.card_id, v.range_days, any_value(days_in_window) AS days_in_window, min(effective_start) AS effective_start,
+    any_value(window_end) AS window_end, count(usage_day) AS days_with_usage,
+    least(count(*), any_value(days_in_window)) AS days_with_data, avg(usage_day) AS avg_usage_hours,
+    coalesce(sum(usage_day), 0) AS daily_hours, count(*) FILTER (usage_day >= 4) AS usage_compliant_days,
+    avg(ahi_day) AS ahi_mean, quantile_cont(ahi_day, 0.95) AS ahi_95,
+    coalesce(sum(ahi_weighted_sum) / nullif(sum(ahi_weight_hours), 0), avg(CASE WHEN coalesce(ahi_weight_hours, 0) <= 0 THEN ahi_day END)) AS ahi_weighted,
+    avg(residual_day) AS residual_mean, quantile_cont(residual_day, 0.95) AS residual_95,
+    coalesce(sum(CASE WHEN usage_day > 0 THEN residual_day * usage_day END) / nullif(sum(CASE WHEN usage_day > 0 AND residual_day IS NOT NULL THEN usage_day END), 0), avg(residual_day)) AS residual_weighted,
+    avg(central_day) AS central_mean, quantile_cont(central_day, 0.95) AS central_95, avg(rera_day) AS rera_mean,
+    avg(leak_day) AS leak_mean, coalesce(avg(leak_95_day), quantile_cont(leak_day, 0.95)) AS leak_95,
+    CASE WHEN count(leak_95_day) > 0 THEN 'mean-daily-95' WHEN count(leak_day) > 0 THEN '95-daily-summary' END AS leak_95_method,
+    max(leak_max) AS max_leak, max(leak_max_30m) AS max_leak_30m, max(leak_max_60m) AS max_leak_60m,
+    avg(pressure_avg_day) AS pressure_mean, avg(ipap_avg_day) AS ipap_mean, avg(epap_avg_day) AS epap_mean,
+    coalesce(quantile_cont(pressure_95_day, 0.95), quantile_cont(pressure_avg_day, 0.95)) AS pressure_95,
+    coalesce(quantile_cont(ipap_95_day, 0.95), quantile_cont(ipap_avg_day, 0.95)) AS ipap_95,
+    coalesce(quantile_cont(epap_95_day, 0.95), quantile_cont(epap_avg_day, 0.95)) AS epap_95,
+    coalesce(avg(pressure_95_day), quantile_cont(pressure_avg_day, 0.95)) AS pressure_95_weighted,
+    CASE WHEN count(epap_95_day) > 0 THEN '95-daily-95' WHEN count(epap_avg_day) > 0 THEN '95-daily-summary' END AS epap_95_method,
+    avg(vt_day) AS vt_mean, min(vt_min) AS vt_min, max(vt_max) AS vt_max, avg(rr_day) AS rr_mean, min(rr_min) AS rr_min
+  FROM vals v JOIN sized USING (card_id, range_days) GROUP BY v.card_id, v.range_days)"""
+RANGES = (30, 14, 9, 7)
+M_VIEWS = (*RECORD_DAYS, windowed(RANGES), METRICS)
+
+
+def metrics_of(spark, sf, policy=None):
+    days = report_days(spark, sf)
+    return report.report_metrics(days, periods.fan_out(days, RANGES), policy)
+
+
+@query(
+    "usage_metrics",
+    with_views(*M_VIEWS, body="""
+SELECT card_id, range_days, days_in_window, days_with_data, days_with_usage, round(avg_usage_hours, 6) AS avg_usage_hours,
+  round(daily_hours, 6) AS daily_hours, usage_compliant_days, round(100.0::DOUBLE * days_with_usage / days_in_window, 6) AS usage_days_percent,
+  effective_start AS shown_start, window_end - 1 AS shown_end FROM m"""),
+    whole="range_days days_in_window days_with_data", days="shown_start shown_end",
+)
+def usage_metrics(spark, sf):
+    return metrics_of(spark, sf).select(
+        "card_id", "range_days", "days_in_window", "days_with_data", "days_with_usage", "avg_usage_hours", "daily_hours",
+        "usage_compliant_days", "usage_days_percent", "shown_start", "shown_end",
+    )
+
+
+@query(
+    "rate_means",
+    with_views(*M_VIEWS, body="""
+SELECT card_id, range_days, round(ahi_mean, 6) AS avg_ahi, round(residual_mean, 6) AS avg_residual, round(central_mean, 6) AS avg_central,
+  round(rera_mean, 6) AS avg_rera, round(ahi_95, 6) AS ahi_95, round(residual_95, 6) AS residual_95, round(central_95, 6) AS central_95 FROM m"""),
+    whole="range_days",
+)
+def rate_means(spark, sf):
+    return metrics_of(spark, sf).select(
+        "card_id", "range_days", "avg_ahi", "avg_residual", "avg_central", "avg_rera", "ahi_95", "residual_95", "central_95"
+    )
+
+
+@query(
+    "rate_usage_weighted",
+    with_views(*M_VIEWS, body="""
+SELECT card_id, range_days, round(ahi_weighted, 6) AS avg_ahi, round(residual_weighted, 6) AS avg_residual,
+  round(pressure_95_weighted, 6) AS pressure_95 FROM m"""),
+    whole="range_days",
+)
+def rate_usage_weighted(spark, sf):
+    policy = report.usage_weighted_policy(F.lit(" Resvent / Hoffrichter "))
+    return metrics_of(spark, sf, policy).select("card_id", "range_days", "avg_ahi", "avg_residual", "pressure_95")
+
+
+@query(
+    "leak_metrics",
+    with_views(*M_VIEWS, body="""
+, near AS (
+  SELECT v.card_id, v.range_days, max(v.max_leak_minutes) AS minutes FROM vals v JOIN m USING (card_id, range_days)
+  WHERE abs(v.leak_max - m.max_leak) < 0.001 GROUP BY v.card_id, v.range_days),
+pairs AS (
+  SELECT card_id, range_days, leak_max AS leak, max_leak_minutes AS minutes FROM vals WHERE max_leak_minutes >= 1
+  UNION ALL SELECT card_id, range_days, sustained_leak_max, sustained_leak_minutes FROM vals WHERE sustained_leak_minutes >= 1),
+one AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY card_id, range_days ORDER BY leak DESC, minutes DESC) = 1),
+longest AS (SELECT * FROM vals WHERE sustained_leak_minutes IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY card_id, range_days ORDER BY sustained_leak_minutes DESC, sustained_leak_max DESC) = 1)
+SELECT m.card_id, m.range_days, round(leak_mean, 6) AS leak_mean, round(leak_95, 6) AS leak_95, m.leak_95_method, round(max_leak, 6) AS max_leak,
+  round(m.max_leak_30m, 6) AS max_leak_30m, round(m.max_leak_60m, 6) AS max_leak_60m, round(near.minutes, 6) AS max_leak_minutes,
+  round(one.leak, 6) AS max_leak_one_minute, round(one.minutes, 6) AS max_leak_one_minute_minutes,
+  round(l.sustained_leak_max, 6) AS sustained_leak_max, round(l.sustained_leak_minutes, 6) AS sustained_leak_minutes
+FROM m LEFT JOIN near USING (card_id, range_days) LEFT JOIN one USING (card_id, range_days) LEFT JOIN longest l USING (card_id, range_days)"""),
+    whole="range_days",
+)
+def leak_metrics(spark, sf):
+    return metrics_of(spark, sf).select(
+        "card_id", "range_days", "leak_mean", "leak_95", "leak_95_method", "max_leak", "max_leak_30m", "max_leak_60m",
+        "max_leak_minutes", "max_leak_one_minute", "max_leak_one_minute_minutes", "sustained_leak_max", "sustained_leak_minutes",
+    )
+
+
+@query(
+    "pressure_metrics",
+    with_views(*M_VIEWS, body="""
+SELECT card_id, range_days, round(pressure_mean, 6) AS pressure_mean, round(ipap_mean, 6) AS ipap_mean, round(epap_mean, 6) AS epap_mean,
+  round(pressure_95, 6) AS pressure_95, round(ipap_95, 6) AS ipap_95, round(epap_95, 6) AS epap_95, epap_95_method,
+  round(vt_mean, 6) AS vt_mean, vt_min, vt_max, round(rr_mean, 6) AS rr_mean, rr_min FROM m"""),
+    whole="range_days",
+)
+def pressure_metrics(spark, sf):
+    return metrics_of(spark, sf).select(
+        "card_id", "range_days", "pressure_mean", "ipap_mean", "epap_mean", "pressure_95", "ipap_95", "epap_95", "epap_95_method",
+        "vt_mean", "vt_min", "vt_max", "rr_mean", "rr_min",
+    )
+
+
+@query(
+    "ventilation_metrics",
+    with_views(*M_VIEWS, body="""
+, b AS (
+  SELECT r.card_id, v.range_days, round(r.vt_avg, 3) AS bin, count(*) AS n, sum(r.vt_samples) AS seconds
+  FROM ranged r JOIN vals v ON v.card_id = r.card_id AND v.clinical_day = r.clinical_day JOIN sized s ON s.card_id = v.card_id AND s.range_days = v.range_days
+  WHERE r.vt_avg IS NOT NULL GROUP BY ALL),
+q AS (SELECT r.card_id, v.range_days, quantile_cont(round(r.rr_avg, 3), 0.95) AS rr_95
+  FROM ranged r JOIN vals v ON v.card_id = r.card_id AND v.clinical_day = r.clinical_day JOIN sized s ON s.card_id = v.card_id AND s.range_days = v.range_days
+  WHERE r.rr_avg IS NOT NULL GROUP BY r.card_id, v.range_days),
+x AS (SELECT card_id, range_days, quantile_cont(bin, 0.5) AS vt_median FROM (SELECT card_id, range_days, bin, unnest(range(n)) FROM b) GROUP BY card_id, range_days),
+z AS (SELECT b.card_id, b.range_days, sum(seconds) FILTER (bin = round(m.vt_min, 3)) AS lo, sum(seconds) FILTER (bin = round(m.vt_max, 3)) AS hi
+  FROM b JOIN m USING (card_id, range_days) GROUP BY b.card_id, b.range_days)
+SELECT card_id, range_days, round(vt_median, 6) AS vt_median, round(CASE WHEN lo > 0 THEN lo / 60 END, 6) AS vt_min_minutes,
+  round(CASE WHEN hi > 0 THEN hi / 60 END, 6) AS vt_max_minutes, round(rr_95, 6) AS rr_95
+FROM x FULL JOIN z USING (card_id, range_days) FULL JOIN q USING (card_id, range_days)"""),
+    whole="range_days",
+)
+def ventilation_metrics(spark, sf):
+    from noonday.functions.dates import clinical_day
+    from noonday.operators.cleaning import RESPIRATORY_RATE, TIDAL_VOLUME, ranged
+
+    days = report_days(spark, sf)
+    windows = periods.fan_out(days, RANGES)
+    metrics = report.report_metrics(days, windows)
+    chosen = report.selected_days(days, windows).join(metrics.select("card_id", "range_days", "kind"), ["card_id", "range_days", "kind"])
+    records = a.records(spark, sf).withColumn("clinical_day", clinical_day("date"))
+    vt, rr = ranged("vt_avg", TIDAL_VOLUME), ranged("rr_avg", RESPIRATORY_RATE)
+
+    def bins(channel, value, seconds):
+        own = records.withColumn("value", value).where("value IS NOT NULL").withColumn("channel", F.lit(channel))
+        return rollup.histogram(own, ["card_id", "clinical_day", "channel"], "value", seconds)
+
+    both = bins("vt", vt, "vt_samples").unionByName(bins("rr", rr, "rr_samples"))
+    out = report.histogram_metrics(both, chosen, metrics)
+    return out.select("card_id", "range_days", "vt_median", "vt_min_minutes", "vt_max_minutes", "rr_95")
+
+
+def timed_metrics(spark, sf):
+    """Metrics with the timing of the card's sessions (every usage hour of a record is a session of that length)."""
+    from noonday.functions.dates import shift_seconds
+    from noonday.operators.cleaning import valid_sessions
+
+    records = a.records(spark, sf)
+    sessions = valid_sessions(
+        records.select(
+            "card_id", F.date_trunc("second", "date").alias("start_ts"),
+            shift_seconds(F.date_trunc("second", "date"), F.floor(F.col("usage_hours") * 3600)).alias("end_ts"),
+        )
+    )
+    return report.timing_metrics(metrics_of(spark, sf), sessions)
+
+
+@query("timing_metrics")
+def timing_metrics(spark, sf):
+    """Principal, nap and unclassified hours with the timing gate (its session walk is not expressible in SQL)."""
+    return timed_metrics(spark, sf).select(
+        "card_id", "range_days", "timed", "raw_coverage", "total_hours", "principal_hours", "nap_hours", "unclassified_hours",
+        "compliant_days", "compliance_percent", "avg_principal_hours", "avg_nap_hours",
+    )
+
+
+@query("report_warnings")
+def report_warnings(spark, sf):
+    out = report.final_projection(timed_metrics(spark, sf), F.when(F.col("card_id") % 3 > 0, F.concat(F.lit("Box "), F.col("card_id"), F.lit(" (SD card)"))))
+    return out.select(
+        "card_id", "range_days", "device", "date_range_start", "date_range_end", F.array_join("warnings", " | ").alias("warnings")
+    )
+
+
+@query("report_rows")
+def rows_of_report(spark, sf):
+    from noonday.plans.rows import report_rows
+
+    metrics = timed_metrics(spark, sf).withColumns(
+        {"anchor_minutes": F.lit(480.0), "window_end_minutes": F.lit(900.0)}
+    )
+    return report_rows(metrics)
+
+
+@query(
+    "report_event_rows",
+    with_views(*M_VIEWS, body="""
+SELECT card_id, range_days, 'Avg daily AHI' AS label, printf('%.1f', round(ahi_mean, 1)) AS value, ahi_mean > 5 AS emphasize FROM m WHERE ahi_mean IS NOT NULL
+UNION ALL SELECT card_id, range_days, '95th daily AHI', printf('%.1f', round(ahi_95, 1)), ahi_95 > 5 FROM m WHERE ahi_95 IS NOT NULL
+UNION ALL SELECT card_id, range_days, 'Max Leak', printf('%.1f', round(max_leak, 1)) || ' L/min', max_leak > 30 FROM m WHERE max_leak IS NOT NULL"""),
+    whole="range_days",
+)
+def report_event_rows(spark, sf):
+    from noonday.plans.rows import report_rows
+
+    nothing = {c: F.lit(None).cast("double") for c in ("principal_hours", "nap_hours", "unclassified_hours", "anchor_minutes", "window_end_minutes")}
+    metrics = metrics_of(spark, sf).withColumns(
+        {
+            **nothing, "max_leak_minutes": F.lit(0.0), "timed": F.lit(False), "confidence": F.lit("low"), "total_hours": F.col("daily_hours"),
+            "compliant_days": F.col("usage_compliant_days"),
+            "compliance_percent": F.col("usage_compliant_days") / F.col("days_in_window") * 100,
+        }
+    )
+    rows = report_rows(metrics).where(F.col("label").isin("Avg daily AHI", "95th daily AHI", "Max Leak"))
+    return rows.select("card_id", "range_days", "label", "value", "emphasize")
+
+
+@query(
+    "threshold_flags",
+    with_views(*M_VIEWS, body="""
+SELECT card_id, range_days, coalesce(ahi_mean > 5, false) AS ahi_high, 100.0 * usage_compliant_days / days_in_window < 70 AS compliance_low,
+  coalesce(avg_usage_hours < 4, false) AS use_low, coalesce(max_leak > 30, false) AS leak_high, coalesce(round(rr_min, 1) < 10, false) AS rate_low,
+  coalesce(round(pressure_mean, 1) < round(14 * 0.9, 1), false) AS pressure_low, coalesce(round(vt_mean * 1000, 1) < 3000, false) AS volume_low FROM m"""),
+    whole="range_days",
+)
+def threshold_flags(spark, sf):
+    from noonday.plans import rows
+
+    metrics = metrics_of(spark, sf).withColumn(
+        "compliance_percent", F.col("usage_compliant_days") / F.col("days_in_window") * 100
+    )
+    return metrics.select(
+        "card_id", "range_days", *[c.alias(n) for n, c in rows.flags().items()],
+        rows.pressure_is_low(F.col("pressure_mean"), F.lit(14.0)).alias("pressure_low"),
+        rows.volume_is_low(F.col("vt_mean"), F.lit(3.0)).alias("volume_low"),
+    )
+
+
+@query(
+    "share_text",
+    "SELECT event_id, printf('%.1f', round(value / 20, 1)) || ' h' || CASE WHEN event_id % 5 > 0 THEN ' (' || printf('%.1f', round(value / 20 / (event_id % 5 * 8) * 100, 1)) || '%)' ELSE '' END AS text FROM events",
+)
+def share_text(spark, sf):
+    from noonday.plans.rows import share_text as text
+
+    value = F.col("value") / 20
+    return a.read(spark, sf, "events").select("event_id", text(value, (F.col("event_id") % 5 * 8).cast("double")).alias("text"))
