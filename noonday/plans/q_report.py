@@ -199,7 +199,8 @@ def ventilation_metrics(spark, sf):
 def timed_metrics(spark, sf):
     """Metrics with the timing of the card's sessions (every usage hour of a record is a session of that length)."""
     from noonday.functions.dates import shift_seconds
-    from noonday.operators.cleaning import valid_sessions
+    from noonday.operators.cleaning import fuzzy_distinct_sessions, valid_sessions
+    from noonday.sources.sinks import keep
 
     records = a.records(spark, sf)
     sessions = valid_sessions(
@@ -208,7 +209,8 @@ def timed_metrics(spark, sf):
             shift_seconds(F.date_trunc("second", "date"), F.floor(F.col("usage_hours") * 3600)).alias("end_ts"),
         )
     )
-    return report.timing_metrics(metrics_of(spark, sf), sessions)
+    clean = keep(fuzzy_distinct_sessions(sessions), "sessions")
+    return report.timing_metrics(keep(metrics_of(spark, sf), "metrics"), clean)
 
 
 @query("timing_metrics")
@@ -284,10 +286,10 @@ def threshold_flags(spark, sf):
 
 @query(
     "share_text",
-    "SELECT event_id, printf('%.1f', round(value / 20, 1)) || ' h' || CASE WHEN event_id % 5 > 0 THEN ' (' || printf('%.1f', round(value / 20 / (event_id % 5 * 8) * 100, 1)) || '%)' ELSE '' END AS text FROM events",
+    "SELECT event_id, printf('%.1f', round(value * 1.0007 / 20, 1)) || ' h' || CASE WHEN event_id % 5 > 0 THEN ' (' || printf('%.1f', round(value * 1.0007 / 20 / (event_id % 5 * 8) * 100, 1)) || '%)' ELSE '' END AS text FROM events",
 )
 def share_text(spark, sf):
     from noonday.plans.rows import share_text as text
 
-    value = F.col("value") / 20
+    value = F.col("value") * 1.0007 / 20
     return a.read(spark, sf, "events").select("event_id", text(value, (F.col("event_id") % 5 * 8).cast("double")).alias("text"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from noonday.functions.dates import human_date
 from noonday.operators import sleep
-from noonday.operators.cleaning import fuzzy_distinct_sessions
 from noonday.operators.periods import WINDOW, effective_days, enough_days, guard_settings, window_days
 from noonday.operators.rollup import SAME_LEAK, ahi_of_day, histogram_percentile, merge_histograms, minutes_at
 
@@ -214,10 +213,10 @@ def histogram_metrics(bins: DataFrame, chosen_days: DataFrame, extremes: DataFra
 def timing_metrics(metrics: DataFrame, sessions: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Principal and nap hours, the timing gate and the compliance that follows from it.
 
-    ``sessions``: card_id, start_ts, end_ts.  Timing counts only if session hours cover 70 to 105 percent of the
-    reported hours.
+    ``sessions``: card_id, start_ts, end_ts, without near duplicates (kept as a table, as profile, drift and days all
+    read them).  Timing counts only if session hours cover 70 to 105 percent of the reported hours.
     """
-    clean = fuzzy_distinct_sessions(sessions)
+    clean = sessions
     own = profiles if profiles is not None else sleep.sleep_profiles(clean)
     keys = list(WINDOW)
     windows = metrics.select(*keys, "effective_start", "window_end")

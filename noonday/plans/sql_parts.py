@@ -42,7 +42,7 @@ ranged AS (
     {", ".join(f"{ranged(f)} AS {f}" for f in FIELD_KIND)},
     CASE WHEN vt_samples > 0 THEN vt_samples ELSE 1 END AS vt_w,
     CASE WHEN rr_samples > 0 THEN rr_samples ELSE 1 END AS rr_w,
-    settings_signature AS signature, settings_label AS label
+    vt_samples, settings_signature AS signature, settings_label AS label
   FROM records),
 day_sums AS (
   SELECT card_id, clinical_day,

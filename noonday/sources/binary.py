@@ -48,6 +48,7 @@ EDF_SIGNAL_FIELDS = (
 )
 EDF_HEADER = 256
 SAMPLES_PER_ROW = 65_536
+SAMPLES_PER_BATCH = 1_048_576
 EDF_COLUMNS = (
     "channel string, unit string, start_date string, start_time string, record_seconds double, "
     "samples_per_record int, first_seq bigint, data array<double>"
@@ -120,9 +121,16 @@ def read_edf(files: DataFrame, keys: Sequence[str], content: str = "content") ->
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, samples = [], 0
             for record in batch.to_dict("records"):
                 for signal in edf_signals(bytes(record[content] or b"")):
-                    yield pd.DataFrame([{**{k: record[k] for k in keys}, **dict(zip(names, signal))}])
+                    rows.append((*[record[k] for k in keys], *signal))
+                    samples += len(signal[-1])
+                    if samples >= SAMPLES_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=[*keys, *names])
+                        rows, samples = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=[*keys, *names])
 
     source = files.select(*keys, content)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keys)
@@ -191,17 +199,20 @@ def fixed_records(
 
 # --- zip containers --------------------------------------------------------------------------------------------
 
+BYTES_PER_BATCH = 16 * 1024 * 1024
 # Members that hold a session, by the six digits of their name.
 MEMBER = re.compile(r"^(event|signal)_(\d{6})\.(?:xml|wmedf)$", re.IGNORECASE)
 
 
 def zip_members(files: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
-    """Session members of zip containers: keys, session, kind, content.  One member is unpacked at a time."""
+    """Session members of zip containers: keys, session, kind, content.  Batches are cut at 16 MB."""
     source = files.select(*keys, content)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keys)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*keys, "place", "session", "kind", "member"]
         for batch in batches:
+            rows, held = [], 0
             for record in batch.to_dict("records"):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(bytes(record[content] or b"")))
@@ -210,9 +221,13 @@ def zip_members(files: DataFrame, keys: Sequence[str], content: str = "content")
                 for place, info in enumerate(archive.infolist()):
                     hit = MEMBER.match(info.filename.rsplit("/", 1)[-1])
                     if hit:
-                        row = {k: record[k] for k in keys}
-                        row.update(place=place, session=hit[2], kind=hit[1].lower(), member=archive.read(info))
-                        yield pd.DataFrame([row])
+                        rows.append((*[record[k] for k in keys], place, hit[2], hit[1].lower(), archive.read(info)))
+                        held += info.file_size
+                        if held >= BYTES_PER_BATCH:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return source.mapInPandas(unpack, f"{key_schema}, place int, session string, kind string, member binary")
 

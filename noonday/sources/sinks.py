@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noonday.session import checkpoint_dir
+
 BUCKETS = 64
 
 
@@ -24,6 +28,17 @@ def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("card_bucket")
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that several later steps read, and go on from the written table.
+
+    The folder is the shared one the cluster names for checkpoints, so a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_reports(reports: DataFrame, path: str, form: str = "parquet") -> None:
     """One folder per report range."""
     reports.write.mode("overwrite").partitionBy("range_days").format(form).save(path)
