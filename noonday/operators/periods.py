@@ -184,6 +184,34 @@ def window_days(days: DataFrame, windows: DataFrame, history: DataFrame | None =
     )
 
 
+def fanned_days(
+    days: DataFrame, ranges: Sequence[int] = REPORT_RANGES, history: DataFrame | None = None, kind: str = "current"
+) -> DataFrame:
+    """:func:`window_days` over :func:`fan_out`, from one reading of the day rows.
+
+    The card's first and latest day come from a window over its day rows, so the days are not read again to find them.
+    """
+    card = Window.partitionBy("card_id")
+    placed = days.withColumns(
+        {"__latest": F.max("clinical_day").over(card), "__first": F.min("clinical_day").over(card)}
+    )
+    if history is not None:
+        placed = placed.join(history.select("card_id", F.col("history_start").alias("__history")), "card_id", "left")
+    else:
+        placed = placed.withColumn("__history", F.lit(None).cast("date"))
+    fanned = placed.where(F.col("clinical_day") > F.date_sub("__latest", max(ranges))).withColumn(
+        "range_days", F.explode(F.array(*[F.lit(r) for r in ranges]))
+    )
+    end = F.date_add("__latest", 1)
+    bounded = fanned.withColumns(
+        {"kind": F.lit(kind), "window_start": F.date_sub(end, F.col("range_days")), "window_end": end}
+    )
+    start = clamp_start(F.col("window_start"), F.col("window_end"), F.col("__first"), F.col("__history"))
+    return bounded.withColumn("effective_start", start).drop("__latest", "__first", "__history").where(
+        F.col("clinical_day") >= F.col("effective_start")
+    )
+
+
 def guard_settings(in_window: DataFrame, keys: Sequence[str] = WINDOW) -> DataFrame:
     """Limit a window to its latest settings run, if the signature changes inside it.
 

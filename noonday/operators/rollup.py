@@ -73,10 +73,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def day_parts(records: DataFrame) -> DataFrame:
+def day_parts(records: DataFrame, *more: Column) -> DataFrame:
     """Mergeable day aggregates: sums, counts, maxima and pair maxima per card and clinical day.
 
-    One aggregation, so Spark combines rows before the shuffle and one row per day and task crosses it.
+    One aggregation, so Spark combines rows before the shuffle and one row per day and task crosses it.  ``more`` are
+    further aggregates to take along in the same pass.
     """
     aggs = [p for f in SUM_COUNT_FIELDS for p in _mean_parts(f)]
     aggs += ahi_parts()
@@ -92,7 +93,7 @@ def day_parts(records: DataFrame) -> DataFrame:
         longest_leak_pair("sustained_leak_max", "sustained_leak_minutes").alias("sustained"),
         F.count(F.lit(1)).alias("n_records"),
     ]
-    return records.groupBy("card_id", clinical_day("date").alias("clinical_day")).agg(*aggs)
+    return records.groupBy("card_id", clinical_day("date").alias("clinical_day")).agg(*aggs, *more)
 
 
 _SUMS = [f"{f}_{p}" for f in SUM_COUNT_FIELDS for p in ("sum", "n")] + [

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import clinical_day, shift_seconds
+from noonday.functions.plan import spread
 
 EPOCH_DAY = "2024-01-01"
 
@@ -252,7 +253,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("notes\\"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\\"), name, F.lit(".csv"))
         )
     )
-    return read(spark, sf_dir, "orders").select(
+    listing = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return spread(listing).select(
         k.alias("file_id"),
         F.floor(F.col("o_custkey") / 10).alias("card_id"),
         path.alias("path"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noonday.operators import periods, rollup
+from noonday.operators import rollup
 from noonday.plans import adapters as a
 from noonday.plans import report
 from noonday.plans.adapters import with_views
@@ -13,10 +13,10 @@ from noonday.plans.sql_parts import RECORD_DAYS, windowed
 
 
 def report_days(spark, sf):
-    """Day buckets with the settings of the day."""
+    """Day buckets with the settings of the day (one signature per day in these records)."""
     records = a.records(spark, sf)
-    days = rollup.finish_days(rollup.day_parts(records), records)
-    return days.join(a.day_settings(spark, sf), ["card_id", "clinical_day"])
+    settings = [F.min("settings_signature").alias("signature"), F.min("settings_label").alias("label")]
+    return rollup.finish_days(rollup.day_parts(records, *settings), records)
 
 
 @query(
@@ -36,7 +36,7 @@ FROM vals v JOIN sized USING (card_id, range_days) GROUP BY ALL"""),
 )
 def report_flagship(spark, sf):
     days = report_days(spark, sf)
-    metrics = report.report_metrics(days, periods.fan_out(days, (30, 7)))
+    metrics = report.report_metrics(days, (30, 7))
     return (
         metrics.select(
             "card_id", "range_days", "days_in_window", "days_with_data",
@@ -73,8 +73,7 @@ M_VIEWS = (*RECORD_DAYS, windowed(RANGES), METRICS)
 
 
 def metrics_of(spark, sf, policy=None):
-    days = report_days(spark, sf)
-    return report.report_metrics(days, periods.fan_out(days, RANGES), policy)
+    return report.report_metrics(report_days(spark, sf), RANGES, policy)
 
 
 @query(
@@ -181,9 +180,8 @@ def ventilation_metrics(spark, sf):
     from noonday.operators.cleaning import RESPIRATORY_RATE, TIDAL_VOLUME, ranged
 
     days = report_days(spark, sf)
-    windows = periods.fan_out(days, RANGES)
-    metrics = report.report_metrics(days, windows)
-    chosen = report.selected_days(days, windows).join(metrics.select("card_id", "range_days", "kind"), ["card_id", "range_days", "kind"])
+    metrics = report.report_metrics(days, RANGES)
+    chosen = report.selected_days(days, RANGES).join(metrics.select("card_id", "range_days", "kind"), ["card_id", "range_days", "kind"])
     records = a.records(spark, sf).withColumn("clinical_day", clinical_day("date"))
     vt, rr = ranged("vt_avg", TIDAL_VOLUME), ranged("rr_avg", RESPIRATORY_RATE)
 

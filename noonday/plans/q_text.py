@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noonday.functions import dates, modes, numbers, settings
+from noonday.functions.plan import spread
 from noonday.plans import adapters as a
 from noonday.plans.registry import query
 from noonday.sources import text as t
@@ -16,7 +17,7 @@ K = ["file_id"]
 
 
 def orders(spark, sf):
-    return a.read(spark, sf, "orders").withColumns({"file_id": F.col("o_orderkey"), "k": F.col("o_orderkey")})
+    return spread(a.read(spark, sf, "orders")).withColumns({"file_id": F.col("o_orderkey"), "k": F.col("o_orderkey")})
 
 
 def s(c):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import human_date
 from noonday.operators import sleep
-from noonday.operators.periods import WINDOW, effective_days, enough_days, guard_settings, window_days
+from noonday.operators.periods import (
+    REPORT_RANGES, WINDOW, effective_days, enough_days, fanned_days, guard_settings, window_days,
+)
 from noonday.operators.rollup import SAME_LEAK, ahi_of_day, histogram_percentile, merge_histograms, minutes_at
 
 # Fixed values.
@@ -130,14 +134,24 @@ def method_flags() -> dict[str, Column]:
     return out
 
 
-def selected_days(days: DataFrame, windows: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Day values of every report window after the history clamp and the settings guard."""
-    chosen = guard_settings(window_days(days, windows, history))
-    return day_values(chosen)
+def selected_days(
+    days: DataFrame, windows: DataFrame | Sequence[int], history: DataFrame | None = None
+) -> DataFrame:
+    """Day values of every report window after the history clamp and the settings guard.
+
+    ``windows`` is a table of windows, or the ranges that end at each card's latest day.
+    """
+    if isinstance(windows, DataFrame):
+        inside = window_days(days, windows, history)
+    else:
+        inside = fanned_days(days, windows, history)
+    return day_values(guard_settings(inside))
 
 
-def report_metrics(days: DataFrame, windows: DataFrame, policy: Column | None = None,
-                   history: DataFrame | None = None) -> DataFrame:
+def report_metrics(
+    days: DataFrame, windows: DataFrame | Sequence[int] = REPORT_RANGES, policy: Column | None = None,
+    history: DataFrame | None = None,
+) -> DataFrame:
     """All day-based metrics per card and window, for all ranges in one job.
 
     Rows per (card, range, kind) are days, at most the length of the range; the heavy reduction happened in the day
