@@ -198,6 +198,7 @@ def timed_metrics(spark, sf):
     """Metrics with the timing of the card's sessions (every usage hour of a record is a session of that length)."""
     from noonday.functions.dates import shift_seconds
     from noonday.operators.cleaning import fuzzy_distinct_sessions, valid_sessions
+    from noonday.operators.sleep import sleep_profiles
     from noonday.sources.sinks import keep
 
     records = a.records(spark, sf)
@@ -208,7 +209,8 @@ def timed_metrics(spark, sf):
         )
     )
     clean = keep(fuzzy_distinct_sessions(sessions), "sessions")
-    return report.timing_metrics(keep(metrics_of(spark, sf), "metrics"), clean)
+    profiles = keep(sleep_profiles(clean), "profiles")
+    return report.timing_metrics(keep(metrics_of(spark, sf), "metrics"), clean, profiles)
 
 
 @query("timing_metrics")
@@ -232,10 +234,7 @@ def report_warnings(spark, sf):
 def rows_of_report(spark, sf):
     from noonday.plans.rows import report_rows
 
-    metrics = timed_metrics(spark, sf).withColumns(
-        {"anchor_minutes": F.lit(480.0), "window_end_minutes": F.lit(900.0)}
-    )
-    return report_rows(metrics)
+    return report_rows(timed_metrics(spark, sf))
 
 
 @query(

@@ -241,7 +241,7 @@ def timing_metrics(metrics: DataFrame, sessions: DataFrame, profiles: DataFrame
     )
     totals = sleep.classify_totals(sleep.classify_days(in_window, keys), keys)
     joined = metrics.join(totals, keys, "left").join(
-        own.select("card_id", "confidence", "drift"), "card_id", "left"
+        own.select("card_id", "confidence", "drift", "anchor_minutes", "window_end_minutes"), "card_id", "left"
     )
     session_hours = F.coalesce("total_minutes", F.lit(0.0)) / 60
     raw = F.when(F.col("daily_hours") > 0, session_hours / F.col("daily_hours") * 100).otherwise(0.0)
