@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noonday.llm import exact_dedup, mixing, neighbours, packing, pii, quality, sharding, simhash, substring_dedup
+from noonday.llm import exact_dedup, line_dedup, mixing, neighbours, packing, pii, quality, sharding, simhash, substring_dedup
 from noonday.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return plan
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judged(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
