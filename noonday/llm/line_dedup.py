@@ -31,6 +31,8 @@ EDITS, LEAST, FREQUENT = 2, 20, 10_000
 #: Bits of the number that holds the band; the highest is the lowest row of the band.
 TOP = 31
 WORD = (1 << (TOP + 1)) - 1
+#: Characters whose counts are compared before the edit distance. Any choice gives the same links.
+COUNTED = " eationrs"
 
 
 def edit_distance(chars: Column, length: Column, other: Column, edits: int = EDITS) -> Column:
@@ -62,6 +64,15 @@ def edit_distance(chars: Column, length: Column, other: Column, edits: int = EDI
     return F.aggregate(F.split(other, ""), start, step, lambda s: s["dist"])
 
 
+def may_be_near(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """False only for strings further apart than ``edits``: one edit changes the counts of two characters by one at most."""
+    counts = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    apart = F.lit(0)
+    for c in COUNTED:
+        apart = apart + F.abs(counts(a, c) - counts(b, c))
+    return apart <= 2 * edits
+
+
 def _segment(i: int, length: Column, edits: int) -> tuple[Column, Column]:
     """Where segment ``i`` (from 0) of a line of ``length`` begins (from 0), and how long it is; the last ones are longer."""
     parts = edits + 1
@@ -136,6 +147,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple
     texts = kept(read.join(ids, "id", "left_semi").distinct(), "texts")
     left, right = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
     met = pairs.join(left, "a").join(right, "b").where((F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.col("line_a") != F.col("line_b")))
+    met = met.where(may_be_near(F.col("line_a"), F.col("line_b"), edits))
     met = computed_once(met.select("line_a", "line_b", "n_a", F.split("line_a", "").alias("chars")))
     near = met.where(edit_distance(F.col("chars"), F.col("n_a"), F.col("line_b"), edits) <= edits)
     near = kept(near.select(F.unhex(F.md5("line_a")).alias("md5"), F.unhex(F.md5("line_b")).alias("other")), "links")
