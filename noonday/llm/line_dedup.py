@@ -32,7 +32,7 @@ EDITS, LEAST, FREQUENT = 2, 20, 10_000
 TOP = 31
 WORD = (1 << (TOP + 1)) - 1
 #: Characters whose counts are compared before the edit distance. Any choice gives the same links.
-COUNTED = " eationrs"
+COUNTED = " abcdefghijklmnopqrstuvwxyz0123456789.,"
 
 
 def edit_distance(chars: Column, length: Column, other: Column, edits: int = EDITS) -> Column:
