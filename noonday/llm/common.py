@@ -69,3 +69,24 @@ def running_sum(df: DataFrame, group: str, order: list[str], amount: str, out: s
     own = sliced.withColumn("__own", F.coalesce(F.sum(amount).over(inside), F.lit(0)).cast("long"))
     met = own.join(starts, own[group].eqNullSafe(starts["__group"]) & (own["__slice"] == starts["__from"]))
     return met.withColumn(out, F.col("__start") + F.col("__own")).drop("__slice", "__group", "__from", "__start", "__own", "__sum")
+
+
+def packed_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` with all its columns in one, ``row``, beside ``keys``: so no column's name can clash with a key's."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("seq"),
+        *[c.alias(n) for n, c in keys.items()],
+    )
+
+
+def chosen(rows: DataFrame, picked: DataFrame, *keys: str) -> DataFrame:
+    """For each row of ``picked`` one of the ``rows`` with its keys (NULL is a key), with the further columns of ``picked``.
+
+    ``picked`` has each combination of keys once. Adaptive execution may split a frequent key of the join.
+    """
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(picked[k])
+    met = rows.join(picked, same).select("row", "seq", *[rows[k] for k in keys], *[picked[c] for c in picked.columns if c not in keys])
+    first = Window.partitionBy(*keys).orderBy("seq")
+    return met.withColumn("nth", F.row_number().over(first)).where("nth = 1")

@@ -12,11 +12,11 @@ an empty table gives no rows; further columns are ignored by ``find_copies`` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonday.functions.plan import computed_once
-from noonday.llm.common import ascii_lower, kept
+from noonday.llm.common import ascii_lower, chosen, kept, packed_rows
 
 LEAST, MOST = 1024, 8192
 
@@ -69,11 +69,6 @@ def find_copies(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFr
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of rows equal in ``doc_id`` and text one stays."""
-    staying = find_copies(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    staying = kept(staying.distinct(), "staying")
-    sha = F.sha2(ascii_lower(F.coalesce(F.col("`text`"), F.lit(""))), 256)
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"), sha.alias("__sha"))
-    same = tagged["__id"].eqNullSafe(staying["__id"]) & (tagged["__sha"] == staying["__sha"])
-    met = tagged.join(staying, same, "left_semi")
-    first = Window.partitionBy("__id", "__sha").orderBy(F.xxhash64("row"))
-    return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("row.*")
+    staying = find_copies(docs).where("kept").select("doc_id", F.col("text_sha256").alias("sha")).distinct()
+    sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
+    return chosen(packed_rows(docs, doc_id=F.col("doc_id"), sha=sha), kept(staying, "staying"), "doc_id", "sha").select("row.*")

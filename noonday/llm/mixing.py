@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noonday.llm.common import WORD, kept, running_sum
+from noonday.llm.common import WORD, chosen, kept, packed_rows, running_sum
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Blocks of the schedule, about; the block's size follows from the table's.
@@ -105,3 +105,18 @@ def taken(docs: DataFrame, seed: int = 42) -> DataFrame:
     rows, pieces = mix(docs, seed)
     sums = pieces.groupBy("uid").agg(F.sum("words").alias("taken"))
     return rows.join(sums, "uid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` with their columns, each as often as the mix takes it, in whole documents.
+
+    Only one document of a source can be taken in part, the last; it is given out if half of it or more is taken. Rows
+    equal in ``doc_id`` and text are given out together, as copies of one of them.
+    """
+    rows, pieces = mix(docs, seed)
+    sums = pieces.groupBy("uid").agg(F.sum("words").alias("taken"))
+    each = rows.join(sums, "uid").select("doc_id", "spot", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    times = kept(each.groupBy("doc_id", "spot").agg(F.sum("times").cast("int").alias("times")).where("times > 0"), "times")
+    spot = F.xxhash64("doc_id", "text", F.lit(seed))
+    met = chosen(packed_rows(docs, doc_id=F.col("doc_id"), spot=spot), times, "doc_id", "spot")
+    return met.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from noonday.llm.common import kept
+from noonday.llm.common import chosen, kept, packed_rows
 from noonday.llm.graph import components
 
 SHINGLE, BITS, BUCKET, SEED = 3, 3, 512, 42
@@ -129,12 +129,9 @@ def components_of(docs: DataFrame, words_each: int = SHINGLE, bits: int = BITS,
 def one_of_each(docs: DataFrame, words_each: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` with their columns, one for each component: a row with its least ``doc_id``.
 
-    Several rows with that id are told apart by a hash of the row. Texts move once, by ``doc_id``.
+    Texts move once, by ``doc_id``.
     """
     found = components_of(docs.select("doc_id", "text"), words_each, bits)
-    lowest = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = kept(lowest.select(F.col("doc_id").alias("__id"), F.col("component_id").isNull().alias("__none")).distinct(), "staying")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"))
-    met = rows.join(stays, rows["__id"].eqNullSafe(stays["__id"]), "left_semi")
-    first = Window.partitionBy("__id").orderBy(F.xxhash64("row"))
-    return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("row.*")
+    lowest = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
+    one = kept(lowest.groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint")).select("doc_id"), "staying")
+    return chosen(packed_rows(docs, doc_id=F.col("doc_id")), one, "doc_id").select("row.*")
