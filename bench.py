@@ -14,7 +14,7 @@ from noonday.plans import REGISTRY
 from noonday.session import build_session
 
 HEADLINE = (
-    "report_flagship", "day_rollup", "ahi_weighted", "day_from_samples", "rolling_max_avg", "threshold_episodes",
+    "report_flagship", "day_rollup", "ahi_weighted", "day_from_samples", "rolling_max_avg", "rolling_max_long", "threshold_episodes",
     "mask_sessions", "locf", "histogram_percentile", "percentile_exact", "wave_summary", "interval_join", "nearest_day",
     "pair_by_ordinal", "offset_range_join", "record_dedupe", "session_dedupe_fuzzy", "sleep_profile", "sleep_days",
     "settings_guard", "range_fanout", "leak_metrics", "family_rank", "recent_window_files", "candidate_score_topk",

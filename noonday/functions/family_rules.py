@@ -209,14 +209,23 @@ KEEP_BY_FAMILY = {
 }
 
 # Undated files that are kept for every card.
-_EDF = r"\.edf(?:\.gz)?"
 KEEP_ALWAYS = (
-    r"(?:^|/)(?:therapy/config|config|settings?|profile|profiles|wm_profiles\.xml"
-    + "".join(rf"|{n}{_EDF}" for n in ("summary", "detail", "str", "eve", "pld", "sad", "brp", "crc"))
-    + r"|identification\.(?:tgt|json))(?:/|$|[._-])",
-    r"(?:^|/)(?:p-series/|p\d{5}\.\d{3}$|prop[^/]*\.(?:txt|bin)$|p\d{4}\.(?:idx|000)$|therapy\.pdat$|therapy\.dat$"
-    r"|(?:sl/)?set1$|(?:sl/)?u$|(?:sl/)?l$|(?:dv6/)?set\.bin$|(?:dv6/)?ver\.bin$|(?:dv6/)?s\.bin$|wm_data\.tdf$"
-    r"|yhsd-(?:new|old)\.bys$|runlog\.bys$|sn\.bys$|[^/]+\.(?:usr|idx|evt|\d{3})$)",
+    r"(?:^|/)(?:therapy/config|config|settings?|profile|profiles)(?:/|$|[._-])",
+    r"(?:^|/)wm_profiles\.xml(?:/|$|[._-])",
+    r"(?:^|/)(?:summary|detail|str|eve|pld|sad|brp|crc)\.edf(?:\.gz)?(?:/|$|[._-])",
+    r"(?:^|/)identification\.(?:tgt|json)(?:/|$|[._-])",
+    r"(?:^|/)p-series/",
+    r"(?:^|/)p\d{5}\.\d{3}$",
+    r"(?:^|/)prop[^/]*\.(?:txt|bin)$",
+    r"(?:^|/)p\d{4}\.(?:idx|000)$",
+    r"(?:^|/)therapy\.p?dat$",
+    r"(?:^|/)(?:sl/)?set1$",
+    r"(?:^|/)(?:sl/)?[ul]$",
+    r"(?:^|/)(?:dv6/)?(?:set|ver|s)\.bin$",
+    r"(?:^|/)wm_data\.tdf$",
+    r"(?:^|/)yhsd-(?:new|old)\.bys$",
+    r"(?:^|/)(?:runlog|sn)\.bys$",
+    r"(?:^|/)[^/]+\.(?:usr|idx|evt|\d{3})$",
     r"(?:^|/)(?:viatom|cms50|zeo|dreem|yuwell|vrem)(?:/|$)",
 )
 KEEP_DATA_MAX_BYTES = 2_000_000

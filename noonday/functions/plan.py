@@ -15,12 +15,3 @@ def computed_once(df: DataFrame) -> DataFrame:
     """
     row = F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     return df.select(row.alias("__row")).select("__row.*")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than cores, dealt out evenly before work that is heavy per row.
-
-    A large table has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from noonday.functions import family_rules as fr
 
-# Import windows, caps and extension sets.
+# Import windows and extension sets.
 IMPORT_DAYS, OLDER_IMPORT_DAYS = 91, 181
+# Limits that a caller can ask for; no default uses one. Sizes also earn points.
 MAX_FILES, MAX_BYTES = 2_500, 220_000_000
 MAX_FILE_BYTES, MAX_BINARY_BYTES, MAX_WAVEFORM_BYTES = 8_000_000, 1_500_000, 96_000_000
 MIN_DATED_SHARE = 0.1
@@ -169,12 +170,18 @@ def root_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def type_gate(base: Column, ext: Column, size: Column) -> Column:
-    """Extension sets with their size caps, and a name hint for files without a telling extension."""
-    hinted = ext.isin("", "dat") & base.rlike(NAME_HINT) & (size <= MAX_FILE_BYTES)
+def at_most(size: Column, limit: int | None) -> Column:
+    return F.lit(True) if limit is None else size <= limit
+
+
+def type_gate(
+    base: Column, ext: Column, size: Column, max_bytes: int | None = None, max_binary_bytes: int | None = None
+) -> Column:
+    """Extension sets, and a name hint for files without a telling extension; size limits only where they are asked for."""
+    hinted = ext.isin("", "dat") & base.rlike(NAME_HINT) & at_most(size, max_bytes)
     return (
-        (ext.isin(*TEXT_EXTENSIONS) & (size <= MAX_FILE_BYTES))
-        | (ext.isin(*BINARY_EXTENSIONS) & (size <= MAX_BINARY_BYTES))
+        (ext.isin(*TEXT_EXTENSIONS) & at_most(size, max_bytes))
+        | (ext.isin(*BINARY_EXTENSIONS) & at_most(size, max_binary_bytes))
         | hinted
     )
 
@@ -361,8 +368,11 @@ def select_family(files: DataFrame) -> DataFrame:
     )
 
 
-def mixed_warning(recency: DataFrame, selected: DataFrame, shown: int = 4) -> DataFrame:
-    """Text for cards with several supported layouts, newest first; silent if only the two look-alikes are there."""
+def mixed_warning(recency: DataFrame, selected: DataFrame, shown: int | None = None) -> DataFrame:
+    """Text for cards with several supported layouts, newest first; silent if only the two look-alikes are there.
+
+    With ``shown`` the text names so many layouts and says how many more there are.
+    """
     order = Window.partitionBy("card_id").orderBy(F.col("latest_date").desc_nulls_last(), F.desc("score"), "label")
     dated = F.coalesce(F.date_format("latest_date", "yyyy-MM-dd"), F.lit("no dated folder evidence"))
     ranked = recency.withColumn("rn", F.row_number().over(order))
@@ -371,12 +381,15 @@ def mixed_warning(recency: DataFrame, selected: DataFrame, shown: int = 4) -> Da
         F.bool_and(F.col("family_id").isin("sleepstyle", "icon")).alias("only_alike"),
         F.array_sort(
             F.collect_list(
-                F.when(F.col("rn") <= shown, F.struct("rn", F.concat("label", F.lit(": "), dated).alias("t")))
+                F.when(at_most(F.col("rn"), shown), F.struct("rn", F.concat("label", F.lit(": "), dated).alias("t")))
             )
         ).alias("items"),
     )
     labels = recency.select("card_id", "family_id", F.col("label").alias("chosen"), dated.alias("chosen_date"))
     text = F.array_join(F.transform("items", lambda i: i["t"]), "; ")
+    if shown is not None:
+        more = F.concat(F.lit("; ... "), (F.col("n") - shown).cast("string"), F.lit(" more"))
+        text = F.concat(text, F.when(F.col("n") > shown, more).otherwise(""))
     joined = lists.where("n >= 2 AND NOT only_alike").join(selected, "card_id").join(
         labels, ["card_id", "family_id"], "left"
     )
@@ -400,16 +413,21 @@ def support_state(family: Column, supported: Column) -> Column:
 # --- recent window ---------------------------------------------------------------------------------------------
 
 
-def keeps_undated(path: Column, size: Column, family: Column) -> Column:
-    """Undated files worth keeping: by family, by name, or small data-like and information-like files."""
+def keeps_undated(
+    path: Column, size: Column, family: Column, max_data_bytes: int | None = None, max_info_bytes: int | None = None
+) -> Column:
+    """Undated files worth keeping: by family, by name, or data-like and information-like files.
+
+    The last two are limited in size only where that is asked for.
+    """
     low = F.lower(slashes(path))
     by_family = None
     for name, patterns in fr.KEEP_BY_FAMILY.items():
         hit = low.rlike(fr.any_of(patterns))
         by_family = F.when(family == name, hit) if by_family is None else by_family.when(family == name, hit)
     always = low.rlike(fr.any_of(fr.KEEP_ALWAYS))
-    data = (size <= fr.KEEP_DATA_MAX_BYTES) & low.rlike(fr.KEEP_DATA_EXTENSION) & low.rlike(fr.KEEP_DATA_WORD)
-    info = (size <= fr.KEEP_INFO_MAX_BYTES) & low.rlike(fr.KEEP_INFO_NAME)
+    data = at_most(size, max_data_bytes) & low.rlike(fr.KEEP_DATA_EXTENSION) & low.rlike(fr.KEEP_DATA_WORD)
+    info = at_most(size, max_info_bytes) & low.rlike(fr.KEEP_INFO_NAME)
     return F.coalesce(by_family, F.lit(False)) | always | data | info
 
 
@@ -433,25 +451,25 @@ def _window_cards(files: DataFrame, days: int) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def recent_files(files: DataFrame, days: int = IMPORT_DAYS) -> DataFrame:
+def recent_files(
+    files: DataFrame, days: int = IMPORT_DAYS, max_data_bytes: int | None = None, max_info_bytes: int | None = None
+) -> DataFrame:
     """Files with a ``kept`` flag: dated ones inside the latest ``days`` of the card, undated ones by rule.
 
-    Cards without any date keep all relevant files; so do cards where nothing would be left.  Cards without a family
-    and with hardly any date keep everything.
+    Cards without any date keep all relevant files; all others keep their latest dated file at least.  Cards without a
+    family and with hardly any date keep everything.  What is left out stays in the result, with ``kept`` false.
     """
     placed, cards = _window_cards(files, days)
     dated_in = (F.col("path_date") >= F.col("window_start")) & (F.col("path_date") <= F.col("latest_date"))
-    undated_in = keeps_undated(F.col("path"), F.col("size"), F.col("likely_family"))
+    undated_in = keeps_undated(F.col("path"), F.col("size"), F.col("likely_family"), max_data_bytes, max_info_bytes)
     first = F.col("relevant") & F.when(F.col("path_date").isNotNull(), dated_in).otherwise(undated_in)
     marked = placed.join(cards, "card_id").withColumn("first_choice", F.coalesce(first, F.lit(False)))
-    # Cards are few next to files: the "nothing left" test is its own small aggregate.
-    left = marked.groupBy("card_id").agg(F.bool_or("first_choice").alias("any_left"))
     kept = (
         F.when(F.col("keep_everything"), F.lit(True))
-        .when((F.col("n_dated") == 0) | ~F.col("any_left"), F.col("relevant"))
+        .when(F.col("n_dated") == 0, F.col("relevant"))
         .otherwise(F.col("first_choice"))
     )
-    return marked.join(left, "card_id").withColumn("kept", kept).select(
+    return marked.withColumn("kept", kept).select(
         "card_id", "file_id", "path", "size", "path_date", "window_start", "latest_date", "kept"
     )
 
@@ -517,12 +535,12 @@ def candidate_score(
 
 
 def best_candidates(
-    files: DataFrame, family: DataFrame, days: int = IMPORT_DAYS, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES
+    files: DataFrame, family: DataFrame, days: int = IMPORT_DAYS, max_files: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """Candidates of a card in order of score, newest date, smallest size, until a count or byte cap is reached.
+    """Candidates of a card with their score, the count and bytes of all its candidates, and whether each is ``chosen``.
 
-    Pinned files come first, by path.  Only the first ``max_files`` of an order can be chosen, so every share of a card
-    is cut to that many before the card's order is formed: a card of any size brings a bounded list to its last window.
+    Without limits all are chosen.  With ``max_files`` or ``max_bytes`` the choice goes by score, newest date and smallest
+    size until a limit is reached, pinned files first and by path; the others stay in the result as not chosen.
     """
     parts = catalogue(files).join(family, "card_id", "left")
     latest = parts.groupBy("card_id").agg(F.max("record_date").alias("latest"))
@@ -535,60 +553,71 @@ def best_candidates(
             "pinned": F.coalesce((F.col("family_id") == "resmed") & F.col("path").rlike(fr.any_of(PINNED)), F.lit(False)),
         }
     ).where(F.col("pinned") | (F.col("score") > 0))
-    # By path among pinned files, by rank among the others: one sort key for both.
-    order = [
-        F.when(F.col("pinned"), F.col("path")).asc_nulls_first(), F.desc("score"),
-        F.col("record_date").desc_nulls_last(), "size", "file_id",
-    ]
-    share = Window.partitionBy("card_id", "pinned", F.pmod(F.xxhash64("file_id"), F.lit(64))).orderBy(*order)
-    short = scored.withColumn("__rn", F.row_number().over(share)).where(F.col("__rn") <= max_files).drop("__rn")
-
-    group = Window.partitionBy("card_id", "pinned").orderBy(*order)
-    run = group.rowsBetween(Window.unboundedPreceding, 0)
-    placed = short.withColumns({"__n": F.row_number().over(group), "__bytes": F.sum("size").over(run)})
-    first = F.col("pinned") & (F.col("__n") <= max_files) & (F.col("__bytes") <= max_bytes)
-    card = Window.partitionBy("card_id")
-    with_first = placed.withColumn("__first", first).withColumns(
-        {
-            "__used_n": F.count_if("__first").over(card),
-            "__used_bytes": F.coalesce(F.sum(F.when(F.col("__first"), F.col("size"))).over(card), F.lit(0)),
-        }
-    )
-    rest_order = Window.partitionBy("card_id", "__first").orderBy(
-        F.desc("score"), F.col("record_date").desc_nulls_last(), "size", "file_id"
-    )
-    rest_run = rest_order.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = with_first.withColumns({"__m": F.row_number().over(rest_order), "__rest": F.sum("size").over(rest_run)})
-    in_rest = (
-        ~F.col("__first") & (F.col("score") > 0)
-        & (F.col("__used_n") + F.col("__m") <= max_files)
-        & (F.col("__used_bytes") + F.col("__rest") <= max_bytes)
-    )
-    return ranked.where(F.col("__first") | in_rest).select(
-        "card_id", "file_id", "path", "size", "score", F.col("__first").alias("pinned")
+    totals = scored.groupBy("card_id").agg(F.count(F.lit(1)).alias("card_files"), F.sum("size").alias("card_bytes"))
+    marked = scored.withColumn("chosen", F.lit(True)) if max_files is None and max_bytes is None else _limited(scored, max_files, max_bytes)
+    return marked.join(totals, "card_id").select(
+        "card_id", "file_id", "path", "size", "score", "pinned", "card_files", "card_bytes", "chosen"
     )
 
 
-def day_budget(files: DataFrame, day: str = "day", budget: int = MAX_WAVEFORM_BYTES) -> DataFrame:
-    """Whole days, newest first, while their bytes fit the budget; an oversize day is skipped and older ones tried.
+def _limited(scored: DataFrame, max_files: int | None, max_bytes: int | None) -> DataFrame:
+    """Mark what fits the limits.  The running counts and bytes are made by chunks of the order, never by whole card.
+
+    A chunk is one (pinned, score, record date); its files are ordered by size and id.
+    """
 
-    The first day is always kept.  The walk runs over one row per day of a card, not over files.
+    def walk(df: DataFrame, keys: list[str], inner: list, used: tuple[Column, Column]) -> DataFrame:
+        sums = df.groupBy("card_id", *keys).agg(F.count(F.lit(1)).alias("__k"), F.sum("size").alias("__s"))
+        order = Window.partitionBy("card_id").orderBy(*[F.desc_nulls_last(k) for k in keys])
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select(
+            "card_id", *keys, F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__k0"),
+            F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"),
+        )
+        same = [df[k].eqNullSafe(starts[k]) for k in ("card_id", *keys)]
+        met = df.join(starts, same).select(df["*"], "__k0", "__s0")
+        own = Window.partitionBy("card_id", *keys).orderBy(*inner)
+        n = F.col("__k0") + F.row_number().over(own) + used[0]
+        size = F.col("__s0") + F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) + used[1]
+        return met.withColumn("__fits", at_most(n, max_files) & at_most(size, max_bytes)).drop("__k0", "__s0")
+
+    zero = (F.lit(0), F.lit(0))
+    # Pinned files are chunked by a descending key of their path, so that the first paths come first.
+    pinned = scored.where("pinned").withColumn("__p", -F.conv(F.hex(F.rpad("path", 6, " ")), 16, 10).cast("long"))
+    pinned = walk(pinned, ["__p"], ["path", "file_id"], zero).drop("__p")
+    first = pinned.where("__fits")
+    rest = scored.where("NOT pinned").unionByName(pinned.where("NOT __fits AND score > 0").drop("__fits"))
+    spent = first.groupBy("card_id").agg(F.count(F.lit(1)).alias("__un"), F.sum("size").alias("__us"))
+    rest = rest.join(spent, "card_id", "left")
+    used = (F.coalesce("__un", F.lit(0)), F.coalesce("__us", F.lit(0)))
+    placed = walk(rest, ["score", "record_date"], ["size", "file_id"], used).drop("__un", "__us")
+    without = pinned.where("NOT __fits AND score <= 0")
+    return first.unionByName(placed).unionByName(without).withColumnRenamed("__fits", "chosen")
+
+
+def day_budget(files: DataFrame, day: str = "day", budget: int | None = None) -> DataFrame:
+    """Days with their bytes and whether they are ``kept``: all without a budget.
+
+    With one, whole days are kept, newest first, while their bytes fit; an oversize day is skipped and older ones tried,
+    and the first day is always kept.  The walk runs over one row per day of a card, not over files.
     """
     days = files.groupBy("card_id", day).agg(F.sum("size").alias("bytes"))
+    if budget is None:
+        return days.withColumn("kept", F.lit(True))
     lists = days.groupBy("card_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col(day).alias("day"), "bytes")), asc=False).alias("days")
     )
     start = F.expr(
-        "struct(cast(0 as bigint) as used, cast(array() as array<struct<day:date,bytes:bigint>>) as kept)"
+        "struct(cast(0 as bigint) as used, cast(array() as array<struct<day:date,bytes:bigint,kept:boolean>>) as seen)"
     )
 
     def step(acc: Column, d: Column) -> Column:
         fits = (acc["used"] <= 0) | (acc["used"] + d["bytes"] <= budget)
-        more = F.struct((acc["used"] + d["bytes"]).alias("used"), F.array_append(acc["kept"], d).alias("kept"))
-        return F.when(fits, more).otherwise(acc)
+        seen = F.struct(d["day"].alias("day"), d["bytes"].alias("bytes"), fits.alias("kept"))
+        return F.struct((acc["used"] + F.when(fits, d["bytes"]).otherwise(0)).alias("used"), F.array_append(acc["seen"], seen).alias("seen"))
 
-    chosen = lists.select("card_id", F.explode(F.aggregate("days", start, step)["kept"]).alias("d"))
-    return chosen.select("card_id", F.col("d.day").alias(day), F.col("d.bytes").alias("bytes"))
+    walked = lists.select("card_id", F.explode(F.aggregate("days", start, step)["seen"]).alias("d"))
+    return walked.select("card_id", F.col("d.day").alias(day), F.col("d.bytes").alias("bytes"), F.col("d.kept").alias("kept"))
 
 
 def source_summary(files: DataFrame, shown: int = 25) -> DataFrame:

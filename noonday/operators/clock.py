@@ -8,16 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import minutes_between
-from noonday.operators.tracks import by_day, numbered
 
-# Fixed values of the clock vote, and the number of packets a channel probe looks at.
+# Fixed values of the clock vote.
 STEP_MINUTES = 15
 TOLERANCE_MINUTES = 2
 MAX_OFFSET_MINUTES = 14 * 60
 DEFAULT_OFFSET_MINUTES = 480
 MIN_VOTES = 2
 MIN_SHARE = 0.6
-PROBE_PACKETS = 120
 
 
 def vote_clock_offset(ends: DataFrame) -> DataFrame:
@@ -45,14 +43,13 @@ def vote_clock_offset(ends: DataFrame) -> DataFrame:
     )
 
 
-def probe_channels(
-    samples: DataFrame, keys: Sequence[str], order: Sequence[str], primary: str, alternate: str,
-    packets: int = PROBE_PACKETS,
-) -> DataFrame:
-    """Use the alternate channel where the first packets show almost no values in the primary one."""
-    first = numbered(samples, by_day(keys, order), "pos").where(F.col("pos") <= packets)
+def probe_channels(samples: DataFrame, keys: Sequence[str], primary: str, alternate: str) -> DataFrame:
+    """Use the alternate channel of a recording whose primary one has values in less than one sample of a hundred.
+
+    All samples of the recording decide, by one aggregate.
+    """
     used = F.count_if(F.col(primary) != 0)
-    probe = first.groupBy(*keys).agg(
+    probe = samples.groupBy(*keys).agg(
         (used < F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 100))).alias("use_alternate")
     )
     return samples.join(probe, list(keys)).withColumn(

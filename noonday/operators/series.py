@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import micros, seconds_between, shift_seconds
-from noonday.operators.tracks import Track, by_day, islands, moving_average, previous, running
+from noonday.operators.tracks import Track, by_day, islands, moving_averages, previous, running
 
 # Fixed values.
 LARGE_LEAK_LPM = 30.0
@@ -62,12 +62,10 @@ def rolling_maxima(
     ``track_keys`` are the keys the islands were found under.  ``keys`` may add columns that change inside an island
     (the clinical day): a window belongs to the key of its last sample.  Windows that are not full give nothing.
     """
-    out = None
-    for name, size in windows.items():
-        averaged = moving_average(islands, [*track_keys, "island"], "pos", value, size, name)
-        part = averaged.groupBy(*keys).agg(F.max(name).alias(name))
-        out = part if out is None else out.join(part, list(keys))
-    return out
+    averaged = moving_averages(islands, [*track_keys, "island"], "pos", value, windows)
+    return averaged.groupBy(*keys).agg(*[F.max(name).alias(name) for name in windows]).where(
+        F.coalesce(*windows).isNotNull()
+    )
 
 
 def threshold_runs(

@@ -190,34 +190,34 @@ def islands(
     )
 
 
-def moving_average(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: str,
-    value: str,
-    size: int,
-    name: str,
-    block_rows: int = 65_536,
+def moving_averages(
+    df: DataFrame, keys: Sequence[str], position: str, value: str, sizes: dict[str, int], block_rows: int = 65_536
 ) -> DataFrame:
-    """Average of the last ``size`` rows of a run with positions 1, 2, 3 ...; NULL while the window is not full.
+    """Averages of the last ``size`` rows of a run with positions 1, 2, 3 ..., one column per name; NULL until full.
 
-    A run is cut into blocks of ``block_rows`` positions.  The last ``size - 1`` rows of a block are copied to the
-    front of the next one, so every block computes its windows alone and no task holds more than a block.
+    A run is cut into blocks of ``block_rows`` positions.  The last rows of a block that a window can reach are copied to
+    the front of the next one, so every block computes its windows alone and no task holds more than a block.  Inside
+    a block a window is the difference of two running sums, whatever its length; all windows share one pass.
     """
-    block_rows = max(block_rows, size)
-    start = F.col(position) - 1
-    block = F.floor(start / block_rows)
+    longest = max(sizes.values())
+    block_rows = max(block_rows, longest)
+    block = F.floor((F.col(position) - 1) / block_rows)
     overhang = F.col(position) % block_rows
     copies = F.when(
-        (overhang == 0) | (overhang > block_rows - size + 1), F.array(block, block + 1)
+        (overhang == 0) | (overhang > block_rows - longest + 1), F.array(block, block + 1)
     ).otherwise(F.array(block))
-    window = (
-        Window.partitionBy(*keys, "__block").orderBy(position).rowsBetween(-(size - 1), 0)
-    )
-    return (
+    order = Window.partitionBy(*keys, "__block").orderBy(position)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    summed = (
         df.withColumn("__home", block)
         .withColumn("__block", F.explode(copies))
-        .withColumn(name, F.when(F.col(position) >= size, F.avg(value).over(window)))
-        .where(F.col("__block") == F.col("__home"))
-        .drop("__home", "__block")
+        .withColumns({"__sum": F.coalesce(F.sum(F.col(value).cast("double")).over(so_far), F.lit(0.0)), "__n": F.count(value).over(so_far)})
     )
+
+    def mean(size: int) -> Column:
+        total = F.col("__sum") - F.coalesce(F.lag("__sum", size).over(order), F.lit(0.0))
+        n = F.col("__n") - F.coalesce(F.lag("__n", size).over(order), F.lit(0))
+        return F.when((F.col(position) >= size) & (n > 0), total / n)
+
+    averaged = summed.withColumns({name: mean(size) for name, size in sizes.items()})
+    return averaged.where(F.col("__block") == F.col("__home")).drop("__home", "__block", "__sum", "__n")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import clinical_day, shift_seconds
-from noonday.functions.plan import spread
 
 EPOCH_DAY = "2024-01-01"
 
@@ -254,7 +253,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     listing = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    return spread(listing).select(
+    return listing.select(
         k.alias("file_id"),
         F.floor(F.col("o_custkey") / 10).alias("card_id"),
         path.alias("path"),

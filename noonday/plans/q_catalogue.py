@@ -129,9 +129,9 @@ _KEEP_FAMILY = " ".join(
 KEEP_SQL = f"""
 (coalesce(CASE likely_family {_KEEP_FAMILY} END, false)
   OR {" OR ".join(f"regexp_matches(lower(path), {_text(p)})" for p in fr.KEEP_ALWAYS)}
-  OR (size <= {fr.KEEP_DATA_MAX_BYTES} AND regexp_matches(lower(path), {_text(fr.KEEP_DATA_EXTENSION)})
+  OR (regexp_matches(lower(path), {_text(fr.KEEP_DATA_EXTENSION)})
       AND regexp_matches(lower(path), {_text(fr.KEEP_DATA_WORD)}))
-  OR (size <= {fr.KEEP_INFO_MAX_BYTES} AND regexp_matches(lower(path), {_text(fr.KEEP_INFO_NAME)})))"""
+  OR regexp_matches(lower(path), {_text(fr.KEEP_INFO_NAME)}))"""
 
 LIKELY = """
 likely AS (
@@ -238,20 +238,10 @@ _POINTS = f"""
 latest AS (SELECT card_id, max(record_date) AS latest FROM cat GROUP BY card_id),
 scored AS (
   SELECT cat.*, {_POINTS} AS score, coalesce(family_id = 'resmed' AND regexp_matches(path, {_text(fr.any_of(c.PINNED))}), false) AS pin
-  FROM cat JOIN latest USING (card_id) LEFT JOIN best USING (card_id)),
-p AS (
-  SELECT *, sum(size) OVER (PARTITION BY card_id ORDER BY path, file_id) AS run, row_number() OVER (PARTITION BY card_id ORDER BY path, file_id) AS n
-  FROM scored WHERE pin),
-pk AS (SELECT * FROM p WHERE run <= 220000000 AND n <= 2500),
-used AS (SELECT card_id, sum(size) AS bytes, count(*) AS n FROM pk GROUP BY card_id),
-rest AS (
-  SELECT s.*, sum(size) OVER w AS run, row_number() OVER w AS rn FROM scored s
-  WHERE score > 0 AND file_id NOT IN (SELECT file_id FROM pk)
-  WINDOW w AS (PARTITION BY card_id ORDER BY score DESC, record_date DESC NULLS LAST, size, file_id))
-SELECT card_id, file_id, path, size, CAST(score AS BIGINT) AS score, true AS pinned FROM pk
-UNION ALL
-SELECT r.card_id, r.file_id, r.path, r.size, CAST(r.score AS BIGINT), false FROM rest r LEFT JOIN used u USING (card_id)
-WHERE coalesce(u.bytes, 0) + r.run <= 220000000 AND coalesce(u.n, 0) + r.rn <= 2500"""),
+  FROM cat JOIN latest USING (card_id) LEFT JOIN best USING (card_id))
+SELECT card_id, file_id, path, size, CAST(score AS BIGINT) AS score, pin AS pinned, true AS chosen,
+  count(*) OVER (PARTITION BY card_id) AS card_files, CAST(sum(size) OVER (PARTITION BY card_id) AS BIGINT) AS card_bytes
+FROM scored WHERE pin OR score > 0"""),
 )
 def candidate_score_topk(spark, sf):
     files = a.files(spark, sf)
@@ -270,7 +260,8 @@ f AS (
     lambda acc, x: CASE WHEN acc.used <= 0 OR acc.used + x.bytes <= 40000000
       THEN {'used': acc.used + x.bytes, 'day': x.day, 'bytes': x.bytes, 'kept': list_append(acc.kept, x.day)} ELSE acc END,
     {'used': CAST(0 AS BIGINT), 'day': CAST(NULL AS DATE), 'bytes': CAST(0 AS BIGINT), 'kept': CAST([] AS DATE[])}).kept AS kept FROM o)
-SELECT f.card_id, k.day, d.bytes FROM (SELECT card_id, unnest(kept) AS day FROM f) k JOIN f USING (card_id) JOIN d ON d.card_id = k.card_id AND d.day = k.day"""),
+SELECT d.card_id, d.day, d.bytes, k.day IS NOT NULL AS kept
+FROM d LEFT JOIN (SELECT card_id, unnest(kept) AS day FROM f) k ON d.card_id = k.card_id AND d.day = k.day"""),
     days="day",
 )
 def day_budget_greedy(spark, sf):
@@ -281,12 +272,16 @@ def day_budget_greedy(spark, sf):
 @query(
     "type_size_gate",
     with_views(FILES, CAT, body=f"""
-SELECT file_id, (ext IN {c.TEXT_EXTENSIONS} AND size <= 8000000) OR (ext IN {c.BINARY_EXTENSIONS} AND size <= 1500000)
-  OR (ext IN ('', 'dat') AND regexp_matches(base_name, {_text(c.NAME_HINT)}) AND size <= 8000000) AS passes FROM cat"""),
+SELECT file_id, ext IN {c.TEXT_EXTENSIONS} OR ext IN {c.BINARY_EXTENSIONS}
+  OR (ext IN ('', 'dat') AND regexp_matches(base_name, {_text(c.NAME_HINT)})) AS passes,
+  (ext IN {c.TEXT_EXTENSIONS} AND size <= 8000000) OR (ext IN {c.BINARY_EXTENSIONS} AND size <= 1500000)
+  OR (ext IN ('', 'dat') AND regexp_matches(base_name, {_text(c.NAME_HINT)}) AND size <= 8000000) AS passes_limits FROM cat"""),
 )
 def type_size_gate(spark, sf):
+    facts = (F.col("base_name"), F.col("ext"), F.col("size"))
     return cat(spark, sf).select(
-        "file_id", c.type_gate(F.col("base_name"), F.col("ext"), F.col("size")).alias("passes")
+        "file_id", c.type_gate(*facts).alias("passes"),
+        c.type_gate(*facts, c.MAX_FILE_BYTES, c.MAX_BINARY_BYTES).alias("passes_limits"),
     )
 
 
@@ -398,7 +393,7 @@ def family_select(spark, sf):
     with_views(*SELECT_VIEWS, body="""
 , t AS (
   SELECT card_id, any_value(n) AS n, string_agg(label || ': ' || coalesce(strftime(latest_date, '%Y-%m-%d'), 'no dated folder evidence'), '; ' ORDER BY rn)
-    FILTER (rn <= 4) AS txt, bool_and(family_id IN ('sleepstyle', 'icon')) AS alike FROM newest GROUP BY card_id)
+ AS txt, bool_and(family_id IN ('sleepstyle', 'icon')) AS alike FROM newest GROUP BY card_id)
 SELECT t.card_id, CASE WHEN by_date THEN 'Mixed device data detected. Selected ' || r.label || ' because it has the newest dated folder data ('
     || coalesce(strftime(r.latest_date, '%Y-%m-%d'), 'no dated folder evidence') || '). Detected layouts: ' || txt || '.'
   ELSE 'Multiple device layouts detected. Selected ' || r.label || '. Dated folder comparison: ' || txt || '.' END AS warning

@@ -354,12 +354,11 @@ def constant_or_null(spark, sf):
     "probe_channel",
     with_views(SAMPLES, body="""
 , placed AS (
-  SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY ts, seq) AS pos,
-    CASE WHEN event_type = 'view' THEN value ELSE 0 END AS primary_channel, value / 2 AS alternate
+  SELECT *, CASE WHEN event_type = 'view' THEN value ELSE 0 END AS primary_channel, value / 2 AS alternate
   FROM samples),
 probe AS (
   SELECT card_id, count(*) FILTER (primary_channel <> 0) < greatest(1, floor(count(*) / 100.0)) AS use_alternate
-  FROM placed WHERE pos <= 6 GROUP BY ALL)
+  FROM placed GROUP BY ALL)
 SELECT card_id, use_alternate, round(sum(CASE WHEN use_alternate THEN alternate ELSE primary_channel END), 6) AS total,
   count(*) AS n
 FROM placed JOIN probe USING (card_id) GROUP BY ALL"""),
@@ -371,7 +370,7 @@ def probe_channel(spark, sf):
             "alternate": F.col("value") / 2,
         }
     )
-    chosen = probe_channels(samples, ["card_id"], ["ts", "seq"], "primary_channel", "alternate", packets=6)
+    chosen = probe_channels(samples, ["card_id"], "primary_channel", "alternate")
     return (
         chosen.groupBy("card_id", "use_alternate").agg(F.sum("chosen").alias("total"), F.count(F.lit(1)).alias("n"))
     )

@@ -31,6 +31,23 @@ def rolling_max_avg(spark, sf):
     return series.rolling_maxima(islands, ["card_id"], ["card_id"], "value", {"max_30m": 15, "max_60m": 30})
 
 
+@query(
+    "rolling_max_long",
+    with_views(SAMPLES, body="""
+, placed AS (
+  SELECT *, row_number() OVER w AS rn,
+    avg(value) OVER (w ROWS BETWEEN 1799 PRECEDING AND CURRENT ROW) AS r30,
+    avg(value) OVER (w ROWS BETWEEN 3599 PRECEDING AND CURRENT ROW) AS r60
+  FROM samples WINDOW w AS (PARTITION BY event_type ORDER BY ts, seq))
+SELECT event_type, round(max(CASE WHEN rn >= 1800 THEN r30 END), 6) AS max_30m,
+  round(max(CASE WHEN rn >= 3600 THEN r60 END), 6) AS max_60m FROM placed GROUP BY event_type HAVING max(rn) >= 1800"""),
+)
+def rolling_max_long(spark, sf):
+    """The windows of 30 and 60 minutes at one sample a second, on a few tracks that hold the whole table."""
+    islands = series.reset_islands(a.samples(spark, sf), ["event_type"], _ORDER, F.lit(True), None)
+    return series.rolling_maxima(islands, ["event_type"], ["event_type"], "value", {"max_30m": 1_800, "max_60m": 3_600})
+
+
 @query(
     "reset_islands",
     with_views(SAMPLES, body="""

@@ -587,7 +587,7 @@ def sniff_family(name: Column | str, size: Column | str, head: Column | str) ->
     )
     text = F.lower(F.decode(_c(head), "ISO-8859-1"))
     first_line = F.regexp_extract(text, r"^([^\r\n]*)", 1)
-    upper = F.upper(F.substring(text, 1, 0x200))
+    upper = F.upper(text)
     return (
         F.when((ext == "dat") & (F.length(hexed) >= 24) & (_c(size) >= 14) & plausible, "md300w1")
         .when(

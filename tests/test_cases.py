@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import io
+import random
 import struct
 import zipfile
 
@@ -83,7 +84,41 @@ def test_bundle(spark):
 def test_day_budget_skips_an_oversize_day(spark):
     rows = [(1, i, day(d), n) for i, (d, n) in enumerate([("2024-01-04", 60), ("2024-01-03", 50), ("2024-01-02", 30), ("2024-01-01", 20)])]
     df = spark.createDataFrame(rows, "card_id long, file_id long, day date, size long")
-    assert sorted(str(r.day) for r in catalogue.day_budget(df, "day", 100).collect()) == ["2024-01-02", "2024-01-04"]
+    assert catalogue.day_budget(df).where("kept").count() == df.select("day").distinct().count()
+    assert sorted(str(r.day) for r in catalogue.day_budget(df, "day", 100).where("kept").collect()) == ["2024-01-02", "2024-01-04"]
+
+
+def test_candidate_limits_against_a_plain_walk(spark):
+    draw = random.Random(8)
+    names = ["STR.edf", "DATALOG/20240101/a.edf", "summary.csv", "x/record.dat", "session.txt", "SETTINGS/a.json", "notes.bin", "therapy/p.000"]
+    rows = [(1 + i % 2, i, f"{draw.choice('abc')}/{draw.choice(names)}", draw.choice([10, 500, 600_000, 3_000_000])) for i in range(200)]
+    frame = spark.createDataFrame([(c, i, p, n, None) for c, i, p, n in rows], "card_id long, file_id long, path string, size long, modified_at date")
+    family = spark.createDataFrame([(1, "resmed"), (2, None)], "card_id long, family_id string")
+    every = catalogue.best_candidates(frame, family).collect()
+    assert all(r.chosen for r in every) and any(r.pinned for r in every)
+    dates = {r.file_id: r.record_date for r in catalogue.catalogue(frame).collect()}
+    for most_files, most_bytes in ((20, None), (None, 9_000_000), (35, 20_000_000)):
+        chosen = set()
+        for card in (1, 2):
+            mine, n, size = [r for r in every if r.card_id == card], 0, 0
+            fits = lambda k, b: (most_files is None or k <= most_files) and (most_bytes is None or b <= most_bytes)
+            rest = [r for r in mine if not r.pinned]
+            run = 0
+            for k, r in enumerate(sorted((r for r in mine if r.pinned), key=lambda r: (r.path, r.file_id)), 1):
+                run += r.size
+                if fits(k, run):
+                    chosen.add(r.file_id)
+                    n, size = n + 1, size + r.size
+                elif r.score > 0:
+                    rest.append(r)
+            run = size
+            order = lambda r: (-r.score, dates[r.file_id] is None, -(dates[r.file_id].toordinal() if dates[r.file_id] else 0), r.size, r.file_id)
+            for k, r in enumerate(sorted(rest, key=order), n + 1):
+                run += r.size
+                if fits(k, run):
+                    chosen.add(r.file_id)
+        got = catalogue.best_candidates(frame, family, max_files=most_files, max_bytes=most_bytes).collect()
+        assert len(got) == len(every) and {r.file_id for r in got if r.chosen} == chosen
 
 
 # --- roll-up and matching

@@ -56,7 +56,7 @@ def test_positions_previous_running(skewed):
 def test_rolling_average_across_blocks(skewed):
     w = Window.partitionBy("card_id").orderBy("ts", "seq")
     placed = tracks.numbered(skewed, tracks.by_day(KEYS, ORDER))
-    got = tracks.moving_average(placed, KEYS, "pos", "value", 5, "avg", block_rows=16)
+    got = tracks.moving_averages(placed, KEYS, "pos", "value", {"avg": 5}, block_rows=16)
     want = skewed.select(
         "seq",
         F.when(F.row_number().over(w) >= 5, F.round(F.avg("value").over(w.rowsBetween(-4, 0)), 9)).alias("avg"),
@@ -64,6 +64,19 @@ def test_rolling_average_across_blocks(skewed):
     same(got.select("seq", F.round("avg", 9).alias("avg")), want)
 
 
+def test_long_windows_against_brute_force(spark):
+    draw = random.Random(4)
+    values = [draw.choice([None, draw.random() * 100]) if i % 50 == 0 else draw.random() * 100 for i in range(9_000)]
+    df = spark.createDataFrame([(1, i + 1, v) for i, v in enumerate(values)], "card_id long, pos long, value double")
+    for block in (2_000, 65_536):
+        got = tracks.moving_averages(df, KEYS, "pos", "value", {"a": 1_800, "b": 3_600}, block_rows=block).collect()
+        assert len(got) == len(values)
+        for r in got[:: 97]:
+            for mean, size in ((r.a, 1_800), (r.b, 3_600)):
+                inside = [v for v in values[max(0, r.pos - size) : r.pos] if v is not None]
+                assert mean is None if r.pos < size else abs(mean - sum(inside) / len(inside)) < 1e-9
+
+
 def test_islands_against_a_plain_walk(skewed):
     got = series.reset_islands(skewed, KEYS, ORDER, F.col("ok"), 3600.0).select("card_id", "seq", "pos")
     want, state = [], {}
