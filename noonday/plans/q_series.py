@@ -107,10 +107,8 @@ def best_episodes(spark, sf):
     return series.best_episodes(series.threshold_runs(a.samples(spark, sf), ["card_id"], _ORDER), ["card_id"])
 
 
-@query(
-    "mask_sessions",
-    with_views(SAMPLES, body="""
-, placed AS (
+MASKS = """
+placed AS (
   SELECT *, lag(ts) OVER w AS prev_ts, row_number() OVER w AS rn
   FROM samples WINDOW w AS (PARTITION BY card_id ORDER BY ts, seq)),
 marked AS (
@@ -118,13 +116,15 @@ marked AS (
     OVER (PARTITION BY card_id ORDER BY rn) AS start_ts FROM placed),
 grouped AS (
   SELECT card_id, start_ts, max(ts) AS last_ts, max(CASE WHEN value > 10 THEN ts END) AS last_active, count(*) AS n_samples
-  FROM marked GROUP BY card_id, start_ts)
+  FROM marked GROUP BY card_id, start_ts)"""
+MASK_ROWS = """
 SELECT card_id, start_ts, n_samples,
   CASE WHEN epoch_us(last_ts) - epoch_us(last_active) >= 10800 * 1000000::BIGINT THEN last_active
        ELSE last_ts + INTERVAL 1 SECOND END AS end_ts
-FROM grouped WHERE last_active IS NOT NULL"""),
-    times="start_ts end_ts",
-)
+FROM grouped WHERE last_active IS NOT NULL"""
+
+
+@query("mask_sessions", with_views(SAMPLES, MASKS, body=MASK_ROWS), times="start_ts end_ts")
 def mask_sessions(spark, sf):
     return series.mask_sessions(
         a.samples(spark, sf), ["card_id"], _ORDER, F.col("value") > 10, gap_seconds=8 * 3600.0, tail_seconds=3 * 3600.0

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from noonday.plans import adapters as a
-from noonday.plans.adapters import with_views
+from noonday.plans.adapters import SAMPLES, with_views
+from noonday.plans.q_series import MASK_ROWS, MASKS, RUNS
 from noonday.plans.registry import query
 from noonday.plans.sql_parts import RECORD_DAYS
 from noonday.session import checkpoint_dir
@@ -24,30 +25,47 @@ def event_stream(spark, sf):
     )
 
 
-def run_to_table(spark, stream, name, mode="append"):
-    """Run a stream over what is there and give back its result table."""
+def run_to_end(spark, samples, build, name):
+    """Run a stream over what is there, mark the end, run it on, and give back its result table."""
     base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    samples.sparkSession.createDataFrame([], samples.schema).write.parquet(f"{base}/end")
+    out = build(twins.with_end(samples, f"{base}/end"))
     writer = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+        out.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True)
     )
     writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    twins.mark_end(spark, samples.schema, f"{base}/end")
+    writer.start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-@query("stream_day_rollup")
+@query(
+    "stream_day_rollup",
+    with_views(SAMPLES, body="""
+SELECT card_id, CAST(ts - INTERVAL 12 HOUR AS DATE) AS clinical_day, count(*) AS n, round(sum(value), 6) AS total, max(value) AS top
+FROM samples GROUP BY ALL"""),
+    days="clinical_day",
+)
 def stream_day_rollup(spark, sf):
-    return run_to_table(spark, twins.stream_day_rollup(event_stream(spark, sf)), "days")
+    return run_to_end(spark, event_stream(spark, sf), twins.stream_day_rollup, "days")
 
 
-@query("stream_mask_sessions")
+@query("stream_mask_sessions", with_views(SAMPLES, MASKS, body=MASK_ROWS), times="start_ts end_ts")
 def stream_mask_sessions(spark, sf):
-    return run_to_table(spark, twins.stream_mask_sessions(event_stream(spark, sf), "8 hours", "1 day"), "masks")
+    def build(samples):
+        return twins.stream_mask_sessions(samples, F.col("value") > 10, "8 hours", 3 * 3600.0, "1 day")
 
+    return run_to_end(spark, event_stream(spark, sf), build, "masks")
 
-@query("stream_episodes")
+
+@query(
+    "stream_episodes",
+    with_views(SAMPLES, RUNS, body="SELECT card_id, start_ts, end_ts, n_samples, peak FROM episodes"),
+    times="start_ts end_ts",
+)
 def stream_episodes(spark, sf):
-    return run_to_table(spark, twins.stream_episodes(event_stream(spark, sf)), "episodes")
+    return run_to_end(spark, event_stream(spark, sf), twins.stream_episodes, "episodes")
 
 
 @query(

@@ -427,29 +427,31 @@ def test_report_of_three_days(spark):
     assert (row.shown_start, row.shown_end) == (day("2026-03-23"), day("2026-03-25"))
 
 
-def test_streams_equal_batch_on_closed_windows(spark, tmp_path):
+def test_streams_equal_batch(spark, tmp_path):
+    """Three files, one micro-batch each, then the end marker: all windows and runs, also those across batches."""
     start = ts("2026-01-01 12:00:00")
     rows = [(c, i, start + dt.timedelta(minutes=20 * i + (600 if i > 100 else 0)), float((i * 7) % 60), 120.0) for c in (1, 2) for i in range(300)]
     df = spark.createDataFrame(rows, "card_id long, seq long, ts timestamp, value double, sample_seconds double")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for part in range(3):
+        df.where(F.floor(F.col("seq") / 100) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
     def run(build, name):
-        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-        q = (build(stream).writeStream.format("parquet").option("path", str(tmp_path / name))
-             .option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start())
-        q.awaitTermination()
-        return spark.read.parquet(str(tmp_path / name))
-
-    days = run(twins.stream_day_rollup, "days").collect()
-    batch = {(r[0], r[1]): (r[2], r[3], r[4]) for r in df.groupBy("card_id", dates.clinical_day("ts")).agg(F.count("*"), F.sum("value"), F.max("value")).collect()}
-    assert days and all(batch[(r.card_id, r.clinical_day)] == (r.n, r.total, r.top) for r in days)
-
-    masks = run(lambda s: twins.stream_mask_sessions(s, "3 hours"), "masks").collect()
-    want = series.mask_sessions(df, ["card_id"], ["ts", "seq"], F.lit(True), gap_seconds=3 * 3600.0)
-    known = {(r.card_id, r.start_ts): (r.end_ts, r.n_samples) for r in want.collect()}
-    assert masks and all(known[(r.card_id, r.start_ts)] == (r.end_ts, r.n_samples) for r in masks)
-
-    runs = run(twins.stream_episodes, "runs").collect()
-    batch_runs = {(r.card_id, r.start_ts): (r.end_ts, r.n_samples, r.peak) for r in series.threshold_runs(df, ["card_id"], ["ts", "seq"]).collect()}
-    assert len(runs) >= len(batch_runs) - 2
-    assert all(batch_runs[(r.card_id, r.start_ts)] == (r.end_ts, r.n_samples, r.peak) for r in runs)
+        end = str(tmp_path / f"{name}-end")
+        spark.createDataFrame([], df.schema).write.parquet(end)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        writer = (build(twins.with_end(stream, end)).writeStream.format("parquet").option("path", str(tmp_path / name))
+                  .option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True))
+        writer.start().awaitTermination()
+        twins.mark_end(spark, df.schema, end)
+        writer.start().awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect()))
+
+    days = df.groupBy("card_id", dates.clinical_day("ts").alias("d")).agg(F.count("*"), F.sum("value"), F.max("value"))
+    assert run(twins.stream_day_rollup, "days") == sorted(map(tuple, days.collect()))
+
+    active = F.col("value") > 40
+    masks = series.mask_sessions(df, ["card_id"], ["ts", "seq"], active, gap_seconds=3 * 3600.0, tail_seconds=1200.0)
+    assert run(lambda s: twins.stream_mask_sessions(s, active, "3 hours", 1200.0), "masks") == sorted(map(tuple, masks.collect()))
+
+    runs = series.threshold_runs(df, ["card_id"], ["ts", "seq"]).select("card_id", "start_ts", "end_ts", "n_samples", "peak")
+    assert run(twins.stream_episodes, "runs") == sorted(map(tuple, runs.collect()))
