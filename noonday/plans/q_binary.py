@@ -48,16 +48,45 @@ def edf_files(spark, sf):
 @query(
     "decode_edf",
     with_views(SAMPLES, body="""
-SELECT card_id, day, rn - 1 AS seq, CAST(day AS TIMESTAMP) + INTERVAL 22 HOUR + to_seconds(2 * (rn - 1)) AS ts, round(floor(value * 10) / 10, 6) AS value
-FROM (SELECT card_id, CAST(ts - INTERVAL 12 HOUR AS DATE) AS day, value,
+, leak AS (SELECT card_id, day, rn, n, floor(value * 10) / 10 AS value FROM (SELECT card_id, CAST(ts - INTERVAL 12 HOUR AS DATE) AS day, value,
         row_number() OVER (PARTITION BY card_id, CAST(ts - INTERVAL 12 HOUR AS DATE) ORDER BY ts, seq) AS rn,
         count(*) OVER (PARTITION BY card_id, CAST(ts - INTERVAL 12 HOUR AS DATE)) AS n FROM samples)
-WHERE card_id % 10 <> 9 OR 768 + 6 * n <= 780"""),
+  WHERE card_id % 10 <> 9 OR 768 + 6 * n <= 780)
+SELECT card_id, day, 'Leak' AS channel, 'L/min' AS unit, rn - 1 AS seq, 2.0::DOUBLE AS sample_seconds,
+  CAST(day AS TIMESTAMP) + INTERVAL 22 HOUR + to_seconds(2 * (rn - 1)) AS ts, round(value, 6) AS value FROM leak
+UNION ALL
+SELECT card_id, day, 'Flat', 'x', 2 * (rn - 1) + h, 1.0::DOUBLE, CAST(day AS TIMESTAMP) + INTERVAL 22 HOUR + to_seconds(2 * (rn - 1) + h),
+  CASE h WHEN 0 THEN -100.0::DOUBLE ELSE round(32768 * (200.0::DOUBLE / 65535) - 100, 6) END
+FROM leak, (VALUES (0), (1)) AS t(h)"""),
     days="day", times="ts",
 )
 def decode_edf(spark, sf):
     samples = binary.read_edf(edf_files(spark, sf), ["card_id", "day"])
-    return samples.where("channel = 'Leak'").select("card_id", "day", "seq", "ts", "value")
+    return samples.select("card_id", "day", "channel", "unit", "seq", "sample_seconds", "ts", "value")
+
+
+def damaged_files(spark, sf):
+    """The recordings, some of them spoilt by the last digit of the card: cut, packed and cut, no number, no header."""
+    content, digit = F.col("content"), F.col("card_id") % 10
+    no_number = F.concat(F.substring(content, 1, 236), F.encode(F.lit("nan     "), "ISO-8859-1"), F.expr("substring(content, 245)"))
+    return edf_files(spark, sf).withColumn(
+        "content",
+        F.when(digit == 0, F.concat(F.unhex(F.lit("1F8B08000000000000FF")), F.substring(content, 1, 40)))
+        .when(digit == 1, no_number).when(digit == 2, F.substring(content, 1, 200)).when(digit == 3, F.lit(None)).otherwise(content),
+    )
+
+
+@query(
+    "reject_edf",
+    with_views(SAMPLES, body="""
+SELECT card_id, CAST(ts - INTERVAL 12 HOUR AS DATE) AS day, CASE card_id % 10
+  WHEN 0 THEN 'gzip stream is truncated or corrupt' WHEN 1 THEN 'header numbers are missing or not positive'
+  WHEN 2 THEN 'shorter than a header' WHEN 3 THEN 'shorter than a header' ELSE 'data ends before the last record' END AS reason
+FROM samples GROUP BY card_id, day HAVING card_id % 10 IN (0, 1, 2, 3) OR (card_id % 10 = 9 AND 768 + 6 * count(*) > 780)"""),
+    days="day",
+)
+def reject_edf(spark, sf):
+    return binary.rejected_edf(damaged_files(spark, sf), ["card_id", "day"])
 
 
 LAYOUT = (

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import gzip
 import io
+import math
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,36 +63,43 @@ def _ascii(data: bytes, start: int, width: int) -> str:
 
 def _number(text: str) -> float | None:
     try:
-        return float(text)
+        value = float(text)
     except ValueError:
         return None
+    return value if math.isfinite(value) else None
+
+
+class Damaged(ValueError):
+    """A file that can't be read, with the reason as its text."""
 
 
 def edf_signals(data: bytes) -> Iterator[tuple]:
-    """Signals of one recording as rows of at most 65,536 samples; nothing for a damaged or truncated file."""
+    """Signals of one recording as rows of at most 65,536 samples; :class:`Damaged` for a file that can't be read."""
     if data[:2] == b"\x1f\x8b":
         try:
             data = gzip.decompress(data)
-        except OSError:
-            return
+        except (OSError, EOFError, zlib.error) as error:
+            raise Damaged("gzip stream is truncated or corrupt") from error
     if len(data) < EDF_HEADER:
-        return
+        raise Damaged("shorter than a header")
     header, records, seconds, count = (
         _number(_ascii(data, at, width)) for at, width in ((184, 8), (236, 8), (244, 8), (252, 4))
     )
-    if not header or not records or not count or min(header, records, count) <= 0 or header > len(data):
-        return
+    if not header or not records or not count or min(header, records, count) <= 0:
+        raise Damaged("header numbers are missing or not positive")
+    if header > len(data) or EDF_HEADER * (count + 1) > header:
+        raise Damaged("header does not fit the file")
     header, records, count = int(header), int(records), int(count)
-    if EDF_HEADER * (count + 1) > header:
-        return
     fields, at = {}, EDF_HEADER
     for name, width in EDF_SIGNAL_FIELDS:
         fields[name] = [_ascii(data, at + i * width, width) for i in range(count)]
         at += width * count
     sizes = [max(0, int(_number(n) or 0)) for n in fields["samples"]]
     row = sum(sizes)
-    if row <= 0 or header + row * 2 * records > len(data):
-        return
+    if row <= 0:
+        raise Damaged("no signal has samples")
+    if header + row * 2 * records > len(data):
+        raise Damaged("data ends before the last record")
     grid = np.frombuffer(data, "<i2", count=row * records, offset=header).reshape(records, row)
     begin = 0
     for i, size in enumerate(sizes):
@@ -112,6 +121,54 @@ def edf_signals(data: bytes) -> Iterator[tuple]:
         begin += size
 
 
+def _each_file(batches: Iterator[pa.RecordBatch], keys: Sequence[str], content: str) -> Iterator[tuple[pa.RecordBatch, bytes]]:
+    """One file at a time: its keys as a batch of one row, and its bytes.  A batch of files is never copied as a whole."""
+    for batch in batches:
+        own, data = batch.select(list(keys)), batch.column(content)
+        for i in range(batch.num_rows):
+            yield own.slice(i, 1), data[i].as_py() or b""
+
+
+def _portions(signals: Iterator[tuple]) -> Iterator[list[tuple]]:
+    rows, samples = [], 0
+    for signal in signals:
+        rows.append(signal)
+        samples += len(signal[-1])
+        if samples >= SAMPLES_PER_BATCH:
+            yield rows
+            rows, samples = [], 0
+    if rows:
+        yield rows
+
+
+def _beside(own: pa.RecordBatch, n: int, columns: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """The keys of one file, repeated, beside ``n`` rows of ``columns``."""
+    repeated = own.take(pa.array([0] * n, pa.int32()))
+    arrays = [*repeated.columns, *[pa.array(v, types[k]) for k, v in columns.items()]]
+    return pa.record_batch(arrays, names=[*own.schema.names, *columns])
+
+
+EDF_TYPES = {
+    "channel": pa.string(), "unit": pa.string(), "start_date": pa.string(), "start_time": pa.string(), "record_seconds": pa.float64(),
+    "samples_per_record": pa.int32(), "first_seq": pa.int64(), "data": pa.list_(pa.float64()),
+}
+
+
+def rejected_edf(files: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
+    """Files that :func:`read_edf` leaves out: keys and ``reason``."""
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, data in _each_file(batches, keys, content):
+            try:
+                for _ in edf_signals(data):
+                    pass
+            except Damaged as reason:
+                yield _beside(own, 1, {"reason": [str(reason)]}, {"reason": pa.string()})
+
+    source = files.select(*keys, content)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keys)
+    return source.mapInArrow(test, f"{key_schema}, reason string")
+
+
 def read_edf(files: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
     """Long samples of EDF recordings: keys, channel, seq, ts, value, sample_seconds.
 
@@ -119,22 +176,17 @@ def read_edf(files: DataFrame, keys: Sequence[str], content: str = "content") ->
     """
     names = [c.split()[0] for c in EDF_COLUMNS.split(", ")]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, samples = [], 0
-            for record in batch.to_dict("records"):
-                for signal in edf_signals(bytes(record[content] or b"")):
-                    rows.append((*[record[k] for k in keys], *signal))
-                    samples += len(signal[-1])
-                    if samples >= SAMPLES_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=[*keys, *names])
-                        rows, samples = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=[*keys, *names])
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, data in _each_file(batches, keys, content):
+            try:
+                for some in _portions(edf_signals(data)):
+                    yield _beside(own, len(some), dict(zip(names, zip(*some, strict=True), strict=True)), EDF_TYPES)
+            except Damaged:
+                continue
 
     source = files.select(*keys, content)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keys)
-    signals = source.mapInPandas(decode, f"{key_schema}, {EDF_COLUMNS}")
+    signals = source.mapInArrow(decode, f"{key_schema}, {EDF_COLUMNS}")
     step = F.col("record_seconds") / F.col("samples_per_record")
     start = edf_datetime("start_date", "start_time")
     return (
@@ -205,31 +257,40 @@ MEMBER = re.compile(r"^(event|signal)_(\d{6})\.(?:xml|wmedf)$", re.IGNORECASE)
 
 
 def zip_members(files: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
-    """Session members of zip containers: keys, session, kind, content.  Batches are cut at 16 MB."""
+    """Session members of zip containers: keys, place, session, kind, member, reason.
+
+    A container or member that can't be read is a row without ``member`` that tells the ``reason``.
+    """
     source = files.select(*keys, content)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keys)
+    types = {"place": pa.int32(), "session": pa.string(), "kind": pa.string(), "member": pa.binary(), "reason": pa.string()}
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*keys, "place", "session", "kind", "member"]
-        for batch in batches:
-            rows, held = [], 0
-            for record in batch.to_dict("records"):
+    def members(data: bytes) -> Iterator[tuple]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(data))
+        except (zipfile.BadZipFile, OSError, ValueError):
+            yield None, None, None, None, "not a readable container"
+            return
+        for place, info in enumerate(archive.infolist()):
+            if hit := MEMBER.match(info.filename.rsplit("/", 1)[-1]):
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(bytes(record[content] or b"")))
-                except zipfile.BadZipFile:
-                    continue
-                for place, info in enumerate(archive.infolist()):
-                    hit = MEMBER.match(info.filename.rsplit("/", 1)[-1])
-                    if hit:
-                        rows.append((*[record[k] for k in keys], place, hit[2], hit[1].lower(), archive.read(info)))
-                        held += info.file_size
-                        if held >= BYTES_PER_BATCH:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows, held = [], 0
+                    yield place, hit[2], hit[1].lower(), archive.read(info), None
+                except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError):
+                    yield place, hit[2], hit[1].lower(), None, "member is damaged, encrypted or packed in an unknown way"
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, data in _each_file(batches, keys, content):
+            rows, held = [], 0
+            for row in members(data):
+                rows.append(row)
+                held += len(row[3] or b"")
+                if held >= BYTES_PER_BATCH:
+                    yield _beside(own, len(rows), dict(zip(types, zip(*rows, strict=True), strict=True)), types)
+                    rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield _beside(own, len(rows), dict(zip(types, zip(*rows, strict=True), strict=True)), types)
 
-    return source.mapInPandas(unpack, f"{key_schema}, place int, session string, kind string, member binary")
+    return source.mapInArrow(unpack, f"{key_schema}, place int, session string, kind string, member binary, reason string")
 
 
 def pair_members(members: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -238,6 +299,6 @@ def pair_members(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     def pick(kind: str) -> Column:
         return F.min_by("member", F.when(F.col("kind") == kind, F.col("place")))
 
-    return members.groupBy(*keys, "session").agg(
+    return members.where("reason IS NULL").groupBy(*keys, "session").agg(
         pick("event").cast("string").alias("event_text"), pick("signal").alias("signal_bytes")
     )

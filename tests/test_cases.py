@@ -358,6 +358,30 @@ def test_fixed_records(spark):
     assert [r.record for r in got] == [0, 2] and got[0].w == 70000
 
 
+def test_damaged_recordings_are_rows_with_a_reason(spark):
+    data, packed = edf(), gzip.compress(edf())
+    header = lambda text: data[:236] + text.ljust(8).encode() + data[244:]
+    blobs = [data, packed[:-9], packed[:20] + b"\0\0\0\0" + packed[24:], header("nan"), header("inf"), header("-1"), b"", None, data[:-1]]
+    frame = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(blobs)], "card_id long, content binary")
+    assert {r.card_id for r in binary.read_edf(frame, ["card_id"]).collect()} == {0}
+    reasons = {r.card_id: r.reason for r in binary.rejected_edf(frame, ["card_id"]).collect()}
+    assert sorted(reasons) == list(range(1, 9)) and "gzip" in reasons[1] and "gzip" in reasons[2] and "numbers" in reasons[3]
+
+
+def test_damaged_members_are_rows_with_a_reason(spark):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("event_000001.xml", "<a/>" * 50)
+        z.writestr("event_000002.xml", "<b/>" * 50)
+    good = buffer.getvalue()
+    bad = good.replace(b"<a/><a/>", b"<a/><x/>", 1)
+    frame = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(bad)), (3, bytearray(b"junk")), (4, None)], "card_id long, content binary")
+    found = binary.zip_members(frame, ["card_id"])
+    told = {(r.card_id, r.session) for r in found.where("reason IS NOT NULL").collect()}
+    assert told == {(2, "000001"), (3, None), (4, None)}
+    assert {(r.card_id, r.session) for r in binary.pair_members(found, ["card_id"]).collect()} == {(1, "000001"), (1, "000002"), (2, "000002")}
+
+
 def test_zip_members(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
