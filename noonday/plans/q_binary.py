@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -167,7 +168,7 @@ def explode_archive(spark, sf):
 )
 def write_prepared(spark, sf):
     """Day buckets written once in card folders and read back."""
-    path = f"{checkpoint_dir(spark)}/prepared-{spark.sparkContext.applicationId}"
+    path = f"{checkpoint_dir(spark)}/prepared-{uuid.uuid4().hex}"
     sinks.write_prepared(rollup.day_parts(a.records(spark, sf)), path)
     return sinks.read_prepared(spark, path).select("card_id", "clinical_day", "usage_hours_sum", "n_records")
 
@@ -181,7 +182,7 @@ WHERE date >= TIMESTAMP '2024-01-31' - to_days(r.range_days) GROUP BY ALL"""),
 )
 def write_reports(spark, sf):
     """One folder per range, read back."""
-    path = f"{checkpoint_dir(spark)}/reports-{spark.sparkContext.applicationId}"
+    path = f"{checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
     end = F.lit("2024-01-31").cast("timestamp")
     ranges = a.records(spark, sf).withColumn("range_days", F.explode(F.array(F.lit(30), F.lit(7))))
     counted = ranges.where(F.col("date") >= end - F.make_dt_interval(F.col("range_days"))).groupBy("card_id", "range_days").agg(

@@ -202,7 +202,10 @@ SELECT file_id, CASE WHEN p = 0 THEN 'CPAP' WHEN p = 1 THEN 'APAP' ELSE 'BiPAP'
   CASE WHEN p = 0 THEN 'Fixed ' || (k % 20 + 4) || ' cmH2O' END AS pressure,
   CASE WHEN p = 1 THEN (k % 9 + 4) || '.5 cmH2O' END AS pressure_min,
   CASE WHEN p = 2 THEN (k % 6 + 4) || ' cmH2O' END AS epap, CASE WHEN p = 2 THEN (k % 8 + 10) || ' cmH2O' END AS ipap,
-  CASE WHEN p <> 2 THEN 'EPR: On ' || (k % 3 + 1) || ' (full time)' END AS pressure_relief,
+  CASE WHEN p <> 2 THEN 'EPR: On ' || (k % 3 + 1) || ' (full time)' ELSE 'PS: ' || (k % 4 + 2) || ' cmH2O' END AS pressure_relief,
+  CASE WHEN p = 1 THEN '20 cmH2O' END AS pressure_max, p = 1 AS pressure_auto,
+  CASE WHEN p = 2 THEN (k % 15 + 8) || ' bpm' END AS respiratory_rate, CASE WHEN p = 2 THEN (k % 400 + 200) || ' mL' END AS tidal_volume,
+  CASE WHEN p = 2 AND k % 4 <> 0 THEN (k % 3 + 4) || ' cmH2O' END AS ramp_pressure,
   CASE WHEN k % 4 = 0 THEN 'Off' WHEN k % 45 = 1 THEN '1 minute' WHEN k % 45 = 0 THEN 'Off' ELSE k % 45 || ' minutes' END AS ramp_time,
   CAST((k % 12) * 60 + 30 AS BIGINT) AS offset_minutes
 FROM (SELECT o_orderkey AS file_id, o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 3 END AS p FROM orders)""",
@@ -214,7 +217,7 @@ def parse_settings_json(spark, sf):
     def obj(*pairs):
         parts = []
         for name, value in pairs:
-            parts += [F.lit(f'"{name}":'), value if not isinstance(value, str) else F.lit(value), F.lit(",")]
+            parts += [F.lit(f'"{name}":') if isinstance(name, str) else F.concat(text(name), F.lit(":")), value if not isinstance(value, str) else F.lit(value), F.lit(",")]
         return F.concat(F.lit("{"), *parts[:-1], F.lit("}"))
 
     def text(c):
@@ -225,7 +228,11 @@ def parse_settings_json(spark, sf):
         ("Empty", '{"SetPressure":1}'),
         ("Fixed", obj(("TherapyMode", '"CPAP"'), ("SetPressure", s(k % 20 + 4)))),
         ("Auto", obj(("TherapyMode", '"AutoSet"'), ("MinPressure", F.concat(s(k % 9 + 4), F.lit(".50"))), ("MaxPressure", "20"))),
-        ("Level", obj(("TherapyMode", '"BiLevel"'), ("EPAP", s(k % 6 + 4)), ("IPAP", s(k % 8 + 10)))),
+        ("Level", obj(
+            ("TherapyMode", '"BiLevel"'), (F.when(k % 2 == 0, "Epap").otherwise("EPAP"), s(k % 6 + 4)), (F.when(k % 2 == 0, "Ipap").otherwise("IPAP"), s(k % 8 + 10)),
+            ("Ps", s(k % 4 + 2)), ("RR", s(k % 15 + 8)), (F.when(k % 2 == 0, "TargetVT").otherwise("TidalVolumeTarget"), s(k % 400 + 200)),
+            ("StartPress", s(k % 3 + 4)),
+        )),
     )
     features = obj(
         ("TimeZoneFeature", obj(("TimeZoneOffset", text(F.concat(F.lit("+"), F.lpad(s(k % 12), 2, "0"), F.lit(":30")))))),
@@ -236,9 +243,7 @@ def parse_settings_json(spark, sf):
         ("ActiveProfiles", obj(("TherapyProfile", text(active)))), ("TherapyProfiles", profiles), ("FeatureProfiles", features),
     )))))
     files = orders(spark, sf).select("file_id", body.alias("text"))
-    return t.json_settings(files, K).select(
-        "file_id", "mode", "pressure", "pressure_min", "epap", "ipap", "pressure_relief", "ramp_time", "offset_minutes"
-    )
+    return t.json_settings(files, K)
 
 
 @query(

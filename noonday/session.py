@@ -34,6 +34,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder the cluster names for checkpoints; a private one only where none is named (tests)."""
+    """Folder that the cluster names for checkpoints, which the driver and all executors share.
+
+    Without one an error is raised, except in local mode, where a temporary folder is made once and named.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="noonday-checkpoint-")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="noonday-checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made

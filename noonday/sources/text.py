@@ -400,15 +400,32 @@ def any_records(files: DataFrame, keys: Sequence[str], text: str = "text") -> Da
 
 # --- JSON settings ---------------------------------------------------------------------------------------------
 
-_NUMBERS = (
-    "SetPressure MinPressure MaxPressure EPAP Epap IPAP Ipap MinEPAP MinEpap MaxEPAP MaxEpap MinIPAP MinIpap MaxIPAP "
-    "MaxIpap PressureSupport PS MinPressureSupport MinPS MaxPressureSupport MaxPS BackupRate RespiratoryRate RR TargetVt "
-    "SetVt TidalVolume RampTime RampPressure StartPressure"
-).split()
-_PROFILE = "STRUCT<TherapyMode STRING, " + ", ".join(f"`{n}` DOUBLE" for n in _NUMBERS) + ">"
+# Names of the numbers of a therapy profile, each with its aliases in order of preference.
+PROFILE_NUMBERS = {
+    "set_pressure": ("SetPressure",),
+    "min_pressure": ("MinPressure",),
+    "max_pressure": ("MaxPressure",),
+    "epap": ("EPAP", "Epap"),
+    "ipap": ("IPAP", "Ipap"),
+    "min_epap": ("MinEPAP", "MinEpap"),
+    "max_epap": ("MaxEPAP", "MaxEpap"),
+    "min_ipap": ("MinIPAP", "MinIpap"),
+    "max_ipap": ("MaxIPAP", "MaxIpap"),
+    "support": ("PressureSupport", "PS", "Ps"),
+    "min_support": ("MinPressureSupport", "MinPS"),
+    "max_support": ("MaxPressureSupport", "MaxPS"),
+    "rate": ("BackupRate", "RespiratoryRate", "RR"),
+    "volume": (
+        "TargetVt", "TargetVT", "TgtVt", "TgtVT", "SetVt", "SetVT", "TidalVolume", "TargetTidalVolume", "TidalVolumeTarget",
+    ),
+    "ramp_enable": ("RampEnable", "RampEnabled"),
+    "ramp_time": ("RampTime", "RampTimeMinutes"),
+    "ramp_pressure": ("RampPressure", "StartPressure", "RampStartPressure", "StartPress"),
+}
+# A profile is read as it stands, so names that differ in case only stay apart.
 SETTINGS_JSON = (
     "FlowGenerator STRUCT<SettingProfiles STRUCT<ActiveProfiles STRUCT<TherapyProfile STRING>, "
-    f"TherapyProfiles MAP<STRING, {_PROFILE}>, "
+    "TherapyProfiles MAP<STRING, MAP<STRING, STRING>>, "
     "FeatureProfiles STRUCT<TimeZoneFeature STRUCT<TimeZoneOffset STRING>, "
     "AutoRampFeature STRUCT<RampEnable STRING, RampTime DOUBLE>, "
     "EprFeature STRUCT<EprEnable STRING, EprPressure DOUBLE, EprType STRING>>>>"
@@ -417,14 +434,13 @@ SETTINGS_JSON = (
 
 def json_settings(files: DataFrame, keys: Sequence[str], text: str = "text", device: Column | None = None) -> DataFrame:
     """Machine settings from nested JSON: the active profile, else the first one that names a mode."""
-    # Field names that differ only in case are aliases of one another, so JSON is read case-sensitively per file.
-    root = F.from_json(_c(text), _fold_case(SETTINGS_JSON))
+    root = F.from_json(_c(text), SETTINGS_JSON)
     profiles = files.select(*keys, root["FlowGenerator"]["SettingProfiles"].alias("s")).where(
         "s IS NOT NULL AND s.TherapyProfiles IS NOT NULL"
     )
     active = F.col("s.ActiveProfiles.TherapyProfile")
     first = F.try_element_at(
-        F.filter(F.map_entries("s.TherapyProfiles"), lambda e: e["value"]["TherapyMode"].isNotNull()), F.lit(1)
+        F.filter(F.map_entries("s.TherapyProfiles"), lambda e: F.try_element_at(e["value"], F.lit("TherapyMode")).isNotNull()), F.lit(1)
     )
     own = F.try_element_at("s.TherapyProfiles", active)
     chosen = profiles.select(
@@ -432,27 +448,31 @@ def json_settings(files: DataFrame, keys: Sequence[str], text: str = "text", dev
         F.when(own.isNotNull(), active).otherwise(first["key"]).alias("profile_name"),
         F.coalesce(own, first["value"]).alias("p"),
     ).where("p IS NOT NULL")
+    field = lambda name: F.try_element_at("p", F.lit(name))
+    chosen = chosen.withColumns(
+        {
+            "therapy_mode": field("TherapyMode"),
+            **{name: F.coalesce(*[field(x).try_cast("double") for x in aliases]) for name, aliases in PROFILE_NUMBERS.items()},
+        }
+    )
     device_text = device if device is not None else F.lit(None).cast("string")
-    moded = chosen.withColumn("base_mode", mode_from_profile("p.TherapyMode", "profile_name", device_text))
-
-    def n(*names: str) -> Column:
-        return F.coalesce(*[F.col(f"p.{x}") for x in names])
+    moded = chosen.withColumn("base_mode", mode_from_profile("therapy_mode", "profile_name", device_text))
 
     def cm(value: Column) -> Column:
         return F.when(value.between(0, 80), F.concat(trimmed(value, 2), F.lit(" cmH2O")))
 
-    labelled = F.concat_ws(" ", "profile_name", "p.TherapyMode", device_text).rlike(r"(?i)\bvauto\b")
+    labelled = F.concat_ws(" ", "profile_name", "therapy_mode", device_text).rlike(r"(?i)\bvauto\b")
     bilevel, auto, fixed = (F.col("base_mode") == m for m in ("BiPAP", "APAP", "CPAP"))
     vauto = bilevel & labelled
-    e_lo, e_hi, i_lo, i_hi = cm(n("MinEPAP")), cm(n("MaxEPAP")), cm(n("MinIPAP")), cm(n("MaxIPAP"))
+    e_lo, e_hi, i_lo, i_hi = cm(F.col("min_epap")), cm(F.col("max_epap")), cm(F.col("min_ipap")), cm(F.col("max_ipap"))
     auto_bilevel = bilevel & (vauto | e_lo.isNotNull() | i_hi.isNotNull())
-    support = F.concat(F.lit("PS: "), F.coalesce(cm(n("PressureSupport", "PS")),
-                                                 joined_range(cm(n("MinPressureSupport", "MinPS")), cm(n("MaxPressureSupport", "MaxPS")))))
+    support = F.concat(F.lit("PS: "), F.coalesce(cm(F.col("support")),
+                                                 joined_range(cm(F.col("min_support")), cm(F.col("max_support")))))
     ramp = F.col("s.FeatureProfiles.AutoRampFeature")
     toggle = F.when(F.lower(ramp["RampEnable"]) == "on", 1).when(F.lower(ramp["RampEnable"]) == "off", 0).otherwise(
-        ramp["RampEnable"].try_cast("int")
+        F.coalesce(ramp["RampEnable"].try_cast("int"), F.when(ramp["RampEnable"].isNull(), F.col("ramp_enable").cast("int")))
     )
-    ramp_time, ramp_pressure = ramp_rule(toggle, F.coalesce(ramp["RampTime"], n("RampTime")), n("RampPressure", "StartPressure"))
+    ramp_time, ramp_pressure = ramp_rule(toggle, F.coalesce(ramp["RampTime"], F.col("ramp_time")), F.col("ramp_pressure"))
     epr = F.col("s.FeatureProfiles.EprFeature")
     epr_level = F.when(epr["EprPressure"] > 0, F.concat(F.lit(" "), trimmed(epr["EprPressure"], 2))).otherwise("")
     epr_type = F.when(F.lower(epr["EprType"]) == "fulltime", " (full time)").when(
@@ -461,21 +481,21 @@ def json_settings(files: DataFrame, keys: Sequence[str], text: str = "text", dev
     epr_text = F.when(F.lower(epr["EprEnable"]) == "off", "EPR: Off").when(
         F.lower(epr["EprEnable"]) == "on", F.concat(F.lit("EPR: On"), epr_level, epr_type)
     )
-    rate, volume = n("BackupRate", "RespiratoryRate", "RR"), n("TargetVt", "SetVt", "TidalVolume")
+    rate, volume = F.col("rate"), F.col("volume")
     ml = F.when(volume <= 5, volume * 1000).otherwise(volume)
     return moded.select(
         *keys,
         F.when(vauto, "VAuto").otherwise(F.col("base_mode")).alias("mode"),
-        F.when(fixed, F.concat(F.lit("Fixed "), cm(n("SetPressure")))).alias("pressure"),
-        F.when(auto, cm(n("MinPressure"))).when(auto_bilevel, F.coalesce(e_lo, i_lo)).alias("pressure_min"),
-        F.when(auto, cm(n("MaxPressure"))).when(auto_bilevel, F.coalesce(i_hi, e_hi)).alias("pressure_max"),
+        F.when(fixed, F.concat(F.lit("Fixed "), cm(F.col("set_pressure")))).alias("pressure"),
+        F.when(auto, cm(F.col("min_pressure"))).when(auto_bilevel, F.coalesce(e_lo, i_lo)).alias("pressure_min"),
+        F.when(auto, cm(F.col("max_pressure"))).when(auto_bilevel, F.coalesce(i_hi, e_hi)).alias("pressure_max"),
         (auto | auto_bilevel).alias("pressure_auto"),
-        F.when(bilevel, F.coalesce(cm(n("EPAP")), joined_range(e_lo, e_hi))).alias("epap"),
+        F.when(bilevel, F.coalesce(cm(F.col("epap")), joined_range(e_lo, e_hi))).alias("epap"),
         F.when(
             bilevel,
             F.coalesce(
-                cm(n("IPAP")), F.concat(i_lo, F.lit("-"), i_hi),
-                F.when(e_lo.isNotNull() & n("PressureSupport", "PS").isNotNull(), i_hi), i_lo, i_hi,
+                cm(F.col("ipap")), F.concat(i_lo, F.lit("-"), i_hi),
+                F.when(e_lo.isNotNull() & F.col("support").isNotNull(), i_hi), i_lo, i_hi,
             ),
         ).alias("ipap"),
         F.when(bilevel & (rate >= 0), F.concat(trimmed(rate, 2), F.lit(" bpm"))).alias("respiratory_rate"),
@@ -487,13 +507,6 @@ def json_settings(files: DataFrame, keys: Sequence[str], text: str = "text", dev
     )
 
 
-def _fold_case(schema: str) -> str:
-    """Schema without field names that repeat in another case (Spark matches JSON names without case by default)."""
-    for name in ("Epap", "Ipap", "MinEpap", "MaxEpap", "MinIpap", "MaxIpap"):
-        schema = schema.replace(f", `{name}` DOUBLE", "")
-    return schema
-
-
 # --- XML events ------------------------------------------------------------------------------------------------
 
 # Respiratory event codes.
