@@ -151,23 +151,23 @@ def day_rows(spark, sf, kinds):
     "valid_days_intersect",
     with_views(SAMPLES, SAMPLE_DAYS, body="""
 SELECT card_id, clinical_day FROM sample_days WHERE event_type IN ('view', 'click')
-INTERSECT SELECT card_id, clinical_day FROM sample_days WHERE event_type IN ('error', 'signup')"""),
+INTERSECT SELECT card_id, clinical_day FROM sample_days WHERE event_type IN ('error', 'signup', 'purchase')"""),
     days="clinical_day",
 )
 def valid_days_intersect(spark, sf):
-    return c.days_in_both(day_rows(spark, sf, ["view", "click"]), day_rows(spark, sf, ["error", "signup"]))
+    return c.days_in_both(day_rows(spark, sf, ["view", "click"]), day_rows(spark, sf, ["error", "signup", "purchase"]))
 
 
 @query(
     "days_except",
     with_views(SAMPLES, SAMPLE_DAYS, body="""
 SELECT card_id, clinical_day FROM sample_days WHERE event_type IN ('view', 'click')
-EXCEPT SELECT card_id, clinical_day FROM sample_days WHERE event_type IN ('error', 'signup')"""),
+EXCEPT SELECT card_id, clinical_day FROM sample_days WHERE event_type IN ('error', 'signup', 'purchase')"""),
     days="clinical_day",
 )
 def days_except(spark, sf):
     left = day_rows(spark, sf, ["view", "click"]).select("card_id", "clinical_day").distinct()
-    return c.days_only_in(left, day_rows(spark, sf, ["error", "signup"]))
+    return c.days_only_in(left, day_rows(spark, sf, ["error", "signup", "purchase"]))
 
 
 @query(
@@ -203,9 +203,27 @@ def session_dedupe_exact(spark, sf):
     return c.distinct_sessions(coarse)
 
 
-@query("session_dedupe_fuzzy", times="start_ts end_ts")
+FUZZY = """
+doubled AS (
+  SELECT DISTINCT card_id, epoch_us(start_ts) + n * 1000000 AS s, epoch_us(end_ts) + n * 1000000 AS e
+  FROM sessions, (VALUES (0), (90), (150)) AS t(n)),
+walks AS (SELECT card_id, list({'s': s, 'e': e} ORDER BY s, e) AS l FROM doubled GROUP BY card_id),
+walked AS (
+  SELECT card_id, list_reduce(
+    list_transform(l, lambda x: [x]),
+    lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: abs(k.s - x[1].s) <= 120000000 AND abs(k.e - x[1].e) <= 120000000)) > 0
+      THEN kept ELSE list_concat(kept, x) END,
+    CAST([] AS STRUCT(s BIGINT, e BIGINT)[])) AS kept FROM walks),
+distinct_fuzzy AS (
+  SELECT card_id, make_timestamp(k.s) AS start_ts, make_timestamp(k.e) AS end_ts FROM (SELECT card_id, unnest(kept) AS k FROM walked))"""
+
+
+@query(
+    "session_dedupe_fuzzy",
+    with_views(SESSIONS, FUZZY, body="SELECT card_id, start_ts, end_ts FROM distinct_fuzzy"),
+    times="start_ts end_ts",
+)
 def session_dedupe_fuzzy(spark, sf):
-    """The walk depends on what was kept before, which SQL cannot say; tests compare it with brute force."""
     return c.fuzzy_distinct_sessions(doubled_sessions(spark, sf))
 
 

@@ -42,14 +42,14 @@ event_days AS (
     "event_override",
     with_views(RECORDS, SAMPLES, EVENT_DAYS, body="""
 SELECT r.card_id, r.seq, round(CASE WHEN n > 0 AND usage_hours > 0 THEN n / usage_hours ELSE ahi END, 6) AS ahi
-FROM records r LEFT JOIN (SELECT * FROM event_days WHERE n <> 2) e
+FROM records r LEFT JOIN event_days e
   ON r.card_id = e.card_id AND CAST(r.date - INTERVAL 12 HOUR AS DATE) = e.clinical_day"""),
 )
 def event_override(spark, sf):
     sessions = a.records(spark, sf).select(
         "card_id", "seq", clinical_day("date").alias("clinical_day"), "usage_hours", "ahi"
     )
-    out = m.override_ahi(sessions, event_days(spark, sf).where("event_count <> 2"), DAY)
+    out = m.override_ahi(sessions, event_days(spark, sf), DAY)
     return out.select("card_id", "seq", "ahi")
 
 
@@ -117,7 +117,7 @@ SLICES = """
 slices AS (
   SELECT o_orderkey AS slice_no, o_custkey % 97 AS file_id, CAST(floor(o_totalprice) AS BIGINT) AS from_offset,
     CAST(floor(o_totalprice) AS BIGINT) + 400 + o_orderkey % 4000 AS to_offset
-  FROM orders WHERE o_orderstatus <> 'P'),
+  FROM orders),
 recs AS (
   SELECT o_orderkey AS rec, o_custkey % 97 AS file_id, CAST(floor(o_totalprice / 2) AS BIGINT) * 2 AS off FROM orders)"""
 
@@ -132,7 +132,7 @@ GROUP BY r.file_id, r.rec"""),
 def offset_range_join(spark, sf):
     orders = a.read(spark, sf, "orders").withColumn("file_id", F.col("o_custkey") % 97)
     start = F.floor("o_totalprice")
-    slices = orders.where("o_orderstatus <> 'P'").select(
+    slices = orders.select(
         "file_id", F.col("o_orderkey").alias("slice_no"), start.alias("from_offset"),
         (start + 400 + F.col("o_orderkey") % 4000).alias("to_offset"),
     )
@@ -148,7 +148,7 @@ def offset_range_join(spark, sf):
 , usable AS (
   SELECT card_id, clinical_day AS day, least(24, usage_hours_sum) AS usage_hours FROM days
   WHERE date_diff('day', DATE '2024-01-01', clinical_day) % 3 = 0),
-points AS (SELECT card_id, seq, ts FROM samples WHERE event_type = 'purchase'),
+points AS (SELECT card_id, seq, ts FROM samples),
 cand AS (
   SELECT p.card_id, p.seq, u.day,
     greatest(0, epoch_us(CAST(u.day AS TIMESTAMP) + INTERVAL 12 HOUR) - epoch_us(p.ts),
@@ -166,7 +166,7 @@ def nearest_day(spark, sf):
     days = rollup.day_parts(a.records(spark, sf)).select(
         "card_id", F.col("clinical_day").alias("day"), F.least(F.lit(24.0), "usage_hours_sum").alias("usage_hours")
     ).where(F.datediff("day", F.lit("2024-01-01")) % 3 == 0)
-    points = a.samples(spark, sf).where("event_type = 'purchase'").select("card_id", "seq", "ts")
+    points = a.samples(spark, sf).select("card_id", "seq", "ts")
     return m.assign_to_nearest_day(points, days, "seq")
 
 
@@ -236,7 +236,7 @@ def two_phase_semi(spark, sf):
 , hints AS (
   SELECT card_id, CAST('0x' || regexp_extract(lower(replace(path, '\\', '/')), '(?:^|/)p[0-9]+/([0-9a-f]{8})\\.(?:000|001|002|b01|b02)$', 1) AS BIGINT) AS hint
   FROM files WHERE regexp_matches(lower(replace(path, '\\', '/')), '(?:^|/)p[0-9]+/([0-9a-f]{8})\\.(?:000|001|002|b01|b02)$')),
-known AS (SELECT DISTINCT o_custkey // 10 AS card_id, o_orderkey AS hint FROM orders WHERE o_orderkey % 7 <> 0)
+known AS (SELECT DISTINCT o_custkey // 10 + CASE WHEN o_orderkey % 7 = 0 THEN 1000000 ELSE 0 END AS card_id, o_orderkey AS hint FROM orders)
 SELECT h.card_id, count(*) AS hinted, count(k.hint) AS matched, count(k.hint) > 0 AND count(k.hint) / count(*) >= 0.8 AS trusted
 FROM hints h LEFT JOIN known k ON h.card_id = k.card_id AND h.hint = k.hint GROUP BY h.card_id"""),
 )
@@ -244,8 +244,9 @@ def trusted_hints(spark, sf):
     from noonday.operators.catalogue import session_hint
 
     files = a.files(spark, sf).withColumn("hint", session_hint("path"))
-    known = a.read(spark, sf, "orders").where("o_orderkey % 7 <> 0").select(
-        F.floor(F.col("o_custkey") / 10).alias("card_id"), F.col("o_orderkey").alias("session_id")
+    elsewhere = F.when(F.col("o_orderkey") % 7 == 0, 1_000_000).otherwise(0)
+    known = a.read(spark, sf, "orders").select(
+        (F.floor(F.col("o_custkey") / 10) + elsewhere).alias("card_id"), F.col("o_orderkey").alias("session_id")
     )
     return m.trusted_hints(files, known)
 
@@ -336,5 +337,7 @@ def active_root_override(spark, sf):
     pointers = a.read(spark, sf, "orders").groupBy(
         F.floor(F.col("o_custkey") / 10).alias("card_id"),
         F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0").alias("root"),
-    ).agg(F.min("o_orderkey").alias("seq")).where("seq % 3 = 0")
+    ).agg(F.min("o_orderkey").alias("seq"))
+    # Two thirds of the pointers name a root that no card has.
+    pointers = pointers.withColumn("root", F.when(F.col("seq") % 3 == 0, F.col("root")).otherwise(F.concat(F.lit("gone-"), "root")))
     return m.choose_root(roots, pointers)

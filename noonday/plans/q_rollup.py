@@ -605,7 +605,7 @@ def interval_sample_summary(spark, sf):
   SELECT card_id, clinical_day + CAST(card_id % 2 AS INTEGER) AS clinical_day, avg(value) AS mean_leak, max(value) * 4 AS max_leak,
     min(value) AS max_leak_minutes, max(value) * 3 AS max_30m, NULL::DOUBLE AS max_60m, max(value) AS longest_leak,
     count(*) * 2.0 AS longest_minutes
-  FROM sample_days WHERE event_type <> 'view' GROUP BY ALL),
+  FROM sample_days GROUP BY ALL),
 m AS (
   SELECT coalesce(d.card_id, s.card_id) AS card_id, coalesce(d.clinical_day, s.clinical_day) AS clinical_day,
     coalesce(leak_sum, 0) + CASE WHEN s.mean_leak IS NOT NULL AND coalesce(leak_n, 0) = 0 THEN s.mean_leak ELSE 0 END AS leak_sum,
@@ -627,7 +627,7 @@ def leak_outer_merge(spark, sf):
     records = a.records(spark, sf)
     days = rollup.finish_days(rollup.day_parts(records), records)
     leaks = (
-        sample_days(spark, sf).where("event_type <> 'view'")
+        sample_days(spark, sf)
         .groupBy("card_id", "clinical_day").agg(
             F.avg("value").alias("mean_leak"), (F.max("value") * 4).alias("max_leak"),
             F.min("value").alias("max_leak_minutes"), (F.max("value") * 3).alias("max_30m"),

@@ -681,10 +681,10 @@ SELECT k, canonical AS canonical_mode, CASE WHEN class IS NULL THEN canonical EL
   CASE WHEN canonical IN ('APAP', 'BiPAP') AND r THEN (k % 7 + 4) || ' cmH2O' END AS pressure_min,
   CASE WHEN canonical = 'BiPAP' AND e THEN (k % 6 + 4) || ' cmH2O' END AS epap,
   CASE WHEN canonical = 'BiPAP' AND rr THEN (k % 12 + 8) || ' bpm' END AS respiratory_rate
-FROM classed WHERE canonical IS NOT NULL""",
+FROM classed""",
 )
 def mode_field_sanitize(spark, sf):
-    return settings.resolve_machine(machine_rows(spark, sf)).where("canonical_mode IS NOT NULL").select(
+    return settings.resolve_machine(machine_rows(spark, sf)).select(
         "k", "canonical_mode", "mode", "pressure_auto", "pressure_min", "epap", "respiratory_rate"
     )
 
