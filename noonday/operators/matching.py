@@ -101,28 +101,43 @@ def assign_to_sessions(samples: DataFrame, sessions: DataFrame, columns: Sequenc
     )
 
 
+#: Offsets below 16 to this power can be matched; one level for each power.
+LEVELS = 12
+
+
+def _nodes(level: Column, start: Column, stop: Column) -> Column:
+    """Blocks of 16**level offsets that lie in [start, stop) while no larger block around them does; 30 at most."""
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level * 4)
+    above = F.call_function("shiftleft", F.lit(1).cast("bigint"), (level + 1) * 4)
+    ceil = lambda x, n: F.floor((x + n - 1) / n).cast("bigint")
+    floor = lambda x, n: F.floor(x / n).cast("bigint")
+    first, last = ceil(start, size), floor(stop, size) - 1
+    outer_first, outer_last = ceil(start, above) * 16, floor(stop, above) * 16 - 1
+    span = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
+    covered = (outer_first <= outer_last) & (level < LEVELS - 1)
+    return F.when(
+        covered, F.concat(span(first, F.least(last, outer_first - 1)), span(F.greatest(first, outer_last + 1), last))
+    ).otherwise(span(first, last))
+
+
 def assign_to_slices(
-    records: DataFrame, slices: DataFrame, keys: Sequence[str], record_id: str, block: int, record_size: int = 1
+    records: DataFrame, slices: DataFrame, keys: Sequence[str], record_id: str, record_size: int = 1
 ) -> DataFrame:
     """Records whose offset lies in ``[from_offset, to_offset)`` of an index row; the first index row wins.
 
-    ``from_offset`` is floored to the record size.  Both sides are cut into blocks of offsets, so the join is an equi
-    join on (keys, block); a record meets only the slices of its own block.
+    ``from_offset`` is floored to the record size.  Offsets form a tree of blocks of 1, 16, 256 ... offsets.  A slice is
+    the union of a few blocks of each size; of the slices that hold a block the first one is kept, so a block is one row
+    however many slices overlap.  A record looks up the one block of each size that it lies in.
     """
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
     start = F.floor(F.col("from_offset") / record_size) * record_size
-    cut = (
-        slices.where(F.col("to_offset") > start)
-        .withColumn("__start", start)
-        .withColumn(
-            "__block",
-            F.explode(F.sequence(F.floor(F.col("__start") / block), F.floor((F.col("to_offset") - 1) / block))),
-        )
-        .drop("from_offset")
-    )
-    placed = records.withColumn("__block", F.floor(F.col("offset") / block))
-    inside = (F.col("offset") >= F.col("__start")) & (F.col("offset") < F.col("to_offset"))
-    pairs = placed.join(cut, [*keys, "__block"]).where(inside)
-    return pairs.groupBy(*keys, record_id).agg(F.min("slice_no").alias("slice_no"))
+    cut = slices.withColumn("__start", start.cast("bigint")).where("to_offset > __start").withColumn("__level", level)
+    nodes = cut.withColumn("__node", F.explode(_nodes(F.col("__level"), F.col("__start"), F.col("to_offset").cast("bigint"))))
+    firsts = nodes.groupBy(*keys, "__level", "__node").agg(F.min("slice_no").alias("slice_no"))
+    placed = records.withColumn("__level", level)
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__level") * 4)
+    placed = placed.withColumn("__node", F.floor(F.col("offset") / size).cast("bigint"))
+    return placed.join(firsts, [*keys, "__level", "__node"]).groupBy(*keys, record_id).agg(F.min("slice_no").alias("slice_no"))
 
 
 def assign_to_nearest_day(points: DataFrame, days: DataFrame, point_id: str) -> DataFrame:
@@ -244,8 +259,8 @@ def choose_root(roots: DataFrame, pointers: DataFrame) -> DataFrame:
 
 
 def lookup_codes(df: DataFrame, codes: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Code to label; ``codes`` is a fixed table of labels, a few dozen rows."""
-    return df.join(F.broadcast(codes.select(*keys, label)), list(keys), "left")
+    """Code to label, whatever the size of ``codes``."""
+    return df.join(codes.select(*keys, label), list(keys), "left")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salt: Column | None = None) -> DataFrame:

@@ -139,7 +139,7 @@ def offset_range_join(spark, sf):
     records = orders.select(
         "file_id", F.col("o_orderkey").alias("rec"), (F.floor(F.col("o_totalprice") / 2) * 2).alias("offset")
     )
-    return m.assign_to_slices(records, slices, ["file_id"], "rec", block=4096, record_size=32)
+    return m.assign_to_slices(records, slices, ["file_id"], "rec", record_size=32)
 
 
 @query(

@@ -250,7 +250,8 @@ def parse_settings_json(spark, sf):
     "parse_xml_events",
     """
 SELECT o_orderkey AS file_id, o_orderkey % 5 AS obstructive_apneas, o_orderkey % 3 AS central_apneas, CAST(0 AS BIGINT) AS obstructive_hypopneas,
-  o_orderkey % 2 AS reras, o_orderkey % 50 AS last_value FROM orders""",
+  CAST(0 AS BIGINT) AS central_hypopneas, o_orderkey % 2 AS reras, p AS parameter, CASE p WHEN 7 THEN o_orderkey % 50 ELSE o_orderkey END AS value
+FROM orders, (VALUES (7::BIGINT), (8::BIGINT)) AS t(p)""",
 )
 def parse_xml_events(spark, sf):
     k = F.col("k")
@@ -259,16 +260,14 @@ def parse_xml_events(spark, sf):
         return F.repeat(F.lit(f'<RespEvent Time="1" RespEventID="{code}" Pressure="3"/>\n'), n.cast("int"))
 
     def event(pid: int, value):
-        return F.concat(F.lit(f'<DeviceEvent DeviceEventID="0" Time="2" ParameterID="{pid}" NewValue="'), s(value), F.lit('"/>'))
+        return F.concat(F.lit(f'<DeviceEvent ParameterID="{pid}" Time="2" NewValue="'), s(value), F.lit('" DeviceEventID="0"/>'))
 
     text = F.concat(
         F.lit("<Events>"), tags(101, k % 5), tags(102, k % 3), tags(121, k % 2), tags(999, k % 4), event(7, k % 40),
         F.lit('<DeviceEvent DeviceEventID="3" ParameterID="7" NewValue="-9"/>'), event(8, k), event(7, k % 50), F.lit("</Events>"),
     )
     files = orders(spark, sf).select("file_id", text.alias("text"))
-    last = t.xml_parameters(files, K).where("parameter = 7").select("file_id", F.col("value").alias("last_value"))
-    counts = t.xml_event_counts(files, K).drop("central_hypopneas")
-    return counts.join(last, K)
+    return t.xml_event_counts(files, K).join(t.xml_parameters(files, K), K)
 
 
 @query(

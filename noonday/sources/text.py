@@ -516,7 +516,8 @@ XML_EVENT_CODES = {
 
 
 def attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf'(?i){name}="([^"]*)"', 1)
+    """Value of an attribute, wherever it stands in the tag."""
+    return F.regexp_extract(tag, rf'(?i)\b{name}="([^"]*)"', 1)
 
 
 def _times(codes: str, code: int) -> Column:
@@ -536,14 +537,12 @@ def xml_event_counts(files: DataFrame, keys: Sequence[str], text: str = "text")
 
 def xml_parameters(files: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Last value of each parameter in the settings events of a file."""
-    tag = r'(?i)<DeviceEvent\b[^>]*DeviceEventID="(\d+)"[^>]*ParameterID="(\d+)"[^>]*NewValue="(-?\d+)"[^>]*/?>'
-    groups = [F.regexp_extract_all(_c(text), F.lit(tag), i) for i in (1, 2, 3)]
-    rows = files.select(
-        *keys, F.posexplode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("event", "parameter", "value"))])).alias("i", "e")
-    ).where(F.col("e.event").cast("bigint") == 0)
-    return rows.groupBy(*keys, F.col("e.parameter").cast("bigint").alias("parameter")).agg(
-        F.max_by(F.col("e.value").cast("bigint"), "i").alias("value")
-    )
+    tags = files.select(*keys, F.posexplode(F.regexp_extract_all(_c(text), F.lit(r"(?i)<DeviceEvent\b[^>]*>"), 0)).alias("i", "tag"))
+    number = lambda name: attribute(F.col("tag"), name).try_cast("bigint")
+    rows = tags.select(
+        *keys, "i", number("DeviceEventID").alias("event"), number("ParameterID").alias("parameter"), number("NewValue").alias("value")
+    ).where("event = 0 AND parameter IS NOT NULL AND value IS NOT NULL")
+    return rows.groupBy(*keys, "parameter").agg(F.max_by("value", "i").alias("value"))
 
 
 def event_codes(files: DataFrame, keys: Sequence[str], codes: Sequence[int], text: str = "text") -> DataFrame:

@@ -413,6 +413,26 @@ def test_listing(spark, tmp_path):
     assert bytes(one(binary.with_content(spark, str(tmp_path), listed)).content) == b"12345"
 
 
+def test_slices_against_brute_force(spark):
+    draw = random.Random(6)
+    slices = []
+    for n in range(80):
+        start = draw.randrange(5_000)
+        slices.append((draw.choice("ab"), n, start, start + draw.choice([0, 1, 7, 300, 4_500])))
+    records = [(draw.choice("ab"), n, draw.randrange(6_000)) for n in range(500)]
+    for size in (1, 32):
+        got = matching.assign_to_slices(
+            spark.createDataFrame(records, "f string, rec long, offset long"), spark.createDataFrame(slices, "f string, slice_no long, from_offset long, to_offset long"),
+            ["f"], "rec", record_size=size,
+        )
+        want = {}
+        for f, rec, at in records:
+            held = [n for g, n, x, y in slices if f == g and x // size * size <= at < y]
+            if held:
+                want[f, rec] = min(held)
+        assert {(r.f, r.rec): r.slice_no for r in got.collect()} == want
+
+
 # --- whole properties
 
 
