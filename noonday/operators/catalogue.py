@@ -6,6 +6,8 @@ would have to be compiled again for every pair of file and rule.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,17 +191,32 @@ def type_gate(
 # --- families --------------------------------------------------------------------------------------------------
 
 
+#: Patterns whose hits share one number, as bits.
+BITS = 60
+
+
 def rule_hits(files: DataFrame) -> DataFrame:
-    """Distinct (card, rule) pairs; each rule counts once per card however many files match it."""
+    """Distinct (card, rule) pairs; each rule counts once per card however many files match it.
+
+    A file's hits are bits of a few numbers, which are or-ed per card before they move: one row per card is shuffled.
+    """
     by_pattern: dict[str, list[int]] = {}
     for i, _, pattern, _ in fr.scoring_rules():
         by_pattern.setdefault(pattern, []).append(i)
-    hits = F.array_compact(
-        F.array(*[
-            F.when(F.col("path").rlike("(?i)" + p), F.array(*[F.lit(i) for i in ids])) for p, ids in by_pattern.items()
-        ])
+    words = [list(by_pattern.items())[at : at + BITS] for at in range(0, len(by_pattern), BITS)]
+
+    def bits(patterns: list[tuple[str, list[int]]]) -> Column:
+        one = lambda j, p: F.when(F.col("path").rlike("(?i)" + p), F.lit(1 << j).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        return reduce(lambda x, y: x.bitwiseOR(y), [one(j, p) for j, (p, _) in enumerate(patterns)])
+
+    cards = files.select("card_id", *[bits(w).alias(f"m{k}") for k, w in enumerate(words)]).groupBy("card_id").agg(
+        *[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(len(words))]
     )
-    return files.select("card_id", F.explode(F.flatten(hits)).alias("rule_id")).distinct()
+    hits = [
+        F.when(F.col(f"m{k}").bitwiseAND(F.lit(1 << j).cast("bigint")) != 0, F.array(*map(F.lit, ids)))
+        for k, w in enumerate(words) for j, (_, ids) in enumerate(w)
+    ]
+    return cards.select("card_id", F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("rule_id"))
 
 
 def structure_flags(files: DataFrame) -> DataFrame:
