@@ -33,33 +33,34 @@ def strip(text: Column | str) -> Column:
 # --- charsets --------------------------------------------------------------------------------------------------
 
 HEADER_BYTES = 4
-_PRINTABLE = bytes(b if 32 <= b <= 126 or b in (9, 10, 13) else 10 for b in range(256))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _readings(content: pd.Series) -> pd.Series:
-    """Eight readings of each file: UTF-8 without and with a skipped header, UTF-8, Latin-1, UTF-16 LE and BE, ASCII."""
-
-    def read(data: bytes) -> list[str]:
-        tail = data[HEADER_BYTES:]
-        return [
-            data.decode("utf-8", "replace"), tail.decode("utf-8", "replace"), data.decode("utf-8", "replace"),
-            data.decode("latin-1"), data.decode("utf-16-le", "replace"), data.decode("utf-16-be", "replace"),
-            data.translate(_PRINTABLE).decode("ascii"), tail.translate(_PRINTABLE).decode("ascii"),
-        ]
-
-    return content.map(read)
+def _wide_readings(content: pd.Series) -> pd.Series:
+    """UTF-16 in both byte orders, for the files that are not NULL; the built-in decoder stops at damaged pairs."""
+    return content.map(
+        lambda data: [] if data is None else [data.decode("utf-16-le", "replace"), data.decode("utf-16-be", "replace")]
+    )
 
 
 def decode_variants(files: DataFrame, content: str = "content") -> DataFrame:
     """Distinct readings of each file, in order of preference: NUL becomes a line break, blank readings drop out.
 
-    Equal readings are dropped inside the row, keeping the first.
+    UTF-8 without and with a skipped header, Latin-1, UTF-16 LE and BE where there are NUL bytes, and printable ASCII
+    without and with a skipped header.  Equal readings are dropped inside the row, keeping the first.
     """
-    texts = F.transform(_readings(content), lambda t: strip(F.translate(t, "\0", "\n")))
-    kept = F.filter(texts, lambda t: F.length(t) > 0)
+    data = F.col(content)
+    tail = F.expr(f"substring(`{content}`, {HEADER_BYTES + 1})")
+    wide = F.when(F.contains(data, F.lit(b"\0")), data)
+    latin, latin_tail = (F.decode(x, "ISO-8859-1") for x in (data, tail))
+    utf8, utf8_tail = (F.make_valid_utf8(x.cast("string")) for x in (data, tail))
+    ascii_, ascii_tail = (F.regexp_replace(x, r"[^\x20-\x7E\t\n\r]", "\n") for x in (latin, latin_tail))
     other = [c for c in files.columns if c != content]
-    return files.select(*other, F.posexplode(F.array_distinct(kept)).alias("variant", "text"))
+    read = files.select(*other, F.array(utf8, utf8_tail, latin).alias("__a"), _wide_readings(wide).alias("__w"), F.array(ascii_, ascii_tail).alias("__b"))
+    every = F.concat("__a", F.coalesce("__w", F.array().cast("array<string>")), "__b")
+    texts = F.transform(every, lambda t: strip(F.translate(t, "\0", "\n")))
+    kept = F.filter(texts, lambda t: F.length(t) > 0)
+    return read.select(*other, F.posexplode(F.array_distinct(kept)).alias("variant", "text"))
 
 
 def best_variant(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
