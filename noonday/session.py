@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -36,13 +37,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder that the cluster names for checkpoints, which the driver and all executors share.
 
-    Without one an error is raised, except in local mode, where a temporary folder is made once and named.
+    Without one an error is raised, except in local mode, where one temporary folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="noonday-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="noonday-checkpoint-")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from noonday.functions import circular, dates, numbers
 from noonday.operators import catalogue, cleaning, clock, matching, periods, rollup, series, sleep
 from noonday.plans import report
+from noonday.session import checkpoint_dir
 from noonday.sources import binary, text
 from noonday.streaming import twins
 
@@ -499,3 +500,17 @@ def test_streams_equal_batch(spark, tmp_path):
 
     runs = series.threshold_runs(df, ["card_id"], ["ts", "seq"]).select("card_id", "start_ts", "end_ts", "n_samples", "peak")
     assert run(twins.stream_episodes, "runs") == sorted(map(tuple, runs.collect()))
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    assert checkpoint_dir(Session()) == checkpoint_dir(Session())
