@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,11 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local["):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='noonday-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='noonday-shared-')}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
