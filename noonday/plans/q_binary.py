@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import clinical_day
-from noonday.operators import rollup
+from noonday.operators import catalogue, rollup
 from noonday.plans import adapters as a
 from noonday.plans.adapters import RECORDS, SAMPLES, with_views
 from noonday.plans.registry import query
@@ -161,6 +161,29 @@ def explode_archive(spark, sf):
     )
 
 
+@query(
+    "files_to_days",
+    with_views(SAMPLES, body="""
+, days AS (SELECT card_id % 10 AS card_id, CAST(ts - INTERVAL 12 HOUR AS DATE) AS day, count(*) AS n, round(sum(value), 6) AS total FROM samples GROUP BY ALL)
+SELECT card_id, day, n, total FROM (SELECT *, max(day) OVER (PARTITION BY card_id) AS latest FROM days) WHERE day >= latest - 6"""),
+    days="day",
+)
+def files_to_days(spark, sf):
+    """Samples of ten cards as text files, a folder per card and day; listed, cut to the last seven days, read, and rolled up."""
+    base = f"{checkpoint_dir(spark)}/card-files-{uuid.uuid4().hex}"
+    line = F.concat_ws(",", F.col("seq").cast("string"), F.col("value").cast("string"))
+    texts = a.samples(spark, sf).select((F.col("card_id") % 10).alias("card_id"), F.date_format(clinical_day("ts"), "yyyyMMdd").alias("day"), line.alias("value"))
+    texts.repartition("card_id", "day").write.partitionBy("card_id", "day").text(base)
+    listed = binary.list_files(spark, base).withColumn("file_id", F.col("uri"))
+    recent = catalogue.recent_files(listed, 7).where("kept").withColumnRenamed("file_id", "uri")
+    found = binary.with_content(recent.select("card_id", "uri", "path_date")).where("reason IS NULL")
+    rows = found.select("card_id", "path_date", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+    value = F.split("line", ",")[1].cast("double")
+    return rows.groupBy(F.regexp_extract("card_id", "([0-9]+)$", 1).cast("bigint").alias("card_id"), F.col("path_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")
+    )
+
+
 @query(
     "write_prepared",
     with_views(*RECORD_DAYS, body="SELECT card_id, clinical_day, round(usage_hours_sum, 6) AS usage_hours_sum, n_records FROM day_sums"),

@@ -195,9 +195,7 @@ def best_variant(spark, sf):
     return t.best_variant(counts, K).select("file_id", "n_records")
 
 
-@query(
-    "parse_settings_json",
-    """
+JSON_SETTINGS = """
 SELECT file_id, CASE WHEN p = 0 THEN 'CPAP' WHEN p = 1 THEN 'APAP' ELSE 'BiPAP' END AS mode,
   CASE WHEN p = 0 THEN 'Fixed ' || (k % 20 + 4) || ' cmH2O' END AS pressure,
   CASE WHEN p = 1 THEN (k % 9 + 4) || '.5 cmH2O' END AS pressure_min,
@@ -208,9 +206,15 @@ SELECT file_id, CASE WHEN p = 0 THEN 'CPAP' WHEN p = 1 THEN 'APAP' ELSE 'BiPAP'
   CASE WHEN p = 2 AND k % 4 <> 0 THEN (k % 3 + 4) || ' cmH2O' END AS ramp_pressure,
   CASE WHEN k % 4 = 0 THEN 'Off' WHEN k % 45 = 1 THEN '1 minute' WHEN k % 45 = 0 THEN 'Off' ELSE k % 45 || ' minutes' END AS ramp_time,
   CAST((k % 12) * 60 + 30 AS BIGINT) AS offset_minutes
-FROM (SELECT o_orderkey AS file_id, o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 3 END AS p FROM orders)""",
-)
+FROM (SELECT o_orderkey AS file_id, o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % 3 END AS p FROM orders)"""
+
+
+@query("parse_settings_json", JSON_SETTINGS)
 def parse_settings_json(spark, sf):
+    return json_settings_of(spark, sf)
+
+
+def json_settings_of(spark, sf):
     """Active profile by name; every seventh file names one that does not exist, so the first with a mode is used."""
     k = F.col("k")
 
@@ -246,6 +250,34 @@ def parse_settings_json(spark, sf):
     return t.json_settings(files, K)
 
 
+_SETTING_ROWS = (
+    ("Device", "device", "true"), ("Mode", "mode", "true"), ("Min EPAP", "pressure_min", "bi AND ranged"), ("Max IPAP", "pressure_max", "bi AND ranged"),
+    ("IPAP", "ipap", "bi AND NOT ranged"), ("EPAP", "epap", "bi AND NOT ranged"), ("Respiratory rate (RR)", "respiratory_rate", "bi"),
+    ("Tidal volume (Vt)", "tidal_volume", "bi"), ("Min pressure", "pressure_min", "mode = 'APAP'"), ("Max pressure", "pressure_max", "mode = 'APAP'"),
+    ("Pressure", "pressure", "mode = 'CPAP'"), ("Ramp time", "ramp_time", "true"), ("Ramp pressure", "ramp_pressure", "true"),
+    ("Pressure relief", "pressure_relief", "true"),
+)
+
+
+@query(
+    "report_setting_rows",
+    f"""WITH told AS (
+SELECT *, 'device ' || file_id % 9 AS device, mode = 'BiPAP' AS bi, pressure_auto OR coalesce(pressure_min, pressure_max) IS NOT NULL AS ranged FROM ({JSON_SETTINGS}))
+"""
+    + "\nUNION ALL ".join(
+        f"SELECT file_id, {n} AS pos, '{label}' AS label, {column} AS value FROM told WHERE {test} AND {column} IS NOT NULL"
+        for n, (label, column, test) in enumerate(_SETTING_ROWS, 1)
+    ),
+    whole="pos",
+)
+def report_setting_rows(spark, sf):
+    """The settings section of a report, of the settings read from JSON."""
+    from noonday.plans.rows import setting_rows
+
+    told = json_settings_of(spark, sf).withColumn("device", F.concat(F.lit("device "), s(F.col("file_id") % 9)))
+    return setting_rows(told, K)
+
+
 @query(
     "parse_xml_events",
     """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +76,64 @@ def method_label(method: Column, name: str) -> Column:
     return out
 
 
+def either(names: Column) -> Column:
+    """Names as running text: "a", "a or b", "a, b, or c"."""
+    n = F.size(names)
+    front = F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(0))), ", ")
+    comma = F.when(n > 2, ", or ").otherwise(" or ")
+    return F.when(n > 1, F.concat(front, comma, F.element_at(names, -1))).otherwise(F.array_join(names, ""))
+
+
+BILEVEL = ("BiPAP", "VAuto")
+
+
+def setting_rows(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The settings section: labelled rows that follow the mode, absent settings left out.
+
+    ``settings`` has the texts device, mode, pressure, pressure_min, pressure_max, epap, ipap, respiratory_rate,
+    tidal_volume, ramp_time, ramp_pressure, pressure_relief, and the flag pressure_auto.  A bilevel device shows its two
+    pressures, or the two bounds if it adjusts itself; other devices the range, or the one pressure that is set.
+    """
+    c = F.col
+    bilevel = F.coalesce(c("mode").isin(*BILEVEL), F.lit(False))
+    ranged = F.coalesce(c("pressure_auto"), F.lit(False)) | F.coalesce("pressure_min", "pressure_max").isNotNull()
+    auto = ~bilevel & ((c("mode") == "APAP") | ranged) & ~F.coalesce(c("mode") == "CPAP", F.lit(False))
+    auto = F.coalesce(auto, F.lit(False))
+    items = [
+        ("Device", c("device"), F.lit(True)),
+        ("Mode", c("mode"), F.lit(True)),
+        ("Min EPAP", c("pressure_min"), bilevel & ranged),
+        ("Max IPAP", c("pressure_max"), bilevel & ranged),
+        ("IPAP", c("ipap"), bilevel & ~ranged),
+        ("EPAP", c("epap"), bilevel & ~ranged),
+        ("Respiratory rate (RR)", c("respiratory_rate"), bilevel),
+        ("Tidal volume (Vt)", c("tidal_volume"), bilevel),
+        ("Min pressure", c("pressure_min"), auto),
+        ("Max pressure", c("pressure_max"), auto),
+        ("Pressure", c("pressure"), ~bilevel & ~auto),
+        ("Ramp time", c("ramp_time"), F.lit(True)),
+        ("Ramp pressure", c("ramp_pressure"), F.lit(True)),
+        ("Pressure relief", c("pressure_relief"), F.lit(True)),
+    ]
+    rows = [
+        F.struct(F.lit(n).alias("pos"), F.lit(label).alias("label"), F.when(shown_for & (F.trim(text) != ""), text).alias("value"))
+        for n, (label, text, shown_for) in enumerate(items, 1)
+    ]
+    return settings.select(*keys, F.inline(F.array(*rows))).where("value IS NOT NULL")
+
+
 def report_rows(metrics: DataFrame) -> DataFrame:
-    """Long labelled rows; absent values are left out, and so are the sections that stay empty."""
+    """Long labelled rows; absent values are left out, and so are the sections that stay empty.
+
+    Where ``metrics`` tells the mode, the ventilation section and the two pressures are for bilevel devices only, and the
+    single pressure for the others.
+    """
     c = F.col
+    if "mode" in metrics.columns:
+        bilevel = F.coalesce(c("mode").isin(*BILEVEL), F.lit(False))
+        own = {n: bilevel for n in ("ipap_95", "ipap_mean", "epap_95", "epap_mean", "vt_min", "vt_mean", "vt_max", "rr_min", "rr_mean")}
+        own |= {n: ~bilevel for n in ("pressure_95", "pressure_mean")}
+        metrics = metrics.withColumns({n: F.when(test, c(n)) for n, test in own.items() if n in metrics.columns})
     flag = flags()
     no = F.lit(False)
     timed = c("timed")
@@ -159,7 +216,7 @@ def report_rows(metrics: DataFrame) -> DataFrame:
             "Card data",
             F.when(
                 F.size(missing) > 0,
-                F.concat(F.lit("No "), F.array_join(missing, " or "), F.lit(" summaries were available in the imported files.")),
+                F.concat(F.lit("No "), either(missing), F.lit(" summaries were available in the imported files.")),
             ),
             no, None,
         )

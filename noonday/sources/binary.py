@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from noonday.operators.catalogue import base_name, extension, record_date, slash
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Files under a folder, one card per first-level folder, without their contents (Spark then reads no bytes)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inside = F.regexp_extract(slashes("path"), r"^(?:file:)?/*" + re.escape(root.strip("/")) + r"/(.*)$", 1)
+    bare = re.sub(r"^[a-z0-9]+:", "", root).strip("/")
+    inside = F.regexp_extract(slashes("path"), r"^(?:[a-z0-9]+:)?/*" + re.escape(bare) + r"/(.*)$", 1)
     return found.select(
         F.regexp_extract(inside, "^([^/]+)/", 1).alias("card_id"),
         F.regexp_replace(inside, "^[^/]+/", "").alias("path"),
@@ -35,10 +37,31 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     ).withColumns({"base_name": base_name("path"), "ext": extension("path"), "record_date": record_date("path")})
 
 
-def with_content(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """Contents of the wanted files only: the listing is pruned first, then joined with the bytes."""
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return wanted.join(content.select(F.col("path").alias("uri"), "content"), "uri")
+def _read_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    opened: dict[str, pafs.FileSystem] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            uri, content, reason = batch.column("uri")[i].as_py(), None, None
+            try:
+                scheme, _, rest = uri.partition(":")
+                system, path = pafs.FileSystem.from_uri(f"{scheme}://{rest}" if not rest.startswith("//") else uri)
+                system = opened.setdefault(system.type_name, system)
+                with system.open_input_stream(path, compression=None) as file:
+                    content = file.read()
+            except (OSError, ValueError) as error:
+                reason = type(error).__name__
+            extra = [pa.array([content], pa.binary()), pa.array([reason], pa.string())]
+            yield pa.record_batch([*batch.slice(i, 1).columns, *extra], names=[*batch.schema.names, "content", "reason"])
+
+
+def with_content(wanted: DataFrame) -> DataFrame:
+    """The wanted files with their ``content``, or without it and with a ``reason``; no other file is opened.
+
+    The pruned listing is dealt out over the cluster by file, and each task reads its own files one at a time, through
+    Arrow's file systems.
+    """
+    extra = wanted.schema.add("content", "binary").add("reason", "string")
+    return wanted.repartition("uri").mapInArrow(_read_each, extra)
 
 
 # --- EDF -------------------------------------------------------------------------------------------------------

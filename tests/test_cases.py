@@ -411,7 +411,19 @@ def test_listing(spark, tmp_path):
     listed = binary.list_files(spark, str(tmp_path))
     row = one(listed)
     assert (row.card_id, row.path, row.size, row.record_date) == ("c1", "DATALOG/20260325/a.edf", 5, day("2026-03-25"))
-    assert bytes(one(binary.with_content(spark, str(tmp_path), listed)).content) == b"12345"
+    (folder / "b.edf").write_bytes(b"other")
+    assert bytes(one(binary.with_content(listed.where("path LIKE '%a.edf'"))).content) == b"12345"
+    gone = listed.withColumn("uri", F.concat("uri", F.lit(".gone"))).where("path LIKE '%a.edf'")
+    row = one(binary.with_content(gone))
+    assert row.content is None and row.reason == "FileNotFoundError"
+
+
+def test_alternatives_as_text(spark):
+    from noonday.plans.rows import either
+
+    lists = [([], ""), (["a"], "a"), (["a", "b"], "a or b"), (["a", "b", "c"], "a, b, or c")]
+    frame = spark.createDataFrame(lists, "n array<string>, t string")
+    assert all(r.got == r.t for r in frame.select("t", either(F.col("n")).alias("got")).collect())
 
 
 def test_slices_against_brute_force(spark):
