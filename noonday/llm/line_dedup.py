@@ -4,7 +4,8 @@ Lines, trimmed of ASCII white space, are classes by content. Two different class
 single-character edits from the other and both have ``least`` characters or more. A line is cut into ``edits + 1``
 segments of even length; whatever is within ``edits`` of it holds one of them unchanged, near the same place. So each line
 is indexed by its segments with number and line length, and probes the index of its own and each smaller length with the
-few substrings that can be in place there. Matches are verified by edit distance: a band of ``2 * edits + 1`` diagonals is
+few substrings that can be in place there. Lines that meet no other line at any key are left behind; the others come back
+with their text, and their matches are verified, by character parities and then by edit distance: a band of ``2 * edits + 1`` diagonals is
 held in the bits of one number and advanced a character at a time.
 
 Of linked lines the first in order of (``doc_id``, ``line``) stays: a line is removed if an earlier line of its class or
@@ -21,7 +22,7 @@ of which one stays; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noonday.functions.plan import computed_once
@@ -31,82 +32,95 @@ EDITS, LEAST, FREQUENT = 2, 20, 10_000
 #: Bits of the number that holds the band; the highest is the lowest row of the band.
 TOP = 31
 WORD = (1 << (TOP + 1)) - 1
-#: Characters whose counts are compared before the edit distance. Any choice gives the same links.
-COUNTED = " abcdefghijklmnopqrstuvwxyz0123456789.,"
+#: Bits of the bitmap that thins out lines before a join; 32,768 times a power of two.
+BITMAP = 1 << 23
 
 
-def edit_distance(chars: Column, length: Column, other: Column, edits: int = EDITS) -> Column:
-    """The edit distance of a string (its ``chars`` as an array, and their number) and another, exact up to ``edits``.
+def codes(text: Column) -> Column:
+    """The code points of a string."""
+    return F.transform(F.split(text, ""), F.ascii)
+
+
+def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """The edit distance of two arrays of code points, exact up to ``edits``.
 
     Both have at least ``edits`` characters, and their lengths differ by no more. The published bit-vector recurrence,
-    on a band that moves down one row with each character of the other string. Up to the last row the distance is read
-    along the band's lowest diagonal, then along the last row. ``chars`` and ``length`` should be plain columns.
+    on a band that moves down one row with each character of ``b``. Up to the last row the distance is read along the
+    band's lowest diagonal, then along the last row; once it is so high that the rest cannot bring it back, it is left
+    there. ``a`` and ``b`` should be plain columns.
     """
-    full, zero, turn = F.lit(WORD).cast("long"), F.lit(0).cast("long"), length - edits
+    full, zero, turn = F.lit(WORD).cast("long"), F.lit(0).cast("long"), F.size(a) - edits
     band = (((1 << (edits + 1)) - 1) << (TOP - edits)) & WORD
-    start = F.struct(F.lit(band).cast("long").alias("vp"), zero.alias("vn"), F.lit(edits).cast("long").alias("dist"), zero.alias("j"))
+    start = F.struct(F.lit(band).cast("long").alias("vp"), zero.alias("vn"), F.lit(edits).alias("dist"), F.lit(0).alias("j"))
 
     def step(s: Column, c: Column) -> Column:
         vp, vn, j, eq = s["vp"], s["vn"], s["j"], zero
         for d in range(-edits, edits + 1):
-            same = F.coalesce(F.get(chars, (j + d).cast("int")) == c, F.lit(False))
+            same = F.coalesce(F.get(a, j + d) == c, F.lit(False))
             eq = eq.bitwiseOR(F.when(same, F.lit(1 << (TOP - edits + d)).cast("long")).otherwise(zero))
         d0 = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(full)
         hp, hn, down = vn.bitwiseOR(full.bitwiseXOR(d0.bitwiseOR(vp))), d0.bitwiseAND(vp), F.shiftright(d0, 1)
-        on_row = F.pow(F.lit(2.0), (F.lit(TOP - 1) - (j - turn)).cast("double")).cast("long")
+        on_row = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(TOP - 1) - (j - turn))
         diagonal = F.when(d0.bitwiseAND(F.lit(1 << TOP).cast("long")) != 0, 0).otherwise(1)
         across = F.when(hp.bitwiseAND(on_row) != 0, 1).otherwise(0) - F.when(hn.bitwiseAND(on_row) != 0, 1).otherwise(0)
-        return F.struct(
+        moved = F.struct(
             hn.bitwiseOR(full.bitwiseXOR(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
-            (s["dist"] + F.when(j < turn, diagonal).otherwise(across)).cast("long").alias("dist"), (j + 1).alias("j"),
+            (s["dist"] + F.when(j < turn, diagonal).otherwise(across)).alias("dist"), (j + 1).alias("j"),
         )
+        return F.when(s["dist"] > 2 * edits + F.size(b) - F.size(a), s).otherwise(moved)
 
-    return F.aggregate(F.split(other, ""), start, step, lambda s: s["dist"])
+    return F.aggregate(b, start, step, lambda s: s["dist"])
 
 
-def may_be_near(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """False only for strings further apart than ``edits``: one edit changes the counts of two characters by one at most."""
-    counts = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    apart = F.lit(0)
-    for c in COUNTED:
-        apart = apart + F.abs(counts(a, c) - counts(b, c))
-    return apart <= 2 * edits
+def parities(line: Column) -> Column:
+    """64 bits: whether characters come an odd number of times, by code point modulo 64. An edit turns two bits at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(bit(c)))
 
 
-def _segment(i: int, length: Column, edits: int) -> tuple[Column, Column]:
-    """Where segment ``i`` (from 0) of a line of ``length`` begins (from 0), and how long it is; the last ones are longer."""
-    parts = edits + 1
-    short, longer = F.floor(length / parts), F.pmod(length, F.lit(parts))
-    first_long = parts - longer
-    return i * short + F.greatest(F.lit(i) - first_long, F.lit(0)), short + F.when(F.lit(i) >= first_long, 1).otherwise(0)
+def places(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(gap, segment, shift) of all keys of a line; its own segments are those without gap and shift.
 
+    Segment i of a line shorter by ``gap`` can only stand, unchanged, where no more than ``edits`` edits fit in before and
+    after it.
+    """
+    return [
+        (gap, i, shift)
+        for gap in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)
+    ]
 
-def _key(line: Column, begin: Column, size: Column, i: int, length: Column) -> Column:
-    return F.xxhash64(F.substring(line, begin + 1, size), F.lit(i), length.cast("int"))
 
+def signatures(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``lines`` (``line``, its length ``n``, and others) with a ``key`` for each of its places, and whether it is its ``own``.
 
-def indexed(edits: int = EDITS) -> Column:
-    """The keys a line (``line``, ``n``) is found by: one for each segment, with its number and the line's length."""
-    line, n = F.col("line"), F.col("n")
-    return F.array(*[_key(line, *_segment(i, n, edits), i, n) for i in range(edits + 1)])
+    Lines are cut into ``edits + 1`` segments, the last ones a character longer where the length does not divide. A key
+    is a segment's text, its number, and the length of the line that it is a segment of.
+    """
+    parts = edits + 1
+    at = F.explode(F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for g, i, s in places(edits)]))
+    placed = lines.withColumn("c", at).select(*lines.columns, F.col("c.gap"), F.col("c.i"), F.col("c.shift"), (F.col("n") - F.col("c.gap")).alias("of"))
+    begin = f"i * (of div {parts}) + greatest(i - {parts} + of % {parts}, 0) + shift"
+    size = f"(of div {parts}) + if(i >= {parts} - of % {parts}, 1, 0)"
+    cut = placed.withColumn("begin", F.expr(begin).cast("int")).withColumn("size", F.expr(size).cast("int")).where("begin >= 0 and begin + size <= n")
+    key = F.xxhash64(F.expr("substring(line, begin + 1, size)"), "i", "of")
+    return cut.select(*lines.columns, key.alias("key"), F.expr("gap = 0 and shift = 0").alias("own"))
 
 
-def probes(edits: int = EDITS) -> Column:
-    """The keys at which a line meets the others of its own or a smaller length.
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``id`` is in ``ids``.
 
-    Segment i of a line shorter by ``gap`` can only stand, unchanged, where no more than ``edits`` edits fit in before and
-    after it. The line's own keys are not repeated here.
+    A bitmap of the ids' low bits, of one size whatever the table's, is broadcast first: few rows then need the exact
+    join. As it fills up it lets more pass, and the join alone decides.
     """
-    line, n = F.col("line"), F.col("n")
-    out = []
-    for gap in range(edits + 1):
-        for i in range(edits + 1):
-            begin, size = _segment(i, n - gap, edits)
-            for shift in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
-                if gap or shift:
-                    inside = (begin + shift >= 0) & (begin + shift + size <= n)
-                    out.append(F.when(inside, _key(line, begin + shift, size, i, n - gap)))
-    return F.array_compact(F.array(*out))
+    bit = F.col("id").bitwiseAND(F.lit(BITMAP - 1))
+    bitmaps = ids.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
+    marked = rows.withColumn("b", bit).withColumn("part", F.expr("bitmap_bucket_number(b)"))
+    near = marked.join(F.broadcast(bitmaps), "part")  # BITMAP / 8 bytes, always
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(b) div 8 + 1 as int), 1)")), 16, 10).cast("long")
+    set_ = F.expr("shiftright(byte, cast(bitmap_bit_position(b) % 8 as int)) & 1 = 1")
+    return near.withColumn("byte", byte).where(set_).select(*rows.columns).join(ids, "id", "left_semi")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -115,15 +129,30 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", F.col("number").cast("long").alias("number"), F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line"))
 
 
-def _links(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """``a`` < ``b``: hashes of lines that share a key, still to be verified. ``lines`` has ``id``, ``line`` and ``n``."""
-    own = lines.select(F.explode(indexed(edits)).alias("key"), "id")
-    far = lines.select(F.explode(probes(edits)).alias("key"), "id")
-    own, far = (x.repartition("key").dropDuplicates(["key", "id"]) for x in (own, far))
-    x, y, z = own.alias("x"), own.alias("y"), far.alias("z")
-    even = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    odd = x.join(z, (F.col("x.key") == F.col("z.key")) & (F.col("x.id") != F.col("z.id"))).select(F.least("x.id", "z.id").alias("a"), F.greatest("x.id", "z.id").alias("b"))
-    return even.union(odd).distinct()
+def met(lines: DataFrame, edits: int) -> DataFrame:
+    """The ids of the lines (``id``, ``line``, ``n``) that meet any other at a key, as one of the two's own."""
+    keys = signatures(lines, edits).select("key", "id", "own")
+    every = Window.partitionBy("key")
+    told = keys.select("id", F.min("id").over(every).alias("low"), F.max("id").over(every).alias("high"), F.max("own").over(every).alias("held"))
+    return told.where("low < high and held").select("id").distinct()
+
+
+def verified(lines: DataFrame, edits: int) -> DataFrame:
+    """``a``, ``b``: the different ``line``s within ``edits`` of each other.
+
+    Matches at a key whose character parities are too far apart never leave the join; the others are verified.
+    """
+    texts = kept(lines.withColumn("odd", parities(F.col("line"))), "texts")
+    keys = signatures(texts, edits).select("key", "id", "n", "odd", "own")
+    x, y = keys.where("own").alias("x"), keys.alias("y")
+    # Of two lines of one length the probe has the larger hash, of others it is the longer: a pair is met from one side.
+    side = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    near = F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= 2 * edits
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near & side).select(F.col("x.id").alias("i"), F.col("y.id").alias("j")).distinct()
+    left, right = (texts.select(F.col("id").alias(i), F.col("line").alias(c)) for i, c in (("i", "a"), ("j", "b")))
+    ready = computed_once(kept(pairs, "pairs").join(left, "i").join(right, "j").select("a", "b", codes(F.col("a")).alias("x"), codes(F.col("b")).alias("y")))
+    fits = F.abs(F.size("x") - F.size("y")) <= edits
+    return ready.where(fits & (edit_distance(F.col("x"), F.col("y"), edits) <= edits)).select("a", "b")
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -142,15 +171,9 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple
     read = computed_once(every.where(long).select("line", F.xxhash64("line").alias("id"), F.length("line").alias("n")))
     often = read.join(F.broadcast(frequent), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"), F.min("n").alias("n"))
     rare = read.join(F.broadcast(frequent), "id", "left_anti")
-    pairs = kept(_links(rare.unionByName(often), edits, least), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = kept(read.join(ids, "id", "left_semi").distinct(), "texts")
-    left, right = (texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
-    met = pairs.join(left, "a").join(right, "b").where((F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.col("line_a") != F.col("line_b")))
-    met = met.where(may_be_near(F.col("line_a"), F.col("line_b"), edits))
-    met = computed_once(met.select("line_a", "line_b", "n_a", F.split("line_a", "").alias("chars")))
-    near = met.where(edit_distance(F.col("chars"), F.col("n_a"), F.col("line_b"), edits) <= edits)
-    near = kept(near.select(F.unhex(F.md5("line_a")).alias("md5"), F.unhex(F.md5("line_b")).alias("other")), "links")
+    ids = kept(met(rare.unionByName(often), edits), "met")
+    found = verified(among(read, ids).distinct(), edits)
+    near = kept(found.select(F.unhex(F.md5("a")).alias("md5"), F.unhex(F.md5("b")).alias("other")), "links")
     return where.drop("id", "n"), near.union(near.select("other", "md5"))
 
 
