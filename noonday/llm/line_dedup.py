@@ -120,7 +120,9 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     near = marked.join(F.broadcast(bitmaps), "part")  # BITMAP / 8 bytes, always
     byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(b) div 8 + 1 as int), 1)")), 16, 10).cast("long")
     set_ = F.expr("shiftright(byte, cast(bitmap_bit_position(b) % 8 as int)) & 1 = 1")
-    return near.withColumn("byte", byte).where(set_).select(*rows.columns).join(ids, "id", "left_semi")
+    # Computed once, so that the exact join is not moved below the bitmap, where it would shuffle all rows.
+    thin = computed_once(near.withColumn("byte", byte).where(set_).select(*rows.columns))
+    return thin.join(ids, "id", "left_semi")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
