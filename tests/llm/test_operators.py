@@ -190,6 +190,26 @@ def test_written_shards(spark, docs, rows, tmp_path):
     assert [r.shard for r in back.select("shard").distinct().orderBy("shard").collect()] == [0, 1, 2, 3]
 
 
+def test_shards_hold_what_place_reports(spark, docs, rows, monkeypatch):
+    """Whole records are written, where and in the order that ``place`` says, and row counts are at most one apart."""
+    folders = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda d, path, *more: folders.append(path) or write(d, path, *more))
+    got = sharding.place(docs, n_shards=3, bucket_bytes=20_000).collect()
+    back = spark.read.parquet(folders[0])
+    assert back.schema["doc"].dataType == docs.schema
+    held = {(r.shard, r.slot): r.doc for r in back.collect()}
+    assert len(held) == len(got) == len(rows) and back.select("bucket").distinct().count() > 3
+    for r in got:
+        text = (held[r.shard, r.slot].text or "").encode()
+        assert (held[r.shard, r.slot].doc_id, len(text) + 1, zlib.crc32(text)) == (r.doc_id, r.size, r.text_crc32)
+    n = Counter(s for s, _ in held)
+    assert max(n.values()) - min(n[s] for s in range(3)) <= 1 and all(sorted(k for t, k in held if t == s) == list(range(n[s])) for s in range(3))
+    for file in back.inputFiles():
+        slots = [r.slot for r in spark.read.parquet(file).collect()]
+        assert slots == sorted(slots)
+
+
 # 5 substring dedup
 
 
