@@ -115,23 +115,34 @@ def _turned(prints: DataFrame, most: int) -> DataFrame:
     return out.select("fp", "z").distinct()
 
 
-def components_of(docs: DataFrame, words_each: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (its least ``doc_id``)."""
-    rows = kept(docs.select("doc_id", fingerprints(F.col("text"), words_each).alias("fp")), "fingerprints")
+def _classes(rows: DataFrame, bits: int, bucket: int) -> DataFrame:
+    """``fp``, ``root`` (one value for each component) and ``component_id`` for every fingerprint of ``rows``."""
     prints = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
     joined = kept(components(near_pairs(prints.select("fp"), bits, bucket)), "components")
     met = prints.join(joined, prints["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = met.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = kept(met.join(ids, "root").select("fp", "component_id"), "classes")
+    return kept(met.join(ids, "root").select("fp", "root", "component_id"), "classes")
+
+
+def components_of(docs: DataFrame, words_each: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (its least ``doc_id``)."""
+    rows = kept(docs.select("doc_id", fingerprints(F.col("text"), words_each).alias("fp")), "fingerprints")
+    classes = _classes(rows, bits, bucket)
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def one_of_each(docs: DataFrame, words_each: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` with their columns, one for each component: a row with its least ``doc_id``.
 
-    Texts move once, by ``doc_id``.
+    A row is known by its ``doc_id`` and its text's SHA-256, so unlike texts without an id or with the same id stay apart.
+    Texts move once, by that key.
     """
-    found = components_of(docs.select("doc_id", "text"), words_each, bits)
-    lowest = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
-    one = kept(lowest.groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint")).select("doc_id"), "staying")
-    return chosen(packed_rows(docs, doc_id=F.col("doc_id")), one, "doc_id").select("row.*")
+    rows = kept(docs.select("doc_id", _sha(F.col("text")).alias("sha"), fingerprints(F.col("text"), words_each).alias("fp")), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")).alias("first")
+    met = rows.groupBy("fp").agg(first).join(_classes(rows, bits, BUCKET), "fp")
+    one = kept(met.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.sha"), "staying")
+    return chosen(packed_rows(docs, doc_id=F.col("doc_id"), sha=_sha(F.col("text"))), one, "doc_id", "sha").select("row.*")

@@ -167,6 +167,21 @@ def test_one_of_each(docs, rows):
     assert sorted((r.doc_id for r in found.collect()), key=H.ordered) == sorted(classes, key=H.ordered)
 
 
+def test_one_of_each_keeps_unlike_texts(spark):
+    """One row per component, also where unlike texts have no id or the same id, and where an id is in two components."""
+    base, other = " ".join(H.words(300, 2)), " ".join(H.words(200, 3))
+    near = base.replace(base.split()[150], "changed", 1)
+    assert 0 < bin(H.fingerprint(base) ^ H.fingerprint(near)).count("1") <= 3
+    lone = [(None, " ".join(H.words(50, 50 + i)), "a") for i in range(4)]
+    same = [(7, " ".join(H.words(50, 70 + i)), "b") for i in range(4)]
+    rows = [*lone, lone[0], *same, same[0], (3, base, "c"), (5, near, "c"), (5, other, "d"), (None, other, "d")]
+    roots = H.components([H.fingerprint(t) for _, t, _ in rows], lambda a, b: bin(a ^ b).count("1") <= 3)
+    low = {r: min((x for x, y in zip(rows, roots, strict=True) if y == r), key=lambda x: (x[0] is None, x[0])) for r in set(roots)}
+    got = simhash.one_of_each(H.make_docs(spark, rows).repartition(3))
+    assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=str) == sorted(low.values(), key=str)
+    assert len(low) == 10
+
+
 # 4 sharding
 
 
