@@ -328,6 +328,18 @@ def test_packing_round_trip(docs, rows):
     assert sum(len(r.input_ids) for r in whole) == total
 
 
+def test_many_sources(spark, monkeypatch):
+    """Above the bound on queues every source still has its own, and every piece the same place as below it."""
+    rows = [(i, " ".join(H.words(1 + i * 7 % 90, i)), None if i % 41 == 0 else f"s{min(i % 60, 37)}") for i in range(150)]
+    docs = H.make_docs(spark, rows).repartition(3).cache()
+    few = sorted(map(tuple, packing.pack(docs, length=64, window=300).collect()))
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    monkeypatch.setattr(packing, "WINDOWS_EACH", 4)
+    assert sorted(map(tuple, packing.pack(docs, length=64, window=300).collect())) == few
+    queues = {s for _, _, s in rows}
+    assert packing.tokens(docs).select("queue").distinct().count() == len(queues)
+
+
 def test_windows_hold_the_mixture():
     totals = [10_000, 3_333, 17, 1]
     turns = packing.Turns(totals, 500)
