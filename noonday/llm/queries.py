@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noonday.llm import exact_dedup, line_dedup, mixing, neighbours, packing, pii, quality, sharding, simhash, substring_dedup
+from noonday.llm import (
+    bin_completion,
+    exact_dedup,
+    line_dedup,
+    mixing,
+    negatives,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    spelling,
+    substring_dedup,
+)
 from noonday.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,9 +91,74 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_completion.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 SQL["op9_exact_dedup"] = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d"""
+
+# the hash of each run, byte by byte through the table of its polynomial; near words meet in what one deletion leaves
+SQL["op11_spelling"] = """
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+g AS (SELECT id, run, count(*) AS times FROM r GROUP BY ALL),
+b AS (
+  SELECT run, times, flatten(list_transform(list_transform(string_split(id || ':' || run, ''), lambda c: unicode(c)),
+         lambda u: CASE WHEN u < 128 THEN [u::BIGINT] ELSE [(192 | (u >> 6))::BIGINT, (128 | (u & 63))::BIGINT] END)) AS bytes
+  FROM g),
+h AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM b, t),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 7 AND n >= 2),
+d AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS at, left(word, at - 1) || substr(word, at + 1) AS rest FROM w),
+p AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b USING (rest, at) WHERE a.word <> b.word
+  UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+f AS (
+  SELECT w.word, w.n, count(near) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS best, max(near_n) AS best_n
+  FROM w LEFT JOIN p ON w.word = p.word GROUP BY w.word, w.n),
+v AS (SELECT word, n, n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM f),
+c AS (
+  SELECT word, word AS root, form AS next FROM v
+  UNION ALL SELECT c.word, c.next, v.form FROM c JOIN v ON v.word = c.next)
+SELECT v.word, n, form, form_n, root, n_near FROM v JOIN c ON c.word = v.word AND c.next IS NULL"""
+
+SQL["op12_hard_negatives"] = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
