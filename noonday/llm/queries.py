@@ -134,9 +134,9 @@ h AS (
 w AS (
   SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
   FROM h GROUP BY 1 HAVING length(word) >= 7 AND n >= 2),
-d AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS at, left(word, at - 1) || substr(word, at + 1) AS rest FROM w),
+d AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS spot, left(word, spot - 1) || substr(word, spot + 1) AS rest FROM w),
 p AS (
-  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b USING (rest, at) WHERE a.word <> b.word
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM d a JOIN d b USING (rest, spot) WHERE a.word <> b.word
   UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.rest = w.word
   UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.rest = w.word),
 f AS (
