@@ -34,8 +34,8 @@ def half_up(value: Column) -> Column:
 
 
 def clock_text(minutes: Column) -> Column:
-    """``h:mm AM`` of a minute of the day."""
-    m = half_up(wrap(minutes))
+    """``h:mm AM`` of a minute of the day; what rounds up to midnight is the next day's start."""
+    m = half_up(wrap(minutes)) % DAY_MINUTES
     hour24 = F.floor(m / 60)
     hour12 = F.when(hour24 % 12 == 0, F.lit(12)).otherwise(hour24 % 12)
     half = F.when(hour24 >= 12, "PM").otherwise("AM")

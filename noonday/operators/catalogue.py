@@ -422,6 +422,16 @@ def mixed_warning(recency: DataFrame, selected: DataFrame, shown: int | None = N
     return joined.select("card_id", F.when(F.col("by_date"), newest).otherwise(best).alias("warning"))
 
 
+def loader_warning(ranked: DataFrame, selected: DataFrame, shown: int = 4) -> DataFrame:
+    """Text that names the selected family of a card and the best scores."""
+    best = ranked.where(F.col("rank") <= shown).groupBy("card_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", F.concat("label", F.lit(" ("), F.col("score").cast("string"), F.lit(")")).alias("t")))).alias("items")
+    )
+    named = selected.join(ranked.select("card_id", "family_id", "label"), ["card_id", "family_id"]).join(best, "card_id")
+    text = F.concat(F.lit("Selected loader: "), "label", F.lit(". Candidate scores: "), F.array_join(F.col("items.t"), ", "), F.lit("."))
+    return named.select("card_id", text.alias("warning"))
+
+
 def support_state(family: Column, supported: Column) -> Column:
     """State of a card: rejected cards are set aside with a reason, they never fail the job."""
     return F.when(family.isNull(), "unrecognised").when(~supported, "unsupported").otherwise("ok")

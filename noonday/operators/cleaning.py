@@ -86,9 +86,20 @@ def sessions_in_period(sessions: DataFrame, periods: DataFrame) -> DataFrame:
     )
 
 
-def distinct_sessions(sessions: DataFrame) -> DataFrame:
+def period_sessions(sessions: DataFrame, periods: DataFrame) -> DataFrame:
+    """Sessions by card and ``kind`` of settings period; a card without any period has them all in its current one.
+
+    A session in the calendar day of one period and the clinical day of the other belongs to both.
+    """
+    bounds = periods.select("card_id", "kind", "period_start", "period_end")
+    own = sessions_in_period(sessions, bounds).drop("period_start", "period_end")
+    rest = sessions.join(periods.select("card_id").distinct(), "card_id", "left_anti").withColumn("kind", F.lit("current"))
+    return own.unionByName(rest)
+
+
+def distinct_sessions(sessions: DataFrame, keys: Sequence[str] = ("card_id",)) -> DataFrame:
     """One row per (card, start, end)."""
-    return sessions.select("card_id", "start_ts", "end_ts").distinct()
+    return sessions.select(*keys, "start_ts", "end_ts").distinct()
 
 
 def distinct_records(records: DataFrame, order: str = "seq") -> DataFrame:
@@ -131,41 +142,42 @@ def first_available_day(days: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def fuzzy_distinct_sessions(sessions: DataFrame, minutes: int = 2) -> DataFrame:
-    """Walk the sessions of a card by start, end and drop one if a kept one has both ends within ``minutes``.
+def fuzzy_distinct_sessions(sessions: DataFrame, minutes: int = 2, keys: Sequence[str] = ("card_id",)) -> DataFrame:
+    """Walk the sessions of a card (or of further ``keys``) by start, end and drop one if a kept one has both ends within ``minutes``.
 
     Only sessions whose starts chain together within the tolerance can drop each other, so a card is cut wherever two
     starts lie further apart.  Exact copies are folded before anything is ordered, and most clusters then hold one
     session, which is kept as it is.  The others are walked as sorted streams: the state is the kept sessions of the
     last ``minutes``, at most one per ``minutes`` of end time, never the cluster.
     """
-    near = minutes * 60 * 1_000_000
+    near, keys = minutes * 60 * 1_000_000, list(keys)
     rows = islands(
-        distinct_sessions(sessions),
-        by_hour(["card_id"], ["start_ts", "end_ts"]),
+        distinct_sessions(sessions, keys),
+        by_hour(keys, ["start_ts", "end_ts"]),
         {"s": micros("start_ts")},
         lambda prev, now: now["s"] - prev["s"] > near,
         "__cluster",
     ).drop("at")
-    cluster = Window.partitionBy("card_id", "__cluster")
+    cluster = Window.partitionBy(*keys, "__cluster")
     sized = rows.withColumn("__n", F.count(F.lit(1)).over(cluster))
-    alone = sized.where("__n = 1").select("card_id", "start_ts", "end_ts")
+    alone = sized.where("__n = 1").select(*keys, "start_ts", "end_ts")
     walked = (
         sized.where("__n > 1")
-        .select("card_id", "__cluster", "start_ts", "end_ts", micros("start_ts").alias("__s"), micros("end_ts").alias("__e"))
-        .sortWithinPartitions("card_id", "__cluster", "start_ts", "end_ts")
+        .select(*keys, "__cluster", "start_ts", "end_ts", micros("start_ts").alias("__s"), micros("end_ts").alias("__e"))
+        .repartition(*keys, "__cluster")
+        .sortWithinPartitions(*keys, "__cluster", "start_ts", "end_ts")
     )
-    kept = walked.mapInPandas(lambda batches: _greedy_walk(batches, near), walked.schema)
-    return alone.unionByName(kept.select("card_id", "start_ts", "end_ts"))
+    kept = walked.mapInPandas(lambda batches: _greedy_walk(batches, near, keys), walked.schema)
+    return alone.unionByName(kept.select(*keys, "start_ts", "end_ts"))
 
 
-def _greedy_walk(batches: Iterator[pd.DataFrame], near: int) -> Iterator[pd.DataFrame]:
+def _greedy_walk(batches: Iterator[pd.DataFrame], near: int, keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """Keep a row unless a kept row of its cluster, at most ``near`` earlier, ends within ``near`` of it."""
     cluster, recent = None, []
     for batch in batches:
         keep = []
-        keys = zip(batch["card_id"], batch["__cluster"])
-        for key, start, end in zip(keys, batch["__s"], batch["__e"]):
+        groups = zip(*(batch[k] for k in (*keys, "__cluster")), strict=True)
+        for key, start, end in zip(groups, batch["__s"], batch["__e"], strict=True):
             if key != cluster:
                 cluster, recent = key, []
             recent = [(s, e) for s, e in recent if start - s <= near]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import clinical_day, micros, seconds_between, shift_minutes
 from noonday.operators.rollup import hourly
-from noonday.operators.tracks import by_day, by_hour, numbered, running
+from noonday.operators.tracks import by_block, by_day, by_hour, numbered, running
 
 DAY_SECONDS = 24 * 3600
 MIN_HINT_SHARE = 0.8
@@ -101,23 +103,84 @@ def assign_to_sessions(samples: DataFrame, sessions: DataFrame, columns: Sequenc
     )
 
 
-#: Offsets below 16 to this power can be matched; one level for each power.
-LEVELS = 12
+#: Sizes of the chunks of offsets that slices are swept in; a slice belongs to the smallest size that is not below its length.
+CHUNK_SIZES = tuple(1 << n for n in (16, 24, 32, 40, 48, 62))
 
 
-def _nodes(level: Column, start: Column, stop: Column) -> Column:
-    """Blocks of 16**level offsets that lie in [start, stop) while no larger block around them does; 30 at most."""
-    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level * 4)
-    above = F.call_function("shiftleft", F.lit(1).cast("bigint"), (level + 1) * 4)
-    ceil = lambda x, n: F.floor((x + n - 1) / n).cast("bigint")
-    floor = lambda x, n: F.floor(x / n).cast("bigint")
-    first, last = ceil(start, size), floor(stop, size) - 1
-    outer_first, outer_last = ceil(start, above) * 16, floor(stop, above) * 16 - 1
-    span = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
-    covered = (outer_first <= outer_last) & (level < LEVELS - 1)
-    return F.when(
-        covered, F.concat(span(first, F.least(last, outer_first - 1)), span(F.greatest(first, outer_last + 1), last))
-    ).otherwise(span(first, last))
+def _owners(columns: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Disjoint spans, each owned by the least slice number over it, from slices sorted by chunk and start.
+
+    The state is the slices that are open and can still become the owner: in the order of their numbers each one ends after
+    those before it.  A chunk streams through in batches, so it may hold any number of slices.
+    """
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, open_, at = None, [], 0  # open_: (number, end), both rising
+
+        def upto(stop: int | None, out: list[tuple]) -> None:
+            nonlocal at
+            while open_ and (stop is None or at < stop):
+                owner, end = open_[0]
+                until = end if stop is None else min(end, stop)
+                if until > at:
+                    out.append((*chunk, at, until, owner))
+                    at = until
+                if end <= at:
+                    open_.pop(0)
+
+        for batch in batches:
+            out: list[tuple] = []
+            keys = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            rows = zip(keys, *(batch.column(c).to_pylist() for c in ("from_offset", "to_offset", "slice_no")), strict=True)
+            for key, start, end, number in rows:
+                if key != chunk:
+                    upto(None, out)
+                    chunk, open_, at = key, [], start
+                upto(start, out)
+                at = max(at, start)
+                place = bisect_left(open_, (number, 0))
+                if place and open_[place - 1][1] >= end:
+                    continue
+                drop = place
+                while drop < len(open_) and open_[drop][1] <= end:
+                    drop += 1
+                open_[place:drop] = [(number, end)]
+            if out:
+                yield _spans(out, batch, columns)
+        if open_:
+            out = []
+            upto(None, out)
+            yield _spans(out, batch, columns)
+
+    return sweep
+
+
+def _spans(out: list[tuple], batch: pa.RecordBatch, columns: Sequence[str]) -> pa.RecordBatch:
+    names = [*columns, "from_offset", "to_offset", "slice_no"]
+    return pa.record_batch([pa.array(v, batch.schema.field(n).type) for n, v in zip(names, zip(*out, strict=True), strict=True)], names=names)
+
+
+def slice_spans(slices: DataFrame, keys: Sequence[str], record_size: int = 1) -> DataFrame:
+    """``keys``, ``level``, ``from_offset``, ``to_offset``, ``slice_no``: disjoint spans of each level, owned by the first slice.
+
+    ``from_offset`` is floored to the record size.  The level is that of the slice's chunk size, so a slice lies in at most two
+    chunks and is at most two rows, however long it is.
+    """
+    start = (F.floor(F.col("from_offset") / record_size) * record_size).cast("bigint")
+    named = slices.select(*keys, start.alias("from_offset"), F.col("to_offset").cast("bigint"), F.col("slice_no").cast("bigint")).where("to_offset > from_offset")
+    # equal slices fold before anything is ordered
+    first = named.groupBy(*keys, "from_offset", "to_offset").agg(F.min("slice_no").alias("slice_no"))
+    length = F.col("to_offset") - F.col("from_offset")
+    fits = [F.when(length <= size, F.struct(F.lit(n).alias("level"), F.lit(size).alias("size"))) for n, size in enumerate(CHUNK_SIZES)]
+    sized = first.withColumn("fit", F.coalesce(*fits)).withColumn("chunk", F.explode(F.sequence(F.expr("from_offset div fit.size"), F.expr("(to_offset - 1) div fit.size"))))
+    cut = sized.select(
+        *keys, "fit.level", "chunk", F.greatest("from_offset", F.col("chunk") * F.col("fit.size")).alias("from_offset"),
+        # written so that the end of the last chunk cannot overflow
+        (F.least(F.col("to_offset") - 1, F.col("chunk") * F.col("fit.size") + (F.col("fit.size") - 1)) + 1).alias("to_offset"), "slice_no",
+    )
+    chunk = [*keys, "level", "chunk"]
+    dealt = cut.repartition(*chunk).sortWithinPartitions(*chunk, "from_offset", "slice_no")
+    return dealt.mapInArrow(_owners(chunk), cut.schema).drop("chunk")
 
 
 def assign_to_slices(
@@ -125,19 +188,23 @@ def assign_to_slices(
 ) -> DataFrame:
     """Records whose offset lies in ``[from_offset, to_offset)`` of an index row; the first index row wins.
 
-    ``from_offset`` is floored to the record size.  Offsets form a tree of blocks of 1, 16, 256 ... offsets.  A slice is
-    the union of a few blocks of each size; of the slices that hold a block the first one is kept, so a block is one row
-    however many slices overlap.  A record looks up the one block of each size that it lies in.
+    Slices are swept into disjoint spans of an owner; spans and records are then merged into one track by offset, in which
+    a record looks back to the last span of each level.  A record is one row from end to end.
     """
-    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
-    start = F.floor(F.col("from_offset") / record_size) * record_size
-    cut = slices.withColumn("__start", start.cast("bigint")).where("to_offset > __start").withColumn("__level", level)
-    nodes = cut.withColumn("__node", F.explode(_nodes(F.col("__level"), F.col("__start"), F.col("to_offset").cast("bigint"))))
-    firsts = nodes.groupBy(*keys, "__level", "__node").agg(F.min("slice_no").alias("slice_no"))
-    placed = records.withColumn("__level", level)
-    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__level") * 4)
-    placed = placed.withColumn("__node", F.floor(F.col("offset") / size).cast("bigint"))
-    return placed.join(firsts, [*keys, "__level", "__node"]).groupBy(*keys, record_id).agg(F.min("slice_no").alias("slice_no"))
+    spans = slice_spans(slices, keys, record_size)
+    levels = range(len(CHUNK_SIZES))
+    none = F.lit(None).cast("struct<until:bigint,slice_no:bigint>")
+    own = F.struct(F.col("to_offset").alias("until"), "slice_no")
+    owners = spans.select(
+        *keys, F.col("from_offset").alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(records.schema[record_id].dataType).alias(record_id),
+        *[F.when(F.col("level") == n, own).otherwise(none).alias(f"__level{n}") for n in levels],
+    )
+    points = records.select(*keys, F.col("offset").cast("bigint").alias("__at"), F.lit(1).alias("__side"), record_id, *[none.alias(f"__level{n}") for n in levels])
+    track = by_block(keys, ["__at", "__side"], CHUNK_SIZES[0])
+    carried = running(owners.unionByName(points), track, {f"__own{n}": ("last", f"__level{n}") for n in levels})
+    of_level = [F.when(F.col("__at") < F.col(f"__own{n}.until"), F.col(f"__own{n}.slice_no")) for n in levels]
+    found = carried.where("__side = 1").select(*keys, record_id, F.least(*of_level).alias("slice_no")).where("slice_no IS NOT NULL")
+    return found.groupBy(*keys, record_id).agg(F.min("slice_no").alias("slice_no"))
 
 
 def assign_to_nearest_day(points: DataFrame, days: DataFrame, point_id: str) -> DataFrame:

@@ -248,22 +248,28 @@ def enough_days(range_days: Column, days_in_window: Column, smallest: int = min(
     return (days_in_window >= range_days) | (range_days == smallest)
 
 
-def windows_with_fallback(days: DataFrame, now: Column, offset_minutes: Column, n: int) -> DataFrame:
-    """Window to now per card, or to the card's latest day where the first holds no day."""
-    start, end = window_to_now(now, offset_minutes, n)
-    card = days.groupBy("card_id").agg(
-        F.max("clinical_day").alias("latest_day"),
-        F.count_if((F.col("clinical_day") >= start) & (F.col("clinical_day") < end)).alias("n_recent"),
+def windows_with_fallback(days: DataFrame, now: Column, offset_minutes: Column, ranges: int | Sequence[int]) -> DataFrame:
+    """Windows to now per card and range, or to the card's latest day where the first holds no day.
+
+    ``anchored_day`` is that latest day where a window was moved.
+    """
+    ranges = (ranges,) if isinstance(ranges, int) else tuple(ranges)
+    inside = lambda n: (F.col("clinical_day") >= window_to_now(now, offset_minutes, n)[0]) & (
+        F.col("clinical_day") < window_to_now(now, offset_minutes, n)[1]
     )
-    late_start, late_end = window_to_latest(F.col("latest_day"), n)
-    recent = F.col("n_recent") > 0
-    return card.select(
-        "card_id",
-        F.lit(n).alias("range_days"),
+    recent = F.array(*[F.struct(F.lit(n).alias("range_days"), F.count_if(inside(n)).alias("n_recent")) for n in ranges])
+    card = days.groupBy("card_id").agg(F.max("clinical_day").alias("latest_day"), recent.alias("recent"))
+    each = card.select("card_id", "latest_day", F.inline("recent"))
+    start, end = window_to_now(now, offset_minutes, F.col("range_days"))
+    late_start, late_end = window_to_latest(F.col("latest_day"), F.col("range_days"))
+    here = F.col("n_recent") > 0
+    return each.select(
+        "card_id", "range_days",
         F.lit("current").alias("kind"),
-        F.when(recent, start).otherwise(late_start).alias("window_start"),
-        F.when(recent, end).otherwise(late_end).alias("window_end"),
-        (~recent).alias("anchored_to_latest"),
+        F.when(here, start).otherwise(late_start).alias("window_start"),
+        F.when(here, end).otherwise(late_end).alias("window_end"),
+        (~here).alias("anchored_to_latest"),
+        F.when(~here, F.col("latest_day")).alias("anchored_day"),
     )
 
 

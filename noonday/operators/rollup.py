@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from noonday.functions.dates import clinical_day
 from noonday.operators.cleaning import (
     FIELD_RANGES, LEAK, MINUTES, PRESSURE, RATE, RESPIRATORY_RATE, TIDAL_VOLUME, in_range, ranged,
 )
+from noonday.sources.sinks import keep
 
 DAY = ("card_id", "clinical_day")
 SUM_COUNT_FIELDS = [
@@ -209,55 +211,80 @@ def minutes_at(value: Column, bin_: str = "bin", seconds: str = "seconds") -> Co
     return F.when(total > 0, total / 60)
 
 
+#: Distinct values of a group that one task ranks at most, and the pieces a larger group is cut into in each round.
+RANKED, PIECES = 65_536, 256
+
+
+def _wanted(probabilities: dict[str, float]) -> Column:
+    """The two ranks (from zero) between which each percentile of ``__total`` values lies, and how far it lies along."""
+    out = []
+    for name, p in probabilities.items():
+        rank = F.lit(p) * (F.col("__total") - 1)
+        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            out.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), at.alias("at"), (rank - F.floor(rank)).alias("blend")))
+    return F.array(*out)
+
+
+def _narrowed(counts: DataFrame, segments: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The pieces of the segments, of about equal numbers of distinct values, and the values with the piece they lie in.
+
+    ``segments``: keys, ``__seg``, ``__before`` (values of the group that lie below) and ``__total``.  The pieces' bounds
+    follow the data: they are approximate percentiles of the segment's distinct values, a sketch that combines before the
+    shuffle, so a third of all values in a narrow range is cut as finely as the rest.
+    """
+    here = [*keys, "__seg"]
+    cuts = [F.lit((n + 1) / PIECES) for n in range(PIECES - 1)]
+    inside = counts.join(segments, here)
+    edges = inside.groupBy(*here).agg(F.array_distinct(F.percentile_approx("__v", F.array(*cuts), 4 * PIECES)).alias("__edges"))
+    # the piece of a value: how many bounds lie below it
+    piece = F.size(F.filter("__edges", lambda e: e < F.col("__v")))
+    cut = inside.join(edges, here).withColumn("__next", F.col("__seg") * PIECES + piece).drop("__edges")
+    sums = cut.groupBy(*here, "__next", "__before", "__total").agg(F.sum("__n").alias("__piece_n"), F.count(F.lit(1)).alias("__distinct"))
+    below = Window.partitionBy(*here).orderBy("__next").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__piece_n").over(below), F.lit(0)))
+    return placed.select(*keys, F.col("__next").alias("__seg"), F.col("__start").alias("__before"), "__total", "__piece_n", "__distinct"), cut
+
+
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], bin_width: float
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], most: int = RANKED
 ) -> DataFrame:
     """Exact interpolated percentiles of groups of any size.
 
-    Equal values are counted first.  Values are then cut into bins of ``bin_width``; a small table of bin counts
-    tells which bins hold the wanted ranks, and only the values of those bins are ranked.  No task holds a group.
+    Equal values are counted first.  A group with more than ``most`` distinct values is narrowed down, round by round, to
+    the pieces that hold the wanted ranks, until these are small; only their values are ranked.  No task ranks more than
+    ``most`` values, whatever the group and however its values crowd.
     """
-    counts = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*keys, F.col(value).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__bin", F.floor(F.col("__v") / bin_width))
-    )
-    per_bin = counts.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__bin_n"))
-    by_bin = Window.partitionBy(*keys).orderBy("__bin")
-    whole = Window.partitionBy(*keys)
-    placed = per_bin.select(
-        *keys,
-        "__bin",
-        (F.sum("__bin_n").over(by_bin) - F.col("__bin_n")).alias("__before"),
-        (F.sum("__bin_n").over(by_bin)).alias("__upto"),
-        F.sum("__bin_n").over(whole).alias("__total"),
-    )
-    wanted = []
-    for name, p in probabilities.items():
-        rank = F.lit(p) * (F.col("__total") - 1)
-        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            wanted.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), at.alias("at"),
-                                   (rank - F.floor(rank)).alias("blend")))
-    targets = (
-        placed.withColumn("__t", F.explode(F.array(*wanted)))
-        .where((F.col("__t.at") >= F.col("__before")) & (F.col("__t.at") < F.col("__upto")))
-        .select(*keys, "__bin", "__before", "__t.*")
-    )
-    bins_needed = targets.select(*keys, "__bin", "__before").distinct()
-    in_bin = Window.partitionBy(*keys, "__bin").orderBy("__v")
-    ranked = (
-        counts.join(bins_needed, [*keys, "__bin"])
-        .withColumn("__end", F.col("__before") + F.sum("__n").over(in_bin))
-        .withColumn("__begin", F.col("__end") - F.col("__n"))
-    )
-    hits = ranked.join(targets.drop("__before"), [*keys, "__bin"]).where(
-        (F.col("at") >= F.col("__begin")) & (F.col("at") < F.col("__end"))
+    keys = list(keys)
+    counts = keep(
+        df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__seg", F.lit(0).cast("bigint")),
+        "value-counts",
     )
+    wanted = _wanted(probabilities)
+    holds = F.exists(wanted, lambda t: (t["at"] >= F.col("__before")) & (t["at"] < F.col("__before") + F.col("__piece_n")))
+    whole = counts.groupBy(*keys, "__seg").agg(F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__distinct"))
+    level = keep(whole.withColumns({"__before": F.lit(0).cast("bigint"), "__piece_n": F.col("__total")}), "segments")
+    small, rows = [], counts
+    while True:
+        here = [*keys, "__seg"]
+        fit = level.where((F.col("__distinct") <= most) & holds)
+        small.append(rows.join(fit.select(*here, "__before", "__total", "__piece_n"), here))
+        crowded = level.where((F.col("__distinct") > most) & holds)
+        if crowded.isEmpty():
+            break
+        pieces, cut = _narrowed(rows, crowded.select(*here, "__before", "__total"), keys)
+        level = keep(pieces, "segments")
+        rows = keep(cut.drop("__seg", "__before", "__total").withColumnRenamed("__next", "__seg"), "value-counts")
+    ranked = reduce(DataFrame.unionByName, small)
+    in_order = Window.partitionBy(*keys, "__seg").orderBy("__v")
+    ends = F.col("__before") + F.sum("__n").over(in_order)
+    placed = ranked.withColumn("__end", ends).withColumn("__begin", F.col("__end") - F.col("__n"))
+    hits = placed.withColumn("__t", F.explode(wanted)).where((F.col("__t.at") >= F.col("__begin")) & (F.col("__t.at") < F.col("__end")))
     out = []
     for name in probabilities:
-        lo = F.max(F.when((F.col("name") == name) & (F.col("side") == "lo"), F.col("__v") * (1 - F.col("blend"))))
-        hi = F.max(F.when((F.col("name") == name) & (F.col("side") == "hi"), F.col("__v") * F.col("blend")))
+        of = lambda side, name=name: (F.col("__t.name") == name) & (F.col("__t.side") == side)
+        lo = F.max(F.when(of("lo"), F.col("__v") * (1 - F.col("__t.blend"))))
+        hi = F.max(F.when(of("hi"), F.col("__v") * F.col("__t.blend")))
         out.append((lo + hi).alias(name))
     return hits.groupBy(*keys).agg(*out)
 

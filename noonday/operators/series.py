@@ -163,3 +163,21 @@ def carry_forward(frames: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Last known value at every frame; frames before the first value are dropped."""
     carried = running(frames, track_of(keys, order), {name: ("last", value)})
     return carried.where(F.col(name).isNotNull())
+
+
+def natural_key(path: Column | str) -> Column:
+    """Text that sorts like the path with its runs of digits compared by value; case decides only through the path itself.
+
+    A run becomes its digits without leading zeros behind their number, so longer numbers sort after shorter ones.
+    """
+    runs = F.regexp_extract_all(F.lower(path), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    digits = lambda r: F.regexp_replace(r, "^0+(?=[0-9])", "")
+    keyed = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(r)).cast("string"), 4, "0"), digits(r))).otherwise(r))
+    return F.array_join(keyed, "")
+
+
+def newest_by_path(files: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
+    """The last path of each group in natural order (``newest``), in lexical order (``last``), and the number of paths."""
+    return files.groupBy(*keys).agg(
+        F.max_by(path, F.struct(natural_key(path), F.col(path))).alias("newest"), F.max(path).alias("last"), F.count(F.lit(1)).alias("n")
+    )

@@ -52,6 +52,11 @@ def dominant_days(sessions: DataFrame, keys: Sequence[str] = ("card_id",)) -> Da
     )
 
 
+def steady(value: Column) -> Column:
+    """Nine decimals: what the order of a sum leaves in the last digits must not decide how a derived value rounds."""
+    return F.round(value, 9)
+
+
 def duration_weight(minutes: Column) -> Column:
     return F.sqrt(F.least(F.lit(720.0), minutes) / 60)
 
@@ -113,14 +118,14 @@ def anchors(dominant: DataFrame, keys: Sequence[str] = ("card_id",)) -> DataFram
         days.alias("days"),
     )
     anchored = grouped.where(F.col("supporting_days") >= 2).withColumn(
-        "anchor", mean_clock(F.col("x"), F.col("y"), F.col("candidate"))
+        "anchor", steady(mean_clock(F.col("x"), F.col("y"), F.col("candidate")))
     )
     spread = F.aggregate(
         "days", F.lit(0.0), lambda acc, d: acc + clock_distance(F.col("anchor"), d["m"])
     ) / F.col("supporting_days")
     return anchored.select(
         *keys, "observed_days", "supporting_days", "candidate", "anchor",
-        F.greatest(F.lit(0.0), 1 - spread / INLIER_MINUTES).alias("concentration"),
+        steady(F.greatest(F.lit(0.0), 1 - spread / INLIER_MINUTES)).alias("concentration"),
         weighted_median("days", F.col("total_weight")).alias("median_minutes"),
     )
 
@@ -138,27 +143,28 @@ def weighted_median(days: str, total: Column) -> Column:
     return F.aggregate(days, start, step)["v"]
 
 
-def schedule_drift(sessions: DataFrame) -> DataFrame:
+def schedule_drift(sessions: DataFrame, keys: Sequence[str] = ("card_id",)) -> DataFrame:
     """Cards whose anchor of the last 14 days lies four hours or more from the anchor before."""
-    card = sessions.groupBy("card_id").agg(
+    keys = list(keys)
+    card = sessions.groupBy(*keys).agg(
         F.max("start_ts").alias("newest"), F.count(F.lit(1)).alias("n_sessions")
     )
     cut = F.col("newest") - F.expr(f"INTERVAL {DRIFT_DAYS} DAYS")
     sides = (
-        sessions.join(card.where(F.col("n_sessions") >= DRIFT_SESSIONS), "card_id")
+        sessions.join(card.where(F.col("n_sessions") >= DRIFT_SESSIONS), keys)
         .withColumn("side", F.when(F.col("start_ts") >= cut, "recent").otherwise("prior"))
-        .select("card_id", "side", "start_ts", "end_ts")
+        .select(*keys, "side", "start_ts", "end_ts")
     )
     # The number of dominant days is the number of candidates an anchor was looked for among.
-    by_side = anchors(dominant_days(sides, ["card_id", "side"]), ["card_id", "side"]).where(
+    by_side = anchors(dominant_days(sides, [*keys, "side"]), [*keys, "side"]).where(
         F.col("observed_days") >= DRIFT_SIDE_DAYS
     )
-    pivoted = by_side.groupBy("card_id").agg(
+    pivoted = by_side.groupBy(*keys).agg(
         F.max(F.when(F.col("side") == "recent", F.col("anchor"))).alias("recent_anchor"),
         F.max(F.when(F.col("side") == "prior", F.col("anchor"))).alias("prior_anchor"),
     )
-    return card.join(pivoted, "card_id", "left").select(
-        "card_id",
+    return card.join(pivoted, keys, "left").select(
+        *keys,
         "recent_anchor",
         "prior_anchor",
         F.coalesce(
@@ -167,10 +173,11 @@ def schedule_drift(sessions: DataFrame) -> DataFrame:
     )
 
 
-def sleep_profiles(sessions: DataFrame) -> DataFrame:
-    """One timing profile per card from its de-duplicated sessions."""
-    found = anchors(dominant_days(sessions))
-    drift = schedule_drift(sessions).select("card_id", "drift")
+def sleep_profiles(sessions: DataFrame, keys: Sequence[str] = ("card_id",)) -> DataFrame:
+    """One timing profile per card, or per card and settings period, from its de-duplicated sessions."""
+    keys = list(keys)
+    found = anchors(dominant_days(sessions, keys), keys)
+    drift = schedule_drift(sessions, keys).select(*keys, "drift")
     typical = F.least(F.lit(720.0), F.greatest(F.lit(60.0), F.col("median_minutes")))
     raw = (
         0.5 * F.col("supporting_days") / F.greatest(F.lit(1), F.col("observed_days"))
@@ -178,7 +185,7 @@ def sleep_profiles(sessions: DataFrame) -> DataFrame:
         + 0.2 * F.least(F.lit(1.0), F.col("observed_days") / DRIFT_DAYS)
     )
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw - F.when(F.col("drift"), 0.2).otherwise(0.0)))
-    rounded = found.join(drift, "card_id").withColumns(
+    rounded = found.join(drift, keys).withColumns(
         {
             "anchor_minutes": half_up(F.col("anchor")).cast("double"),
             "typical_minutes": half_up(typical).cast("double"),
@@ -186,7 +193,7 @@ def sleep_profiles(sessions: DataFrame) -> DataFrame:
         }
     )
     return rounded.select(
-        "card_id", "anchor_minutes", "typical_minutes",
+        *keys, "anchor_minutes", "typical_minutes",
         wrap(F.col("anchor_minutes") + F.col("typical_minutes")).alias("window_end_minutes"),
         wrap(F.col("anchor_minutes") - BOUNDARY_MINUTES).alias("boundary_minutes"),
         "confidence_score",
@@ -196,9 +203,9 @@ def sleep_profiles(sessions: DataFrame) -> DataFrame:
     )
 
 
-def with_sleep_day(sessions: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Calendar day of the start, one day back when it starts before the card's boundary minute."""
-    own = sessions.join(profiles.select("card_id", "anchor_minutes", "boundary_minutes"), "card_id")
+def with_sleep_day(sessions: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("card_id",)) -> DataFrame:
+    """Calendar day of the start, one day back when it starts before the profile's boundary minute."""
+    own = sessions.join(profiles.select(*keys, "anchor_minutes", "boundary_minutes"), list(keys))
     day = F.to_date("start_ts")
     early = minute_of_day("start_ts") < F.col("boundary_minutes")
     return timed(own).withColumn("sleep_day", F.when(early, F.date_sub(day, 1)).otherwise(day))

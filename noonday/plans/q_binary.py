@@ -169,12 +169,15 @@ SELECT card_id, day, n, total FROM (SELECT *, max(day) OVER (PARTITION BY card_i
     days="day",
 )
 def files_to_days(spark, sf):
-    """Samples of ten cards as text files, a folder per card and day; listed, cut to the last seven days, read, and rolled up."""
+    """Samples of ten cards as text files under two roots, a folder per card and day; listed by tasks, cut to the last
+    seven days, read, and rolled up."""
     base = f"{checkpoint_dir(spark)}/card-files-{uuid.uuid4().hex}"
     line = F.concat_ws(",", F.col("seq").cast("string"), F.col("value").cast("string"))
     texts = a.samples(spark, sf).select((F.col("card_id") % 10).alias("card_id"), F.date_format(clinical_day("ts"), "yyyyMMdd").alias("day"), line.alias("value"))
-    texts.repartition("card_id", "day").write.partitionBy("card_id", "day").text(base)
-    listed = binary.list_files(spark, base).withColumn("file_id", F.col("uri"))
+    roots = [f"{base}/{name}" for name in ("even", "odd")]
+    for n, root in enumerate(roots):
+        texts.where(F.col("card_id") % 2 == n).repartition("card_id", "day").write.partitionBy("card_id", "day").text(root)
+    listed = binary.list_files(spark, *roots).withColumn("file_id", F.col("uri"))
     recent = catalogue.recent_files(listed, 7).where("kept").withColumnRenamed("file_id", "uri")
     found = binary.with_content(recent.select("card_id", "uri", "path_date")).where("reason IS NULL")
     rows = found.select("card_id", "path_date", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")

@@ -99,23 +99,31 @@ def period_sessions(spark, sf):
 _SIGNATURE = ["usage_hours", "leak", "ahi"]
 
 
+DISTINCT_RECORDS = """
+distinct_records AS (
+  SELECT card_id, seq, date, copies FROM (
+    SELECT *, count(*) OVER (PARTITION BY card_id, CAST(date AS DATE), leak, ahi, settings_signature) AS copies,
+      row_number() OVER (PARTITION BY card_id, CAST(date AS DATE), leak, ahi, settings_signature ORDER BY seq) AS rn
+    FROM (SELECT card_id, seq, date, round(floor(leak / 40), 3) AS leak, round(mod(central_apneas * 8, 3), 3) AS ahi,
+                 settings_signature FROM records))
+  WHERE rn = 1)"""
+
+
 @query(
     "record_dedupe",
-    with_views(RECORDS, body="""
-SELECT card_id, seq, date, copies FROM (
-  SELECT *, count(*) OVER w AS copies, row_number() OVER (w ORDER BY seq) AS rn
-  FROM (SELECT card_id, seq, date, round(floor(leak / 40), 3) AS leak, round(mod(central_apneas * 8, 3), 3) AS ahi,
-               settings_signature FROM records)
-  WINDOW w AS (PARTITION BY card_id, CAST(date AS DATE), leak, ahi, settings_signature))
-WHERE rn = 1""".replace("(w ORDER BY seq)", "(PARTITION BY card_id, CAST(date AS DATE), leak, ahi, settings_signature ORDER BY seq)")),
+    with_views(RECORDS, DISTINCT_RECORDS, body="SELECT * FROM distinct_records"),
     times="date",
 )
 def record_dedupe(spark, sf):
-    coarse = a.records(spark, sf).select(
+    return c.distinct_records(coarse_records(spark, sf)).select("card_id", "seq", "date", "copies")
+
+
+def coarse_records(spark, sf):
+    """Records with two rough metrics only, so that many of a date are equal."""
+    return a.records(spark, sf).select(
         "card_id", "seq", "date", F.floor(F.col("leak") / 40).cast("double").alias("leak"),
         (F.col("central_apneas") * 8 % 3).alias("ahi"), "settings_signature",
     )
-    return c.distinct_records(coarse).select("card_id", "seq", "date", "copies")
 
 
 @query(
@@ -203,24 +211,30 @@ def session_dedupe_exact(spark, sf):
     return c.distinct_sessions(coarse)
 
 
-FUZZY = """
-doubled AS (
-  SELECT DISTINCT card_id, epoch_us(start_ts) + n * 1000000 AS s, epoch_us(end_ts) + n * 1000000 AS e
-  FROM sessions, (VALUES (0), (90), (150)) AS t(n)),
-walks AS (SELECT card_id, list({'s': s, 'e': e} ORDER BY s, e) AS l FROM doubled GROUP BY card_id),
-walked AS (
+def walked(source: str, out: str) -> str:
+    """SQL views: ``out``, the sessions of each ``card_id`` of ``source`` that a walk by start and end keeps."""
+    return f"""
+{out}_lists AS (
+  SELECT card_id, list({{'s': s, 'e': e}} ORDER BY s, e) AS l
+  FROM (SELECT DISTINCT card_id, epoch_us(start_ts) AS s, epoch_us(end_ts) AS e FROM {source}) GROUP BY card_id),
+{out}_walked AS (
   SELECT card_id, list_reduce(
     list_transform(l, lambda x: [x]),
     lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: abs(k.s - x[1].s) <= 120000000 AND abs(k.e - x[1].e) <= 120000000)) > 0
       THEN kept ELSE list_concat(kept, x) END,
-    CAST([] AS STRUCT(s BIGINT, e BIGINT)[])) AS kept FROM walks),
-distinct_fuzzy AS (
-  SELECT card_id, make_timestamp(k.s) AS start_ts, make_timestamp(k.e) AS end_ts FROM (SELECT card_id, unnest(kept) AS k FROM walked))"""
+    CAST([] AS STRUCT(s BIGINT, e BIGINT)[])) AS kept FROM {out}_lists),
+{out} AS (
+  SELECT card_id, make_timestamp(k.s) AS start_ts, make_timestamp(k.e) AS end_ts FROM (SELECT card_id, unnest(kept) AS k FROM {out}_walked))"""
+
+
+DOUBLED = """
+doubled AS (
+  SELECT card_id, start_ts + to_seconds(n) AS start_ts, end_ts + to_seconds(n) AS end_ts FROM sessions, (VALUES (0), (90), (150)) AS t(n))"""
 
 
 @query(
     "session_dedupe_fuzzy",
-    with_views(SESSIONS, FUZZY, body="SELECT card_id, start_ts, end_ts FROM distinct_fuzzy"),
+    with_views(SESSIONS, DOUBLED, walked("doubled", "distinct_fuzzy"), body="SELECT card_id, start_ts, end_ts FROM distinct_fuzzy"),
     times="start_ts end_ts",
 )
 def session_dedupe_fuzzy(spark, sf):

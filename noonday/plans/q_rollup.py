@@ -172,7 +172,7 @@ FROM samples GROUP BY ALL"""),
 )
 def percentile_exact(spark, sf):
     return (
-        rollup.exact_percentiles(a.samples(spark, sf), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, 1.0)
+        rollup.exact_percentiles(a.samples(spark, sf), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
     )
 
 

@@ -249,12 +249,18 @@ def dominant_daily(spark, sf):
 @query(
     "newest_by_path",
     with_views(SAMPLES, body="""
-SELECT user_id AS card_id, max(event_type || '/' || lpad(CAST(event_id AS VARCHAR), 9, '0')) AS newest,
-  count(*) AS n FROM events GROUP BY user_id"""),
+, paths AS (
+  SELECT card_id, event_type || '/Part' || (seq % 13) || '/' || lpad(CAST(seq % 7 AS VARCHAR), CAST(seq % 3 + 1 AS INTEGER), '0') || '_' || seq || '.dat' AS path FROM samples),
+keyed AS (
+  SELECT card_id, path, list_aggregate(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]')
+    THEN lpad(CAST(length(regexp_replace(r, '^0+([0-9])', '\\1')) AS VARCHAR), 4, '0') || regexp_replace(r, '^0+([0-9])', '\\1') ELSE r END), 'string_agg', '') AS key FROM paths)
+SELECT card_id, arg_max(path, (key, path)) AS newest, max(path) AS last, count(*) AS n FROM keyed GROUP BY card_id"""),
 )
 def newest_by_path(spark, sf):
-    path = F.concat("event_type", F.lit("/"), F.lpad(F.col("seq").cast("string"), 9, "0"))
-    return a.samples(spark, sf).groupBy("card_id").agg(F.max(path).alias("newest"), F.count(F.lit(1)).alias("n"))
+    seq = F.col("seq")
+    part = F.expr("lpad(string(seq % 7), int(seq % 3 + 1), '0')")
+    path = F.concat("event_type", F.lit("/Part"), (seq % 13).cast("string"), F.lit("/"), part, F.lit("_"), seq.cast("string"), F.lit(".dat"))
+    return series.newest_by_path(a.samples(spark, sf).withColumn("path", path), ["card_id"])
 
 
 @query(

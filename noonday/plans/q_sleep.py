@@ -35,10 +35,10 @@ centred AS (
     sum(cos(rad) * w) AS x, sum(sin(rad) * w) AS y, sum(w) AS total_w
   FROM near GROUP BY card_id HAVING count(*) >= 2),
 anchored AS (
-  SELECT *, CASE WHEN abs(x) < 1e-9 AND abs(y) < 1e-9 THEN candidate
-    ELSE (atan2(y, x) / (2 * pi()) * 1440 + 1440) % 1440 END AS anchor FROM centred),
+  SELECT *, round(CASE WHEN abs(x) < 1e-9 AND abs(y) < 1e-9 THEN candidate
+    ELSE (atan2(y, x) / (2 * pi()) * 1440 + 1440) % 1440 END, 9) AS anchor FROM centred),
 spread AS (
-  SELECT a.card_id, greatest(0, 1 - avg({_distance('a.anchor', 'n.start_minute')}) / 240) AS concentration
+  SELECT a.card_id, round(greatest(0, 1 - avg({_distance('a.anchor', 'n.start_minute')}) / 240), 9) AS concentration
   FROM anchored a JOIN near n USING (card_id) GROUP BY a.card_id),
 medians AS (
   SELECT card_id, min(minutes) FILTER (round(cum, 9) >= round(total_w / 2, 9)) AS median_minutes FROM (
@@ -230,15 +230,13 @@ def circular_distance(spark, sf):
 @query(
     "format_clock",
     """
-WITH m AS (SELECT event_id, value, CAST(floor(value * 7 + 0.5) AS BIGINT) % 1440 AS m,
+WITH m AS (SELECT event_id, value, CAST(floor((value * 70) % 1440 + 0.5) AS BIGINT) % 1440 AS m,
   CAST(floor(value / 20 * 60 + 0.5) AS BIGINT) AS t FROM events)
 SELECT event_id, CASE WHEN (m // 60) % 12 = 0 THEN 12 ELSE (m // 60) % 12 END || ':' || lpad(CAST(m % 60 AS VARCHAR), 2, '0')
   || CASE WHEN m // 60 >= 12 THEN ' PM' ELSE ' AM' END AS clock,
   t // 60 || ':' || lpad(CAST(t % 60 AS VARCHAR), 2, '0') AS duration FROM m""",
 )
 def format_clock(spark, sf):
-    # The clock is rounded after wrapping, so 1439.6 would read 24:00; whole minutes are passed in here.
-    minutes = F.floor(F.col("value") * 7 + 0.5).cast("double")
     return a.read(spark, sf, "events").select(
-        "event_id", clock_text(minutes).alias("clock"), hours_text(F.col("value") / 20).alias("duration")
+        "event_id", clock_text(F.col("value") * 70).alias("clock"), hours_text(F.col("value") / 20).alias("duration")
     )

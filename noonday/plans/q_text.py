@@ -215,6 +215,10 @@ def parse_settings_json(spark, sf):
 
 
 def json_settings_of(spark, sf):
+    return t.json_settings(json_texts(spark, sf), K)
+
+
+def json_texts(spark, sf):
     """Active profile by name; every seventh file names one that does not exist, so the first with a mode is used."""
     k = F.col("k")
 
@@ -246,16 +250,20 @@ def json_settings_of(spark, sf):
     body = obj(("FlowGenerator", obj(("SettingProfiles", obj(
         ("ActiveProfiles", obj(("TherapyProfile", text(active)))), ("TherapyProfiles", profiles), ("FeatureProfiles", features),
     )))))
-    files = orders(spark, sf).select("file_id", body.alias("text"))
-    return t.json_settings(files, K)
+    return orders(spark, sf).select("file_id", body.alias("text"))
+
+
+def _shown(column: str) -> str:
+    """One decimal of the number in a setting's text, then its unit."""
+    return f"printf('%.1f', CAST(regexp_extract({column}, '[0-9.]+') AS DOUBLE)) || ' ' || regexp_extract({column}, '[A-Za-z0-9]+$')"
 
 
 _SETTING_ROWS = (
-    ("Device", "device", "true"), ("Mode", "mode", "true"), ("Min EPAP", "pressure_min", "bi AND ranged"), ("Max IPAP", "pressure_max", "bi AND ranged"),
-    ("IPAP", "ipap", "bi AND NOT ranged"), ("EPAP", "epap", "bi AND NOT ranged"), ("Respiratory rate (RR)", "respiratory_rate", "bi"),
-    ("Tidal volume (Vt)", "tidal_volume", "bi"), ("Min pressure", "pressure_min", "mode = 'APAP'"), ("Max pressure", "pressure_max", "mode = 'APAP'"),
-    ("Pressure", "pressure", "mode = 'CPAP'"), ("Ramp time", "ramp_time", "true"), ("Ramp pressure", "ramp_pressure", "true"),
-    ("Pressure relief", "pressure_relief", "true"),
+    ("'Device'", "device", "true"), ("'Mode'", "mode", "true"), ("'Min EPAP'", _shown("pressure_min"), "bi AND ranged"), ("'Max IPAP'", _shown("pressure_max"), "bi AND ranged"),
+    ("'IPAP'", _shown("ipap"), "bi AND NOT ranged"), ("'EPAP'", _shown("epap"), "bi AND NOT ranged"), ("'Respiratory rate (RR)'", _shown("respiratory_rate"), "bi"),
+    ("'Tidal volume (Vt)'", _shown("tidal_volume"), "bi"), ("'Min pressure'", _shown("pressure_min"), "mode = 'APAP'"), ("'Max pressure'", _shown("pressure_max"), "mode = 'APAP'"),
+    ("'Pressure'", _shown("pressure"), "mode = 'CPAP'"), ("'Ramp time'", "ramp_time", "true"), ("'Ramp pressure'", _shown("ramp_pressure"), "ramp_time <> 'Off'"),
+    ("CASE WHEN pressure_relief LIKE 'PS:%' THEN 'Pressure support' ELSE 'Pressure relief' END", "regexp_replace(pressure_relief, '^PS: ', '')", "true"),
 )
 
 
@@ -265,7 +273,7 @@ _SETTING_ROWS = (
 SELECT *, 'device ' || file_id % 9 AS device, mode = 'BiPAP' AS bi, pressure_auto OR coalesce(pressure_min, pressure_max) IS NOT NULL AS ranged FROM ({JSON_SETTINGS}))
 """
     + "\nUNION ALL ".join(
-        f"SELECT file_id, {n} AS pos, '{label}' AS label, {column} AS value FROM told WHERE {test} AND {column} IS NOT NULL"
+        f"SELECT file_id, {n} AS pos, {label} AS label, {column} AS value FROM told WHERE {test} AND {column} IS NOT NULL"
         for n, (label, column, test) in enumerate(_SETTING_ROWS, 1)
     ),
     whole="pos",
@@ -339,15 +347,33 @@ def parse_positional_csv(spark, sf):
 @query(
     "source_offset",
     """
-SELECT card_id, coalesce(arg_min(off, (priority, k)) FILTER (off IS NOT NULL), -480) AS offset_minutes
-FROM (SELECT o_custkey AS card_id, o_orderkey AS k, o_orderkey % 2 AS priority,
-        CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 9) * 60 + 30 END AS off FROM orders) GROUP BY card_id""",
-    whole="offset_minutes",
+WITH f AS (
+  SELECT o_custkey AS card_id, o_orderkey AS k, CAST(floor(o_totalprice * 20) AS BIGINT) AS size, o_custkey % 2 = 0 AS resmed FROM orders),
+o AS (
+  SELECT card_id, k, CASE WHEN k % 4 = 0 THEN 'json' ELSE 'text' END AS source,
+    CASE WHEN k % 4 = 0 THEN CASE WHEN resmed THEN (k % 12) * 60 + 30 END
+         WHEN k % 4 <> 2 AND k % 3 = 0 AND size BETWEEN 1 AND 1500000 THEN (k % 9) * 60 + 30 END AS off FROM f),
+b AS (SELECT card_id, arg_min(source, (source, k)) AS source, arg_min(off, (source, k)) AS off FROM o WHERE off IS NOT NULL GROUP BY card_id)
+SELECT c.card_id, coalesce(off, CASE WHEN c.card_id % 3 > 0 THEN -480 END) AS offset_minutes,
+  coalesce(source, CASE WHEN c.card_id % 3 > 0 THEN 'caller' END) AS source
+FROM (SELECT DISTINCT card_id FROM f) c LEFT JOIN b ON b.card_id = c.card_id""",
+    nullable="offset_minutes",
 )
 def source_offset(spark, sf):
-    offsets = _maps(spark, sf).select("file_id", t.utc_offset_of().alias("offset"))
-    cards = orders(spark, sf).select("file_id", F.col("o_custkey").alias("card_id"), (F.col("k") % 2).alias("priority"))
-    return t.source_offset(cards.join(offsets, "file_id"), F.lit(-480).cast("bigint"))
+    """Settings JSON, key-value texts on settings-like paths up to a size, the caller's value; some cards have none."""
+    k = F.col("k")
+    path = F.when(k % 4 == 0, F.concat(F.lit("SETTINGS/"), s(k), F.lit("/Settings/CurrentSettings.json"))).when(
+        k % 4 == 1, F.concat(F.lit("config/"), s(k), F.lit(".txt"))
+    ).when(k % 4 == 2, F.concat(F.lit("data/"), s(k), F.lit(".txt"))).otherwise(F.concat(s(k), F.lit("/profile.cfg")))
+    texts = kv_files(spark, sf).select("file_id", F.col("text").alias("kv")).join(json_texts(spark, sf), "file_id")
+    about = orders(spark, sf).select(
+        "file_id", F.col("o_custkey").alias("card_id"), path.alias("path"), F.floor(F.col("o_totalprice") * 20).alias("size"),
+        F.when(F.col("o_custkey") % 2 == 0, "resmed").otherwise("resvent").alias("family_id"), "k",
+    )
+    files = about.join(texts, "file_id").withColumn("text", F.when(k % 4 == 0, F.col("text")).otherwise(F.col("kv")))
+    cards = about.select("card_id").distinct()
+    default = F.when(F.col("card_id") % 3 > 0, F.lit(-480).cast("bigint"))
+    return t.source_offset(cards, t.offset_candidates(files, 1_500_000), default)
 
 
 @query(

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noonday.functions.dates import human_date
+from noonday.functions.dates import clinical_day, human_date
 from noonday.operators import sleep
+from noonday.operators.cleaning import fuzzy_distinct_sessions, period_sessions
 from noonday.operators.periods import (
-    REPORT_RANGES, WINDOW, effective_days, enough_days, fanned_days, guard_settings, window_days,
+    REPORT_RANGES, WINDOW, effective_days, enough_days, fanned_days, guard_settings, runs_text, settings_runs, window_days,
 )
 from noonday.operators.rollup import SAME_LEAK, ahi_of_day, histogram_percentile, merge_histograms, minutes_at
+from noonday.sources.sinks import keep
 
 # Fixed values.
 COMPLIANT_HOURS = 4.0
@@ -224,25 +226,28 @@ def histogram_metrics(bins: DataFrame, chosen_days: DataFrame, extremes: DataFra
     return vt_bins.join(rr_bins, keys, "full_outer")
 
 
-def timing_metrics(metrics: DataFrame, sessions: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+PERIOD = ("card_id", "kind")
+
+
+def timing_metrics(metrics: DataFrame, sessions: DataFrame, periods: DataFrame) -> DataFrame:
     """Principal and nap hours, the timing gate and the compliance that follows from it.
 
-    ``sessions``: card_id, start_ts, end_ts, without near duplicates (kept as a table, as profile, drift and days all
-    read them).  Timing counts only if session hours cover 70 to 105 percent of the reported hours.
+    ``sessions``: card_id, start_ts, end_ts, source_clinical_day (NULL where the source names no day).  ``periods``: the
+    settings periods of each card.  Sessions fan out to the periods they lie in; profile and drift are inferred from a
+    period's own sessions, and a window classifies the sessions of its period whose day (the source's, else the clinical
+    one) lies inside.  Near duplicates go in each of these sets on its own.  Timing counts only if session hours cover 70
+    to 105 percent of the reported hours.
     """
-    clean = sessions
-    own = profiles if profiles is not None else sleep.sleep_profiles(clean)
     keys = list(WINDOW)
+    own = keep(period_sessions(sessions, periods).select(*PERIOD, "start_ts", "end_ts", "source_clinical_day"), "period-sessions")
+    profiles = sleep.sleep_profiles(keep(fuzzy_distinct_sessions(own, keys=PERIOD), "distinct-sessions"), PERIOD)
+    day = F.coalesce("source_clinical_day", clinical_day("start_ts"))
     windows = metrics.select(*keys, "effective_start", "window_end")
-    day = F.to_date(F.col("start_ts") - F.expr("INTERVAL 12 HOURS"))
-    with_day = sleep.with_sleep_day(clean, own)
-    in_window = with_day.join(windows, "card_id").where(
-        (day >= F.col("effective_start")) & (day < F.col("window_end"))
-    )
-    totals = sleep.classify_totals(sleep.classify_days(in_window, keys), keys)
-    joined = metrics.join(totals, keys, "left").join(
-        own.select("card_id", "confidence", "drift", "anchor_minutes", "window_end_minutes"), "card_id", "left"
-    )
+    in_window = own.join(windows, list(PERIOD)).where((day >= F.col("effective_start")) & (day < F.col("window_end")))
+    placed = sleep.with_sleep_day(fuzzy_distinct_sessions(in_window, keys=keys), profiles, PERIOD)
+    totals = sleep.classify_totals(sleep.classify_days(placed, keys), keys)
+    shown = profiles.select(*PERIOD, "confidence", "drift", "anchor_minutes", "window_end_minutes")
+    joined = metrics.join(totals, keys, "left").join(shown, list(PERIOD), "left")
     session_hours = F.coalesce("total_minutes", F.lit(0.0)) / 60
     raw = F.when(F.col("daily_hours") > 0, session_hours / F.col("daily_hours") * 100).otherwise(0.0)
     return with_timing(joined, session_hours, raw)
@@ -254,15 +259,15 @@ def with_timing(joined: DataFrame, session_hours: Column, raw_coverage: Column)
         & (F.round(raw_coverage, 9) >= MIN_COVERAGE)
         & (F.round(raw_coverage, 9) <= MAX_COVERAGE)
     )
-    total = F.when(F.col("timed"), F.greatest("daily_hours", "session_hours")).otherwise(F.col("daily_hours"))
+    total = sleep.steady(F.when(F.col("timed"), F.greatest("daily_hours", "session_hours")).otherwise(F.col("daily_hours")))
     per_day = F.nullif("timed_days", F.lit(0))
     return (
-        joined.withColumns({"session_hours": session_hours, "raw_coverage": raw_coverage, "timed": usable})
+        joined.withColumns({"session_hours": session_hours, "raw_coverage": sleep.steady(raw_coverage), "timed": usable})
         .withColumns(
             {
                 "total_hours": total,
-                "principal_hours": F.when(F.col("timed"), F.col("principal_minutes") / 60),
-                "nap_hours": F.when(F.col("timed"), F.col("nap_minutes") / 60),
+                "principal_hours": F.when(F.col("timed"), sleep.steady(F.col("principal_minutes") / 60)),
+                "nap_hours": F.when(F.col("timed"), sleep.steady(F.col("nap_minutes") / 60)),
                 "compliant_days": F.when(
                     F.col("timed"), F.least("days_in_window", "timed_compliant_days")
                 ).otherwise(F.col("usage_compliant_days")),
@@ -271,11 +276,11 @@ def with_timing(joined: DataFrame, session_hours: Column, raw_coverage: Column)
         .withColumns(
             {
                 "unclassified_hours": F.when(
-                    F.col("timed"), F.greatest(F.lit(0.0), F.col("total_hours") - F.col("session_hours"))
+                    F.col("timed"), sleep.steady(F.greatest(F.lit(0.0), F.col("total_hours") - F.col("session_hours")))
                 ),
-                "avg_principal_hours": F.col("principal_hours") / per_day,
-                "avg_nap_hours": F.col("nap_hours") / per_day,
-                "compliance_percent": F.col("compliant_days") / F.col("days_in_window") * 100,
+                "avg_principal_hours": sleep.steady(F.col("principal_hours") / per_day),
+                "avg_nap_hours": sleep.steady(F.col("nap_hours") / per_day),
+                "compliance_percent": sleep.steady(F.col("compliant_days") / F.col("days_in_window") * 100),
             }
         )
     )
@@ -302,41 +307,112 @@ W_NO_DEVICE = "Machine device/model could not be confidently detected from uploa
 W_REVIEW = "Historical therapy period for review only. Export is unavailable."
 
 
-def warning_list(device: Column | None = None) -> Column:
-    """Ordered warnings of a report row (see :func:`timing_metrics` for its columns)."""
+W_ANCHORED = "Latest available therapy data ended on {}; calculations were anchored to the latest available clinical day instead of today."
+W_GUARD = (
+    "Therapy settings changed within the {}-day report window ({}). Calculations were limited to {} from {} forward to avoid mixing therapy settings."
+)
+W_DUPLICATES = "Deduplicated {} overlapping daily records."
+W_LATE_SETTINGS = "The latest {} settings record is dated after the last therapy {}; settings shown may not describe the report period."
+
+#: The order in which a report lists its warnings; those of the import come before those of the window.
+RANKS = {
+    code: rank
+    for rank, code in enumerate(
+        (
+            "mixed_layouts", "loader", "late_settings", "duplicates", "settings_changed", "anchored", "guarded", "review", "short_history",
+            "principal", "drift", "low_confidence", "over_reported", "no_timing", "no_usage", "no_ahi", "no_leak", "no_device",
+        ),
+        1,
+    )
+}
+#: Import warnings that a report of the previous settings period leaves out.
+CURRENT_ONLY = ("settings_changed",)
+
+
+def text_of(form: str, *values: Column | str) -> Column:
+    """``form`` with its braces filled; NULL as soon as a value is NULL."""
+    parts = form.split("{}")
+    filled = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        filled += [(F.col(value) if isinstance(value, str) else value).cast("string"), F.lit(part)]
+    return F.concat(*filled)
+
+
+def warning_row(code: str, text: Column) -> Column:
+    return F.struct(F.lit(RANKS[code]).alias("rank"), F.lit(code).alias("code"), text.alias("text"))
+
+
+def card_warning(code: str, rows: DataFrame, text: Column | str = "warning") -> DataFrame:
+    """Rows of a warning that holds for all reports of a card: ``card_id``, ``rank``, ``code``, ``text``."""
+    said = F.col(text) if isinstance(text, str) else text
+    return rows.select("card_id", F.inline(F.array(warning_row(code, said)))).where("text IS NOT NULL")
+
+
+def duplicate_warning(records: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``distinct``: the records kept, each with the number of its ``copies``."""
+    gone = distinct.groupBy("card_id").agg(F.sum(F.col("copies") - 1).alias("gone")).where("gone > 0")
+    return card_warning("duplicates", gone, text_of(W_DUPLICATES, "gone"))
+
+
+def guard_warning(days: DataFrame, windows: DataFrame) -> DataFrame:
+    """``card_id``, ``range_days``, ``kind``, ``guard_text`` of windows with more than one settings run."""
+    runs = settings_runs(window_days(days.select("card_id", "clinical_day", "signature", "label"), windows), WINDOW)
+    last = runs.groupBy(*WINDOW).agg(F.max_by(F.struct("label", "start_day"), "run").alias("last"), F.countDistinct("signature").alias("n_signatures"))
+    text = text_of(W_GUARD, "range_days", "text", "last.label", human_date("last.start_day"))
+    return runs_text(runs, WINDOW).join(last.where("n_signatures > 1"), list(WINDOW)).select(*WINDOW, text.alias("guard_text"))
+
+
+def window_warnings(metrics: DataFrame, device: Column | None = None) -> DataFrame:
+    """Typed warnings of each report row (see :func:`timing_metrics` for its columns), one row each.
+
+    ``metrics`` may tell the text for a guarded window (``guard_text``) and, for one moved to the card's last data, the
+    ``anchored_day``.
+    """
     timed, n, days = F.col("timed"), F.col("days_in_window"), F.col("range_days")
-    short = F.concat(
-        F.lit("Only "), n.cast("string"),
-        F.lit(" days of therapy history are available; calculations were adjusted from "), days.cast("string"),
-        F.lit(" days to avoid false deficits."),
+    short = text_of(
+        "Only {} days of therapy history are available; calculations were adjusted from {} days to avoid false deficits.", n, days
     )
-    over = F.concat(
-        F.lit("Session intervals exceeded device-reported therapy by "),
-        F.floor(F.col("raw_coverage") - 100 + 0.5).cast("string"),
-        F.lit("%; sleep timing was not inferred from inconsistent source data."),
+    over = text_of(
+        "Session intervals exceeded device-reported therapy by {}%; sleep timing was not inferred from inconsistent source data.",
+        F.floor(F.round(F.col("raw_coverage") - 100, 9) + 0.5),
     )
     has_hours = F.col("daily_hours") > 0
     drift = F.coalesce("drift", F.lit(False))
     missing_device = F.lit(False) if device is None else device.isNull() | (F.trim(device) == "")
-    return F.array_compact(
-        F.array(
-            F.when(F.col("kind") == "previous", W_REVIEW),
-            F.when(n < days, short),
-            F.when(timed, W_PRINCIPAL),
-            F.when(timed & drift, W_DRIFT),
-            F.when(timed & ~drift & (F.col("confidence") == "low"), W_LOW),
-            F.when(~timed & has_hours & (F.round("raw_coverage", 9) > MAX_COVERAGE), over),
-            F.when(~timed & has_hours, W_NO_TIMING),
-            F.when(F.col("days_with_usage") == 0, W_NO_USAGE),
-            F.when(F.col("ahi_mean").isNull(), W_NO_AHI),
-            F.when(
-                (F.col("n_leak_values") == 0) & F.col("max_leak_30m").isNull() & F.col("max_leak_60m").isNull()
-                & F.col("sustained_leak_minutes").isNull(),
-                W_NO_LEAK,
-            ),
-            F.when(missing_device, W_NO_DEVICE),
-        )
+    given = lambda c, kind: F.col(c) if c in metrics.columns else F.lit(None).cast(kind)
+    no_leak = (
+        (F.col("n_leak_values") == 0) & F.col("max_leak_30m").isNull() & F.col("max_leak_60m").isNull()
+        & F.col("sustained_leak_minutes").isNull()
     )
+    items = {
+        "anchored": text_of(W_ANCHORED, human_date(given("anchored_day", "date"))),
+        "guarded": F.when(F.col("guarded"), given("guard_text", "string")),
+        "review": F.when(F.col("kind") == "previous", W_REVIEW),
+        "short_history": F.when(n < days, short),
+        "principal": F.when(timed, W_PRINCIPAL),
+        "drift": F.when(timed & drift, W_DRIFT),
+        "low_confidence": F.when(timed & ~drift & (F.col("confidence") == "low"), W_LOW),
+        "over_reported": F.when(~timed & has_hours & (F.round("raw_coverage", 9) > MAX_COVERAGE), over),
+        "no_timing": F.when(~timed & has_hours, W_NO_TIMING),
+        "no_usage": F.when(F.col("days_with_usage") == 0, W_NO_USAGE),
+        "no_ahi": F.when(F.col("ahi_mean").isNull(), W_NO_AHI),
+        "no_leak": F.when(no_leak, W_NO_LEAK),
+        "no_device": F.when(missing_device, W_NO_DEVICE),
+    }
+    rows = F.array(*[warning_row(code, text) for code, text in items.items()])
+    return metrics.select(*WINDOW, F.inline(rows)).where("text IS NOT NULL")
+
+
+def with_warnings(metrics: DataFrame, context: DataFrame | None = None, device: Column | None = None) -> DataFrame:
+    """``metrics`` with ``warnings``, the texts of the card's ``context`` and of the window in the order of their rank."""
+    rows = window_warnings(metrics, device)
+    if context is not None:
+        reports = metrics.select(*WINDOW)
+        told = reports.join(context, "card_id").where((F.col("kind") == "current") | ~F.col("code").isin(*CURRENT_ONLY))
+        rows = rows.unionByName(told.select(*WINDOW, "rank", "code", "text"))
+    listed = rows.groupBy(*WINDOW).agg(F.array_sort(F.collect_list(F.struct("rank", "code", "text"))).alias("listed"))
+    joined = metrics.join(listed, list(WINDOW), "left")
+    return joined.withColumn("warnings", F.coalesce(F.col("listed.text"), F.array().cast("array<string>"))).drop("listed")
 
 
 def finite(value: Column) -> Column:
@@ -352,12 +428,11 @@ def device_text(device: Column) -> Column:
 
 
 def final_projection(metrics: DataFrame, device: Column) -> DataFrame:
-    """Report columns as delivered: finite numbers, shown dates as text, device text, warnings."""
+    """Report columns as delivered: finite numbers, shown dates as text, device text."""
     numbers = [f.name for f in metrics.schema.fields if f.dataType.typeName() == "double"]
     return metrics.withColumns(
         {
             **{c: finite(F.col(c)) for c in numbers},
-            "warnings": warning_list(device),
             "device": device_text(device),
             "date_range_start": human_date("shown_start"),
             "date_range_end": human_date("shown_end"),

@@ -10,6 +10,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,34 +19,106 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import edf_datetime
-from noonday.operators.catalogue import base_name, extension, record_date, slashes
+from noonday.operators.catalogue import base_name, extension, record_date
+from noonday.sources.sinks import keep
 
 # --- listing ---------------------------------------------------------------------------------------------------
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files under a folder, one card per first-level folder, without their contents (Spark then reads no bytes)."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    bare = re.sub(r"^[a-z0-9]+:", "", root).strip("/")
-    inside = F.regexp_extract(slashes("path"), r"^(?:[a-z0-9]+:)?/*" + re.escape(bare) + r"/(.*)$", 1)
-    return found.select(
-        F.regexp_extract(inside, "^([^/]+)/", 1).alias("card_id"),
-        F.regexp_replace(inside, "^[^/]+/", "").alias("path"),
-        F.col("path").alias("uri"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified_at"),
+#: Schemes that Arrow can list and read inside a task; other ones are listed by Spark's own file index.
+ARROW_SCHEMES = ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
+FOUND = "root int, uri string, folder boolean, size long, modified_at timestamp"
+
+
+def located(uri: str) -> tuple[str, str]:
+    """Where a file lies (scheme and authority) and its path there; a path without a scheme is local."""
+    scheme, rest = re.match(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", uri, re.S).groups()
+    authority, path = re.match(r"//([^/]*)(.*)", rest, re.S).groups() if rest.startswith("//") else ("", rest)
+    return f"{scheme or 'file'}://{authority}", path
+
+
+class Places:
+    """File systems by scheme and authority, each opened once by a task."""
+
+    def __init__(self):
+        self.opened: dict[str, tuple[pafs.FileSystem, str]] = {}
+
+    def __call__(self, uri: str) -> tuple[pafs.FileSystem, str]:
+        place, path = located(uri)
+        if place not in self.opened:
+            scheme, _, authority = place.partition("://")
+            plain = {"s3a": "s3", "gcs": "gs"}.get(scheme, scheme)
+            self.opened[place] = pafs.FileSystem.from_uri(f"{plain}://{authority}/")
+        system, base = self.opened[place]
+        return system, f"{base.rstrip('/')}/{path.lstrip('/')}"
+
+
+def _list_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files and folders right inside each folder."""
+    places, schema = Places(), pa.schema([("root", pa.int32()), ("uri", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("modified_at", pa.timestamp("us", "UTC"))])
+    for batch in batches:
+        for root, uri in zip(batch.column("root").to_pylist(), batch.column("uri").to_pylist(), strict=True):
+            system, path = places(uri)
+            inside = system.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+            if inside:
+                rows = [(root, f"{uri.rstrip('/')}/{i.base_name}", i.type == pafs.FileType.Directory, i.size, i.mtime) for i in inside if not i.base_name.startswith((".", "_"))]
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _tree(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Files under the roots: the folders found so far are a table, and tasks list them, one level of the tree a round.
+
+    Each round's table is kept, so the driver sees no names, only whether folders are left, and a lost task lists again
+    the folders it was given.
+    """
+    frontier, levels = spark.createDataFrame(list(enumerate(roots)), "root int, uri string"), []
+    while True:
+        # dealt anew in every round: a card with most folders is spread over all tasks
+        level = keep(frontier.repartition("uri").mapInArrow(_list_each, FOUND), "listing")
+        levels.append(level.where("NOT folder"))
+        frontier = level.where("folder").select("root", "uri")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def _indexed(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    found = [
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        .select(F.lit(n).alias("root"), F.col("path").alias("uri"), F.lit(False).alias("folder"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+        for n, root in enumerate(roots)
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def list_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """Files under folders, one card per first-level folder of a root, without their contents.
+
+    Folders are listed by tasks, level by level; only where Arrow does not know the scheme, Spark's index lists them on the
+    driver.  Names that begin with a dot or an underscore are left out, as Spark does.
+    """
+    places = [located(r) for r in roots]
+    known = all(place.partition("://")[0] in ARROW_SCHEMES for place, _ in places)
+    found = (_tree if known else _indexed)(spark, [r.rstrip("/") for r in roots])
+    # the path inside its root, whatever way the scheme and the empty authority are written
+    bare = F.element_at(F.array(*[F.lit(path.strip("/")) for _, path in places]), F.col("root") + 1)
+    path = F.regexp_replace("uri", r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    inside = F.expr("substring(trim(LEADING '/' FROM __path), length(__bare) + 2)")
+    named = found.withColumns({"__path": path, "__bare": bare}).withColumn("__inside", F.when(F.length("__bare") > 0, inside).otherwise(F.expr("trim(LEADING '/' FROM __path)")))
+    return named.select(
+        F.regexp_extract("__inside", "^([^/]+)/", 1).alias("card_id"),
+        F.regexp_replace("__inside", "^[^/]+/", "").alias("path"),
+        "uri", "size", "modified_at",
     ).withColumns({"base_name": base_name("path"), "ext": extension("path"), "record_date": record_date("path")})
 
 
 def _read_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    opened: dict[str, pafs.FileSystem] = {}
+    places = Places()
     for batch in batches:
         for i in range(batch.num_rows):
-            uri, content, reason = batch.column("uri")[i].as_py(), None, None
+            content, reason = None, None
             try:
-                scheme, _, rest = uri.partition(":")
-                system, path = pafs.FileSystem.from_uri(f"{scheme}://{rest}" if not rest.startswith("//") else uri)
-                system = opened.setdefault(system.type_name, system)
+                system, path = places(batch.column("uri")[i].as_py())
                 with system.open_input_stream(path, compression=None) as file:
                     content = file.read()
             except (OSError, ValueError) as error:

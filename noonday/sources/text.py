@@ -283,11 +283,45 @@ def utc_offset_of(entries: str = "entries") -> Column:
     return F.try_element_at(F.filter(offsets, lambda o: o.isNotNull()), F.lit(1))
 
 
-def source_offset(candidates: DataFrame, default: Column | None = None) -> DataFrame:
-    """UTC offset per card: by priority of its source, then the caller's value.  ``candidates``: card_id, priority, offset."""
-    best = F.min_by("offset", F.when(F.col("offset").isNotNull(), F.struct("priority", "file_id")))
-    return candidates.groupBy("card_id").agg(
-        F.coalesce(best, default if default is not None else F.lit(None).cast("bigint")).alias("offset_minutes")
+# Where the UTC offset of a card is looked for.
+OFFSET_JSON_FAMILY = "resmed"
+OFFSET_JSON_PATH = r"(?i)(?:^|/)settings/currentsettings\.json$"
+OFFSET_TEXT_EXTENSION = r"(?i)\.(?:txt|csv|json|xml|log|cfg|ini|tgt)$"
+OFFSET_TEXT_PATH = r"(?i)(?:^|/)(?:settings?|config|profile|profiles|identification)(?:/|$|[._-])"
+
+
+def offset_candidates(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``card_id``, ``source``, ``priority``, ``file_id``, ``offset`` of every file that may tell a card's UTC offset.
+
+    ``files``: card_id, family_id, file_id, path, size, text.  The settings JSON of its family comes first, then key-value
+    texts on settings-like paths, empty ones and those over ``max_bytes`` left out.  Texts of other files are not parsed.
+    """
+    json = files.where((F.col("family_id") == OFFSET_JSON_FAMILY) & F.col("path").rlike(OFFSET_JSON_PATH))
+    texts = files.where(F.col("path").rlike(OFFSET_TEXT_EXTENSION) & F.col("path").rlike(OFFSET_TEXT_PATH) & (F.col("size") > 0))
+    if max_bytes is not None:
+        texts = texts.where(F.col("size") <= max_bytes)
+    keys = ["card_id", "file_id"]
+    by_json = json_settings(json.select(*keys, "text"), keys).select(*keys, F.col("offset_minutes").alias("offset"))
+    maps = value_maps(key_values(texts.select(*keys, "text"), keys), keys)
+    by_text = maps.select(*keys, utc_offset_of().alias("offset"))
+    found = [
+        rows.select("card_id", F.lit(source).alias("source"), F.lit(n).alias("priority"), "file_id", "offset")
+        for n, (source, rows) in enumerate((("json", by_json), ("text", by_text)), 1)
+    ]
+    return found[0].unionByName(found[1]).where("offset IS NOT NULL")
+
+
+def source_offset(cards: DataFrame, candidates: DataFrame, default: Column | None = None) -> DataFrame:
+    """UTC offset per card and the source that told it: the first by priority and file, else the caller's value.
+
+    ``default`` is a column of ``cards`` (one row per card) or a constant.
+    """
+    best = candidates.groupBy("card_id").agg(F.min_by(F.struct("source", "offset"), F.struct("priority", "file_id")).alias("best"))
+    own = default if default is not None else F.lit(None).cast("bigint")
+    told = cards.withColumn("__own", own).join(best, "card_id", "left")
+    return told.select(
+        "card_id", F.coalesce("best.offset", "__own").alias("offset_minutes"),
+        F.coalesce("best.source", F.when(F.col("__own").isNotNull(), "caller")).alias("source"),
     )
 
 

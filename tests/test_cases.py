@@ -418,6 +418,30 @@ def test_listing(spark, tmp_path):
     assert row.content is None and row.reason == "FileNotFoundError"
 
 
+def test_listing_of_two_roots(spark, tmp_path):
+    """Level by level: deep and empty folders, blanks and other scripts in names, hidden names, a root that is missing."""
+    names = ["c1/a b/é/x 1.txt", "c1/top.txt", "c2/p/q/r/s/t/deep.edf", "c2/.hidden/x", "c2/_tmp/x", "plain.txt"]
+    for root in ("left", "right side"):
+        for name in names:
+            file = tmp_path / root / name
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_text(f"{root}:{name}")
+        (tmp_path / root / "c3" / "empty").mkdir(parents=True)
+    roots = [str(tmp_path / "left"), f"file:{tmp_path / 'right side'}/", str(tmp_path / "none")]
+    listed = binary.list_files(spark, *roots)
+    seen = sorted((r.card_id, r.path) for r in listed.collect())
+    assert seen == sorted(2 * [("c1", "a b/é/x 1.txt"), ("c1", "top.txt"), ("c2", "p/q/r/s/t/deep.edf"), ("", "plain.txt")])
+    read = binary.with_content(listed).select(F.col("content").cast("string").alias("text"), "reason").collect()
+    assert sorted(r.text for r in read) == sorted(f"{root}:{n}" for root in ("left", "right side") for n in names if "/." not in n and "/_" not in n)
+
+
+def test_places():
+    assert binary.located("/a/b c") == ("file://", "/a/b c") and binary.located("file:/a") == ("file://", "/a")
+    assert binary.located("s3a://bucket-1/x/y") == ("s3a://bucket-1", "/x/y") and binary.located("hdfs://n1:8020/x") == ("hdfs://n1:8020", "/x")
+    places = binary.Places()
+    assert places("file:///tmp/x")[0] is places("/tmp/y")[0]
+
+
 def test_alternatives_as_text(spark):
     from noonday.plans.rows import either
 

@@ -90,13 +90,21 @@ def test_islands_against_a_plain_walk(skewed):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-def test_exact_percentiles(skewed):
-    got = exact_percentiles(skewed, KEYS, "value", {"p50": 0.5, "p95": 0.95}, 4.0)
-    want = skewed.groupBy("card_id").agg(
-        F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95")
-    )
-    rounded = lambda d: d.select("card_id", F.round("p50", 9), F.round("p95", 9))
-    same(rounded(got), rounded(want))
+@pytest.mark.parametrize("most", [65_536, 40])
+def test_exact_percentiles(skewed, most):
+    """Also with a third of all values crowded into a billionth of the range, which takes several rounds."""
+    crowd = F.when(F.col("value").cast("long") % 3 == 0, 1e6 + F.rand(5) / 1000).otherwise(F.col("value") * 1e5)
+    for table in (skewed, skewed.withColumn("value", crowd).cache()):
+        got = exact_percentiles(table, KEYS, "value", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}, most)
+        want = table.groupBy("card_id").agg(
+            *[F.percentile("value", F.lit(p)).alias(f"p{int(p * 100)}") for p in (0.0, 0.5, 0.95, 1.0)]
+        )
+        rounded = lambda d: d.select("card_id", *[F.round(f"p{p}", 6) for p in (0, 50, 95, 100)])
+        same(rounded(got), rounded(want))
+
+
+def test_no_values(skewed):
+    assert exact_percentiles(skewed.where("false"), KEYS, "value", {"p50": 0.5}).count() == 0
 
 
 def test_fuzzy_sessions_against_brute_force(spark):
