@@ -55,10 +55,6 @@ def strict_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(F.year(date).between(1900, 2100), date)
 
 
-def _digits(text: Column, pattern: str) -> list[Column]:
-    return [F.regexp_extract(text, pattern, i) for i in range(1, 7)]
-
-
 # The date-time shapes looked for anywhere in a text.
 ISO_DATETIME = r"(\d{4})-(\d{2})-(\d{2})[ T](\d{1,2}):(\d{2})(?::(\d{2}))?"
 US_DATETIME = r"(\d{2})/(\d{2})/(\d{4})[ T](\d{1,2}):(\d{2})(?::(\d{2}))?"
@@ -66,24 +62,29 @@ ISO_DATE = r"(\d{4})-(\d{2})-(\d{2})"
 US_DATE = r"(\d{2})/(\d{2})/(\d{4})"
 
 
+def _stamp(parts: Column, order: str) -> Column:
+    """Time from the number texts of a date, whose parts come in ``order``, and of the clock; noon without a clock."""
+    year, month, day = (F.get(parts, F.lit(order.index(x))) for x in "ymd")
+    hour, minute = F.coalesce(F.get(parts, F.lit(3)), F.lit("12")), F.coalesce(F.get(parts, F.lit(4)), F.lit("00"))
+    second = F.coalesce(F.get(parts, F.lit(5)), F.lit("00"))
+    text = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), F.lpad(hour, 2, "0"), F.lit(":"), minute, F.lit(":"), second)
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
 def parse_datetime(text: Column | str) -> Column:
-    """First ISO or US date-time in a text, else the first date at noon; NULL for impossible dates."""
+    """First ISO or US date-time in a text, else the first date at noon; NULL for impossible dates.
+
+    Each shape is looked for once, and only if the shapes before it gave no time; what it finds is split at its signs.
+    """
     c = _col(text)
 
-    def stamp(y, mo, d, h, mi, s):
-        when = F.concat(y, F.lit("-"), mo, F.lit("-"), d, F.lit(" "), F.lpad(h, 2, "0"), F.lit(":"), mi,
-                        F.lit(":"), F.when(s == "", F.lit("00")).otherwise(s))
-        return F.try_to_timestamp(when, F.lit("yyyy-MM-dd HH:mm:ss"))
-
-    y, mo, d, h, mi, s = _digits(c, ISO_DATETIME)
-    iso = F.when(y != "", stamp(y, mo, d, h, mi, s))
-    mo, d, y, h, mi, s = _digits(c, US_DATETIME)
-    us = F.when(y != "", stamp(y, mo, d, h, mi, s))
-    y, mo, d = (F.regexp_extract(c, ISO_DATE, i) for i in (1, 2, 3))
-    iso_day = F.when(y != "", stamp(y, mo, d, F.lit("12"), F.lit("00"), F.lit("")))
-    mo, d, y = (F.regexp_extract(c, US_DATE, i) for i in (1, 2, 3))
-    us_day = F.when(y != "", stamp(y, mo, d, F.lit("12"), F.lit("00"), F.lit("")))
-    return F.coalesce(iso, us, iso_day, us_day)
+    def read(shape: str, order: str) -> Column:
+        found = F.regexp_extract(c, shape, 0)
+        # a one-element array names the match, so that it is not looked for again for each of its parts
+        return F.get(F.transform(F.array(found), lambda m: F.when(m != "", _stamp(F.split(m, "[-/ T:]"), order))), F.lit(0))
+
+    shapes = ((ISO_DATETIME, "ymd"), (US_DATETIME, "mdy"), (ISO_DATE, "ymd"), (US_DATE, "mdy"))
+    return F.coalesce(*[read(*shape) for shape in shapes])
 
 
 def valid_offset(minutes: Column) -> Column:

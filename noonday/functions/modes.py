@@ -161,3 +161,20 @@ def device_name(name: Column | str, rules: tuple[tuple[str, str], ...] = DEVICE_
 def serial_from_path(path: Column | str) -> Column:
     found = F.regexp_extract(_c(path), r"(?i)(?:^|/)od([^/]+)(?:/|$)", 1)
     return F.when(found != "", found)
+
+
+# Fixed value: device lines that name one of the family.
+DEVICE_FAMILY = r"(?i)(?:airsense|aircurve|sleepmate|s9)"
+
+
+def device_identity(text: Column | str, device_line: Column | str | None = None) -> Column:
+    """Device name out of an identification file: its product object, its identification line, a device line, any mention."""
+    c = _c(text)
+    squeezed = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
+    named = lambda t: F.when(squeezed(t) != "", device_name(squeezed(t)))
+    ident = F.regexp_extract(c, r"(?m)^[ \t]*#PNA ([^\r\n]*)", 1)
+    reads = [named(F.get_json_object(c, "$.ProductName")), named(ident)]
+    if device_line is not None:
+        reads.append(F.when(_c(device_line).rlike(DEVICE_FAMILY), named(_c(device_line))))
+    hints = [F.when(c.rlike(pattern), F.lit(label)) for pattern, label in DEVICE_NAMES]
+    return F.coalesce(*reads, *hints)

@@ -12,7 +12,7 @@ from noonday.functions.modes import (
 )
 from noonday.functions.plan import computed_once
 from noonday.functions.numbers import (
-    first_number, norm_pressure, pressure_setting_text, pressure_text, ramp_time_text, safe_number, trimmed,
+    first_number, norm_pressure, pressure_setting_text, pressure_text, ramp_time_text, safe_number, tidal_volume_text, trimmed,
 )
 
 OFF_WORDS = r"(?i)^(?:off|disabled|false|no|0)$"
@@ -113,17 +113,48 @@ SETTING_ALIASES = {
     "ramp_time": ("rampTime", "rampMinutes", "rampTimeMinutes", "rampDuration"),
     "ramp_pressure": ("rampPress", "rampPressure", "pRamp", "rampStartPressure", "rampStartPress"),
 }
+# Patterns of squeezed keys that name a setting where none of its aliases does, in order of preference, and of
+# lower-case keys that name a pressure relief.
+SETTING_PATTERNS = {
+    "ramp_time": (r"^ramp(?:time|minutes|duration)$", r"^.*ramp.*(?:time|minutes|duration).*$"),
+    "ramp_pressure": (r"^.*ramp.*(?:press|pressure).*$", r"^(?:press|pressure).*ramp.*$"),
+}
+RELIEF_PATTERN = r"\b(?:epr|ipr|flex|exhale)\b"
+
+
+def read_pattern(entries: Column | str, compact: Column | str, patterns: Sequence[str]) -> Column:
+    """Value of the first key, in file order, that fits any of the patterns; equal squeezed keys have one value, the last."""
+    keys = F.transform(_c(entries), lambda e: compact_key(e["key"]))
+    first = F.try_element_at(F.filter(keys, lambda k: k.rlike("|".join(f"(?:{p})" for p in patterns))), F.lit(1))
+    return F.try_element_at(_c(compact), first)["value"]
+
+
 # Mode names by the number in a settings file.
 VENT_MODES = {
     "1": "CPAP", "3": "APAP", "10": "S30", "11": "Auto S30", "12": "ST30", "13": "Auto ST30", "14": "T30", "15": "PC",
 }
 
 
-def settings_from_kv(exact: Column | str, compact: Column | str) -> dict[str, Column]:
-    """Settings texts out of a key-value map (``compact`` is the same map under squeezed keys)."""
+def raw_settings(exact: Column | str, compact: Column | str, entries: Column | str | None = None) -> dict[str, Column]:
+    """The text that a key-value map has for each setting: by its aliases first, then by its patterns in file order."""
+    out = {}
+    for field, aliases in SETTING_ALIASES.items():
+        out[field] = read_alias(exact, compact, aliases)
+        if entries is not None and field in SETTING_PATTERNS:
+            out[field] = F.coalesce(out[field], read_pattern(entries, compact, SETTING_PATTERNS[field]))
+    return out
+
+
+def settings_from_kv(exact: Column | str, compact: Column | str, entries: Column | str | None = None) -> dict[str, Column]:
+    """Settings texts out of a key-value map (``compact`` is the same map under squeezed keys, ``entries`` its pairs in order)."""
+    return settings_of(raw_settings(exact, compact, entries))
+
+
+def settings_of(raws: dict[str, Column]) -> dict[str, Column]:
+    """Settings texts out of the raw text of each field."""
 
     def raw(field: str) -> Column:
-        return read_alias(exact, compact, SETTING_ALIASES[field])
+        return raws[field]
 
     def pressure(field: str) -> Column:
         return pressure_setting_text(raw(field))
@@ -141,6 +172,7 @@ def settings_from_kv(exact: Column | str, compact: Column | str) -> dict[str, Co
         "epap": F.coalesce(pressure("epap"), joined_range(pressure("epap_min"), pressure("epap_max"))),
         "ipap": F.coalesce(pressure("ipap"), joined_range(pressure("ipap_min"), pressure("ipap_max"))),
         "respiratory_rate": F.concat(trimmed(rate, 2), F.lit(" bpm")),
+        "tidal_volume": tidal_volume_text(first_number(raw("volume")), raw("volume")),
         "pressure_relief": F.coalesce(F.concat(F.lit("PS "), support), raw("relief")),
         "ramp_time": ramp,
         "ramp_pressure": F.when(
@@ -149,8 +181,28 @@ def settings_from_kv(exact: Column | str, compact: Column | str) -> dict[str, Co
     }
 
 
-def relief_text(exact: Column, lower: Column) -> Column:
-    """Pressure relief from a map: IPR, then EPR level, then Flex level, as on/off text."""
+def with_settings(maps: DataFrame, prefix: str = "set_", entries: str | None = None) -> DataFrame:
+    """Key-value maps with a column for each settings text.
+
+    The maps are looked up once per alias: the raw texts are columns of their own before anything is made of them.
+    """
+    raws = raw_settings("exact", "compact", entries)
+    found = computed_once(maps.withColumns({f"__raw_{n}": c for n, c in raws.items()}))
+    texts = settings_of({n: F.col(f"__raw_{n}") for n in raws})
+    return computed_once(found.withColumns({prefix + n: c for n, c in texts.items()}).drop(*[f"__raw_{n}" for n in raws]))
+
+
+def with_day_settings(maps: DataFrame, name: str) -> DataFrame:
+    """Maps with the settings snapshot of a daily record (NULL when nothing is set)."""
+    fields = ("mode", "pressure", "pressure_min", "pressure_max", "epap", "ipap")
+    read = with_settings(maps, "__set_")
+    kept = [F.col(f"`{c}`") for c in maps.columns]
+    named = read.select(*kept, settings_snapshot(*[f"__set_{c}" for c in fields]).alias(name))
+    return computed_once(named)
+
+
+def relief_text(exact: Column, lower: Column, entries: Column | None = None) -> Column:
+    """Pressure relief from a map: IPR, then EPR level, then Flex level, as on/off text, else the first key that names one."""
 
     def read(*keys: str) -> Column:
         tries = []
@@ -162,11 +214,21 @@ def relief_text(exact: Column, lower: Column) -> Column:
         on = F.concat(F.lit(f"{label}: On "), trimmed(n, 2), F.lit(unit))
         return F.when(n > 0, on).when(n.isNotNull(), F.lit(f"{label}: Off"))
 
-    return F.coalesce(
+    def told(e: Column) -> Column:
+        name = F.upper(e["key"])
+        on = F.concat(name, F.lit(": On "), trimmed(e["number"], 2))
+        text = F.trim(e["value"])
+        return F.when(e["number"] > 0, on).when(e["number"].isNotNull(), F.concat(name, F.lit(": Off"))).when(text != "", text)
+
+    levels = [
         level("IPR", read("iPR"), " cmH2O"),
         level("EPR", read("EPRLevel", "epr_level", "EPR")),
         level("Flex", read("Flex", "A-Flex", "C-Flex")),
-    )
+    ]
+    if entries is not None:
+        texts = F.transform(F.filter(entries, lambda e: F.lower(e["key"]).rlike(RELIEF_PATTERN)), told)
+        levels.append(F.try_element_at(F.filter(texts, lambda x: x.isNotNull()), F.lit(1)))
+    return F.coalesce(*levels)
 
 
 def ramp_rule_text(raw: Column) -> Column:

@@ -119,10 +119,17 @@ def catalogue(files: DataFrame) -> DataFrame:
 # --- roles -----------------------------------------------------------------------------------------------------
 
 
-def file_role(base: Column | str, ext: Column | str) -> Column:
+# Fixed value: where configuration files lie; a file right inside such a folder is one, whatever its name.
+CONFIG_PATH = r"(?i)(?:^|/)(?:therapy/)?config/[^/]+$"
+
+
+def file_role(base: Column | str, ext: Column | str, path: Column | str | None = None) -> Column:
+    """Role of a file by its name and extension; with its path also that of a configuration file."""
     b, e = _c(base), _c(ext)
+    config = F.lit(False) if path is None else _c(path).rlike(CONFIG_PATH)
     return (
-        F.when(b.rlike(r"(?i)^stat(?:\..*)?$"), "daily_summary")
+        F.when(config, "config")
+        .when(b.rlike(r"(?i)^stat(?:\..*)?$"), "daily_summary")
         .when(b.rlike(r"(?i)^stat\d{2}(?:\..*)?$"), "session_summary")
         .when(b.rlike(r"(?i)^ev\d{2}(?:\..*)?$"), "event")
         .when(b.rlike(r"(?i)^p\d{2}_\d+(?:\..*)?$"), "waveform")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from noonday.functions.dates import clinical_day, micros
 from noonday.operators.tracks import by_hour, islands
+from noonday.sources.sinks import keep
 
 # The range of each measured field.  (low, low is allowed, high, high is allowed)
 USAGE = (0, True, 24, True)
@@ -143,12 +144,15 @@ def first_available_day(days: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def fuzzy_distinct_sessions(sessions: DataFrame, minutes: int = 2, keys: Sequence[str] = ("card_id",)) -> DataFrame:
-    """Walk the sessions of a card (or of further ``keys``) by start, end and drop one if a kept one has both ends within ``minutes``.
+    """Walk the sessions of a card (or of further ``keys``) by start, end and drop one if a kept one has both ends within
+    ``minutes``.
 
     Only sessions whose starts chain together within the tolerance can drop each other, so a card is cut wherever two
     starts lie further apart.  Exact copies are folded before anything is ordered, and most clusters then hold one
-    session, which is kept as it is.  The others are walked as sorted streams: the state is the kept sessions of the
-    last ``minutes``, at most one per ``minutes`` of end time, never the cluster.
+    session, which is kept as it is.  A cluster is walked by the hours of its starts, each hour on its own: what the hours
+    before can change are the sessions kept in their last ``minutes``.  All hours are walked from nothing first, then again
+    from what the hour before has kept, until that no longer changes.  Walks that begin apart meet at the first session that
+    both keep, so a few rounds do unless a chain is regular to the second; no task walks more than an hour of a card.
     """
     near, keys = minutes * 60 * 1_000_000, list(keys)
     rows = islands(
@@ -158,31 +162,52 @@ def fuzzy_distinct_sessions(sessions: DataFrame, minutes: int = 2, keys: Sequenc
         lambda prev, now: now["s"] - prev["s"] > near,
         "__cluster",
     ).drop("at")
-    cluster = Window.partitionBy(*keys, "__cluster")
-    sized = rows.withColumn("__n", F.count(F.lit(1)).over(cluster))
-    alone = sized.where("__n = 1").select(*keys, "start_ts", "end_ts")
-    walked = (
-        sized.where("__n > 1")
-        .select(*keys, "__cluster", "start_ts", "end_ts", micros("start_ts").alias("__s"), micros("end_ts").alias("__e"))
-        .repartition(*keys, "__cluster")
-        .sortWithinPartitions(*keys, "__cluster", "start_ts", "end_ts")
-    )
-    kept = walked.mapInPandas(lambda batches: _greedy_walk(batches, near, keys), walked.schema)
-    return alone.unionByName(kept.select(*keys, "start_ts", "end_ts"))
-
-
-def _greedy_walk(batches: Iterator[pd.DataFrame], near: int, keys: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Keep a row unless a kept row of its cluster, at most ``near`` earlier, ends within ``near`` of it."""
-    cluster, recent = None, []
+    group = [*keys, "__cluster"]
+    rows = keep(rows.select(*group, "start_ts", "end_ts", micros("start_ts").alias("__s"), micros("end_ts").alias("__e"), F.expr(f"unix_micros(start_ts) div {HOUR}").alias("__hour")), "clusters")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), (F.min("__hour") != F.max("__hour")).alias("__long"))
+    sized = rows.join(sizes.where("__n > 1"), group, "left")
+    alone = sized.where("__n IS NULL").select(*keys, "start_ts", "end_ts")
+    # the sessions kept just before an hour, as its rows carry them
+    nothing = F.lit(None).cast("array<struct<s:bigint,e:bigint>>").alias("__carry")
+    short = _walked(sized.where("NOT __long").select(*rows.columns, nothing), group, near)
+    long = keep(sized.where("__long").select(*rows.columns), "long-clusters")
+    found = alone.unionByName(short.select(*keys, "start_ts", "end_ts"))
+    if long.isEmpty():
+        return found
+    last, state = None, long.select(*group, "__hour", nothing).limit(0)
+    while True:
+        walked = keep(_walked(long.join(state, [*group, "__hour"], "left"), group, near), "walked")
+        ends = walked.where(F.col("__s") >= (F.col("__hour") + 1) * HOUR - near)
+        carry = F.array_sort(F.collect_list(F.struct(F.col("__s").alias("s"), F.col("__e").alias("e")))).alias("__carry")
+        state = keep(ends.groupBy(*group, (F.col("__hour") + 1).alias("__hour")).agg(carry), "carried")
+        marks = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*state.columns)), F.bit_xor(F.xxhash64(F.lit(7), *state.columns))).first()
+        if marks == last:
+            return found.unionByName(walked.select(*keys, "start_ts", "end_ts"))
+        last = marks
+
+
+HOUR = 3_600_000_000
+
+
+def _walked(rows: DataFrame, group: Sequence[str], near: int) -> DataFrame:
+    """The rows that a walk of every hour of every group keeps."""
+    hour = [*group, "__hour"]
+    dealt = rows.repartition(*hour).sortWithinPartitions(*hour, "start_ts", "end_ts")
+    return dealt.mapInPandas(lambda batches: _greedy_walk(batches, near, hour), rows.schema)
+
+
+def _greedy_walk(batches: Iterator[pd.DataFrame], near: int, hour: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Keep a row unless a kept row of its hour, or one carried into it, starts at most ``near`` earlier and ends within it."""
+    at, recent = None, []
     for batch in batches:
-        keep = []
-        groups = zip(*(batch[k] for k in (*keys, "__cluster")), strict=True)
-        for key, start, end in zip(groups, batch["__s"], batch["__e"], strict=True):
-            if key != cluster:
-                cluster, recent = key, []
+        keep_rows = []
+        groups = zip(*(batch[k] for k in hour), strict=True)
+        for key, start, end, carry in zip(groups, batch["__s"], batch["__e"], batch["__carry"], strict=True):
+            if key != at:
+                at, recent = key, [] if carry is None else [(x["s"], x["e"]) for x in carry]
             recent = [(s, e) for s, e in recent if start - s <= near]
             fresh = not any(abs(end - e) <= near for _, e in recent)
             if fresh:
                 recent.append((start, end))
-            keep.append(fresh)
-        yield batch[keep]
+            keep_rows.append(fresh)
+        yield batch[keep_rows]

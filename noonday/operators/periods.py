@@ -273,6 +273,52 @@ def windows_with_fallback(days: DataFrame, now: Column, offset_minutes: Column,
     )
 
 
+# --- the machine of a report -----------------------------------------------------------------------------------
+
+# What a column of the machine is.  Identity and settings are inherited from the import or from the settings
+# period; a measured value is never inherited, it comes from the days of the report's own window or is missing.
+MACHINE_ROLES = {
+    "device": "identity", "serial": "identity",
+    **dict.fromkeys(
+        ("mode", "pressure", "pressure_min", "pressure_max", "pressure_auto", "epap", "ipap", "respiratory_rate", "tidal_volume", "ramp_time", "ramp_pressure", "pressure_relief"),
+        "setting",
+    ),
+    **dict.fromkeys(
+        (
+            "pressure_mean", "pressure_95", "ipap_mean", "ipap_95", "epap_mean", "epap_95", "vt_mean", "vt_min", "vt_min_minutes", "vt_median", "vt_max",
+            "vt_max_minutes", "rr_mean", "rr_min", "rr_95",
+        ),
+        "measured",
+    ),
+}
+
+
+def report_machine(reports: DataFrame, imported: DataFrame, of_period: DataFrame) -> DataFrame:
+    """Reports with the machine's columns, each by its role.
+
+    ``reports``: card_id, kind and what was measured in the window.  ``imported``: one row per card with its newest device and
+    settings.  ``of_period``: card_id, kind and the settings of the period.  A report of the current period has the import's
+    identity and settings, one of the previous period its period's settings and the import's identity where the period
+    has none of its own.  Measured columns of the import or the period are dropped.
+    """
+    named = {c for side in (imported, of_period) for c in side.columns} & set(MACHINE_ROLES)
+    kinds = {f.name: f.dataType for side in (of_period, imported) for f in side.schema.fields}
+    joined = reports.alias("r").join(imported.alias("i"), "card_id", "left").join(of_period.alias("p"), ["card_id", "kind"], "left")
+    columns = {}
+    for name in sorted(named):
+        nothing = F.lit(None).cast(kinds[name])
+        new, own = (F.col(f"{a}.`{name}`") if name in side.columns else nothing for a, side in (("i", imported), ("p", of_period)))
+        role = MACHINE_ROLES[name]
+        if role == "measured":
+            if name not in reports.columns:
+                columns[name] = nothing
+        else:
+            earlier = F.coalesce(own, new) if role == "identity" else own
+            columns[name] = F.when(F.col("kind") == "previous", earlier).otherwise(new)
+    kept = [F.col(f"r.`{c}`").alias(c) if c not in ("card_id", "kind") else F.col(c) for c in reports.columns if c not in columns]
+    return joined.select(*kept, *[c.alias(n) for n, c in columns.items()])
+
+
 # --- settings against therapy, summary against session ---------------------------------------------------------
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noonday.functions.dates import shift_minutes, shift_seconds
+from noonday.functions.dates import clinical_day, shift_minutes, shift_seconds
+from noonday.operators.cleaning import PRESSURE, ranged
 from noonday.operators.rollup import histogram, histogram_percentile
 from noonday.operators.series import best_episodes, reset_islands, rolling_maxima, threshold_runs
 
@@ -31,14 +32,56 @@ def pivot_signals(
     return signals.where(known).groupBy(*keys).agg(*aggs)
 
 
-def daily_records(signals: DataFrame, aliases: Sequence[tuple[str, int, str]], start: str = "start_ts") -> DataFrame:
-    """One record per data record of a daily summary file: date = start day + index."""
-    dated = signals.withColumn("date", F.date_add(F.to_date(start), F.col("seq").cast("int")))
-    return pivot_signals(dated, ["card_id", "date"], "channel", "value", aliases)
+def daily_records(
+    signals: DataFrame, aliases: Sequence[tuple[str, int, str]], units: dict[str, Callable[[Column, Column], Column]] | None = None,
+    settings: Sequence[str] = (), start: str = "start_ts",
+) -> DataFrame:
+    """One record per data record of a daily summary file: date = start day + index.
+
+    ``signals``: card_id, ``start``, seq, channel, unit, value.  A metric is the first of its aliases that is present, after its
+    conversion from the channel's unit.  ``history_start`` is the clinical day of the card's earliest file; ``settings``
+    names metrics that are settings, of which the card's latest record gives ``latest_<name>``.
+    """
+    known = {signal.lower(): metric for metric, _, signal in aliases}
+    value = F.col("value")
+    for channel, metric in known.items():
+        if units and metric in units:
+            value = F.when(F.lower("channel") == channel, units[metric](F.col("value"), F.col("unit"))).otherwise(value)
+    dated = signals.withColumns({"date": F.date_add(F.to_date(start), F.col("seq").cast("int")), "value": value})
+    records = pivot_signals(dated, ["card_id", "date"], "channel", "value", aliases)
+    # one aggregate over the records of a card: at most one per day
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"latest_{c}") for c in settings]
+    history = signals.groupBy("card_id").agg(F.min(clinical_day(start)).alias("history_start"))
+    out = records.join(history, "card_id")
+    return out.join(records.groupBy("card_id").agg(*newest), "card_id") if newest else out
+
 
+def channel_stats(samples: DataFrame, keys: Sequence[str], channels: dict[str, tuple[Column, tuple, float]]) -> DataFrame:
+    """Average, least, greatest, a percentile and the number of the samples in range of further channels of a file.
 
-def summarize_sessions(samples: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: float = 30.0) -> DataFrame:
-    """One record per signal file: span, mean, histogram median and leak episodes."""
+    ``channels``: name -> (value, its range, percentile).  Samples of all channels share one pass; equal values, rounded to
+    three decimals, are counted before anything is ranked.
+    """
+    each = [F.struct(F.lit(n).alias("channel"), ranged(v, bounds).alias("v")) for n, (v, bounds, _) in channels.items()]
+    rows = samples.select(*keys, F.inline(F.array(*each))).where("v IS NOT NULL")
+    bins = rows.groupBy(*keys, "channel", F.round("v", 3).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum"), F.min("v").alias("low"), F.max("v").alias("high")
+    )
+    aggs = []
+    for name, (_, _, p) in channels.items():
+        of = lambda c, name=name: F.when(F.col("channel") == name, F.col(c))
+        aggs += [
+            (F.sum(of("sum")) / F.sum(of("n"))).alias(f"{name}_avg"), F.min(of("low")).alias(f"{name}_min"), F.max(of("high")).alias(f"{name}_max"),
+            F.percentile(of("bin"), F.lit(p), F.col("n")).alias(f"{name}_p{round(p * 100)}"), F.coalesce(F.sum(of("n")), F.lit(0)).alias(f"{name}_samples"),
+        ]
+    return bins.groupBy(*keys).agg(*aggs)
+
+
+def summarize_sessions(
+    samples: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: float = 30.0,
+    channels: dict[str, tuple[Column, tuple, float]] | None = None,
+) -> DataFrame:
+    """One record per signal file: span, mean, histogram median and leak episodes, and the statistics of further channels."""
     span = samples.groupBy(*keys).agg(
         F.max(F.struct(order[0], "sample_seconds")).alias("__last"),
         F.count(F.lit(1)).alias("n_samples"),
@@ -47,12 +90,13 @@ def summarize_sessions(samples: DataFrame, keys: Sequence[str], order: Sequence[
     end = shift_seconds(F.col("__last")[order[0]], F.col("__last.sample_seconds"))
     bins = histogram(samples, keys).groupBy(*keys).agg(histogram_percentile(0.5).alias("median"))
     episodes = best_episodes(threshold_runs(samples, keys, order, threshold=threshold), keys)
-    return (
+    out = (
         span.withColumn("session_end", end)
         .join(bins, list(keys))
         .join(episodes, list(keys), "left")
         .drop("__last")
     )
+    return out.join(channel_stats(samples, keys, channels), list(keys), "left") if channels else out
 
 
 def summarize_days(
@@ -83,8 +127,9 @@ def summarize_days(
     return base.join(rolled, keys, "left").join(episodes, keys, "left")
 
 
-def summarize_intervals(samples: DataFrame, order: Sequence[str], windows: dict[str, int]) -> DataFrame:
-    """One record per interval session: usage from the sample count, mean and maximum leak, rolling maxima, rates."""
+def summarize_intervals(samples: DataFrame, order: Sequence[str], windows: dict[str, int], threshold: float = 30.0) -> DataFrame:
+    """One record per interval session: usage from the sample count, mean and maximum leak, rolling maxima, rates, leak
+    episodes, and mean and 95th percentile of the pressure where the samples have one."""
     keys = ["card_id", "session_start"]
     hours = F.sum("sample_seconds") / 3600
     base = samples.groupBy(*keys).agg(
@@ -96,4 +141,11 @@ def summarize_intervals(samples: DataFrame, order: Sequence[str], windows: dict[
     ).withColumn("session_end", shift_minutes("session_start", F.round(F.col("usage_hours") * 60)))
     islands = reset_islands(samples, keys, order, F.col("value").isNotNull(), None)
     rolled = rolling_maxima(islands, keys, keys, "value", windows)
-    return base.join(rolled, keys, "left")
+    episodes = best_episodes(threshold_runs(samples, keys, order, threshold=threshold), keys).select(
+        *keys, "longest_minutes", "longest_leak", F.col("max_leak_minutes").alias("top_minutes")
+    )
+    out = base.join(rolled, keys, "left").join(episodes, keys, "left")
+    if "pressure" not in samples.columns:
+        return out
+    stats = channel_stats(samples, keys, {"pressure": (F.col("pressure"), PRESSURE, 0.95)})
+    return out.join(stats.select(*keys, "pressure_avg", "pressure_p95"), keys, "left")

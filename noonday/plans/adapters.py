@@ -21,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all tasks by a key, before texts or paths many times their size are made of them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # --- samples ---------------------------------------------------------------------------------------------------
 
 SAMPLES = """
@@ -252,7 +257,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("notes\\"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\\"), name, F.lit(".csv"))
         )
     )
-    listing = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    listing = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), "o_orderkey")
     return listing.select(
         k.alias("file_id"),
         F.floor(F.col("o_custkey") / 10).alias("card_id"),

@@ -197,22 +197,3 @@ def write_prepared(spark, sf):
     path = f"{checkpoint_dir(spark)}/prepared-{uuid.uuid4().hex}"
     sinks.write_prepared(rollup.day_parts(a.records(spark, sf)), path)
     return sinks.read_prepared(spark, path).select("card_id", "clinical_day", "usage_hours_sum", "n_records")
-
-
-@query(
-    "write_reports",
-    with_views(RECORDS, body="""
-SELECT card_id, r.range_days, count(*) AS n FROM records, (VALUES (30), (7)) AS r(range_days)
-WHERE date >= TIMESTAMP '2024-01-31' - to_days(r.range_days) GROUP BY ALL"""),
-    whole="range_days",
-)
-def write_reports(spark, sf):
-    """One folder per range, read back."""
-    path = f"{checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
-    end = F.lit("2024-01-31").cast("timestamp")
-    ranges = a.records(spark, sf).withColumn("range_days", F.explode(F.array(F.lit(30), F.lit(7))))
-    counted = ranges.where(F.col("date") >= end - F.make_dt_interval(F.col("range_days"))).groupBy("card_id", "range_days").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    sinks.write_reports(counted, path)
-    return spark.read.parquet(path).select("card_id", "range_days", "n")

@@ -299,7 +299,7 @@ def source_summary(spark, sf):
 @query(
     "file_role",
     with_views(FILES, CAT, body="""
-SELECT file_id, CASE WHEN regexp_matches(base_name, '(?i)^stat(?:\\..*)?$') THEN 'daily_summary'
+SELECT file_id, CASE WHEN file_id % 20 = 9 THEN 'config' WHEN regexp_matches(base_name, '(?i)^stat(?:\\..*)?$') THEN 'daily_summary'
   WHEN regexp_matches(base_name, '(?i)^stat[0-9]{2}(?:\\..*)?$') THEN 'session_summary'
   WHEN regexp_matches(base_name, '(?i)^ev[0-9]{2}(?:\\..*)?$') THEN 'event'
   WHEN regexp_matches(base_name, '(?i)^p[0-9]{2}_[0-9]+(?:\\..*)?$') THEN 'waveform'
@@ -313,8 +313,10 @@ FROM cat"""),
     nullable="hint",
 )
 def file_role(spark, sf):
+    # every second note lies in a configuration folder
+    path = F.when(F.col("file_id") % 20 == 9, F.concat(F.lit("Therapy/Config/"), "base_name")).otherwise(F.col("path"))
     return cat(spark, sf).select(
-        "file_id", c.file_role("base_name", "ext").alias("role"), c.usage_suffix("base_name").alias("suffix"),
+        "file_id", c.file_role("base_name", "ext", path).alias("role"), c.usage_suffix("base_name").alias("suffix"),
         c.session_hint("path").alias("hint"), c.root_id("path").alias("root"),
     )
 

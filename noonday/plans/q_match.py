@@ -146,8 +146,7 @@ def offset_range_join(spark, sf):
     "nearest_day",
     with_views(*RECORD_DAYS, SAMPLES, body="""
 , usable AS (
-  SELECT card_id, clinical_day AS day, least(24, usage_hours_sum) AS usage_hours FROM days
-  WHERE date_diff('day', DATE '2024-01-01', clinical_day) % 3 = 0),
+  SELECT card_id, clinical_day AS day, least(24, usage_hours_sum) AS usage_hours FROM days),
 points AS (SELECT card_id, seq, ts FROM samples),
 cand AS (
   SELECT p.card_id, p.seq, u.day,
@@ -165,7 +164,7 @@ SELECT card_id, seq, day, round(distance, 6) AS distance_seconds FROM (
 def nearest_day(spark, sf):
     days = rollup.day_parts(a.records(spark, sf)).select(
         "card_id", F.col("clinical_day").alias("day"), F.least(F.lit(24.0), "usage_hours_sum").alias("usage_hours")
-    ).where(F.datediff("day", F.lit("2024-01-01")) % 3 == 0)
+    )
     points = a.samples(spark, sf).select("card_id", "seq", "ts")
     return m.assign_to_nearest_day(points, days, "seq")
 

@@ -10,7 +10,7 @@ from noonday.operators import rollup
 from noonday.plans import adapters as a
 from noonday.plans.adapters import DAY_SETTINGS, RECORDS, with_views
 from noonday.plans.q_clean import SETTINGS_PERIODS
-from noonday.plans.q_report import report_days
+from noonday.plans.q_report import MACHINES, machines, report_days
 from noonday.plans.registry import query
 from noonday.plans.sql_parts import RECORD_DAYS, windowed
 
@@ -127,7 +127,7 @@ def settings_change_warning(spark, sf):
 
 @query(
     "previous_period",
-    with_views(RECORDS, DAY_SETTINGS, SETTINGS_PERIODS, body="""
+    with_views(RECORDS, DAY_SETTINGS, SETTINGS_PERIODS, MACHINES, body="""
 , w AS (SELECT card_id, period_end + 1 AS e, period_end + 1 - 90 AS s, signature AS period_signature FROM periods WHERE kind = 'previous'),
 f AS (SELECT card_id, min(clinical_day) AS first_day FROM day_settings GROUP BY card_id),
 d AS (SELECT d.*, w.e, greatest(w.s, f.first_day) AS s0 FROM day_settings d JOIN w USING (card_id) JOIN f USING (card_id)
@@ -136,18 +136,24 @@ o AS (
   SELECT d.card_id, max(d.clinical_day) AS other_day FROM d JOIN w USING (card_id)
   WHERE d.signature <> w.period_signature GROUP BY d.card_id)
 SELECT d.card_id, min(CASE WHEN o.other_day IS NULL THEN s0 ELSE clinical_day END) AS effective_start,
-  any_value(e) AS window_end, count(*) AS days, any_value(label) AS label
-FROM d LEFT JOIN o USING (card_id) WHERE o.other_day IS NULL OR clinical_day > other_day GROUP BY d.card_id"""),
+  any_value(e) AS window_end, count(*) AS days, any_value(d.label) AS label, any_value(p.mode) AS mode, any_value(p.epap) AS epap,
+  any_value(coalesce(p.device, i.device)) AS device, NULL::DOUBLE AS pressure_mean
+FROM d LEFT JOIN o USING (card_id) JOIN imported i ON i.card_id = d.card_id JOIN period_settings p ON p.card_id = d.card_id AND p.kind = 'previous'
+WHERE o.other_day IS NULL OR clinical_day > other_day GROUP BY d.card_id"""),
     days="effective_start window_end",
 )
 def previous_period(spark, sf):
+    """Window and machine of the earlier settings period: its own settings, the import's device, nothing measured."""
     days = a.day_settings(spark, sf)
-    windows = p.previous_windows(p.settings_periods(days))
-    chosen = p.guard_settings(p.window_days(days, windows))
-    return chosen.groupBy("card_id").agg(
+    own = p.settings_periods(days)
+    chosen = p.guard_settings(p.window_days(days, p.previous_windows(own)))
+    windows = chosen.groupBy("card_id", "kind").agg(
         F.min("effective_start").alias("effective_start"), F.max("window_end").alias("window_end"),
         F.count(F.lit(1)).alias("days"), F.min("label").alias("label"),
     )
+    return p.report_machine(windows, *machines(spark, sf, own)).select(
+        "card_id", "effective_start", "window_end", "days", "label", "mode", "epap", "device", "pressure_mean"
+    )
 
 
 @query(

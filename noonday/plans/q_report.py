@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from noonday.plans.q_series import DOMINANT
 from noonday.plans.q_sleep import ANCHOR, CLASSIFY, DRIFT, PROFILE
 from noonday.plans.registry import query
 from noonday.plans.sql_parts import DAYS, RECORD_DAYS, windowed
+from noonday.session import checkpoint_dir
+from noonday.sources import sinks
 from noonday.sources.sinks import keep
 
 
@@ -318,6 +321,51 @@ def timing_metrics(spark, sf):
     )
 
 
+def machines(spark, sf, own_periods):
+    """The newest record as the import's machine, with measured values that must not pass on, and the settings of each period."""
+    newest = rollup.latest_by(a.records(spark, sf), ["card_id"], ["date", "seq"], ["settings_label", "kind", "pressure_avg", "vt_avg", "rr_min"])
+    imported = newest.select(
+        "card_id", F.when(F.col("kind") != "error", F.concat(F.lit("Box "), "kind")).alias("device"), F.concat(F.lit("S"), F.col("card_id")).alias("serial"),
+        F.col("settings_label").alias("mode"), F.concat((F.col("card_id") % 9 + 4).cast("string"), F.lit(" cmH2O")).alias("epap"),
+        F.col("pressure_avg").alias("pressure_mean"), F.col("vt_avg").alias("vt_mean"), "rr_min", F.lit(1.0).alias("vt_median"),
+    )
+    settings = own_periods.select(
+        "card_id", "kind", F.col("label").alias("mode"), F.when(F.col("card_id") % 2 == 0, F.concat(F.lit("Older "), "label")).alias("device"),
+        F.when(F.day("period_start") % 3 > 0, F.concat((F.day("period_start") % 5 + 4).cast("string"), F.lit(" cmH2O"))).alias("epap"),
+    )
+    return imported, settings
+
+
+MACHINES = """
+imported AS (
+  SELECT card_id, CASE WHEN arg_max(kind, (date, seq)) <> 'error' THEN 'Box ' || arg_max(kind, (date, seq)) END AS device,
+    arg_max(settings_label, (date, seq)) AS mode FROM records GROUP BY card_id),
+period_settings AS (
+  SELECT card_id, kind, label AS mode, CASE WHEN card_id % 2 = 0 THEN 'Older ' || label END AS device,
+    CASE WHEN day(period_start) % 3 > 0 THEN (day(period_start) % 5 + 4) || ' cmH2O' END AS epap FROM periods)"""
+
+
+@query(
+    "measurement_reset",
+    with_views(RECORDS, DAYS, DAY_SETTINGS, SETTINGS_PERIODS, REPORT_DAYS, METRICS, MACHINES, body="""
+SELECT m.card_id // 2 AS card_id, m.range_days, CASE WHEN m.card_id % 2 = 0 THEN 'current' ELSE 'previous' END AS kind,
+  CASE WHEN m.card_id % 2 = 0 THEN i.device ELSE coalesce(p.device, i.device) END AS device, 'S' || i.card_id AS serial,
+  CASE WHEN m.card_id % 2 = 0 THEN i.mode ELSE p.mode END AS mode,
+  CASE WHEN m.card_id % 2 = 0 THEN (i.card_id % 9 + 4) || ' cmH2O' ELSE p.epap END AS epap,
+  round(round(m.pressure_mean, 9), 6) AS pressure_mean, round(round(m.vt_mean, 9), 6) AS vt_mean, m.rr_min, NULL::DOUBLE AS vt_median
+FROM m JOIN imported i ON i.card_id = m.card_id // 2
+LEFT JOIN period_settings p ON p.card_id = m.card_id // 2 AND p.kind = CASE WHEN m.card_id % 2 = 0 THEN 'current' ELSE 'previous' END"""),
+    whole="range_days",
+)
+def measurement_reset(spark, sf):
+    """Settings by period, identity by card, measured values by window: the import's newest measurements never pass on."""
+    _, _, own, metrics = both_periods(spark, sf)
+    imported, settings = machines(spark, sf, own)
+    steady = {c: F.round(c, 9) for c in ("pressure_mean", "vt_mean")}
+    measured = metrics.select("card_id", "range_days", "kind", "pressure_mean", "vt_mean", "rr_min").withColumns(steady)
+    return periods.report_machine(measured, imported, settings)
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -454,6 +502,16 @@ def told_settings(metrics, own_periods):
     )
 
 
+SETTINGS_TOLD = """
+settings AS (
+  SELECT *, CASE mode WHEN 'CPAP' THEN card_id % 9 + 6 WHEN 'APAP' THEN card_id % 4 + 4 END AS pressure_least,
+    CASE WHEN bi AND auto THEN CASE WHEN card_id % 10 > 0 THEN card_id % 4 + 4 END WHEN bi THEN card_id % 7 + 12 END AS ipap_least,
+    CASE WHEN bi AND auto THEN CASE WHEN card_id % 10 > 0 THEN card_id % 4 + 4 END WHEN bi THEN card_id % 5 + 5 END AS epap_least,
+    CASE WHEN mode = 'CPAP' THEN card_id % 9 + 6 WHEN mode = 'APAP' OR (bi AND auto) THEN card_id % 4 + 4 END || '.0 cmH2O' AS low_text,
+    CASE WHEN mode = 'CPAP' THEN card_id % 9 + 6 WHEN mode = 'APAP' OR (bi AND auto) THEN card_id % 6 + 12 END || '.0 cmH2O' AS high_text,
+    CASE WHEN bi THEN CASE WHEN card_id % 2 = 0 THEN (card_id % 300 + 2800) / 1000 ELSE card_id % 3 + 2 END END AS litres,
+    CASE WHEN card_id % 4 = 1 THEN card_id % 6 + 9 END AS backup, card_id % 3 = 0 AS total, card_id % 3 = 1 AS config
+  FROM (SELECT card_id, kind, label AS mode, label = 'BiPAP' AS bi, card_id % 5 = 0 AS auto FROM periods))"""
 # As in the checks of the single metrics, for both periods.
 MORE_METRICS = """
 lk_near AS (
@@ -478,15 +536,7 @@ p_methods AS (
     f"CASE WHEN count({p}_95_day) > 0 THEN '95th of daily 95th %s' WHEN count({p}_avg_day) > 0 THEN '95th daily %s summary' ELSE '95th %s' END AS {p}_label" % ((title,) * 3)
     for p, title in (("ipap", "IPAP"), ("epap", "EPAP"), ("pressure", "Pressure"))
 ) + f""" FROM vals v JOIN sized s ON s.card_id = v.card_id AND s.range_days = v.range_days GROUP BY ALL),
-settings AS (
-  SELECT *, CASE mode WHEN 'CPAP' THEN card_id % 9 + 6 WHEN 'APAP' THEN card_id % 4 + 4 END AS pressure_least,
-    CASE WHEN bi AND auto THEN CASE WHEN card_id % 10 > 0 THEN card_id % 4 + 4 END WHEN bi THEN card_id % 7 + 12 END AS ipap_least,
-    CASE WHEN bi AND auto THEN CASE WHEN card_id % 10 > 0 THEN card_id % 4 + 4 END WHEN bi THEN card_id % 5 + 5 END AS epap_least,
-    CASE WHEN mode = 'CPAP' THEN card_id % 9 + 6 WHEN mode = 'APAP' OR (bi AND auto) THEN card_id % 4 + 4 END || '.0 cmH2O' AS low_text,
-    CASE WHEN mode = 'CPAP' THEN card_id % 9 + 6 WHEN mode = 'APAP' OR (bi AND auto) THEN card_id % 6 + 12 END || '.0 cmH2O' AS high_text,
-    CASE WHEN bi THEN CASE WHEN card_id % 2 = 0 THEN (card_id % 300 + 2800) / 1000 ELSE card_id % 3 + 2 END END AS litres,
-    CASE WHEN card_id % 4 = 1 THEN card_id % 6 + 9 END AS backup, card_id % 3 = 0 AS total, card_id % 3 = 1 AS config
-  FROM (SELECT card_id, kind, label AS mode, label = 'BiPAP' AS bi, card_id % 5 = 0 AS auto FROM periods)),
+{SETTINGS_TOLD.strip()},
 told AS (
   SELECT t.*, s.* EXCLUDE (card_id, kind), n.minutes AS max_leak_minutes, l.sustained_leak_max, l.sustained_leak_minutes, r.rr_95, d.vt_median,
     x.vt_min_minutes, x.vt_max_minutes, p.* EXCLUDE (card_id, range_days)
@@ -607,14 +657,14 @@ def whole_report(spark, sf):
     days, windows, own, metrics = both_periods(spark, sf)
     timed = timed_metrics(spark, sf, metrics, own)
     chosen = report.selected_days(days, windows.drop("anchored_to_latest", "anchored_day"))
-    filled = timed.join(histograms_of(spark, sf, chosen, metrics), list(periods.WINDOW), "left")
-    return rows.report_rows(told_settings(filled, own))
+    filled = told_settings(timed.join(histograms_of(spark, sf, chosen, metrics), list(periods.WINDOW), "left"), own)
+    return filled, rows.report_rows(filled)
 
 
 @query("report_rows", with_views(*REPORT, body="SELECT * FROM report_lines"), whole="range_days pos")
 def rows_of_report(spark, sf):
     """Every row of every section, for the ranges of both settings periods."""
-    return whole_report(spark, sf)
+    return whole_report(spark, sf)[1]
 
 
 @query(
@@ -624,27 +674,51 @@ def rows_of_report(spark, sf):
 )
 def report_event_rows(spark, sf):
     """All labels of the event and leak sections, with the minutes of the leak episodes."""
-    found = whole_report(spark, sf).where(F.col("section").isin("Respiratory Events", "Leaks"))
+    found = whole_report(spark, sf)[1].where(F.col("section").isin("Respiratory Events", "Leaks"))
     return found.select("card_id", "range_days", "kind", "label", "value", "emphasize")
 
 
 @query(
     "threshold_flags",
-    with_views(*M_VIEWS, body="""
-SELECT card_id, range_days, coalesce(ahi_mean > 5, false) AS ahi_high, 100.0 * usage_compliant_days / days_in_window < 70 AS compliance_low,
-  coalesce(avg_usage_hours < 4, false) AS use_low, coalesce(max_leak > 30, false) AS leak_high, coalesce(round(rr_min, 1) < 10, false) AS rate_low,
-  coalesce(round(pressure_mean, 1) < round(14 * 0.9, 1), false) AS pressure_low, coalesce(round(vt_mean * 1000, 1) < 3000, false) AS volume_low FROM m"""),
+    with_views(RECORDS, DAYS, DAY_SETTINGS, SETTINGS_PERIODS, REPORT_DAYS, METRICS, SETTINGS_TOLD, body=f"""
+SELECT m.card_id // 2 AS card_id, m.range_days, s.kind, coalesce(ahi_mean > 5, false) AS ahi_high, 100.0 * usage_compliant_days / days_in_window < 70 AS compliance_low,
+  coalesce(avg_usage_hours < 4, false) AS use_low, coalesce(max_leak > 30, false) AS leak_high,
+  {_low("rr_min", "10.0")} OR (backup IS NOT NULL AND bi AND {_low("rr_min", "backup")}) AS rate_low,
+  coalesce(pressure_least > 0, false) AND {_low("pressure_mean", "pressure_least * 0.9::DOUBLE")} AS pressure_low,
+  coalesce(ipap_least > 0, false) AND {_low("ipap_mean", "ipap_least * 0.9::DOUBLE")} AS ipap_low,
+  coalesce(epap_least > 0, false) AND {_low("epap_mean", "epap_least * 0.9::DOUBLE")} AS epap_low, {_low("vt_mean * 1000", "litres * 1000")} AS volume_low
+FROM m JOIN settings s ON s.card_id = m.card_id // 2 AND s.kind = CASE WHEN m.card_id % 2 = 0 THEN 'current' ELSE 'previous' END"""),
     whole="range_days",
 )
 def threshold_flags(spark, sf):
-    metrics = metrics_of(spark, sf).withColumn(
-        "compliance_percent", F.col("usage_compliant_days") / F.col("days_in_window") * 100
+    """Flags of the measured values against fixed limits and against the settings of the period."""
+    _, _, own, metrics = both_periods(spark, sf)
+    told = told_settings(metrics, own).withColumn("compliance_percent", F.col("usage_compliant_days") / F.col("days_in_window") * 100)
+    fixed = {n: c for n, c in rows.flags().items() if n != "rate_low"}
+    return told.select(
+        "card_id", "range_days", "kind", *[c.alias(n) for n, c in fixed.items()], *[c.alias(n) for n, c in rows.setting_flags(told).items()]
     )
-    return metrics.select(
-        "card_id", "range_days", *[c.alias(n) for n, c in rows.flags().items()],
-        rows.pressure_is_low(F.col("pressure_mean"), F.lit(14.0)).alias("pressure_low"),
-        rows.volume_is_low(F.col("vt_mean"), F.lit(3.0)).alias("volume_low"),
+
+
+@query(
+    "write_reports",
+    with_views(*REPORT, body="""
+SELECT t.card_id, t.range_days, t.kind, t.days_with_data, round(round(t.total_hours, 9), 6) AS total_hours, l.n_rows, l.n_sections, l.digest
+FROM timing t JOIN (SELECT card_id, range_days, kind, count(*) AS n_rows, count(DISTINCT section) AS n_sections, sum(length(value) + pos)::BIGINT AS digest
+  FROM report_lines GROUP BY ALL) l ON l.card_id = t.card_id AND l.range_days = t.range_days AND l.kind = t.kind"""),
+    whole="range_days days_with_data",
+)
+def write_reports(spark, sf):
+    """The artifact of each range, metrics and rows, written and read back."""
+    metrics, lines = whole_report(spark, sf)
+    path = f"{checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    sinks.write_reports(metrics.drop("warnings"), f"{path}/metrics")
+    sinks.write_reports(lines, f"{path}/rows")
+    keys = list(periods.WINDOW)
+    counted = spark.read.parquet(f"{path}/rows").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("section").alias("n_sections"), F.sum(F.length("value") + F.col("pos")).alias("digest")
     )
+    return spark.read.parquet(f"{path}/metrics").select(*keys, "days_with_data", "total_hours").join(counted, keys)
 
 
 @query(

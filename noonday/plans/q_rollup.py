@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import clinical_day, shift_minutes, shift_seconds
+from noonday.functions.numbers import norm_leak_lpm
 from noonday.operators import rollup
 from noonday.operators.cleaning import LEAK, ranged
 from noonday.operators.clock import probe_channels, vote_clock_offset
-from noonday.operators.signals import pivot_signals, summarize_days, summarize_intervals, summarize_sessions
+from noonday.operators.signals import daily_records, summarize_days, summarize_intervals, summarize_sessions
 from noonday.plans import adapters as a
 from noonday.plans.adapters import RECORDS, SAMPLES, with_views
 from noonday.plans.registry import query
@@ -482,26 +483,33 @@ ALIASES = [("leak", 1, "click"), ("leak", 2, "view"), ("pressure", 1, "purchase"
 @query(
     "pivot_daily_signals",
     with_views(SAMPLES, body="""
-, picked AS (
-  SELECT s.card_id, CAST(ts AS DATE) AS day, metric, prio, avg(value) AS v
+, files AS (SELECT card_id, min(ts) AS start_ts FROM samples GROUP BY card_id),
+picked AS (
+  SELECT s.card_id, CAST(ts AS DATE) AS day, metric, prio, avg(CASE WHEN signal = 'click' THEN value * 60 ELSE value END) AS v
   FROM samples s JOIN (VALUES ('leak', 1, 'click'), ('leak', 2, 'view'), ('pressure', 1, 'purchase'),
     ('pressure', 2, 'signup'), ('pressure', 3, 'error')) AS al(metric, prio, signal) ON s.event_type = al.signal
   GROUP BY ALL),
-best AS (SELECT * FROM picked QUALIFY row_number() OVER (PARTITION BY card_id, day, metric ORDER BY prio) = 1)
-SELECT card_id, day, round(max(CASE WHEN metric = 'leak' AND v * 60 / 60 < 500 THEN v END), 6) AS leak,
-  round(max(CASE WHEN metric = 'pressure' AND v > 0 AND v <= 80 THEN v END), 6) AS pressure
-FROM best GROUP BY ALL"""),
-    days="day",
+best AS (SELECT * FROM picked QUALIFY row_number() OVER (PARTITION BY card_id, day, metric ORDER BY prio) = 1),
+wide AS (SELECT card_id, day, max(v) FILTER (metric = 'leak') AS leak, max(v) FILTER (metric = 'pressure') AS pressure FROM best GROUP BY ALL),
+latest AS (SELECT card_id, arg_max(pressure, day) FILTER (pressure IS NOT NULL) AS latest_pressure FROM wide GROUP BY card_id)
+SELECT w.card_id, w.day, round(round(CASE WHEN leak < 500 THEN leak END, 9), 6) AS leak, round(round(CASE WHEN pressure > 0 AND pressure <= 80 THEN pressure END, 9), 6) AS pressure,
+  CAST(f.start_ts - INTERVAL 12 HOUR AS DATE) AS history_start, round(round(latest_pressure, 9), 6) AS latest_pressure
+FROM wide w JOIN files f ON f.card_id = w.card_id JOIN latest l ON l.card_id = w.card_id"""),
+    days="day history_start",
 )
 def pivot_daily_signals(spark, sf):
-    signals = a.samples(spark, sf).groupBy("card_id", F.to_date("ts").alias("day"), "event_type").agg(
-        F.avg("value").alias("value")
-    )
-    wide = pivot_signals(signals, ["card_id", "day"], "event_type", "value", ALIASES)
-    return (
-        wide.withColumns(
-            {"leak": ranged("leak", LEAK), "pressure": ranged("pressure", rollup.PRESSURE)}
-        )
+    """A summary file per card: a data record per day, two channels for the leak, one of them in litres a second."""
+    samples = a.samples(spark, sf)
+    files = samples.groupBy("card_id").agg(F.min("ts").alias("start_ts"))
+    signals = samples.join(files, "card_id").groupBy(
+        "card_id", "start_ts", F.datediff(F.to_date("ts"), F.to_date("start_ts")).alias("seq"), F.col("event_type").alias("channel")
+    ).agg(F.avg("value").alias("value")).withColumn("unit", F.when(F.col("channel") == "click", "L/s").otherwise("L/min"))
+    units = {"leak": lambda v, unit: norm_leak_lpm(v, unit)}
+    found = daily_records(signals, ALIASES, units, ["pressure"])
+    steady = lambda c: F.round(c, 9)
+    return found.select(
+        "card_id", F.col("date").alias("day"), steady(ranged("leak", LEAK)).alias("leak"), steady(ranged("pressure", rollup.PRESSURE)).alias("pressure"),
+        "history_start", steady(F.col("latest_pressure")).alias("latest_pressure"),
     )
 
 
@@ -525,16 +533,25 @@ best AS (
   FROM runs GROUP BY ALL)
 SELECT b.card_id, b.session_start, max(ts) + INTERVAL 2 MINUTE AS session_end, count(*) AS n_samples,
   round(avg(value), 6) AS leak, round(quantile_cont(round(value, 3), 0.5), 6) AS median,
+  round(round(avg(value / 25) FILTER (value > 0 AND value / 25 <= 5), 9), 6) AS vt_avg, round(min(value / 25) FILTER (value > 0 AND value / 25 <= 5), 6) AS vt_min,
+  round(max(value / 25) FILTER (value > 0 AND value / 25 <= 5), 6) AS vt_max,
+  round(quantile_cont(round(value / 25, 3), 0.5) FILTER (value > 0 AND value / 25 <= 5), 6) AS vt_p50, count(*) FILTER (value > 0 AND value / 25 <= 5) AS vt_samples,
+  round(round(avg(value) FILTER (event_type <> 'view' AND value > 0 AND value <= 120), 9), 6) AS rr_avg, min(value) FILTER (event_type <> 'view' AND value > 0 AND value <= 120) AS rr_min,
+  round(quantile_cont(round(value, 3), 0.95) FILTER (event_type <> 'view' AND value > 0 AND value <= 120), 6) AS rr_p95,
   any_value(r.longest_minutes) AS longest_minutes, any_value(r.longest_leak) AS longest_leak, any_value(r.max_leak) AS max_leak
 FROM blocks b LEFT JOIN best r USING (card_id, session_start) GROUP BY ALL"""),
     times="session_start session_end",
 )
 def session_from_samples(spark, sf):
     blocks = a.samples(spark, sf).withColumn("session_start", F.date_trunc("week", "ts"))
-    out = summarize_sessions(blocks, ["card_id", "session_start"], ["ts", "seq"])
-    return (
-        out.select("card_id", "session_start", "session_end", "n_samples", "leak", "median",
-                   "longest_minutes", "longest_leak", "max_leak")
+    channels = {
+        "vt": (F.col("value") / 25, rollup.TIDAL_VOLUME, 0.5),
+        "rr": (F.when(F.col("event_type") != "view", F.col("value")), rollup.RESPIRATORY_RATE, 0.95),
+    }
+    out = summarize_sessions(blocks, ["card_id", "session_start"], ["ts", "seq"], channels=channels)
+    return out.withColumns({c: F.round(c, 9) for c in ("vt_avg", "rr_avg")}).select(
+        "card_id", "session_start", "session_end", "n_samples", "leak", "median", "vt_avg", "vt_min", "vt_max", "vt_p50", "vt_samples",
+        "rr_avg", "rr_min", "rr_p95", "longest_minutes", "longest_leak", "max_leak",
     )
 
 
@@ -585,17 +602,26 @@ def day_from_samples(spark, sf):
   SELECT *, row_number() OVER (PARTITION BY card_id, session_start ORDER BY ts, seq) AS rn FROM blocks),
 rolled AS (
   SELECT *, CASE WHEN rn >= 5 THEN avg(value) OVER (PARTITION BY card_id, session_start ORDER BY rn
-    ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS roll FROM placed)
-SELECT card_id, session_start, count(*) AS n, round(count(*) * 2.0 / 60, 6) AS usage_hours,
+    ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS roll FROM placed),
+flagged AS (
+  SELECT *, row_number() OVER (PARTITION BY card_id, session_start, value > 30 ORDER BY ts, seq) AS rk FROM placed),
+runs AS (SELECT card_id, session_start, rn - rk AS isl, count(*) * 2.0::DOUBLE AS minutes, max(value) AS peak FROM flagged WHERE value > 30 GROUP BY ALL),
+best AS (
+  SELECT card_id, session_start, max(minutes) AS longest_minutes, arg_max(peak, minutes * 100000 + peak) AS longest_leak,
+    arg_max(minutes, peak * 100000 + minutes) AS top_minutes FROM runs GROUP BY ALL)
+SELECT card_id, session_start, any_value(longest_minutes) AS longest_minutes, any_value(longest_leak) AS longest_leak, any_value(top_minutes) AS top_minutes,
+  round(round(avg(value % 20 + 4), 9), 6) AS pressure_avg, round(quantile_cont(round(value % 20 + 4, 3), 0.95), 6) AS pressure_p95,
+  count(*) AS n, round(count(*) * 2.0 / 60, 6) AS usage_hours,
   session_start + to_minutes(CAST(2 * count(*) AS BIGINT)) AS session_end,
   round(avg(value), 6) AS mean_leak, max(value) AS max_leak, round(max(roll), 6) AS roll_max,
   round(count(*) FILTER (event_type = 'error') / (count(*) * 2.0 / 60), 6) AS error_rate
-FROM rolled GROUP BY card_id, session_start"""),
+FROM rolled LEFT JOIN best USING (card_id, session_start) GROUP BY card_id, session_start"""),
     times="session_start session_end",
 )
 def interval_sample_summary(spark, sf):
     blocks = a.samples(spark, sf).withColumn("session_start", F.date_trunc("week", "ts"))
-    return (summarize_intervals(blocks, ["ts", "seq"], {"roll_max": 5}))
+    with_pressure = blocks.withColumn("pressure", F.col("value") % 20 + 4)
+    return summarize_intervals(with_pressure, ["ts", "seq"], {"roll_max": 5}).withColumn("pressure_avg", F.round("pressure_avg", 9))
 
 
 @query(

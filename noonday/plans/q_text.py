@@ -16,7 +16,7 @@ K = ["file_id"]
 
 
 def orders(spark, sf):
-    return a.read(spark, sf, "orders").withColumns({"file_id": F.col("o_orderkey"), "k": F.col("o_orderkey")})
+    return a.dealt(a.read(spark, sf, "orders"), "o_orderkey").withColumns({"file_id": F.col("o_orderkey"), "k": F.col("o_orderkey")})
 
 
 def s(c):
@@ -70,12 +70,15 @@ def _maps(spark, sf):
     f"""
 SELECT file_id, CASE WHEN h <= 24 THEN h END AS usage_hours,
   CASE WHEN h > 0 THEN round((k % 7 + k % 11) / h, 6) END AS ahi,
-  CAST(k % 90 AS DOUBLE) AS leak, CASE WHEN k % 700 < 500 THEN CAST(k % 700 AS DOUBLE) END AS leak_max
-FROM (SELECT *, CAST({_USAGE} AS DOUBLE) AS h {_BASE})
+  CAST(k % 90 AS DOUBLE) AS leak, CASE WHEN k % 700 < 500 THEN CAST(k % 700 AS DOUBLE) END AS leak_max,
+  'pressure:' || p || ' cmh2o' AS settings_signature, 'Therapy ' || p || ' cmH2O' AS settings_label, 'Fixed ' || p || ' cmH2O' AS pressure
+FROM (SELECT *, CAST({_USAGE} AS DOUBLE) AS h,
+  regexp_replace(printf('%.2f', CASE WHEN k % 1000 <= 80 THEN k % 1000 ELSE (k % 1000) / 100 END::DOUBLE), '\\.?0+$', '') AS p {_BASE})
 WHERE true""",
 )
 def parse_daily_kv(spark, sf):
-    return t.daily_records(_maps(spark, sf)).select("file_id", "usage_hours", "ahi", "leak", "leak_max")
+    found = t.daily_records(_maps(spark, sf))
+    return found.select("file_id", "usage_hours", "ahi", "leak", "leak_max", "settings_signature", "settings_label", F.col("settings_machine.pressure").alias("pressure"))
 
 
 @query(
@@ -83,7 +86,9 @@ def parse_daily_kv(spark, sf):
     """
 SELECT file_id, round(u / 3600.0::DOUBLE, 6) AS usage_hours, CASE WHEN u > 0 AND k % 4 <> 0 THEN round((k % 9 + k % 5) / (u / 3600.0::DOUBLE), 6) END AS ahi,
   CASE WHEN u > 0 THEN round(k % 9 / (u / 3600.0::DOUBLE), 6) END AS residual_apneas, k % 60 + 0.5::DOUBLE AS leak,
-  CASE WHEN k % 600 < 500 THEN k % 600 + 0.0::DOUBLE END AS leak_95
+  CASE WHEN k % 600 < 500 THEN k % 600 + 0.0::DOUBLE END AS leak_95,
+  CASE WHEN k % 2 = 0 THEN 'mode:apap|pressureMax:' || (k % 9 + 8) || ' cmh2o|pressureMin:4 cmh2o' END AS settings_signature,
+  CASE WHEN k % 2 = 0 THEN 'APAP 4 cmH2O-' || (k % 9 + 8) || ' cmH2O' END AS settings_label
 FROM (SELECT o_orderkey AS file_id, o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE (o_orderkey % 24) * 3600 END AS u FROM orders)""",
 )
 def parse_counter_kv(spark, sf):
@@ -91,11 +96,11 @@ def parse_counter_kv(spark, sf):
     text = F.concat(
         F.lit("secUsed="), F.when(k % 6 == 0, "90000").otherwise(s((k % 24) * 3600)), F.lit("\ncntAI="), s(k % 9),
         F.when(k % 4 != 0, F.concat(F.lit("\ncntHI="), s(k % 5))).otherwise(""), F.lit("\nmedLeak="), s(k % 60), F.lit(".5"),
-        F.lit("\np95Leak="), s(k % 600),
+        F.lit("\np95Leak="), s(k % 600), F.when(k % 2 == 0, F.concat(F.lit("\nmode: APAP\nPMin=4\nPMax="), s(k % 9 + 8))).otherwise(""),
     )
     files = orders(spark, sf).select("file_id", text.alias("text"))
     maps = t.value_maps(t.key_values(files, K), K)
-    return t.counter_records(maps).select("file_id", "usage_hours", "ahi", "residual_apneas", "leak", "leak_95")
+    return t.counter_records(maps).select("file_id", "usage_hours", "ahi", "residual_apneas", "leak", "leak_95", "settings_signature", "settings_label")
 
 
 def table_text():
@@ -171,17 +176,28 @@ def parse_fallback(spark, sf):
     return t.any_records(files, K).select("file_id", "date", "ahi", "leak")
 
 
+# Readings of UTF-8 texts without NUL: UTF-8, the same behind a header of four bytes (bytes that continue a cut character are
+# replaced), Latin-1, and printable ASCII of the Latin-1 reading without and with the header skipped.
 @query(
     "decode_text",
     """
-SELECT doc_id, length(x) AS n_chars, md5(x) AS digest FROM (
-  SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents) WHERE length(x) > 0""",
+WITH t AS (
+  SELECT doc_id, text, hex(encode(text)) AS h, least(coalesce(list_position(list_transform(range(1, 5), lambda j: strlen(left(text, j)) >= 4), true), 4), length(text)) AS j
+  FROM documents WHERE text IS NOT NULL),
+b AS (
+  SELECT doc_id, text, list_aggregate(list_transform(regexp_extract_all(h, '..'), lambda x: chr(CAST('0x' || x AS INTEGER))), 'string_agg', '') AS latin,
+    repeat(chr(65533), greatest(0, strlen(left(text, j)) - 4)::BIGINT) || substr(text, j + 1) AS tail FROM t),
+r AS (
+  SELECT doc_id, [text, tail, latin, regexp_replace(latin, '[^\\x20-\\x7E\\t\\n\\r]', chr(10), 'g'), regexp_replace(substr(latin, 5), '[^\\x20-\\x7E\\t\\n\\r]', chr(10), 'g')] AS texts FROM b),
+s AS (SELECT doc_id, list_filter(list_transform(texts, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) AS texts FROM r),
+u AS (SELECT doc_id, list_filter(texts, lambda x, i: list_position(texts, x) = i) AS texts FROM s)
+SELECT doc_id, i - 1 AS variant, length(texts[i]) AS n_chars, md5(texts[i]) AS digest FROM (SELECT doc_id, texts, unnest(range(1, len(texts) + 1)) AS i FROM u)""",
 )
 def decode_text(spark, sf):
-    """All readings of every document; the first one (UTF-8) is compared by digest."""
+    """All readings of every document, by digest."""
     docs = a.read(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    first = t.decode_variants(docs).where("variant = 0")
-    return first.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+    read = t.decode_variants(docs)
+    return read.select("doc_id", "variant", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query("best_variant", "SELECT o_orderkey AS file_id, CAST(2 AS BIGINT) AS n_records FROM orders")
@@ -603,23 +619,32 @@ def alias_pick(spark, sf):
     "settings_from_kv",
     """
 SELECT file_id, CASE m WHEN 1 THEN 'CPAP' WHEN 3 THEN 'APAP' WHEN 15 THEN 'PC' ELSE 'VentMode ' || m END AS mode,
-  (k % 15 + 4) || '.5 cmH2O' AS pressure, CASE WHEN k % 2 = 0 THEN '6-' || (k % 9 + 7) || ' cmH2O' ELSE '6 cmH2O-' || (k % 9 + 7) || ' cmH2O' END AS epap,
-  (k % 20) || ' bpm' AS respiratory_rate, 'PS ' || (k % 5) || ' cmH2O' AS pressure_relief
-FROM (SELECT o_orderkey AS file_id, o_orderkey AS k, [1, 3, 15, 99][o_orderkey % 4 + 1] AS m FROM orders)""",
+  (k % 15 + 4) || '.5 cmH2O' AS pressure, '5 cmH2O' AS pressure_min, (k % 7 + 9) || ' cmH2O' AS pressure_max,
+  CASE WHEN k % 2 = 0 THEN '6-' || (k % 9 + 7) || ' cmH2O' ELSE '6 cmH2O-' || (k % 9 + 7) || ' cmH2O' END AS epap,
+  '9 cmH2O-' || (k % 5 + 12) || ' cmH2O' AS ipap, (k % 20) || ' bpm' AS respiratory_rate, (k % 400 + 200) || ' mL' AS tidal_volume,
+  'PS ' || (k % 5) || ' cmH2O' AS pressure_relief, r AS ramp_time, CASE WHEN r <> 'Off' THEN (k % 4 + 4) || ' cmH2O' END AS ramp_pressure
+FROM (SELECT o_orderkey AS file_id, o_orderkey AS k, [1, 3, 15, 99][o_orderkey % 4 + 1] AS m,
+  CASE o_orderkey % 3 WHEN 0 THEN 'enabled' WHEN 1 THEN CASE o_orderkey % 45 WHEN 0 THEN 'Off' WHEN 1 THEN '1 minute' ELSE o_orderkey % 45 || ' minutes' END ELSE 'Off' END AS r
+  FROM orders)""",
 )
 def settings_from_kv(spark, sf):
+    """Ramp settings are named by an alias in every second file, by a key that only a pattern fits in the others."""
     k = F.col("k")
     mode = F.get(F.array(*[F.lit(x) for x in ("1", "3", "15", "99")]), (k % 4).cast("int"))
     text = F.concat(
         F.lit("VentMode="), mode, F.lit("\nPress="), s((k % 15 + 4) * 100 + 50),
         F.when(k % 2 == 0, F.concat(F.lit("\nEPAP=6-"), s(k % 9 + 7), F.lit(" cmH2O")))
         .otherwise(F.concat(F.lit("\nEPAP Min-Pressure=6\nepap_max pressure="), s(k % 9 + 7))),
-        F.lit("\nbackup rate: "), s(k % 20), F.lit("\nPS="), s(k % 5),
+        F.lit("\nbackup rate: "), s(k % 20), F.lit("\nPS="), s(k % 5), F.lit("\nPMin=5\nautoMax="), s(k % 7 + 9),
+        F.lit("\nIPAP minimum=9\nIPAPMax="), s(k % 5 + 12), F.lit("\ntarget_vt: "), s(k % 400 + 200), F.lit(" mL"),
+        F.when(k % 2 == 0, "\nrampTime=").otherwise("\nLast Ramp Duration of Night="),
+        F.when(k % 3 == 0, "enabled").when(k % 3 == 1, s(k % 45)).otherwise("off"),
+        F.when(k % 2 == 0, "\npRamp=").otherwise("\nPressure at Ramp="), s(k % 4 + 4),
     )
     files = orders(spark, sf).select("file_id", text.alias("text"))
     maps = t.value_maps(t.key_values(files, K), K)
-    own = settings.settings_from_kv("exact", "compact")
-    return maps.select("file_id", *[own[c].alias(c) for c in ("mode", "pressure", "epap", "respiratory_rate", "pressure_relief")])
+    found = settings.with_settings(maps, entries="entries")
+    return found.select("file_id", *[F.col(c).alias(c.removeprefix("set_")) for c in found.columns if c.startswith("set_")])
 
 
 @query(
@@ -627,14 +652,16 @@ def settings_from_kv(spark, sf):
     """
 SELECT o_orderkey AS file_id, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'IPR: Off' ELSE 'IPR: On ' || o_orderkey % 3 || ' cmH2O' END
   WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'EPR: Off' ELSE 'EPR: On ' || o_orderkey % 3 END
-  WHEN 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Flex: Off' ELSE 'Flex: On ' || o_orderkey % 3 END END AS relief FROM orders""",
+  WHEN 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Flex: Off' ELSE 'Flex: On ' || o_orderkey % 3 END
+  ELSE CASE WHEN o_orderkey % 8 = 7 THEN 'ramp only' WHEN o_orderkey % 3 = 0 THEN 'EXHALE RELIEF: Off' ELSE 'EXHALE RELIEF: On ' || o_orderkey % 3 END END AS relief FROM orders""",
 )
 def pressure_relief(spark, sf):
     k = F.col("k")
-    key = F.get(F.array(*[F.lit(x) for x in ("iPR=", "EPRLevel=", "C-Flex=", "other=")]), (k % 4).cast("int"))
-    files = orders(spark, sf).select("file_id", F.concat(key, s(k % 3)).alias("text"))
+    key = F.get(F.array(*[F.lit(x) for x in ("iPR=", "EPRLevel=", "C-Flex=", "Exhale Relief=")]), (k % 4).cast("int"))
+    value = F.when(k % 8 == 7, "ramp only").otherwise(s(k % 3))
+    files = orders(spark, sf).select("file_id", F.concat(F.lit("other=1\n"), key, value).alias("text"))
     maps = t.value_maps(t.key_values(files, K), K)
-    return maps.select("file_id", settings.relief_text(F.col("exact"), F.col("lower")).alias("relief"))
+    return maps.select("file_id", settings.relief_text(F.col("exact"), F.col("lower"), F.col("entries")).alias("relief"))
 
 
 @query(
@@ -777,13 +804,22 @@ def mode_from_name(spark, sf):
     "device_label",
     """
 SELECT o_orderkey, ['AirSense 11 AutoSet', 'AirCurve 10 ST-A', 'S9', 'Other box'][o_orderkey % 4 + 1] AS device,
-  CAST(o_orderkey AS VARCHAR) AS serial FROM orders""",
+  CAST(o_orderkey AS VARCHAR) AS serial,
+  ['AirSense 10 AutoSet for Her', 'AirCurve 11 VAuto', 'AirSense 10 Elite', 'Lumis 150 VPAP ST', NULL, 'Box ' || o_orderkey % 7][o_orderkey % 6 + 1] AS identity FROM orders""",
 )
 def device_label(spark, sf):
-    raw = F.get(F.array(*[F.lit(x) for x in ("airsense_11  AUTOSET", "AirCurve10 ST-A", "my S9 unit", "Other_box ")]), (F.col("o_orderkey") % 4).cast("int"))
-    path = F.concat(F.lit("vrem/od"), s(F.col("o_orderkey")), F.lit("/x.bin"))
+    """Names as written, and the identity out of a product object, an identification line, a device line, or a mention."""
+    k = F.col("o_orderkey")
+    raw = F.get(F.array(*[F.lit(x) for x in ("airsense_11  AUTOSET", "AirCurve10 ST-A", "my S9 unit", "Other_box ")]), (k % 4).cast("int"))
+    path = F.concat(F.lit("vrem/od"), s(k), F.lit("/x.bin"))
+    line = F.when(k % 6 == 2, "AirSense 10  Elite ").when(k % 6 == 4, "unknown")
+    text = (
+        F.when(k % 6 == 0, '{"ProductName": "AirSense 10   AutoSet for Her", "x": 1}')
+        .when(k % 6 == 1, "#SRN 1\r\n  #PNA AirCurve_11 VAuto \r\n#PNA S9")
+        .when(k % 6 == 3, "settings of a lumis150 vpap st").when(k % 6 == 5, F.concat(F.lit("#PNA Box "), s(k % 7))).otherwise("{broken S 9")
+    )
     return a.read(spark, sf, "orders").select(
-        "o_orderkey", modes.device_name(raw).alias("device"), modes.serial_from_path(path).alias("serial")
+        "o_orderkey", modes.device_name(raw).alias("device"), modes.serial_from_path(path).alias("serial"), modes.device_identity(text, line).alias("identity")
     )
 
 

@@ -125,6 +125,7 @@ def either(names: Column) -> Column:
 
 
 BILEVEL = ("BiPAP", "VAuto")
+PRESSURE_NAMES = ("pressure", "ipap", "epap")
 
 
 def setting_rows(settings: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -183,6 +184,19 @@ def minimum_settings(given: Callable[[str], Column], bilevel: Column, differ: Co
     }
 
 
+def setting_flags(metrics: DataFrame) -> dict[str, Column]:
+    """Whether measured values lie below the settings that ``metrics`` tells (the columns of :func:`setting_rows`)."""
+    c = F.col
+    bilevel = F.coalesce(c("mode").isin(*BILEVEL), F.lit(False))
+    differ = F.array_contains("warnings", BOUNDS_DIFFER) if "warnings" in metrics.columns else F.lit(False)
+    setting = minimum_settings(c, bilevel, differ)
+    return {
+        "rate_low": rate_is_low(c("rr_min"), c("mode"), c("device"), c("respiratory_rate")),
+        **{f"{n}_low": pressure_is_low(c(f"{n}_mean"), setting[n]) for n in PRESSURE_NAMES},
+        "volume_low": volume_is_low(c("vt_mean"), volume_setting(c("tidal_volume"))),
+    }
+
+
 def report_rows(metrics: DataFrame) -> DataFrame:
     """Long labelled rows; absent values are left out, and so are the sections that stay empty.
 

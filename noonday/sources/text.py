@@ -17,7 +17,7 @@ from noonday.functions.dates import parse_datetime, parse_utc_offset
 from noonday.functions.modes import mode_from_profile
 from noonday.functions.numbers import norm_pressure, safe_number, trimmed
 from noonday.functions.plan import computed_once
-from noonday.functions.settings import is_setting_header, joined_range, ramp_rule
+from noonday.functions.settings import is_setting_header, joined_range, ramp_rule, with_day_settings
 from noonday.operators.cleaning import FIELD_RANGES, ranged
 from noonday.operators.rollup import none_if_zero
 
@@ -73,6 +73,7 @@ def best_variant(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- key-value text --------------------------------------------------------------------------------------------
 
+# Fixed value: a key and value inside a line.
 INLINE_PAIR = r"([A-Za-z][A-Za-z0-9_]{1,40})\s*[:=]\s*([^\r\n,;]+)"
 
 
@@ -190,7 +191,7 @@ def _rate(aliases: Sequence[str], hours: Column) -> Column:
 
 
 def daily_records(maps: DataFrame) -> DataFrame:
-    """Daily metrics of each file out of its key-value maps; out-of-range values become NULL."""
+    """Daily metrics and settings of each file out of its key-value maps; out-of-range values become NULL."""
     hours = F.col("usage_hours")
     oa, ca, h, ai = (read_number(k) for k in ("cntOAI", "cntCAI", "cntHI", "cntAI"))
     some = oa.isNotNull() | ca.isNotNull() | h.isNotNull()
@@ -224,7 +225,13 @@ def daily_records(maps: DataFrame) -> DataFrame:
         }
     )
     fields = ["usage_hours", "ahi", "residual_apneas", "central_apneas", "rera_index", "leak", "leak_max", *PRESSURE_PATTERNS]
-    return keep_signal(out, fields)
+    return _with_settings(keep_signal(with_day_settings(out, "__settings"), fields, ["__settings"]))
+
+
+def _with_settings(records: DataFrame) -> DataFrame:
+    """The snapshot as the record's settings columns: signature, label and machine."""
+    named = {f"settings_{c}": F.col(f"__settings.{c}") for c in ("signature", "label", "machine")}
+    return records.withColumns(named).drop("__settings")
 
 
 def _leak_or_null(value: Column) -> Column:
@@ -232,7 +239,7 @@ def _leak_or_null(value: Column) -> Column:
 
 
 def counter_records(maps: DataFrame) -> DataFrame:
-    """Daily metrics of counter files: seconds used and event counters; nothing is made up from missing parts."""
+    """Daily metrics and settings of counter files: seconds used and event counters; nothing is made up from missing parts."""
     seconds = read_number("secUsed")
     start = read_number("secStart")
     hours = F.when(seconds.between(0, 24 * 3600), seconds / 3600)
@@ -262,7 +269,7 @@ def counter_records(maps: DataFrame) -> DataFrame:
         }
     )
     fields = ["usage_hours", "ahi", "residual_apneas", "central_apneas", "rera_index", "leak", "leak_95", "leak_max"]
-    return keep_signal(out, fields, ["session_start", "session_end"])
+    return _with_settings(keep_signal(with_day_settings(out, "__settings"), fields, ["session_start", "session_end", "__settings"]))
 
 
 def keep_signal(df: DataFrame, fields: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
@@ -362,8 +369,12 @@ def table_records(files: DataFrame, keys: Sequence[str], text: str = "text") ->
 
         return F.array_position(F.transform("header", fits), F.lit(True)).cast("int")
 
+    # what depends on the header alone is worked out once per file
+    headed = F.filter(
+        F.transform("header", lambda h, i: F.struct((i + 1).alias("at"), h.alias("key"))), lambda e: (e["key"] != "") & is_setting_header(e["key"])
+    )
     placed = computed_once(
-        with_header.withColumns({f"__{role}": place(*rule) for role, rule in TABLE_ROLES.items()})
+        with_header.withColumns({**{f"__{role}": place(*rule) for role, rule in TABLE_ROLES.items()}, "__settings": headed})
     ).where(F.col("__date") > 0)
     body = placed.withColumn("line", F.explode(F.slice("lines", 2, F.size("lines")))).withColumn(
         "cells", F.split("line", F.col("delimiter"))
@@ -378,22 +389,19 @@ def table_records(files: DataFrame, keys: Sequence[str], text: str = "text") ->
         if role != "date":
             n = safe_number(cell(role))
             numbers[role] = norm_pressure(n) if role in PRESSURE_PATTERNS else n
-    zipped = F.arrays_zip(F.col("header").alias("k"), F.transform("cells", strip).alias("v"))
-    wanted = F.filter(
-        zipped, lambda e: e["k"].isNotNull() & (e["k"] != "") & (F.coalesce(e["v"], F.lit("")) != "") & is_setting_header(e["k"])
-    )
+    read = F.transform("__settings", lambda e: F.struct(e["key"].alias("key"), strip(F.try_element_at("cells", e["at"])).alias("value")))
     return (
         computed_once(
             body.select(
                 *keys, parse_datetime(F.coalesce(cell("date"), F.lit(""))).alias("date"), *[v.alias(k) for k, v in numbers.items()],
-                F.transform(wanted, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))).alias("settings"),
+                F.filter(read, lambda e: F.coalesce(e["value"], F.lit("")) != "").alias("settings"),
             )
         ).where("date IS NOT NULL")
     )
 
 
+# Metric patterns of free-text lines, and the number behind a name.
 _NUM = r"\D*(-?\d+(?:\.\d+)?)"
-# Metric patterns of free-text lines.
 LINE_METRICS = {
     "usage_hours": r"(?i)(?:usage|therapy\s*hours|hours)" + _NUM,
     "ahi": r"(?i)ahi" + _NUM,

@@ -126,3 +126,21 @@ def test_fuzzy_sessions_against_brute_force(spark):
                 kept.append((s, e))
         want += [(card, s, e) for s, e in kept]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_fuzzy_sessions_of_a_long_chain(spark):
+    """Starts that never pause for two minutes over nine hours, so that what is kept depends on hours before."""
+    rng, rows, at = random.Random(11), [], 1_700_000_000
+    while at < 1_700_000_000 + 9 * 3600:
+        rows.append((1, at, at + 4000))
+        rows.append((2, at, at + rng.choice([3600, 3660, 3700, 9000])))
+        at += rng.choice([60, 61, 90, 119])
+    sessions = spark.createDataFrame(rows, "card_id long, s long, e long").select(
+        "card_id", F.timestamp_seconds("s").alias("start_ts"), F.timestamp_seconds("e").alias("end_ts")
+    )
+    got = fuzzy_distinct_sessions(sessions).select("card_id", F.unix_timestamp("start_ts"), F.unix_timestamp("end_ts"))
+    kept = []
+    for row in sorted(set(rows)):
+        if not any(k[0] == row[0] and abs(k[1] - row[1]) <= 120 and abs(k[2] - row[2]) <= 120 for k in kept):
+            kept.append(row)
+    assert sorted(map(tuple, got.collect())) == sorted(kept)
