@@ -216,7 +216,8 @@ def _in_batches(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
 
 
 def _row_hash(texts: list) -> pa.Array:
-    return pa.array([xxhash.xxh32_intdigest((t or "").encode()) for t in texts], type=pa.int64())
+    """64 bits of each text, which beside its ``doc_id`` tell a row: only rows of one id (or none) could be mistaken."""
+    return pa.array(np.array([xxhash.xxh3_64_intdigest((t or "").encode()) for t in texts], dtype=np.uint64).view(np.int64))
 
 
 def _places(docs: DataFrame, window: int, rounds: int) -> DataFrame:
