@@ -8,11 +8,12 @@ only near their ends. For each symbol the rounds carry the stretch of words that
 stretch has the symbol at the same place.
 
 A window of ``window`` words can only repeat if every symbol settled inside it occurs twice. Spark counts the symbols
-(with the words of their settling stretch) over the whole table, and those met once come back to their document and
-strike out all windows around them. Each window must hold a symbol: where the highest round has none short enough, the
+(with the words of their settling stretch) over the whole table, and those met once come back to the list of their
+document's symbols and strike out all windows around them; only numbers move for that, no texts. Each window must hold a symbol: where the highest round has none short enough, the
 next lower round's symbols are counted too. What is left are the windows whose symbols are all shared. They are
 verified: 128 bits of the window's words are counted over the table, and windows met twice or more cover the words that
-are removed. Counting keeps one place per key, so a frequent passage is combined before it moves.
+are removed. The texts are shuffled once, to meet the windows left in them; the second join finds them where they lie.
+Counting keeps one place per key, so a frequent passage is combined before it moves.
 
 Defined cases: a NULL or wordless text has no words and the kept text ""; texts shorter than a window keep all; rows
 repeated in ``doc_id`` and text are separate occurrences (and so remove each other's windows); a NULL ``doc_id`` is an id
@@ -166,20 +167,39 @@ def held(left: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(left, minlength=n + 1)[:n] - np.bincount(stop, minlength=n + 1)[:n]) > 0
 
 
-def survivors(laid: Laid, lone: list, window: int, rounds: int) -> np.ndarray:
-    """Starts of the windows that hold no symbol met once. ``lone``: for each text, low << 32 | length << 8 | round.
+def survivors(sizes: np.ndarray, places: list, lone: list, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows that hold no symbol met once, and where each text starts, texts laid as in :class:`Laid`.
 
-    A symbol strikes out only windows that its own round settles: elsewhere its twin may not have been counted.
+    ``sizes`` are the texts' numbers of words; ``places`` their symbols and ``lone`` those met once, as
+    low << 32 | length << 8 | round. A symbol strikes out only windows that its own round settles: elsewhere its twin may
+    not have been counted.
     """
-    n = len(laid.walls)
-    found = [np.asarray(x, dtype=np.int64) + (s << 32) for x, s in zip(lone, laid.starts.tolist(), strict=True) if x is not None and len(x)]
+    starts = np.cumsum(sizes + 1) - sizes
+    n = int(sizes.sum() + len(sizes) + 1)
+    walls = np.zeros(n, dtype=bool)
+    walls[0] = True
+    walls[starts + sizes] = True
+    free = Laid([], walls, starts, walls).windows(window)
+    alive = free.copy()
+    every, struck = (_laid(x, starts) for x in (places, lone))
+    for level in sorted(set((every[2]).tolist()), reverse=True):
+        alive &= ~(free & _over(struck, level, window, n))
+        free &= ~_over(every, level, window, n)
+    return np.flatnonzero(alive), starts
+
+
+def _laid(places: list, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Low, length and round of the symbols of all texts, at their places in the laid-out array."""
+    found = [np.asarray(x, dtype=np.int64) + (s << 32) for x, s in zip(places, starts.tolist(), strict=True) if x is not None and len(x)]
     every = np.concatenate([np.zeros(0, np.int64), *found])
-    low, length, of_level = every >> 32, (every >> 8) & 0xFFFFFF, every & 0xFF
-    alive = laid.windows(window)
-    for level, free, *_ in levels(laid, window, rounds):
-        mine = of_level == level
-        alive &= ~(free & held(np.maximum(low[mine] + length[mine] - window, 0), low[mine] + 1, n))
-    return np.flatnonzero(alive)
+    return every >> 32, (every >> 8) & 0xFFFFFF, every & 0xFF
+
+
+def _over(symbols: tuple[np.ndarray, np.ndarray, np.ndarray], level: int, window: int, n: int) -> np.ndarray:
+    """The windows that hold a symbol of a round."""
+    low, length, of_level = symbols
+    mine = of_level == level
+    return held(np.maximum(low[mine] + length[mine] - window, 0), low[mine] + 1, n)
 
 
 def ranges(places: np.ndarray) -> np.ndarray:
@@ -215,11 +235,6 @@ def _in_batches(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
         yield whole.slice(at, BATCH)
 
 
-def _row_hash(texts: list) -> pa.Array:
-    """64 bits of each text, which beside its ``doc_id`` tell a row: only rows of one id (or none) could be mistaken."""
-    return pa.array(np.array([xxhash.xxh3_64_intdigest((t or "").encode()) for t in texts], dtype=np.uint64).view(np.int64))
-
-
 def _places(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _portions(batches):
@@ -228,7 +243,7 @@ def _places(docs: DataFrame, window: int, rounds: int) -> DataFrame:
             which = laid.text_of(low)
             own = laid.starts[which]
             yield from _in_batches(
-                [keys.view(np.int64), b.column("doc_id").take(pa.array(which)), _row_hash(texts).take(pa.array(which)), (low - own) << 32 | form],
+                [keys.view(np.int64), b.column("doc_id").take(pa.array(which)), b.column("row").take(pa.array(which)), (low - own) << 32 | form],
                 ["key", "doc_id", "row", "place"],
             )
 
@@ -257,42 +272,62 @@ def _met_once(places: DataFrame, keys: list[str]) -> DataFrame:
     return once.where("n = 1").groupBy("doc_id", "row").agg(F.collect_list("place").alias("lone"))
 
 
-def _with(docs: DataFrame, lone: DataFrame, name: str) -> DataFrame:
-    lone = lone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("lone").alias(name))
-    return docs.join(lone, docs["doc_id"].eqNullSafe(lone["__id"]) & (docs["row"] == lone["__row"]), "left").drop("__id", "__row")
-
-
-def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([b.column("doc_id"), _row_hash(b.column("text").to_pylist()), b.column("text")], names=["doc_id", "row", "text"])
+def _with(docs: DataFrame, found: DataFrame, name: str, how: str = "left") -> DataFrame:
+    """``docs`` with the last column of ``found``, which has each row once, as ``name``."""
+    found = found.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col(found.columns[-1]).alias(name))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (docs["row"] == found["__row"]), how).drop("__id", "__row")
 
 
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _judge(window: int, rounds: int):
-    """Texts without surviving windows leave here with their result; the others go on with text and surviving ranges."""
+def _facts(docs: DataFrame, window: int, rounds: int) -> DataFrame:
+    """What a document's windows are judged by: its number of words, its digest, and the places of its symbols."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _portions(batches):
             laid = Laid.of(texts)
-            left = survivors(laid, b.column("lone").to_pylist(), window, rounds)
-            cuts = np.searchsorted(left, np.concatenate((laid.starts, [len(laid.walls)])))
-            alive = [ranges(left[i:j] - s) if j > i else None for i, j, s in zip(cuts[:-1], cuts[1:], laid.starts, strict=True)]
+            _, low, form = anchors(laid, window, rounds)
+            which = laid.text_of(low)
+            order = np.argsort(which, kind="stable")
+            places = ((low - laid.starts[which]) << 32 | form)[order]
+            cuts = np.searchsorted(which[order], np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.record_batch(
                 [
                     b.column("doc_id"), b.column("row"), pa.array([len(w) for w in laid.words], type=pa.int64()),
-                    pa.array([_sha(w) if x is None else None for x, w in zip(alive, laid.words, strict=True)], type=pa.string()),
-                    pa.array([None if x is None else t for x, t in zip(alive, texts, strict=True)], type=pa.string()),
-                    pa.array(alive, type=pa.list_(pa.int64())),
+                    pa.array([_sha(w) for w in laid.words], type=pa.string()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(places, type=pa.int64())),
                 ],
-                names=["doc_id", "row", "n_words", "kept_sha256", "text", "alive"],
+                names=["doc_id", "row", "n_words", "kept_sha256", "places"],
             )
 
+    return docs.mapInArrow(of, "doc_id long, row long, n_words long, kept_sha256 string, places array<long>")
+
+
+def _judge(window: int):
+    """Each document with the ranges of its surviving windows, NULL where none survives."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.asarray(b.column("n_words"), dtype=np.int64)
+            for part in _by_words(sizes):
+                some = b.slice(part.start, part.stop - part.start)
+                left, starts = survivors(sizes[part], some.column("places").to_numpy(zero_copy_only=False), some.column("lone").to_numpy(zero_copy_only=False), window)
+                cuts = np.searchsorted(left, np.append(starts, starts[-1] + sizes[part][-1] + 1))
+                alive = [ranges(left[i:j] - s) if j > i else None for i, j, s in zip(cuts[:-1], cuts[1:], starts, strict=True)]
+                columns = [some.column(c) for c in ("doc_id", "row", "n_words", "kept_sha256")]
+                yield pa.record_batch([*columns, pa.array(alive, type=pa.list_(pa.int64()))], names=["doc_id", "row", "n_words", "kept_sha256", "alive"])
+
     return of
 
 
+def _by_words(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of texts with about ``PORTION`` words together."""
+    slot = np.cumsum(sizes + 1) // PORTION
+    cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(sizes)]
+    return (slice(i, j) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
+
+
 def _cut(window: int):
     span = pa.struct([("from", pa.int64()), ("to", pa.int64())])
 
@@ -319,7 +354,7 @@ def _cut(window: int):
     return of
 
 
-JUDGED = "doc_id long, row long, n_words long, kept_sha256 string, text string, alive array<long>"
+JUDGED = "doc_id long, row long, n_words long, kept_sha256 string, alive array<long>"
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<from:long,to:long>>, kept_text string, kept_sha256 string"
 
 
@@ -329,14 +364,16 @@ def kept_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> D
     ``kept_text`` is NULL where nothing is removed; the text itself is kept then. ``kept_sha256`` is that of the kept
     words joined by one space, in either case.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a row is known by its id and 64 bits of its text, so only rows of one id (or none) could ever be mistaken
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
     lone = _met_once(_places(docs, window, rounds), ["key"])
-    tagged = docs.mapInArrow(_tag, "doc_id long, row long, text string")
-    judged = kept(_with(tagged, lone, "lone").mapInArrow(_judge(window, rounds), JUDGED), "judged")
-    suspects = judged.where("kept_sha256 is null").select("doc_id", "row", "text", "alive")
-    single = _met_once(_windows(suspects, window), ["key", "key2"])
-    cleaned = _with(suspects, single, "single").drop("row").mapInArrow(_cut(window), RESULT)
-    whole = judged.where("kept_sha256 is not null").select(
+    judged = kept(_with(_facts(docs, window, rounds), lone, "lone").mapInArrow(_judge(window), JUDGED), "judged")
+    # rows repeated in id and text have the same windows
+    suspects = judged.where("alive is not null").select("doc_id", "row", "alive").dropDuplicates(["doc_id", "row"])
+    texts = _with(docs, suspects, "alive", "inner")
+    single = _met_once(_windows(texts, window), ["key", "key2"])
+    cleaned = _with(texts, single, "single").drop("row").mapInArrow(_cut(window), RESULT)
+    whole = judged.where("alive is null").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<from:long,to:long>>").alias("removed"),
         F.lit(None).cast("string").alias("kept_text"), "kept_sha256",
     )

@@ -248,7 +248,10 @@ def test_recompression_never_loses_a_repeat():
         keys, low, form = substring_dedup.anchors(laid, window, rounds)
         times, own = Counter(keys.tolist()), laid.text_of(low)
         lone = [[(int(a - laid.starts[i]) << 32) | int(f) for k, a, f, t in zip(keys.tolist(), low, form, own, strict=True) if t == i and times[k] == 1] for i in range(len(texts))]
-        alive = set(substring_dedup.survivors(laid, lone, window, rounds).tolist())
+        places = [[(int(a - laid.starts[i]) << 32) | int(f) for a, f, t in zip(low, form, own, strict=True) if t == i] for i in range(len(texts))]
+        left, starts = substring_dedup.survivors(np.array([len(w) for w in laid.words]), places, lone, window)
+        alive = set(left.tolist())
+        assert starts.tolist() == laid.starts.tolist()
         counts = Counter(tuple(laid.words[i][j : j + window]) for i in range(len(texts)) for j in range(len(laid.words[i]) - window + 1))
         for i, s in enumerate(laid.starts.tolist()):
             for j in range(len(laid.words[i]) - window + 1):
