@@ -103,7 +103,8 @@ def parse_counter_kv(spark, sf):
     return t.counter_records(maps).select("file_id", "usage_hours", "ahi", "residual_apneas", "leak", "leak_95", "settings_signature", "settings_label")
 
 
-def table_text():
+def table_text(second=True):
+    """A daily table of two rows, or of the first alone where ``second`` does not hold, and a row without a date."""
     k = F.col("k")
     tab = F.when(k % 2 == 0, F.lit("\t")).otherwise(F.lit(","))
 
@@ -117,7 +118,7 @@ def table_text():
     tab_marker = "\u0001"
     head = F.lit("AHI\u0001Clinical Day\u0001Usage Hours\u0001Leak\u0001Max Leak\u0001Mode\u0001Min-Pressure")
     bad = F.concat_ws(tab_marker, F.lit("1"), F.lit("n/a"), F.lit("2"), F.lit("3"), F.lit("4"), F.lit("CPAP"), F.lit("5"))
-    return F.replace(F.concat_ws("\n", head, row(0), bad, F.lit(""), row(1)), F.lit(tab_marker), tab)
+    return F.replace(F.concat_ws("\n", head, row(0), bad, F.lit(""), F.when(F.lit(second) if isinstance(second, bool) else second, row(1))), F.lit(tab_marker), tab)
 
 
 _TABLE_ROWS = """
@@ -200,9 +201,9 @@ def decode_text(spark, sf):
     return read.select("doc_id", "variant", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-@query("best_variant", "SELECT o_orderkey AS file_id, CAST(2 AS BIGINT) AS n_records FROM orders")
+@query("best_variant", "SELECT o_orderkey AS file_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n_records FROM orders")
 def best_variant(spark, sf):
-    text = table_text()
+    text = table_text(F.col("k") % 3 > 0)
     content = F.when(F.col("k") % 2 == 0, F.encode(text, "UTF-16LE")).otherwise(F.encode(text, "UTF-8"))
     files = orders(spark, sf).select("file_id", content.alias("content"))
     readings = t.decode_variants(files)
