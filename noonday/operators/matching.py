@@ -160,19 +160,23 @@ def _spans(out: list[tuple], batch: pa.RecordBatch, columns: Sequence[str]) -> p
     return pa.record_batch([pa.array(v, batch.schema.field(n).type) for n, v in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
 
-def slice_spans(slices: DataFrame, keys: Sequence[str], record_size: int = 1) -> DataFrame:
-    """``keys``, ``level``, ``from_offset``, ``to_offset``, ``slice_no``: disjoint spans of each level, owned by the first slice.
-
-    ``from_offset`` is floored to the record size.  The level is that of the slice's chunk size, so a slice lies in at most two
-    chunks and is at most two rows, however long it is.
-    """
+def _leveled(slices: DataFrame, keys: Sequence[str], record_size: int) -> DataFrame:
+    """Slices that hold an offset, ``from_offset`` floored to the record size, with the level and chunk size of their length."""
     start = (F.floor(F.col("from_offset") / record_size) * record_size).cast("bigint")
     named = slices.select(*keys, start.alias("from_offset"), F.col("to_offset").cast("bigint"), F.col("slice_no").cast("bigint")).where("to_offset > from_offset")
-    # equal slices fold before anything is ordered
-    first = named.groupBy(*keys, "from_offset", "to_offset").agg(F.min("slice_no").alias("slice_no"))
     length = F.col("to_offset") - F.col("from_offset")
     fits = [F.when(length <= size, F.struct(F.lit(n).alias("level"), F.lit(size).alias("size"))) for n, size in enumerate(CHUNK_SIZES)]
-    sized = first.withColumn("fit", F.coalesce(*fits)).withColumn("chunk", F.explode(F.sequence(F.expr("from_offset div fit.size"), F.expr("(to_offset - 1) div fit.size"))))
+    return named.withColumn("fit", F.coalesce(*fits))
+
+
+def slice_spans(slices: DataFrame, keys: Sequence[str], record_size: int = 1) -> DataFrame:
+    """``keys``, ``level``, ``from_offset``, ``to_offset``, ``slice_no``: disjoint spans of each level, owned by the first slice.
+
+    The level is that of the slice's chunk size, so a slice lies in at most two chunks and is at most two rows, however
+    long it is.
+    """
+    chunks = F.sequence(F.expr("from_offset div fit.size"), F.expr("(to_offset - 1) div fit.size"))
+    sized = _leveled(slices, keys, record_size).withColumn("chunk", F.explode(chunks))
     cut = sized.select(
         *keys, "fit.level", "chunk", F.greatest("from_offset", F.col("chunk") * F.col("fit.size")).alias("from_offset"),
         # written so that the end of the last chunk cannot overflow
@@ -192,7 +196,8 @@ def assign_to_slices(
     a record looks back to the last span of each level.  A record is one row from end to end.
     """
     spans = slice_spans(slices, keys, record_size)
-    levels = range(len(CHUNK_SIZES))
+    # the levels in use, at most one for each chunk size
+    levels = sorted(r["level"] for r in _leveled(slices, keys, record_size).select("fit.level").distinct().collect())
     none = F.lit(None).cast("struct<until:bigint,slice_no:bigint>")
     own = F.struct(F.col("to_offset").alias("until"), "slice_no")
     owners = spans.select(
@@ -201,10 +206,10 @@ def assign_to_slices(
     )
     points = records.select(*keys, F.col("offset").cast("bigint").alias("__at"), F.lit(1).alias("__side"), record_id, *[none.alias(f"__level{n}") for n in levels])
     track = by_block(keys, ["__at", "__side"], CHUNK_SIZES[0])
-    carried = running(owners.unionByName(points), track, {f"__own{n}": ("last", f"__level{n}") for n in levels})
-    of_level = [F.when(F.col("__at") < F.col(f"__own{n}.until"), F.col(f"__own{n}.slice_no")) for n in levels]
-    found = carried.where("__side = 1").select(*keys, record_id, F.least(*of_level).alias("slice_no")).where("slice_no IS NOT NULL")
-    return found.groupBy(*keys, record_id).agg(F.min("slice_no").alias("slice_no"))
+    carried = running(owners.unionByName(points), track, {f"__own{n}": ("last", f"__level{n}") for n in levels}).where("__side = 1")
+    of_level = [F.when(F.col("__at") < F.col(f"__own{n}.until"), F.col(f"__own{n}.slice_no")) for n in levels] or [F.lit(None).cast("bigint")]
+    first = of_level[0] if len(of_level) == 1 else F.least(*of_level)
+    return carried.select(*keys, record_id, first.alias("slice_no")).where("slice_no IS NOT NULL")
 
 
 def assign_to_nearest_day(points: DataFrame, days: DataFrame, point_id: str) -> DataFrame:
