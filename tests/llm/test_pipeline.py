@@ -22,6 +22,9 @@ SHAPES = {
     8: "doc_id bigint size bigint source_size bigint target double taken bigint",
     9: "doc_id bigint keep_id bigint group_size bigint kept boolean text_sha256 string",
     10: "query_id bigint rank int vec_id bigint score double",
+    11: "word string n bigint form string form_n bigint root string n_near bigint",
+    12: "anchor_id bigint positive_id bigint rank int negative_id bigint positive_score bigint negative_score bigint",
+    13: "doc_id bigint piece int start bigint length bigint ids_crc32 bigint sequence_id bigint offset bigint",
 }
 
 
