@@ -96,7 +96,10 @@ def summarize_sessions(
         .join(episodes, list(keys), "left")
         .drop("__last")
     )
-    return out.join(channel_stats(samples, keys, channels), list(keys), "left") if channels else out
+    if not channels:
+        return out
+    # a file without any sample in range of a channel has none of them, not an unknown number
+    return out.join(channel_stats(samples, keys, channels), list(keys), "left").fillna(0, [f"{n}_samples" for n in channels])
 
 
 def summarize_days(
