@@ -185,14 +185,17 @@ def minimum_settings(given: Callable[[str], Column], bilevel: Column, differ: Co
 
 
 def setting_flags(metrics: DataFrame) -> dict[str, Column]:
-    """Whether measured values lie below the settings that ``metrics`` tells (the columns of :func:`setting_rows`)."""
+    """Whether measured values lie below the settings that ``metrics`` tells (the columns of :func:`setting_rows`).
+
+    As in the rows of a report, the two pressures are held against them for bilevel devices only, the single one for the others.
+    """
     c = F.col
     bilevel = F.coalesce(c("mode").isin(*BILEVEL), F.lit(False))
     differ = F.array_contains("warnings", BOUNDS_DIFFER) if "warnings" in metrics.columns else F.lit(False)
     setting = minimum_settings(c, bilevel, differ)
     return {
         "rate_low": rate_is_low(c("rr_min"), c("mode"), c("device"), c("respiratory_rate")),
-        **{f"{n}_low": pressure_is_low(c(f"{n}_mean"), setting[n]) for n in PRESSURE_NAMES},
+        **{f"{n}_low": (~bilevel if n == "pressure" else bilevel) & pressure_is_low(c(f"{n}_mean"), setting[n]) for n in PRESSURE_NAMES},
         "volume_low": volume_is_low(c("vt_mean"), volume_setting(c("tidal_volume"))),
     }
 
