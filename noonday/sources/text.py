@@ -353,14 +353,31 @@ def table_records(files: DataFrame, keys: Sequence[str], text: str = "text") ->
 
     Settings columns are gathered into a map.  The header stays in the row while its lines are exploded: no join.
     """
-    lines = F.filter(F.split(_c(text), r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
+    headed = _headed(files.select(*keys, _table_lines(text).alias("lines")).where(F.size("lines") >= 2)).where(F.col("__date") > 0)
+    body = headed.withColumn("line", F.explode(F.slice("lines", 2, F.size("lines")))).withColumn(
+        "cells", F.split("line", F.col("delimiter"))
+    )
+    read = F.transform("__settings", lambda e: F.struct(e["key"].alias("key"), strip(F.try_element_at("cells", e["at"])).alias("value")))
+    return (
+        computed_once(
+            body.select(
+                *keys, parse_datetime(F.coalesce(_cell("date"), F.lit(""))).alias("date"), *[c.alias(n) for n, c in _table_metrics().items()],
+                F.filter(read, lambda e: F.coalesce(e["value"], F.lit("")) != "").alias("settings"),
+            )
+        ).where("date IS NOT NULL")
+    )
+
+
+def _table_lines(text: Column | str) -> Column:
+    return F.filter(F.split(_c(text), r"\r?\n"), lambda x: F.length(F.trim(x)) > 0)
+
+
+def _headed(files: DataFrame) -> DataFrame:
+    """Files with ``lines`` and what their first line tells: delimiter, place of each role, settings columns."""
     first = F.try_element_at("lines", F.lit(1))
     delimiter = F.when(F.contains(first, F.lit("\t")), "\t").otherwise(",")
-    with_header = (
-        files.select(*keys, lines.alias("lines"))
-        .where(F.size("lines") >= 2)
-        .withColumn("delimiter", delimiter)
-        .withColumn("header", F.transform(F.split(first, F.col("delimiter")), lambda h: F.lower(strip(h))))
+    with_header = files.withColumn("delimiter", delimiter).withColumn(
+        "header", F.transform(F.split(first, F.col("delimiter")), lambda h: F.lower(strip(h)))
     )
 
     def place(pattern: str, avoid: str | None) -> Column:
@@ -373,31 +390,20 @@ def table_records(files: DataFrame, keys: Sequence[str], text: str = "text") ->
     headed = F.filter(
         F.transform("header", lambda h, i: F.struct((i + 1).alias("at"), h.alias("key"))), lambda e: (e["key"] != "") & is_setting_header(e["key"])
     )
-    placed = computed_once(
+    return computed_once(
         with_header.withColumns({**{f"__{role}": place(*rule) for role, rule in TABLE_ROLES.items()}, "__settings": headed})
-    ).where(F.col("__date") > 0)
-    body = placed.withColumn("line", F.explode(F.slice("lines", 2, F.size("lines")))).withColumn(
-        "cells", F.split("line", F.col("delimiter"))
     )
 
-    def cell(role: str) -> Column:
-        at = F.col(f"__{role}")
-        return F.when(at > 0, F.try_element_at("cells", F.greatest(at, F.lit(1))))
 
-    numbers = {}
-    for role in TABLE_ROLES:
-        if role != "date":
-            n = safe_number(cell(role))
-            numbers[role] = norm_pressure(n) if role in PRESSURE_PATTERNS else n
-    read = F.transform("__settings", lambda e: F.struct(e["key"].alias("key"), strip(F.try_element_at("cells", e["at"])).alias("value")))
-    return (
-        computed_once(
-            body.select(
-                *keys, parse_datetime(F.coalesce(cell("date"), F.lit(""))).alias("date"), *[v.alias(k) for k, v in numbers.items()],
-                F.filter(read, lambda e: F.coalesce(e["value"], F.lit("")) != "").alias("settings"),
-            )
-        ).where("date IS NOT NULL")
-    )
+def _cell(role: str) -> Column:
+    at = F.col(f"__{role}")
+    return F.when(at > 0, F.try_element_at("cells", F.greatest(at, F.lit(1))))
+
+
+def _table_metrics() -> dict[str, Column]:
+    """Number in each role's cell of a line, by role."""
+    numbers = {role: safe_number(_cell(role)) for role in TABLE_ROLES if role != "date"}
+    return {role: norm_pressure(n) if role in PRESSURE_PATTERNS else n for role, n in numbers.items()}
 
 
 # Metric patterns of free-text lines, and the number behind a name.
@@ -422,23 +428,48 @@ LINE_METRICS = {
 def line_records(files: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """One record per line that carries a date; metrics by pattern."""
     lines = files.select(*keys, F.explode(F.split(_c(text), r"\r?\n")).alias("line")).withColumn("line", strip("line"))
-
-    def metric(name: str) -> Column:
-        n = F.regexp_extract("line", LINE_METRICS[name], 1).try_cast("double")
-        return norm_pressure(n) if name in PRESSURE_PATTERNS else n
-
     return (
         computed_once(lines.where("line <> ''").withColumn("date", parse_datetime("line")))
         .where("date IS NOT NULL")
-        .select(*keys, "date", *[metric(m).alias(m) for m in LINE_METRICS])
+        .select(*keys, "date", *[c.alias(m) for m, c in _line_metrics().items()])
     )
 
 
+def _line_metrics() -> dict[str, Column]:
+    """Number behind each metric's name in a line, by metric."""
+    numbers = {m: F.regexp_extract("line", pattern, 1).try_cast("double") for m, pattern in LINE_METRICS.items()}
+    return {m: norm_pressure(n) if m in PRESSURE_PATTERNS else n for m, n in numbers.items()}
+
+
+# Fixed value: what every date of parse_datetime has, a sign between two digits.
+DATE_SIGN = r"\d[-/]\d"
+
+
 def any_records(files: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Table rows, or free-text records for the files that are no table."""
-    tables = table_records(files, keys, text).drop("settings")
-    others = files.join(tables.select(*keys).distinct(), list(keys), "left_anti")
-    return tables.unionByName(line_records(others, keys, text))
+    """Table rows, or free-text records for the files that are no table.
+
+    A file is a table where a line below its header has a date in the date's column; that is told inside the row, up to the
+    first such line, so every text is read in one pass and nothing is joined.
+    """
+    # a reading in the wrong charset may have a line for each character: only texts and lines that can hold a date are taken apart
+    dateable = files.where(F.col(text).rlike(DATE_SIGN)).select(*keys, F.col(text).alias("__text"), _table_lines(text).alias("lines"))
+    headed = _headed(dateable)
+    at = F.col("__date")
+    dated = F.exists(
+        F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))),
+        lambda x: parse_datetime(F.coalesce(F.try_element_at(F.split(x, F.col("delimiter")), at), F.lit(""))).isNotNull(),
+    )
+    told = headed.withColumn("__table", F.coalesce(F.when((at > 0) & (F.size("lines") >= 2), dated), F.lit(False)))
+    free = F.filter(F.split("__text", r"\r?\n"), lambda x: x.rlike(DATE_SIGN))
+    table = F.col("__table")
+    places = [f"__{role}" for role in TABLE_ROLES]
+    body = told.select(
+        *keys, "__table", *places, "delimiter", F.explode(F.when(table, F.slice("lines", 2, F.size("lines"))).otherwise(free)).alias("line")
+    ).withColumn("line", F.when(table, F.col("line")).otherwise(strip("line"))).withColumn("cells", F.when(table, F.split("line", F.col("delimiter"))))
+    day = parse_datetime(F.when(table, F.coalesce(_cell("date"), F.lit(""))).otherwise(F.col("line")))
+    cells, words = _table_metrics(), _line_metrics()
+    rows = computed_once(body.withColumn("date", day)).where("date IS NOT NULL")
+    return rows.select(*keys, "date", *[F.when(table, cells[m]).otherwise(words[m]).alias(m) for m in LINE_METRICS])
 
 
 # --- JSON settings ---------------------------------------------------------------------------------------------
