@@ -10,16 +10,23 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def matched_number(text: Column, pattern: str) -> Column:
+    """First number that group 1 of a pattern finds in a text, NULL without one.
+
+    A match that is not there is NULL, not an empty text: the cast of an empty text costs a Java exception.
+    """
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), 1), F.lit(0)).try_cast("double")
+
+
 def safe_number(text: Column | str) -> Column:
     """Leading number of a text after commas are taken out; NULL if it does not start with one."""
-    bare = F.trim(F.regexp_replace(_col(text), ",", ""))
-    return F.regexp_extract(bare, r"^([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1).try_cast("double")
+    bare = F.trim(F.replace(_col(text), F.lit(","), F.lit("")))
+    return matched_number(bare, r"^([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)")
 
 
 def first_number(text: Column | str) -> Column:
     """Leading number, else the first number anywhere in the text."""
-    inside = F.regexp_extract(_col(text), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
-    return F.coalesce(safe_number(text), inside)
+    return F.coalesce(safe_number(text), setting_number(text))
 
 
 def norm_pressure(value: Column | str) -> Column:
@@ -100,7 +107,7 @@ def pressure_setting_text(raw: Column | str) -> Column:
 
 def setting_number(text: Column | str) -> Column:
     """First number of a settings text."""
-    return F.regexp_extract(_col(text), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+    return matched_number(_col(text), r"(-?\d+(?:\.\d+)?)")
 
 
 def setting_range(text: Column | str) -> tuple[Column, Column]:

@@ -12,7 +12,7 @@ from noonday.functions.modes import (
 )
 from noonday.functions.plan import computed_once
 from noonday.functions.numbers import (
-    first_number, norm_pressure, pressure_setting_text, pressure_text, ramp_time_text, safe_number, tidal_volume_text, trimmed,
+    RANGE_TEXT, norm_pressure, pressure_text, ramp_time_text, safe_number, setting_number, tidal_volume_text, trimmed,
 )
 
 OFF_WORDS = r"(?i)^(?:off|disabled|false|no|0)$"
@@ -26,8 +26,7 @@ def _c(c: Column | str) -> Column:
 def clean_setting(value: Column | str) -> Column:
     """Trimmed text with one spelling of the pressure unit; NULL when empty."""
     text = F.regexp_replace(F.trim(_c(value)), r"(?i)\s*\(\s*cmh?2o\s*\)\s*$", " cmH2O")
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(text != "", text)
+    return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
 def signature_text(value: Column) -> Column:
@@ -48,8 +47,16 @@ def settings_snapshot(
     Rate, volume and relief are left out on purpose: only a change of pressure or mode opens a new settings period.
     """
     m, lo, hi, e, i = (clean_setting(c) for c in (mode, pressure_min, pressure_max, epap, ipap))
-    fixed = F.trim(F.regexp_replace(clean_setting(pressure), r"(?i)^fixed\s+", ""))
-    p = F.when(fixed != "", fixed)
+    return _snapshot_of(m, _unfixed(clean_setting(pressure)), lo, hi, e, i)
+
+
+def _unfixed(pressure: Column) -> Column:
+    """A cleaned pressure text without the word "fixed"; NULL when nothing else is there."""
+    return F.nullif(F.trim(F.regexp_replace(pressure, r"(?i)^fixed\s+", "")), F.lit(""))
+
+
+def _snapshot_of(m: Column, p: Column, lo: Column, hi: Column, e: Column, i: Column) -> Column:
+    """Snapshot of cleaned texts: mode, pressure, its range, EPAP and IPAP."""
     named = (("mode", m), ("pressure", p), ("pressureMin", lo), ("pressureMax", hi), ("epap", e), ("ipap", i))
     parts = F.array_compact(F.array(*[F.concat(F.lit(f"{k}:"), signature_text(v)) for k, v in named]))
     range_text = joined_range(lo, hi)
@@ -68,7 +75,7 @@ def settings_snapshot(
     return F.when(
         F.size(parts) > 0,
         F.struct(
-            F.concat_ws("|", F.array_sort(parts)).alias("signature"), label.alias("label"), machine.alias("machine")
+            F.concat_ws("|", F.sort_array(parts)).alias("signature"), label.alias("label"), machine.alias("machine")
         ),
     )
 
@@ -85,12 +92,16 @@ def read_alias(exact: Column | str, compact: Column | str, aliases: Sequence[str
 
     The maps hold (value, number) structs.
     """
+    return _alias_entry(exact, compact, aliases)["value"]
+
+
+def _alias_entry(exact: Column | str, compact: Column | str, aliases: Sequence[str]) -> Column:
     squeeze = str.maketrans("", "", " _-\t")
     reads = []
     for alias in aliases:
         reads.append(F.try_element_at(_c(exact), F.lit(alias)))
         reads.append(F.try_element_at(_c(compact), F.lit(alias.lower().translate(squeeze))))
-    return F.coalesce(*reads)["value"]
+    return F.coalesce(*reads)
 
 
 # Keys under which settings files name a setting, in order of preference.
@@ -124,9 +135,12 @@ RELIEF_PATTERN = r"\b(?:epr|ipr|flex|exhale)\b"
 
 def read_pattern(entries: Column | str, compact: Column | str, patterns: Sequence[str]) -> Column:
     """Value of the first key, in file order, that fits any of the patterns; equal squeezed keys have one value, the last."""
-    keys = F.transform(_c(entries), lambda e: compact_key(e["key"]))
-    first = F.try_element_at(F.filter(keys, lambda k: k.rlike("|".join(f"(?:{p})" for p in patterns))), F.lit(1))
-    return F.try_element_at(_c(compact), first)["value"]
+    return _pattern_entry(entries, compact, patterns)["value"]
+
+
+def _pattern_entry(entries: Column | str, compact: Column | str, patterns: Sequence[str]) -> Column:
+    hits = F.filter(_c(entries), lambda e: e["compact"].rlike("|".join(f"(?:{p})" for p in patterns)))
+    return F.try_element_at(_c(compact), F.try_element_at(hits, F.lit(1))["compact"])
 
 
 # Mode names by the number in a settings file.
@@ -135,35 +149,78 @@ VENT_MODES = {
 }
 
 
-def raw_settings(exact: Column | str, compact: Column | str, entries: Column | str | None = None) -> dict[str, Column]:
-    """The text that a key-value map has for each setting: by its aliases first, then by its patterns in file order."""
+# The raw fields that each settings text is made of; fields that hold pressures, and the daily record's settings.
+RAW_FIELDS = {
+    "mode": ("vent_mode", "mode"), "pressure": ("pressure",), "pressure_min": ("pressure_min",), "pressure_max": ("pressure_max",),
+    "epap": ("epap", "epap_min", "epap_max"), "ipap": ("ipap", "ipap_min", "ipap_max"), "respiratory_rate": ("rate",),
+    "tidal_volume": ("volume",), "pressure_relief": ("support", "relief"), "ramp_time": ("ramp_time",),
+    "ramp_pressure": ("ramp_pressure", "ramp_time"),
+}
+PRESSURE_FIELDS = ("pressure", "pressure_min", "pressure_max", "epap", "epap_min", "epap_max", "ipap", "ipap_min", "ipap_max", "support")
+DAY_SETTINGS = ("mode", "pressure", "pressure_min", "pressure_max", "epap", "ipap")
+
+
+def raw_entries(
+    exact: Column | str, compact: Column | str, entries: Column | str | None = None, fields: Sequence[str] = tuple(SETTING_ALIASES)
+) -> dict[str, Column]:
+    """The (value, number) that a key-value map has for each field: by its aliases first, then by its patterns in file order."""
     out = {}
-    for field, aliases in SETTING_ALIASES.items():
-        out[field] = read_alias(exact, compact, aliases)
+    for field in fields:
+        out[field] = _alias_entry(exact, compact, SETTING_ALIASES[field])
         if entries is not None and field in SETTING_PATTERNS:
-            out[field] = F.coalesce(out[field], read_pattern(entries, compact, SETTING_PATTERNS[field]))
+            out[field] = F.coalesce(out[field], _pattern_entry(entries, compact, SETTING_PATTERNS[field]))
     return out
 
 
-def settings_from_kv(exact: Column | str, compact: Column | str, entries: Column | str | None = None) -> dict[str, Column]:
-    """Settings texts out of a key-value map (``compact`` is the same map under squeezed keys, ``entries`` its pairs in order)."""
-    return settings_of(raw_settings(exact, compact, entries))
-
-
-def settings_of(raws: dict[str, Column]) -> dict[str, Column]:
-    """Settings texts out of the raw text of each field."""
+def with_settings(
+    maps: DataFrame, prefix: str = "set_", entries: str | None = None, names: Sequence[str] = tuple(RAW_FIELDS), keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Key-value maps with a column for each settings text of ``names``; ``keep`` names the columns that stay beside them.
 
-    def raw(field: str) -> Column:
-        return raws[field]
+    Every step is a set of columns of its own, so that a map is looked up once per alias and a text is parsed and written once:
+    the entries, their texts and numbers, the numbers as pressures, the pressures as texts, the settings.
+    """
+    kept = maps.columns if keep is None else list(keep)
+    fields = list(dict.fromkeys(f for n in names for f in RAW_FIELDS[n]))
+    pressures = [f for f in fields if f in PRESSURE_FIELDS]
+    stay = [F.col(f"`{c}`") for c in kept]
+
+    def step(df: DataFrame, columns: dict[str, Column], *more: str) -> DataFrame:
+        return computed_once(df.select(*stay, *more, *[c.alias(n) for n, c in columns.items()]))
+
+    found = step(maps, {f"__e_{f}": c for f, c in raw_entries("exact", "compact", entries, fields).items()})
+    # the maps carry the leading number of each value
+    lead = {f: F.col(f"__e_{f}.number") for f in fields}
+    inside = {f: F.coalesce(lead[f], setting_number(f"__e_{f}.value")) for f in fields if f in (*PRESSURE_FIELDS, "rate", "volume")}
+    read = step(found, {f"__r_{f}": F.col(f"__e_{f}.value") for f in fields} | {f"__n_{f}": c for f, c in (lead | inside).items()})
+    raws, numbers = [f"__r_{f}" for f in fields], [f"__n_{f}" for f in fields if f not in pressures]
+    normed = step(
+        read,
+        {f"__n_{f}": norm_pressure(f"__n_{f}") for f in pressures}
+        | {f"__t_{f}": F.nullif(F.trim(f"__r_{f}"), F.lit("")) for f in pressures},
+        *raws, *numbers,
+    )
+    written = step(
+        normed,
+        {
+            f"__p_{f}": F.when(F.col(f"__t_{f}").rlike(RANGE_TEXT), F.col(f"__t_{f}")).otherwise(
+                F.coalesce(F.concat(trimmed(F.col(f"__n_{f}"), 2), F.lit(" cmH2O")), F.col(f"__t_{f}"))
+            )
+            for f in pressures
+        },
+        *raws, *numbers,
+    )
+    texts = _settings_texts(names)
+    return step(written, {prefix + n: texts[n] for n in names})
 
-    def pressure(field: str) -> Column:
-        return pressure_setting_text(raw(field))
 
+def _settings_texts(names: Sequence[str]) -> dict[str, Column]:
+    """Settings texts out of the columns of the steps: raw texts, numbers and pressure texts of each field."""
+    raw, number, pressure = (lambda f, kind=kind: F.col(f"__{kind}_{f}") for kind in "rnp")
     vent, mode = raw("vent_mode"), raw("mode")
     named = F.coalesce(*[F.when(vent == code, name) for code, name in VENT_MODES.items()])
-    support = pressure("support")
-    rate = first_number(raw("rate"))
-    ramp = ramp_rule_text(raw("ramp_time"))
+    ramp = F.when(number("ramp_time").isNotNull(), ramp_time_text(number("ramp_time"))).otherwise(_ramp_word(raw("ramp_time")))
+    off = F.coalesce(ramp.rlike(OFF_WORDS), F.lit(False))
     return {
         "mode": F.when(vent.isNotNull(), F.coalesce(named, mode, F.concat(F.lit("VentMode "), vent))).otherwise(mode),
         "pressure": pressure("pressure"),
@@ -171,34 +228,22 @@ def settings_of(raws: dict[str, Column]) -> dict[str, Column]:
         "pressure_max": pressure("pressure_max"),
         "epap": F.coalesce(pressure("epap"), joined_range(pressure("epap_min"), pressure("epap_max"))),
         "ipap": F.coalesce(pressure("ipap"), joined_range(pressure("ipap_min"), pressure("ipap_max"))),
-        "respiratory_rate": F.concat(trimmed(rate, 2), F.lit(" bpm")),
-        "tidal_volume": tidal_volume_text(first_number(raw("volume")), raw("volume")),
-        "pressure_relief": F.coalesce(F.concat(F.lit("PS "), support), raw("relief")),
+        "respiratory_rate": F.concat(trimmed(number("rate"), 2), F.lit(" bpm")),
+        "tidal_volume": tidal_volume_text(number("volume"), raw("volume")),
+        "pressure_relief": F.coalesce(F.concat(F.lit("PS "), pressure("support")), raw("relief")),
         "ramp_time": ramp,
-        "ramp_pressure": F.when(
-            ~F.coalesce(ramp.rlike(OFF_WORDS), F.lit(False)), pressure_text(safe_number(raw("ramp_pressure")))
-        ),
+        "ramp_pressure": F.when(~off, pressure_text(number("ramp_pressure"))),
     }
 
 
-def with_settings(maps: DataFrame, prefix: str = "set_", entries: str | None = None) -> DataFrame:
-    """Key-value maps with a column for each settings text.
-
-    The maps are looked up once per alias: the raw texts are columns of their own before anything is made of them.
-    """
-    raws = raw_settings("exact", "compact", entries)
-    found = computed_once(maps.withColumns({f"__raw_{n}": c for n, c in raws.items()}))
-    texts = settings_of({n: F.col(f"__raw_{n}") for n in raws})
-    return computed_once(found.withColumns({prefix + n: c for n, c in texts.items()}).drop(*[f"__raw_{n}" for n in raws]))
-
-
-def with_day_settings(maps: DataFrame, name: str) -> DataFrame:
-    """Maps with the settings snapshot of a daily record (NULL when nothing is set)."""
-    fields = ("mode", "pressure", "pressure_min", "pressure_max", "epap", "ipap")
-    read = with_settings(maps, "__set_")
-    kept = [F.col(f"`{c}`") for c in maps.columns]
-    named = read.select(*kept, settings_snapshot(*[f"__set_{c}" for c in fields]).alias(name))
-    return computed_once(named)
+def with_day_settings(maps: DataFrame, name: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """Maps with the settings snapshot of a daily record (NULL when nothing is set); ``keep`` names the columns that stay."""
+    kept = maps.columns if keep is None else list(keep)
+    read = with_settings(maps, "__set_", names=DAY_SETTINGS, keep=kept)
+    stay = [F.col(f"`{c}`") for c in kept]
+    clean = computed_once(read.select(*stay, *[clean_setting(f"__set_{c}").alias(f"__set_{c}") for c in DAY_SETTINGS]))
+    plain = computed_once(clean.withColumn("__set_pressure", _unfixed(F.col("__set_pressure"))))
+    return computed_once(plain.select(*stay, _snapshot_of(*[F.col(f"__set_{c}") for c in DAY_SETTINGS]).alias(name)))
 
 
 def relief_text(exact: Column, lower: Column, entries: Column | None = None) -> Column:
@@ -234,9 +279,11 @@ def relief_text(exact: Column, lower: Column, entries: Column | None = None) ->
 def ramp_rule_text(raw: Column) -> Column:
     """Ramp time text out of a settings text: minutes, "Off", or an on-word as it stands."""
     n = safe_number(raw)
-    return F.when(n.isNotNull(), ramp_time_text(n)).when(F.trim(raw).rlike(OFF_WORDS), "Off").when(
-        F.trim(raw).rlike(ON_WORDS), F.trim(raw)
-    )
+    return F.when(n.isNotNull(), ramp_time_text(n)).otherwise(_ramp_word(raw))
+
+
+def _ramp_word(raw: Column) -> Column:
+    return F.when(F.trim(raw).rlike(OFF_WORDS), "Off").when(F.trim(raw).rlike(ON_WORDS), F.trim(raw))
 
 
 def ramp_rule(enable: Column, minutes: Column, pressure: Column) -> tuple[Column, Column]:

@@ -17,7 +17,7 @@ from noonday.functions.dates import parse_datetime, parse_utc_offset
 from noonday.functions.modes import mode_from_profile
 from noonday.functions.numbers import norm_pressure, safe_number, trimmed
 from noonday.functions.plan import computed_once
-from noonday.functions.settings import is_setting_header, joined_range, ramp_rule, with_day_settings
+from noonday.functions.settings import compact_key, is_setting_header, joined_range, ramp_rule, with_day_settings
 from noonday.operators.cleaning import FIELD_RANGES, ranged
 from noonday.operators.rollup import none_if_zero
 
@@ -114,27 +114,32 @@ def value_maps(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A value carries its number, so that no number is parsed again for every alias that might name it.
     """
-    shapes = {"exact": lambda k: k, "lower": F.lower, "compact": lambda k: F.regexp_replace(F.lower(k), r"[\s_-]+", "")}
-    numbered = pairs.withColumn("number", safe_number("value"))
-    listed = numbered.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("place", "key", "value", "number"))).alias("entries")
+    shapes = {"exact": "key", "lower": "lower", "compact": "compact"}
+    read = pairs.withColumns({"number": safe_number("value"), "lower": F.lower("key"), "compact": compact_key(F.col("key"))})
+    listed = read.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("place", "key", "value", "number", "lower", "compact"))).alias("entries")
     )
+    values = F.arrays_zip("entries.value", "entries.number").cast("array<struct<value:string,number:double>>")
 
-    def by_key(shape) -> Column:
-        return F.array_sort(
-            F.transform(
-                "entries",
-                lambda e: F.struct(shape(e["key"]).alias("k"), e["place"].alias("i"), F.struct(e["value"], e["number"]).alias("v")),
-            )
+    def last_of_each(shape: str) -> Column:
+        ordered = F.sort_array(
+            F.transform("entries", lambda e: F.struct(e[shape].alias("k"), e["place"].alias("i"), F.struct(e["value"], e["number"]).alias("v")))
         )
 
-    def as_map(column: str) -> Column:
-        # Equal keys stand next to each other in file order; the last of them stays.
-        last = F.filter(column, lambda e, i: F.coalesce(F.get(column, i + 1)["k"] != e["k"], F.lit(True)))
-        return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+        def as_map(pairs: Column) -> Column:
+            # Equal keys stand next to each other in file order; the last of them stays.
+            last = F.filter(pairs, lambda e, i: F.coalesce(F.get(pairs, i + 1)["k"] != e["k"], F.lit(True)))
+            return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+
+        return F.get(F.transform(F.array(ordered), as_map), F.lit(0))
+
+    def by_key(shape: str) -> Column:
+        # few files repeat a key in this shape; the others need no sort and no lambda, which Spark interprets
+        names = F.col(f"entries.{shape}")
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, "__values")).otherwise(last_of_each(shape))
 
-    sorted_ = listed.withColumns({f"__{name}": by_key(shape) for name, shape in shapes.items()})
-    return sorted_.withColumns({name: as_map(f"__{name}") for name in shapes}).drop(*[f"__{name}" for name in shapes])
+    valued = computed_once(listed.withColumn("__values", values))
+    return valued.withColumns({name: by_key(shape) for name, shape in shapes.items()}).drop("__values")
 
 
 def read_number(alias: str) -> Column:
@@ -143,18 +148,25 @@ def read_number(alias: str) -> Column:
     return hit["number"]
 
 
-def first_match(pattern: str, value, avoid: str | None = None) -> Column:
+def first_match(pattern: str, value, avoid: str | None = None, entries: str = "entries") -> Column:
     """First usable number, in file order, among the keys that match a pattern."""
 
     def fits(e: Column) -> Column:
-        hit = F.lower(e["key"]).rlike(pattern)
-        return hit if avoid is None else hit & ~F.lower(e["key"]).rlike(avoid)
+        hit = e["lower"].rlike(pattern)
+        return hit if avoid is None else hit & ~e["lower"].rlike(avoid)
 
-    values = F.transform(F.filter("entries", fits), lambda e: value(e["number"]))
+    values = F.transform(F.filter(entries, fits), lambda e: value(e["number"]))
     return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(1))
 
 
-# Keys of daily records in order of preference, and patterns of measured pressures.
+def matched_entries(maps: DataFrame, pattern: str) -> DataFrame:
+    """Maps with ``matched``, the entries whose key fits a pattern: what narrower patterns look through."""
+    return computed_once(maps.withColumn("matched", F.filter("entries", lambda e: e["lower"].rlike(pattern))))
+
+
+# Keys of daily records in order of preference, and patterns of measured pressures; each of these and every
+# pattern of a leak names one of the measured quantities.
+MEASURED = "leak|press|[ie]pap"
 USAGE_KEYS = (
     "usagehours", "therapyhours", "hours", "hour", "timeused", "runtime", "secUsed", "secondsused", "minutesused",
 )
@@ -200,32 +212,26 @@ def daily_records(maps: DataFrame) -> DataFrame:
         some, F.coalesce(oa, zero) + F.coalesce(ca, zero) + F.coalesce(h, zero)
     )
     named_ahi = F.coalesce(*[read_number(k) for k in AHI_KEYS])
-    leak = first_match("leak", lambda v: v, avoid="max")
-    leak_max = F.try_element_at(
-        F.reverse(
-            F.filter(
-                F.transform(
-                    F.filter("entries", lambda e: F.lower(e["key"]).rlike("leak") & F.lower(e["key"]).rlike("max")),
-                    lambda e: e["number"],
-                ),
-                lambda v: v.isNotNull(),
-            )
-        ),
-        F.lit(1),
-    )
-    out = maps.withColumn("usage_hours", _usage_hours()).withColumns(
+    maximum = F.filter("matched", lambda e: e["lower"].rlike("leak") & e["lower"].rlike("max") & e["number"].isNotNull())
+    out = matched_entries(maps, MEASURED).withColumn("usage_hours", _usage_hours()).withColumns(
         {
             "ahi": F.coalesce(named_ahi, F.when(hours > 0, events / hours)),
             "residual_apneas": _rate(RESIDUAL_KEYS, hours),
             "central_apneas": _rate(CENTRAL_KEYS, hours),
             "rera_index": _rate(RERA_KEYS, hours),
-            "leak": leak,
-            "leak_max": leak_max,
-            **{k: first_match(p, norm_pressure) for k, p in PRESSURE_PATTERNS.items()},
+            "leak": first_match("leak", lambda v: v, avoid="max", entries="matched"),
+            "leak_max": F.try_element_at(maximum, F.lit(-1))["number"],
+            **{k: first_match(p, norm_pressure, entries="matched") for k, p in PRESSURE_PATTERNS.items()},
         }
     )
     fields = ["usage_hours", "ahi", "residual_apneas", "central_apneas", "rera_index", "leak", "leak_max", *PRESSURE_PATTERNS]
-    return _with_settings(keep_signal(with_day_settings(out, "__settings"), fields, ["__settings"]))
+    return _day_rows(out, fields)
+
+
+def _day_rows(out: DataFrame, fields: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """Metrics with the settings of their maps, which are left behind once they are read."""
+    kept = [c for c in out.columns if c not in MAPS]
+    return _with_settings(keep_signal(with_day_settings(out, "__settings", kept), fields, [*more, "__settings"]))
 
 
 def _with_settings(records: DataFrame) -> DataFrame:
@@ -252,10 +258,10 @@ def counter_records(maps: DataFrame) -> DataFrame:
         return F.when(F.col("usage_hours") > 0, n / F.col("usage_hours"))
 
     leak_ok = F.coalesce(*[F.when(n.between(0, 500), n) for n in (read_number(k) for k in LEAK_KEYS)])
-    any_leak = first_match("leak", _leak_or_null, avoid="95|max")
-    leak_95 = first_match("leak.*95|95.*leak", _leak_or_null)
-    leak_max = first_match("leak.*max|max.*leak", _leak_or_null)
-    out = maps.withColumn("usage_hours", hours).withColumns(
+    any_leak = first_match("leak", _leak_or_null, avoid="95|max", entries="matched")
+    leak_95 = first_match("leak.*95|95.*leak", _leak_or_null, entries="matched")
+    leak_max = first_match("leak.*max|max.*leak", _leak_or_null, entries="matched")
+    out = matched_entries(maps, "leak").withColumn("usage_hours", hours).withColumns(
         {
             "session_start": F.when(start > 0, F.timestamp_seconds(F.floor(start))),
             "session_end": F.when((start > 0) & (seconds > 0), F.timestamp_seconds(F.floor(start + seconds))),
@@ -269,13 +275,16 @@ def counter_records(maps: DataFrame) -> DataFrame:
         }
     )
     fields = ["usage_hours", "ahi", "residual_apneas", "central_apneas", "rera_index", "leak", "leak_95", "leak_max"]
-    return _with_settings(keep_signal(with_day_settings(out, "__settings"), fields, ["session_start", "session_end", "__settings"]))
+    return _day_rows(out, fields, ["session_start", "session_end"])
+
+
+# The columns of value_maps, and what matched_entries adds.
+MAPS = ("entries", "exact", "lower", "compact", "matched")
 
 
 def keep_signal(df: DataFrame, fields: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
     """File keys and metrics, out-of-range ones as NULL; rows without any metric drop out."""
-    maps = ("entries", "exact", "lower", "compact")
-    keys = [c for c in df.columns if c not in (*maps, *fields, *more)]
+    keys = [c for c in df.columns if c not in (*MAPS, *fields, *more)]
     once = computed_once(df.select(*keys, *more, *fields))
     return once.withColumns({f: ranged(f, FIELD_RANGES[f]) for f in fields}).where(
         F.coalesce(*[F.col(f) for f in fields]).isNotNull()

@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from noonday.functions import circular, dates, numbers
+from noonday.functions import circular, dates, numbers, settings
 from noonday.operators import catalogue, cleaning, clock, matching, periods, rollup, series, sleep
 from noonday.plans import report
 from noonday.session import checkpoint_dir
@@ -550,3 +550,31 @@ def test_a_cluster_must_name_a_shared_folder():
         checkpoint_dir(Session())
     Session.sparkContext.master = "local[2]"
     assert checkpoint_dir(Session()) == checkpoint_dir(Session())
+
+
+def test_value_maps_repeated_keys_and_texts_without_a_number(spark):
+    files = spark.createDataFrame(
+        [(1, "Press=8\npress=9\nPRESS =10\nMax_Leak: n/a\nmax leak: 1,200\nLeak Avg=.5"), (2, "mode: CPAP\nset pressure: 850 (fixed)")], "f int, text string"
+    )
+    maps = text.value_maps(text.key_values(files, ["f"]), ["f"])
+    got = {r.f: r for r in maps.collect()}
+    assert {k: v.number for k, v in got[1].exact.items()}.items() >= {"Press": 8.0, "press": 9.0, "PRESS": 10.0, "Max_Leak": None, "max leak": 1200.0}.items()
+    assert (got[1].lower["press"].value, got[1].compact["press"].value) == ("10", "10")
+    assert (got[1].lower["max_leak"].value, got[1].compact["maxleak"].number) == ("n/a", 1200.0)
+    assert [e.lower for e in got[1].entries if "leak" in e.lower][:3] == ["max_leak", "max leak", "leak avg"]
+    day = {r.f: r for r in text.daily_records(maps).collect()}
+    assert (day[1].leak, day[1].leak_max, day[1].settings_machine.pressure) == (0.5, None, "Fixed 8 cmH2O")
+    read = settings.with_settings(maps).where("f = 2").select("set_mode", "set_pressure", "set_ramp_time").first()
+    assert tuple(read) == ("CPAP", "8.5 cmH2O", None)
+
+
+def test_settings_parse_a_number_once(spark):
+    """The plan held a copy of every parse for every use of its number: over 400 for the settings of one map."""
+    files = spark.createDataFrame([(1, "Press=8")], "f int, text string")
+    maps = text.value_maps(text.key_values(files, ["f"]), ["f"])
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        plan = settings.with_settings(maps)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("regexp_extract") < 50
