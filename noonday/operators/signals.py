@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import clinical_day, shift_minutes, shift_seconds
@@ -14,9 +14,12 @@ from noonday.operators.series import best_episodes, reset_islands, rolling_maxim
 
 
 def pivot_signals(
-    signals: DataFrame, keys: Sequence[str], name: str, value: str, aliases: Sequence[tuple[str, int, str]]
+    signals: DataFrame, keys: Sequence[str], name: str, value: str, aliases: Sequence[tuple[str, int, str]], *more: Column
 ) -> DataFrame:
-    """One column per metric: the first alias present wins.  ``aliases``: (metric, priority, signal name)."""
+    """One column per metric: the first alias present wins.  ``aliases``: (metric, priority, signal name).
+
+    ``more`` are aggregates over all signals of a group; then groups without a known signal stay, with ``n_known`` 0.
+    """
     by_metric: dict[str, list[tuple[int, str]]] = {}
     for metric, priority, signal in aliases:
         by_metric.setdefault(metric, []).append((priority, signal))
@@ -29,6 +32,8 @@ def pivot_signals(
             rank = F.when(hit, priority) if rank is None else rank.when(hit, priority)
         aggs.append(F.min_by(value, F.when(F.col(value).isNotNull(), rank)).alias(metric))
     known = F.lower(F.col(name)).isin(*[w.lower() for w in wanted])
+    if more:
+        return signals.groupBy(*keys).agg(*aggs, F.count_if(known).alias("n_known"), *more)
     return signals.where(known).groupBy(*keys).agg(*aggs)
 
 
@@ -47,13 +52,17 @@ def daily_records(
     for channel, metric in known.items():
         if units and metric in units:
             value = F.when(F.lower("channel") == channel, units[metric](F.col("value"), F.col("unit"))).otherwise(value)
-    dated = signals.withColumns({"date": F.date_add(F.to_date(start), F.col("seq").cast("int")), "value": value})
-    records = pivot_signals(dated, ["card_id", "date"], "channel", "value", aliases)
-    # one aggregate over the records of a card: at most one per day
-    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"latest_{c}") for c in settings]
-    history = signals.groupBy("card_id").agg(F.min(clinical_day(start)).alias("history_start"))
-    out = records.join(history, "card_id")
-    return out.join(records.groupBy("card_id").agg(*newest), "card_id") if newest else out
+    dated = signals.where("card_id IS NOT NULL").withColumns({"date": F.date_add(F.to_date(start), F.col("seq").cast("int")), "value": value})
+    # channels that are no metric count for the history only
+    firsts = F.min(clinical_day(start)).alias("history_start")
+    records = pivot_signals(dated, ["card_id", "date"], "channel", "value", aliases, firsts)
+    # over the records of a card, at most one per day: no second pass over the signals, and no join back
+    card = Window.partitionBy("card_id")
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).over(card).alias(f"latest_{c}") for c in settings]
+    whole = records.select(
+        "card_id", "date", *dict.fromkeys(known.values()), F.min("history_start").over(card).alias("history_start"), *newest, "n_known"
+    )
+    return whole.where("n_known > 0").drop("n_known")
 
 
 def channel_stats(samples: DataFrame, keys: Sequence[str], channels: dict[str, tuple[Column, tuple, float]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noonday.functions.dates import clinical_day, shift_minutes, shift_seconds
@@ -499,11 +500,15 @@ FROM wide w JOIN files f ON f.card_id = w.card_id JOIN latest l ON l.card_id = w
 )
 def pivot_daily_signals(spark, sf):
     """A summary file per card: a data record per day, two channels for the leak, one of them in litres a second."""
-    samples = a.samples(spark, sf)
-    files = samples.groupBy("card_id").agg(F.min("ts").alias("start_ts"))
-    signals = samples.join(files, "card_id").groupBy(
-        "card_id", "start_ts", F.datediff(F.to_date("ts"), F.to_date("start_ts")).alias("seq"), F.col("event_type").alias("channel")
-    ).agg(F.avg("value").alias("value")).withColumn("unit", F.when(F.col("channel") == "click", "L/s").otherwise("L/min"))
+    # nearly every sample is a group of its own: each card is dealt to one task, so that no task groups more when there are more cards
+    samples = a.as_samples(a.dealt(a.read(spark, sf, "events"), "user_id"))
+    daily = samples.groupBy("card_id", F.to_date("ts").alias("day"), F.col("event_type").alias("channel")).agg(
+        F.avg("value").alias("value"), F.min("ts").alias("first_ts")
+    )
+    signals = daily.withColumn("start_ts", F.min("first_ts").over(Window.partitionBy("card_id"))).select(
+        "card_id", "start_ts", F.datediff("day", F.to_date("start_ts")).alias("seq"), "channel", "value",
+        F.when(F.col("channel") == "click", "L/s").otherwise("L/min").alias("unit"),
+    )
     units = {"leak": lambda v, unit: norm_leak_lpm(v, unit)}
     found = daily_records(signals, ALIASES, units, ["pressure"])
     steady = lambda c: F.round(c, 9)
