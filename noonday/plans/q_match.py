@@ -281,7 +281,8 @@ MODE_CODES = [
 )
 def lookup_codes(spark, sf):
     codes = spark.createDataFrame(MODE_CODES, "series string, code int, mode string")
-    lines = a.read(spark, sf, "lineitem").select(
+    # a line is a group of its own: sessions are dealt over tasks first, so that no task groups more when there are more of them
+    lines = a.dealt(a.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_orderkey").select(
         F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("code"), F.col("l_returnflag").alias("series")
     )
     labelled = m.lookup_codes(lines, codes, ["series", "code"], "mode")
