@@ -77,8 +77,10 @@ def stream_new_cards(spark, sf):
     """Records arriving as files are rolled up per micro-batch and merged on reading."""
     base = f"{checkpoint_dir(spark)}/cards-{uuid.uuid4().hex}"
     records = a.records(spark, sf)
-    records.repartition(4, "kind").write.partitionBy("kind").parquet(f"{base}/in")
-    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    # more records are written by more tasks, and a micro-batch takes more files: its tasks and their sizes stay the same
+    tasks = max(4, a.tasks_for(a.read(spark, sf, "events")))
+    records.repartition(tasks, "seq").write.partitionBy("kind").parquet(f"{base}/in")
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 2 * tasks).parquet(f"{base}/in")
     sink = twins.upsert_days(spark, f"{base}/days")
     query_ = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     query_.start().awaitTermination()
