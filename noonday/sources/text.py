@@ -518,18 +518,20 @@ SETTINGS_JSON = (
 def json_settings(files: DataFrame, keys: Sequence[str], text: str = "text", device: Column | None = None) -> DataFrame:
     """Machine settings from nested JSON: the active profile, else the first one that names a mode."""
     root = F.from_json(_c(text), SETTINGS_JSON)
-    profiles = files.select(*keys, root["FlowGenerator"]["SettingProfiles"].alias("s")).where(
-        "s IS NOT NULL AND s.TherapyProfiles IS NOT NULL"
-    )
+    # Each text is parsed once: the tests below would otherwise be pushed beneath the parsing, with copies of it.
+    parsed = computed_once(files.select(*keys, root["FlowGenerator"]["SettingProfiles"].alias("s")))
+    profiles = parsed.where("s IS NOT NULL AND s.TherapyProfiles IS NOT NULL")
     active = F.col("s.ActiveProfiles.TherapyProfile")
     first = F.try_element_at(
         F.filter(F.map_entries("s.TherapyProfiles"), lambda e: F.try_element_at(e["value"], F.lit("TherapyMode")).isNotNull()), F.lit(1)
     )
     own = F.try_element_at("s.TherapyProfiles", active)
-    chosen = profiles.select(
-        *keys, "s",
-        F.when(own.isNotNull(), active).otherwise(first["key"]).alias("profile_name"),
-        F.coalesce(own, first["value"]).alias("p"),
+    chosen = computed_once(
+        profiles.select(
+            *keys, "s",
+            F.when(own.isNotNull(), active).otherwise(first["key"]).alias("profile_name"),
+            F.coalesce(own, first["value"]).alias("p"),
+        )
     ).where("p IS NOT NULL")
     field = lambda name: F.try_element_at("p", F.lit(name))
     chosen = chosen.withColumns(

@@ -603,3 +603,11 @@ def test_paths_are_searched_before_they_are_matched(spark):
         assert all(not re.search("(?i)" + pattern, p) or not texts or any(t in p.lower() for t in texts) for p in paths), pattern
     assert fr.needed_texts(r"(?:^|/)datalog/.*/str\.edf(?:\.gz)?$") and fr.needed_texts(r"(?:^|/).*\.(?:dat)$") == (".dat",)
     assert fr.needed_texts("(?:^|/)(?:viatom|oximeter)") == ("viatom", "oximeter") and fr.needed_texts("a|bc") == ()
+
+
+def test_settings_json_is_parsed_once(spark):
+    body = '{"FlowGenerator":{"SettingProfiles":{"ActiveProfiles":{"TherapyProfile":"A"},"TherapyProfiles":{"A":{"TherapyMode":"CPAP","SetPressure":9}}}}}'
+    files = spark.createDataFrame([(1, body), (2, "{}"), (3, None)], "file_id long, text string").repartition(2)
+    read = text.json_settings(files, ["file_id"])
+    assert read._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+    assert [(r.file_id, r.mode, r.pressure) for r in read.collect()] == [(1, "CPAP", "Fixed 9 cmH2O")]
