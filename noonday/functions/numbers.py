@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,22 @@ def matched_number(text: Column, pattern: str) -> Column:
     return F.get(F.regexp_extract_all(text, F.lit(pattern), 1), F.lit(0)).try_cast("double")
 
 
+LEADING_NUMBER = r"^([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
+
+
 def safe_number(text: Column | str) -> Column:
     """Leading number of a text after commas are taken out; NULL if it does not start with one."""
     bare = F.trim(F.replace(_col(text), F.lit(","), F.lit("")))
-    return matched_number(bare, r"^([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)")
+    return matched_number(bare, LEADING_NUMBER)
+
+
+_LEADING_NUMBER = re.compile(LEADING_NUMBER, re.ASCII)
+
+
+def leading_number(text: str) -> float | None:
+    """``safe_number`` for readers of whole texts in Python."""
+    found = _LEADING_NUMBER.match(text.replace(",", "").strip(" "))
+    return float(found[1]) if found else None
 
 
 def first_number(text: Column | str) -> Column:
@@ -35,6 +49,13 @@ def norm_pressure(value: Column | str) -> Column:
     return F.when((v >= 0) & (v <= 80), v).when((v > 80) & (v <= 8000), v / 100)
 
 
+def pressure(value: float | None) -> float | None:
+    """``norm_pressure`` for readers of whole texts in Python."""
+    if value is None or not 0 <= value <= 8000:
+        return None
+    return value if value <= 80 else value / 100
+
+
 def norm_tidal_volume_ml(value: Column | str, unit: Column | str) -> Column:
     """Millilitres by unit word, a bare number up to 5 being litres; NULL outside 20-5000."""
     v, text = _col(value), F.lower(F.coalesce(_col(unit), F.lit("")))

@@ -6,16 +6,18 @@ not shuffled until something is grouped per file.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noonday.functions.dates import parse_datetime, parse_utc_offset
+from noonday.functions.dates import parse_datetime, parse_utc_offset, wall_clock
 from noonday.functions.modes import mode_from_profile
-from noonday.functions.numbers import norm_pressure, safe_number, trimmed
+from noonday.functions.numbers import leading_number, norm_pressure, pressure, safe_number, trimmed
 from noonday.functions.plan import computed_once
 from noonday.functions.settings import compact_key, is_setting_header, joined_range, ramp_rule, with_day_settings
 from noonday.operators.cleaning import FIELD_RANGES, ranged
@@ -30,17 +32,51 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
 
 
-# --- charsets --------------------------------------------------------------------------------------------------
+# Line ends other than \n and \r: Java's ``$`` also stands before one that ends a text.
+_OTHER_ENDS = "\x85\u2028\u2029"
+_BLANK_ENDS = re.compile(rf"^\s+|\s+(?=[{_OTHER_ENDS}]?\Z)", re.ASCII)
 
-HEADER_BYTES = 4
 
+def _stripped(text: str) -> str:
+    """``strip`` for readers of whole texts in Python."""
+    return _BLANK_ENDS.sub("", text) if text.endswith(tuple(_OTHER_ENDS)) else text.strip(" \t\n\v\f\r")
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _wide_readings(content: pd.Series) -> pd.Series:
-    """UTF-16 in both byte orders, for the files that are not NULL; the built-in decoder stops at damaged pairs."""
-    return content.map(
-        lambda data: [] if data is None else [data.decode("utf-16-le", "replace"), data.decode("utf-16-be", "replace")]
-    )
+
+# --- charsets --------------------------------------------------------------------------------------------------
+
+HEADER_BYTES = 4
+# Printable ASCII, tabs and line ends stay, every other byte becomes a line break.
+_PLAIN = bytes(b if 0x20 <= b <= 0x7E or b in b"\t\n\r" else 0x0A for b in range(256))
+#: Files whose readings are Python texts at a time.
+FILES_AT_ONCE = 64
+
+
+def _readings_of(data: bytes | None) -> list[str]:
+    if data is None:
+        return []
+    latin, plain = data.decode("latin-1"), data.translate(_PLAIN).decode("ascii")
+    if data.isascii():
+        utf8, utf8_tail = latin, latin[HEADER_BYTES:]
+    else:
+        utf8, utf8_tail = data.decode("utf-8", "replace"), data[HEADER_BYTES:].decode("utf-8", "replace")
+    # the built-in decoder of Spark stops at damaged pairs
+    wide = [data.decode("utf-16-le", "replace"), data.decode("utf-16-be", "replace")] if b"\0" in data else []
+    every = dict.fromkeys((utf8, utf8_tail, latin, *wide, plain, plain[HEADER_BYTES:]))
+    return [t for t in dict.fromkeys(_stripped(t.replace("\0", "\n")) for t in every) if t]
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _readings(content: pa.Array) -> pa.Array:
+    """Readings of each file, in one pass over its bytes."""
+    parts, ends = [pa.array([], pa.string())], [0]
+    for at in range(0, len(content), FILES_AT_ONCE):
+        texts = []
+        for data in content.slice(at, FILES_AT_ONCE).to_pylist():
+            found = _readings_of(data)
+            texts += found
+            ends.append(ends[-1] + len(found))
+        parts.append(pa.array(texts, pa.string()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
 
 
 def decode_variants(files: DataFrame, content: str = "content") -> DataFrame:
@@ -49,18 +85,8 @@ def decode_variants(files: DataFrame, content: str = "content") -> DataFrame:
     UTF-8 without and with a skipped header, Latin-1, UTF-16 LE and BE where there are NUL bytes, and printable ASCII
     without and with a skipped header.  Equal readings are dropped inside the row, keeping the first.
     """
-    data = F.col(content)
-    tail = F.expr(f"substring(`{content}`, {HEADER_BYTES + 1})")
-    wide = F.when(F.contains(data, F.lit(b"\0")), data)
-    latin, latin_tail = (F.decode(x, "ISO-8859-1") for x in (data, tail))
-    utf8, utf8_tail = (F.make_valid_utf8(x.cast("string")) for x in (data, tail))
-    ascii_, ascii_tail = (F.regexp_replace(x, r"[^\x20-\x7E\t\n\r]", "\n") for x in (latin, latin_tail))
     other = [c for c in files.columns if c != content]
-    read = files.select(*other, F.array(utf8, utf8_tail, latin).alias("__a"), _wide_readings(wide).alias("__w"), F.array(ascii_, ascii_tail).alias("__b"))
-    every = F.concat("__a", F.coalesce("__w", F.array().cast("array<string>")), "__b")
-    texts = F.transform(every, lambda t: strip(F.translate(t, "\0", "\n")))
-    kept = F.filter(texts, lambda t: F.length(t) > 0)
-    return read.select(*other, F.posexplode(F.array_distinct(kept)).alias("variant", "text"))
+    return files.select(*other, F.posexplode(_readings(F.col(content))).alias("variant", "text"))
 
 
 def best_variant(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -454,31 +480,86 @@ def _line_metrics() -> dict[str, Column]:
 DATE_SIGN = r"\d[-/]\d"
 
 
+_DATE_SIGN = re.compile(DATE_SIGN, re.ASCII)
+# Java's dot stops at more line ends than Python's.
+_ROLES = {
+    role: tuple(p and re.compile(p.replace(".*", rf"[^\n\r{_OTHER_ENDS}]*"), re.ASCII) for p in rule) for role, rule in TABLE_ROLES.items()
+}
+_WORDS = tuple((re.compile(pattern, re.ASCII), m in PRESSURE_PATTERNS) for m, pattern in LINE_METRICS.items())
+
+
+def _header_places(first: str) -> tuple[str, int, tuple[tuple[int, int, bool], ...]]:
+    """What a header line tells: delimiter, place of the date (-1 for none), and of each metric that it has: the metric's place
+    in a record, its place in a line, and whether it is a pressure.
+    """
+    delimiter = "\t" if "\t" in first else ","
+    header = [_stripped(h).lower() for h in first.split(delimiter)]
+    places = {
+        role: next((i for i, h in enumerate(header) if fits.search(h) and not (avoid and avoid.search(h))), -1)
+        for role, (fits, avoid) in _ROLES.items()
+    }
+    return delimiter, places["date"], tuple((n, places[m], m in PRESSURE_PATTERNS) for n, m in enumerate(LINE_METRICS, 1) if places[m] >= 0)
+
+
+def _short_kept(read, chars: int, texts: int):
+    """``read`` that keeps what the latest short texts gave: headers, days and numbers come again from file to file."""
+    kept = lru_cache(texts)(read)
+    return lambda text: kept(text) if len(text) <= chars else read(text)
+
+
+_places_of, _clock_of, _number_of = _short_kept(_header_places, 4_096, 1_024), _short_kept(wall_clock, 32, 16_384), _short_kept(leading_number, 32, 16_384)
+
+
+def _text_records(text: str) -> list[list]:
+    """Time and metrics of each record of a text: of its table if a line of that has a date, else of its lines."""
+    lines = text.replace("\r\n", "\n").split("\n")
+    filled = [x for x in lines if x.strip(" ")]
+    delimiter, date, places = _places_of(filled[0]) if filled else ("", -1, ())
+    rows = []
+    for line in filled[1:] if date >= 0 else ():
+        cells = line.split(delimiter)
+        clock = _clock_of(cells[date]) if date < len(cells) else None
+        if clock:
+            row = [clock] + [None] * len(LINE_METRICS)
+            for n, at, is_pressure in places:
+                if at < len(cells):
+                    row[n] = pressure(_number_of(cells[at])) if is_pressure else _number_of(cells[at])
+            rows.append(row)
+    if rows:
+        return rows
+    for line in map(_stripped, filter(_DATE_SIGN.search, lines)):
+        clock = wall_clock(line)
+        if clock:
+            numbers = [(found and float(found[1]), is_pressure) for found, is_pressure in ((p.search(line), x) for p, x in _WORDS)]
+            rows.append([clock, *[pressure(n) if is_pressure else n for n, is_pressure in numbers]])
+    return rows
+
+
+_RECORD = pa.struct([("clock", pa.string()), *[(m, pa.float64()) for m in LINE_METRICS]])
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("clock", T.StringType()), *[T.StructField(m, T.DoubleType()) for m in LINE_METRICS]])))
+def _records(texts: pa.Array) -> pa.Array:
+    rows, ends = [], [0]
+    for text in texts.to_pylist():
+        rows += _text_records(text or "")
+        ends.append(len(rows))
+    columns = zip(*rows, strict=True) if rows else [()] * _RECORD.num_fields
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RECORD, strict=True)], fields=list(_RECORD))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def any_records(files: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Table rows, or free-text records for the files that are no table.
+    """Table rows as ``table_records`` reads them, or records of ``line_records`` for the files that are no table.
 
-    A file is a table where a line below its header has a date in the date's column; that is told inside the row, up to the
-    first such line, so every text is read in one pass and nothing is joined.
+    A file is a table where a line below its header has a date in the date's column.  A text is taken apart in one pass in
+    Python, and what a header tells is kept for the next file with the same one.  Keys stay plain columns, so files that are
+    dealt by key stay so and no later group of that key moves rows again.
     """
-    # a reading in the wrong charset may have a line for each character: only texts and lines that can hold a date are taken apart
-    dateable = files.where(F.col(text).rlike(DATE_SIGN)).select(*keys, F.col(text).alias("__text"), _table_lines(text).alias("lines"))
-    headed = _headed(dateable)
-    at = F.col("__date")
-    dated = F.exists(
-        F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))),
-        lambda x: parse_datetime(F.coalesce(F.try_element_at(F.split(x, F.col("delimiter")), at), F.lit(""))).isNotNull(),
-    )
-    told = headed.withColumn("__table", F.coalesce(F.when((at > 0) & (F.size("lines") >= 2), dated), F.lit(False)))
-    free = F.filter(F.split("__text", r"\r?\n"), lambda x: x.rlike(DATE_SIGN))
-    table = F.col("__table")
-    places = [f"__{role}" for role in TABLE_ROLES]
-    body = told.select(
-        *keys, "__table", *places, "delimiter", F.explode(F.when(table, F.slice("lines", 2, F.size("lines"))).otherwise(free)).alias("line")
-    ).withColumn("line", F.when(table, F.col("line")).otherwise(strip("line"))).withColumn("cells", F.when(table, F.split("line", F.col("delimiter"))))
-    day = parse_datetime(F.when(table, F.coalesce(_cell("date"), F.lit(""))).otherwise(F.col("line")))
-    cells, words = _table_metrics(), _line_metrics()
-    rows = computed_once(body.withColumn("date", day)).where("date IS NOT NULL")
-    return rows.select(*keys, "date", *[F.when(table, cells[m]).otherwise(words[m]).alias(m) for m in LINE_METRICS])
+    # a reading in the wrong charset may have a line for each character: only texts that can hold a date are taken apart
+    dateable = files.where(F.col(text).rlike(DATE_SIGN))
+    rows = dateable.select(*keys, F.explode(_records(F.make_valid_utf8(F.col(text)))).alias("__r"))
+    return rows.select(*keys, F.col("__r.clock").cast("timestamp").alias("date"), *[F.col(f"__r.{m}").alias(m) for m in LINE_METRICS])
 
 
 # --- JSON settings ---------------------------------------------------------------------------------------------
